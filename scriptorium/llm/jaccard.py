@@ -7,11 +7,11 @@ sketches gives two lower bounds of the symmetric difference of two sets:
   Every differing shingle changes one block at most, so sets with a symmetric difference of d share all but d blocks;
   by the pigeonhole principle the first d + 1 non-empty blocks in one common order have a member in common.
   These are the join keys; a document uses the blocks of its own band and, where its partners may be larger, of the next;
-* bit sketches: two to four bits a shingle; their Hamming distance is at most the symmetric difference.
+* bit sketches: one to two bits a shingle; their Hamming distance is at most the symmetric difference.
   Pairs from the join whose distance exceeds (|A| + |B|) / 7 cannot reach 0.75 and go.
 
 What stays is verified on the shingle sets themselves. Groups of documents that share a key never become all pairs:
-a large group first proposes each member's nearest neighbour, those links are verified and merged into components, and
+a large group first proposes one likely partner for each member, those links are verified and merged into components, and
 only pairs between different components that pass the bit sketches are verified after that.
 
 Keys go to their buckets as packed arrays, six bytes a key, not as rows.
@@ -32,8 +32,10 @@ from scriptorium.llm.components import connected_components
 SHINGLE = 5
 #: Bands below this level (sets under 128 shingles) use each shingle as a block of its own: too few blocks to rely on averages.
 FIRST_BLOCK_LEVEL = 7
-#: Groups up to this size propose all their pairs at once.
-SMALL_GROUP = 16
+#: Groups up to this size propose all their pairs at once; larger ones start with so many hubs.
+SMALL_GROUP, HUBS = 16, 8
+#: Of the groups of four and more, one in so many is gone through before components are known. All are gone through after.
+EARLY_SHARE = 8
 _Q = [np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(64)]
 
 
@@ -69,11 +71,11 @@ def _levels(sizes: np.ndarray) -> np.ndarray:
 
 
 def _bits(level: int | np.ndarray) -> int | np.ndarray:
-    return np.maximum(64, 4 << np.asarray(level, np.int64))
+    return np.maximum(64, 2 << np.asarray(level, np.int64))
 
 
 def bit_sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """The parity sketch of each row: 2 to 4 bits a shingle, 64 at least."""
+    """The parity sketch of each row: 1 to 2 bits a shingle, 64 at least."""
     bits = _bits(_levels(sizes))
     base = np.concatenate([[0], np.cumsum(bits)])
     width = np.repeat(bits, sizes).astype(np.uint64)
@@ -136,7 +138,7 @@ def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(codes), np.concatenate(docs)) if codes else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-EMIT = "bucket int, kind int, doc_id long, n_shingles long, data binary"
+EMIT = "bucket int, kind int, doc_id long, n_shingles long, digest long, data binary"
 
 
 def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,15 +149,18 @@ def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             hashes, sizes = shingle_sets(Words(data, off))
             sketches = bit_sketches(hashes, sizes)
             spread = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            out = [(int(spread[i]), 0, int(ids[i]) if has_id[i] else None, int(sizes[i]), sketches[i]) for i in range(len(ids))]
+            edge = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes))])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            digest = (edge[ends[1:]] - edge[ends[:-1]]).view(np.int64)
+            out = [(int(spread[i]), 0, int(ids[i]) if has_id[i] else None, int(sizes[i]), int(digest[i]), sketches[i]) for i in range(len(ids))]
             row, key = block_keys(hashes, sizes)
             if not has_id.all():
                 row, key = row[has_id[row]], key[has_id[row]]
             bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            out += [(b, 1, None, None, blob) for b, blob in pack(bucket, key >> np.uint64(32), row, ids)]
+            out += [(b, 1, None, None, None, blob) for b, blob in pack(bucket, key >> np.uint64(32), row, ids)]
             for a in range(0, len(out), 2000):
                 part = list(zip(*out[a : a + 2000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.binary())], names=["bucket", "kind", "doc_id", "n_shingles", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.int64()), pa.array(part[5], pa.binary())], names=["bucket", "kind", "doc_id", "n_shingles", "digest", "data"])
 
     return run
 
@@ -164,7 +169,7 @@ REDUCED = "kind int, gid long, doc_id long, n_shingles long, sketch binary"
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Of one bucket: the rows of kind 0 as they are; of the keys that several documents have, each distinct group once."""
+    """Of one bucket: the rows of kind 0 as they are (their digest as gid); of the keys that several documents have, each distinct group once."""
     kind = table.column("kind").to_numpy()
     info = table.filter(pa.array(kind == 0))
     codes, docs = unpack(table.filter(pa.array(kind == 1)).column("data").to_pylist())
@@ -194,7 +199,7 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "kind": pa.concat_arrays([pa.array(np.zeros(info.num_rows, np.int32)), pa.array(np.ones(n, np.int32))]),
-            "gid": pa.concat_arrays([pa.nulls(info.num_rows, pa.int64()), pa.array(gid)]),
+            "gid": pa.concat_arrays([info.column("digest").combine_chunks().cast(pa.int64()), pa.array(gid)]),
             "doc_id": pa.concat_arrays([info.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(member)]),
             "n_shingles": pa.concat_arrays([info.column("n_shingles").combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64())]),
             "sketch": pa.concat_arrays([info.column("data").combine_chunks().cast(pa.binary()), pa.nulls(n, pa.binary())]),
@@ -202,66 +207,84 @@ def _groups(table: pa.Table) -> pa.Table:
     )
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """All at the smallest width: a wider parity sketch folds onto itself by XOR."""
-    width = min(map(len, sketches))
-    out = np.empty((len(sketches), width), np.uint8)
-    for i, s in enumerate(sketches):
-        x = np.frombuffer(s, np.uint8)
-        while len(x) > width:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[i] = x
-    return out.view(np.uint64)
-
-
-def _distances(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(one), len(all_)), np.int64)
+def _distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(one), len(other)), np.int32)
     for w in range(one.shape[1]):
-        total += np.bitwise_count(one[:, w, None] ^ all_[None, :, w])
+        total += np.bitwise_count(one[:, w, None] ^ other[None, :, w])
     return total
 
 
-def group_pairs(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], parts: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Pairs of one group that may reach the threshold by the sketches' bound.
-
-    Without parts: all of a small group; of a larger one each member's nearest other member. With parts (the component of
-    each member): all between different parts. Members with the same size and sketch are chained and stand for one another.
-    """
-    order = np.lexsort((ids, np.array([hash(s) for s in sketches]), sizes))
-    ids, sizes, sketches = ids[order], sizes[order], [sketches[i] for i in order]
-    parts = None if parts is None else parts[order]
-    alone = []
-    for i in range(len(ids)):
-        if i and sizes[i] == sizes[i - 1] and sketches[i] == sketches[i - 1]:
-            if parts is None or parts[i] != parts[i - 1]:
-                yield int(ids[i - 1]), int(ids[i])
-            if parts is None or parts[i] == parts[alone[-1]]:
-                continue
-        alone.append(i)
-    if len(alone) < 2:
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """A wider parity sketch folds onto a narrower one by XOR of its halves."""
+    while bits.shape[1] > width:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+class Group:
+    """Members of one group, by size; bit sketches are kept by width, as widths differ by band."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes]):
+        order = np.lexsort((ids, sizes))
+        self.ids, self.sizes = ids[order], sizes[order]
+        widths = np.array([len(s) // 8 for s in sketches])[order]  # ascend with the sizes
+        self.edges = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(ids)]
+        self.bits = [np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+        self.order = order
+
+    def near(self, some: np.ndarray, since: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, distance) of pairs of a member in some (ascending) with any from since on that may reach the threshold."""
+        for k, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+            mine = some[(some >= a) & (some < b)]
+            for at in range(0, len(mine), 256):
+                me = mine[at : at + 256]
+                low, high = self.sizes[me[0]] * 3 // 4, self.sizes[me[-1]] * 4 // 3
+                for m, (c, d) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+                    c = max(c, since, int(np.searchsorted(self.sizes, low)))
+                    d = min(d, int(np.searchsorted(self.sizes, high, side="right")))
+                    if c >= d:
+                        continue
+                    width = min(self.bits[k].shape[1], self.bits[m].shape[1])
+                    dist = _distances(_fold(self.bits[k][me - a], width), _fold(self.bits[m][c - self.edges[m] : d - self.edges[m]], width))
+                    x, y = self.sizes[me][:, None], self.sizes[None, c:d]
+                    i, j = np.nonzero((7 * dist <= x + y) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)))
+                    yield me[i], j + c, dist[i, j]
+
+
+def first_pairs(group: Group) -> Iterator[tuple[int, int]]:
+    """All pairs of a small group that may reach the threshold; of a larger one each member's best among HUBS members and its two neighbours by size."""
+    n = len(group.ids)
+    if n <= SMALL_GROUP:
+        for i, j, _ in group.near(np.arange(n)):
+            keep = i < j
+            yield from zip(group.ids[i[keep]].tolist(), group.ids[j[keep]].tolist(), strict=True)
         return
-    ids, sizes, bits = ids[alone], sizes[alone], _folded([sketches[i] for i in alone])
-    parts = None if parts is None else parts[alone]
-    for a in range(0, len(ids), 256):
-        b = min(a + 256, len(ids))
-        to = int(np.searchsorted(sizes, sizes[b - 1] * 4 // 3, side="right"))  # sizes ascend: no partner beyond
-        since = a if parts is not None or len(ids) <= SMALL_GROUP else int(np.searchsorted(sizes, -(-sizes[a] * 3 // 4)))
-        d = _distances(bits[a:b], bits[since:to])
-        both = sizes[a:b, None] + sizes[None, since:to]
-        fits = (7 * d <= both) & (4 * np.minimum(sizes[a:b, None], sizes[None, since:to]) >= 3 * np.maximum(sizes[a:b, None], sizes[None, since:to]))
-        me, other = np.arange(a, b)[:, None], np.arange(since, to)[None, :]
-        if parts is not None:
-            fits &= (other > me) & (parts[a:b, None] != parts[None, since:to])
-        elif len(ids) <= SMALL_GROUP:
-            fits &= other > me
-        else:
-            fits &= other != me
-            best = np.where(fits, d, np.iinfo(np.int64).max).argmin(1)
-            only = np.zeros_like(fits)
-            only[np.arange(b - a), best] = True
-            fits &= only
-        for i, j in zip(*np.nonzero(fits), strict=True):
-            yield int(ids[a + i]), int(ids[since + j])
+    hubs = np.unique(np.linspace(0, n - 1, HUBS).astype(np.int64))
+    best, whose = np.full(n, np.iinfo(np.int32).max, np.int64), np.full(n, -1)
+    for i, j, d in group.near(hubs):
+        for h in np.unique(i):
+            own = i == h
+            jj, dd = j[own], d[own]
+            better = (dd < best[jj]) & (jj != h)
+            best[jj[better]], whose[jj[better]] = dd[better], h
+    some = np.flatnonzero(whose >= 0)
+    yield from zip(group.ids[some].tolist(), group.ids[whose[some]].tolist(), strict=True)
+    for at in range(0, n, 64):  # neighbours: a narrow band of the matrix
+        part = np.arange(at, min(at + 65, n))
+        sub = Group(group.ids[part], group.sizes[part], [group.bits[np.searchsorted(group.edges, i, side="right") - 1][i - group.edges[np.searchsorted(group.edges, i, side="right") - 1]].tobytes() for i in part])
+        for i, j, _ in sub.near(np.arange(len(part))):
+            keep = j == i + 1
+            yield from zip(sub.ids[i[keep]].tolist(), sub.ids[j[keep]].tolist(), strict=True)
+
+
+def cross_pairs(group: Group, parts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All pairs between different parts that may reach the threshold. Members of the largest part are only met, never compared among themselves."""
+    parts = parts[group.order]
+    names, counts = np.unique(parts, return_counts=True)
+    largest = names[counts.argmax()]
+    for i, j, _ in group.near(np.flatnonzero(parts != largest)):
+        keep = (parts[i] != parts[j]) & ((parts[j] == largest) | (i < j))
+        yield from zip(group.ids[i[keep]].tolist(), group.ids[j[keep]].tolist(), strict=True)
 
 
 def _propose(with_parts: bool) -> Callable[[pa.Table], pa.Table]:
@@ -275,10 +298,10 @@ def _propose(with_parts: bool) -> Callable[[pa.Table], pa.Table]:
         found: set[tuple[int, int]] = set()
         start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
         for a, b in zip(start, np.append(start[1:], len(gid)), strict=True):
-            if parts is None or (parts[a:b] != parts[a]).any():
-                for x, y in group_pairs(ids[a:b], sizes[a:b], [sketch[i] for i in order[a:b]], None if parts is None else parts[a:b]):
-                    if x != y:
-                        found.add((min(x, y), max(x, y)))
+            group = Group(ids[a:b], sizes[a:b], [sketch[i] for i in order[a:b]])
+            for x, y in first_pairs(group) if parts is None else cross_pairs(group, parts[a:b]):
+                if x != y:
+                    found.add((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
@@ -315,27 +338,44 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long").distinct()
 
 
+def _equal_sets(info: DataFrame) -> DataFrame:
+    """(a, b): every document but the first of those with the same size and digest, with the first."""
+    some = info.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "digest")
+    first = some.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("n_shingles", "digest", "a")
+    return some.join(first, ["n_shingles", "digest"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """(gid, doc_id) -> the same with size, without groups of one and with each set of members once."""
+    sets = members.groupBy("gid").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("name"), F.sum(F.col("doc_id").cast("decimal(38,0)")).alias("total")).where("size > 1")
+    return members.join(sets.groupBy("size", "name", "total").agg(F.min("gid").alias("gid")).select("gid", "size"), "gid")
+
+
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sizes, links): (doc_id, n_shingles) of every row, and verified links (a, b), a < b, that connect every component of the full join.
 
-    All links of small groups are there; within a large group links between documents already connected are not verified one by one.
+    Documents with equal sets stand for one another. Pairs and triples that share a key, and a share of the larger groups, are
+    verified first; then only groups that still hold several components are gone through, across components alone.
     """
     docs = columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     buckets = bucket_count(text_bytes(docs) // 4)
-    reduced = docs.mapInArrow(_emit(buckets), EMIT).groupBy("bucket").applyInArrow(_groups, REDUCED)
-    reduced = saved(reduced, "groups")
-    info = reduced.where("kind = 0").select("doc_id", "n_shingles", "sketch")
-    members = reduced.where("kind = 1").select("gid", "doc_id").distinct()
-    groups = saved(members.join(info.where("doc_id is not null and n_shingles > 0").dropDuplicates(["doc_id", "n_shingles", "sketch"]), "doc_id"), "members")
+    reduced = saved(docs.mapInArrow(_emit(buckets), EMIT).groupBy("bucket").applyInArrow(_groups, REDUCED), "groups")
+    info = reduced.where("kind = 0").select("doc_id", "n_shingles", F.col("gid").alias("digest"), "sketch")
+    equal = saved(_equal_sets(info), "equal")
+    sketches = info.where("doc_id is not null and n_shingles > 0").join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    members = reduced.where("kind = 1").select("gid", F.col("doc_id").alias("b")).join(equal, "b", "left").select("gid", F.coalesce("a", "b").alias("doc_id")).distinct()
+    members = saved(_distinct_groups(members), "members")
     deal = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("deal")
-    pairs = saved(groups.groupBy(deal).applyInArrow(_propose(False), "a long, b long").distinct(), "pairs")
+    early = members.where((F.col("size") <= 3) | (F.pmod("gid", F.lit(EARLY_SHARE)) == 0)).select("gid", "doc_id").join(sketches, "doc_id")
+    pairs = saved(early.groupBy(deal).applyInArrow(_propose(False), "a long, b long").distinct(), "pairs")
     first = saved(verified(docs, pairs), "links")
-    large = groups.join(groups.groupBy("gid").count().where(F.col("count") > SMALL_GROUP).select("gid"), "gid", "left_semi")
     parts = connected_components(first)
-    large = large.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = saved(large.groupBy(deal).applyInArrow(_propose(True), "a long, b long").distinct(), "pairs")
-    second = saved(verified(docs, rest), "links")
-    return info.select("doc_id", "n_shingles"), first.unionAll(second)
+    late = saved(members.select("gid", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "late")
+    mixed = late.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gid")
+    late = late.join(mixed, "gid", "left_semi").join(sketches, "doc_id")
+    rest = late.groupBy(deal).applyInArrow(_propose(True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    second = saved(verified(docs, saved(rest, "pairs")), "links")
+    return info.select("doc_id", "n_shingles"), first.unionAll(second).unionAll(equal)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
