@@ -7,7 +7,7 @@ sketches gives two lower bounds of the symmetric difference of two sets:
   Every differing shingle changes one block at most, so sets with a symmetric difference of d share all but d blocks;
   by the pigeonhole principle the first d + 1 non-empty blocks in one common order have a member in common.
   These are the join keys; a document uses the blocks of its own band and, where its partners may be larger, of the next;
-* bit sketches: one to two bits a shingle; their Hamming distance is at most the symmetric difference.
+* bit sketches: four to eight bits a shingle, looked at folded to a quarter first; their Hamming distance is at most the symmetric difference.
   Pairs from the join whose distance exceeds (|A| + |B|) / 7 cannot reach 0.75 and go.
 
 What stays is verified on the shingle sets themselves. Groups of documents that share a key never become all pairs:
@@ -71,11 +71,11 @@ def _levels(sizes: np.ndarray) -> np.ndarray:
 
 
 def _bits(level: int | np.ndarray) -> int | np.ndarray:
-    return np.maximum(64, 2 << np.asarray(level, np.int64))
+    return np.maximum(64, 8 << np.asarray(level, np.int64))
 
 
 def bit_sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """The parity sketch of each row: 1 to 2 bits a shingle, 64 at least."""
+    """The parity sketch of each row: 4 to 8 bits a shingle, 64 at least."""
     bits = _bits(_levels(sizes))
     base = np.concatenate([[0], np.cumsum(bits)])
     width = np.repeat(bits, sizes).astype(np.uint64)
@@ -245,10 +245,15 @@ class Group:
                     if c >= d:
                         continue
                     width = min(self.bits[k].shape[1], self.bits[m].shape[1])
-                    dist = _distances(_fold(self.bits[k][me - a], width), _fold(self.bits[m][c - self.edges[m] : d - self.edges[m]], width))
+                    one, other = _fold(self.bits[k][me - a], width), _fold(self.bits[m][c - self.edges[m] : d - self.edges[m]], width)
+                    dist = _distances(_fold(one, max(1, width // 4)), _fold(other, max(1, width // 4)))
                     x, y = self.sizes[me][:, None], self.sizes[None, c:d]
                     i, j = np.nonzero((7 * dist <= x + y) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)))
-                    yield me[i], j + c, dist[i, j]
+                    for at2 in range(0, len(i), 4096):
+                        ii, jj = i[at2 : at2 + 4096], j[at2 : at2 + 4096]
+                        full = np.bitwise_count(one[ii] ^ other[jj]).sum(1, dtype=np.int64)
+                        keep = 7 * full <= self.sizes[me[ii]] + self.sizes[jj + c]
+                        yield me[ii[keep]], jj[keep] + c, full[keep]
 
 
 def first_pairs(group: Group) -> Iterator[tuple[int, int]]:
@@ -277,17 +282,32 @@ def first_pairs(group: Group) -> Iterator[tuple[int, int]]:
             yield from zip(sub.ids[i[keep]].tolist(), sub.ids[j[keep]].tolist(), strict=True)
 
 
-def cross_pairs(group: Group, parts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All pairs between different parts that may reach the threshold. Members of the largest part are only met, never compared among themselves."""
+def cross_pairs(group: Group, parts: np.ndarray, best_only: bool) -> Iterator[tuple[int, int]]:
+    """Pairs between different parts that may reach the threshold: all, or each member's nearest.
+
+    Members of the largest part are only met, never compared among themselves.
+    """
     parts = parts[group.order]
     names, counts = np.unique(parts, return_counts=True)
     largest = names[counts.argmax()]
-    for i, j, _ in group.near(np.flatnonzero(parts != largest)):
-        keep = (parts[i] != parts[j]) & ((parts[j] == largest) | (i < j))
-        yield from zip(group.ids[i[keep]].tolist(), group.ids[j[keep]].tolist(), strict=True)
+    best, whose = np.full(len(parts), np.iinfo(np.int64).max), np.full(len(parts), -1)
+    for i, j, d in group.near(np.flatnonzero(parts != largest)):
+        keep = (parts[i] != parts[j]) & (best_only | (parts[j] == largest) | (i < j))
+        i, j, d = i[keep], j[keep], d[keep]
+        if not best_only:
+            yield from zip(group.ids[i].tolist(), group.ids[j].tolist(), strict=True)
+            continue
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        i, j, d = i[first], j[first], d[first]
+        better = d < best[i]
+        best[i[better]], whose[i[better]] = d[better], j[better]
+    some = np.flatnonzero(whose >= 0)
+    yield from zip(group.ids[some].tolist(), group.ids[whose[some]].tolist(), strict=True)
 
 
-def _propose(with_parts: bool) -> Callable[[pa.Table], pa.Table]:
+def _propose(with_parts: bool, best_only: bool = False) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         gid = table.column("gid").to_numpy()
         order = np.argsort(gid, kind="stable")
@@ -299,7 +319,7 @@ def _propose(with_parts: bool) -> Callable[[pa.Table], pa.Table]:
         start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
         for a, b in zip(start, np.append(start[1:], len(gid)), strict=True):
             group = Group(ids[a:b], sizes[a:b], [sketch[i] for i in order[a:b]])
-            for x, y in first_pairs(group) if parts is None else cross_pairs(group, parts[a:b]):
+            for x, y in first_pairs(group) if parts is None else cross_pairs(group, parts[a:b], best_only):
                 if x != y:
                     found.add((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
@@ -355,7 +375,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sizes, links): (doc_id, n_shingles) of every row, and verified links (a, b), a < b, that connect every component of the full join.
 
     Documents with equal sets stand for one another. Pairs and triples that share a key, and a share of the larger groups, are
-    verified first; then only groups that still hold several components are gone through, across components alone.
+    verified first. Then only groups that still hold several components are gone through, across components alone: first each
+    member's nearest, to merge what belongs together, then all pairs that are left and were not verified yet.
     """
     docs = columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     buckets = bucket_count(text_bytes(docs) // 4)
@@ -368,14 +389,15 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     deal = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("deal")
     early = members.where((F.col("size") <= 3) | (F.pmod("gid", F.lit(EARLY_SHARE)) == 0)).select("gid", "doc_id").join(sketches, "doc_id")
     pairs = saved(early.groupBy(deal).applyInArrow(_propose(False), "a long, b long").distinct(), "pairs")
-    first = saved(verified(docs, pairs), "links")
-    parts = connected_components(first)
-    late = saved(members.select("gid", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "late")
-    mixed = late.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gid")
-    late = late.join(mixed, "gid", "left_semi").join(sketches, "doc_id")
-    rest = late.groupBy(deal).applyInArrow(_propose(True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = saved(verified(docs, saved(rest, "pairs")), "links")
-    return info.select("doc_id", "n_shingles"), first.unionAll(second).unionAll(equal)
+    links = saved(verified(docs, pairs), "links")
+    for best_only in (True, False):
+        parts = connected_components(links)
+        late = saved(members.select("gid", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "late")
+        mixed = late.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gid")
+        late = late.join(mixed, "gid", "left_semi").join(sketches, "doc_id")
+        rest = saved(late.groupBy(deal).applyInArrow(_propose(True, best_only), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links, pairs = links.unionAll(saved(verified(docs, rest), "links")), pairs.unionAll(rest)
+    return info.select("doc_id", "n_shingles"), links.unionAll(equal)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
