@@ -121,7 +121,7 @@ def pack(bucket: np.ndarray, code: np.ndarray, row: np.ndarray, ids: np.ndarray)
     order = np.lexsort((row, bucket))
     bucket, code, row = bucket[order], code[order], row[order]
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+    for a, b in zip(start, np.append(start[1:], len(bucket))[: len(start)], strict=True):
         r = row[a:b]
         new = np.append(True, r[1:] != r[:-1])
         head = np.array([int(new.sum()), b - a], np.uint32).tobytes()
@@ -317,7 +317,7 @@ def _propose(with_parts: bool, best_only: bool = False) -> Callable[[pa.Table],
         sketch = table.column("sketch").to_pylist()
         found: set[tuple[int, int]] = set()
         start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
-        for a, b in zip(start, np.append(start[1:], len(gid)), strict=True):
+        for a, b in zip(start, np.append(start[1:], len(gid))[: len(start)], strict=True):
             group = Group(ids[a:b], sizes[a:b], [sketch[i] for i in order[a:b]])
             for x, y in first_pairs(group) if parts is None else cross_pairs(group, parts[a:b], best_only):
                 if x != y:
