@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field; forward-backward marginals give document scores and offsets.
 
-Two states, clean and toxic. A token's features are its own form and its neighbours' forms; transitions are free weights.
-Labels exist for documents, so token labels are made in rounds: forms that mark toxic training documents label the first
-round's tokens, and the model's own marginals, inside toxic documents alone, label the next.
+Two states, clean and toxic. A token's features are its form, its first bytes (PREFIXES of them) and its neighbours' forms;
+transitions are free weights. Labels exist for documents, so token labels are made in rounds: forms and beginnings that mark
+toxic training documents label the first round's tokens, and the model's own marginals, inside toxic documents alone, label the next.
 
 Marginals are exact. The chain is cut into segments of SEGMENT tokens; each segment's product of 2x2 matrices is formed for
 all segments at once, the products are chained through each document, and a second sweep fills in the tokens.
@@ -21,36 +21,50 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import _LOWER, Words, longs, prefix_hash, span_hash, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
-MAX_TRAIN_DOCS = 1500
+MAX_TRAIN_DOCS = 2000
 #: Longer texts don't train (they are scored whole as all others).
 MAX_TRAIN_BYTES = 16_384
-#: Forms that occur in at least this many training documents have weights of their own.
+#: Forms and beginnings that occur in at least this many training documents have weights of their own.
 MIN_DOCS = 2
+PREFIXES = (3, 4, 5, 6, 7)
 FOLDS = 5
 SEGMENT = 64
-ROUNDS, STEPS = 2, 40
+ROUNDS, STEPS, L2 = 2, 40, 2.0
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 @dataclass
 class Model:
-    """Sorted form hashes, weights (3 places x forms and one for all others), bias, transition log weights, and the document's logistic."""
+    """Sorted hashes of forms and of beginnings of each length; weights by feature (own form, beginnings, form before, form after) with
+    one more, zero, for all others; bias, transition log weights, and the document's logistic."""
 
-    forms: np.ndarray
-    weights: np.ndarray
+    tables: list[np.ndarray]
+    weights: list[np.ndarray]
     bias: float = -4.0
     transition: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
 
-def form_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """Hashes of the words without ASCII punctuation at their ends (a word of punctuation alone stays)."""
+def _trimmed(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end without ASCII punctuation at their ends (a word of punctuation alone keeps a byte)."""
     start, end = words.start.copy(), words.end.copy()
     for _ in range(4):
         start += _PUNCT[data[start]] & (end - start > 1) if len(start) else 0
         end -= _PUNCT[data[end - 1]] & (end - start > 1) if len(end) else 0
-    return span_hash(prefix_hash(_LOWER[data]), start, end)
+    return start, end
+
+
+def form_hashes(data: np.ndarray, words: Words) -> np.ndarray:
+    """Hashes of the words, lower-cased and without punctuation at their ends."""
+    return span_hash(prefix_hash(_LOWER[data]), *_trimmed(data, words))
+
+
+def token_hashes(data: np.ndarray, words: Words) -> list[np.ndarray]:
+    """Hashes of each token's form and of its beginnings; a token no longer than a beginning has its form there."""
+    start, end = _trimmed(data, words)
+    sums = prefix_hash(_LOWER[data])
+    return [span_hash(sums, start, end), *[span_hash(sums, start, np.minimum(end, start + k)) for k in PREFIXES]]
 
 
 def _lookup(forms: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -153,8 +167,17 @@ class Chain:
         return marginal, total
 
 
-def _emission(model: Model, index: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return model.bias + model.weights[0][index] + model.weights[1][before] + model.weights[2][after]
+def _places(tables: list[np.ndarray], data: np.ndarray, words: Words) -> list[np.ndarray]:
+    """The place of each feature of each token in its table, the table's length where it has none."""
+    own = [_lookup(t, h) for t, h in zip(tables, token_hashes(data, words), strict=True)]
+    return [*own, *neighbours(own[0], words.row, len(tables[0]))]
+
+
+def _emission(model: Model, places: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(places[0]), model.bias)
+    for w, p in zip(model.weights, places, strict=True):
+        out += w[p]
+    return out
 
 
 def document_features(marginal: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -169,69 +192,101 @@ def document_features(marginal: np.ndarray, first: np.ndarray, count: np.ndarray
     return out
 
 
-def train(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
-    """Fits the model on whole texts with a 0/1 label each; prior is the share of toxic documents among all labelled for training."""
+def train(texts: list[bytes], toxic: np.ndarray, prior: float) -> Model:
+    """Fits the model on whole texts with a 0/1 label each; prior is the share of toxic documents among all labelled for training.
+
+    Two thirds of the texts train the field, the others the document's logistic, which so sees marginals of unseen texts.
+    """
+    model = _field(*_joined(texts, toxic, np.arange(len(texts)) % 3 != 0), prior)
+    data, off, own = _joined(texts, toxic, np.arange(len(texts)) % 3 == 0)
+    if 0 < toxic.sum() < len(toxic) and 0 < own.sum() < len(own):
+        words = Words(data, off)
+        marginal, _ = Chain(words.count).run(_emission(model, _places(model.tables, data, words)), model.transition)
+        x = document_features(marginal, words.first, words.count)
+        weight = np.where(own == 1, prior / own.sum(), (1 - prior) / (1 - own).sum()) * len(own)
+        w = np.zeros(4)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(4)
+            w = w + np.linalg.solve(hess, x.T @ (weight * (own - p)) - 0.05 * w)
+        model.document = w
+    return model
+
+
+def _joined(texts: list[bytes], toxic: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = [t for t, k in zip(texts, some, strict=True) if k]
+    return np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64), toxic[some]
+
+
+def _field(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
     words = Words(data, off)
-    h = form_hashes(data, words)
-    pair = np.unique(np.stack([words.row.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-    forms, inverse, docs = np.unique(pair[1], return_inverse=True, return_counts=True)
-    bad = np.bincount(inverse, weights=toxic[pair[0].astype(np.int64)], minlength=len(forms))
-    keep = docs >= MIN_DOCS
-    forms, bad, good = forms[keep], bad[keep], (docs - bad)[keep]
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    model = Model(forms, np.zeros((3, len(forms) + 1)))
+    tables, marked, in_bad = [], np.zeros(len(words.start), bool), toxic[words.row] == 1
+    for h in token_hashes(data, words):
+        pair = np.unique(np.stack([words.row.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+        forms, inverse, docs = np.unique(pair[1], return_inverse=True, return_counts=True)
+        bad = np.bincount(inverse, weights=toxic[pair[0].astype(np.int64)], minlength=len(forms))
+        keep = docs >= MIN_DOCS
+        forms, bad, good = forms[keep], bad[keep], (docs - bad)[keep]
+        share_bad, share_good = (bad + 0.5) / (n_bad + 1), (good + 0.5) / (n_good + 1)
+        chance = n_bad / (n_bad + n_good)
+        total = np.maximum(bad + good, 1)
+        gain = bad * np.log(np.maximum(bad, 0.5) / (total * chance)) + good * np.log(np.maximum(good, 0.5) / (total * (1 - chance)))
+        marks = (np.log(share_bad / share_good) > 2.5) & (gain > np.log(len(forms) + 1) + 7)  # beyond what chance gives among so many
+        marked |= np.append(marks, False)[_lookup(forms, h)]
+        tables.append(forms)
+    model = Model(tables, [np.zeros(len(t) + 1) for t in [*tables, tables[0], tables[0]]])
     if not 0 < toxic.sum() < len(toxic):
         model.document[0] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
         return model
-    share_bad, share_good = (bad + 0.5) / (n_bad + 1), (good + 0.5) / (n_good + 1)
-    marks = (np.log(share_bad / share_good) > 2) & ((share_bad - share_good) / np.sqrt(share_bad * (1 - share_bad) / n_bad + share_good * (1 - share_good) / n_good) > 4)
-    index = _lookup(forms, h)
-    before, after = neighbours(index, words.row, len(forms))
-    in_bad = toxic[words.row] == 1
-    target = (np.append(marks, False)[index] & in_bad).astype(float)
+    places = _places(tables, data, words)
+    target = (marked & in_bad).astype(float)
     chain = Chain(words.count)
     for _ in range(ROUNDS):
-        _fit(model, chain, index, before, after, target, words)
-        marginal, _ = chain.run(_emission(model, index, before, after), model.transition)
+        _fit(model, chain, places, target, words)
+        marginal, _ = chain.run(_emission(model, places), model.transition)
         target = np.where(in_bad, (marginal > 0.5).astype(float), 0.0)
-    x = document_features(marginal, words.first, words.count)
-    weight = np.where(toxic == 1, prior / n_bad, (1 - prior) / n_good) * len(toxic)
-    w = np.zeros(4)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(4)
-        w = w + np.linalg.solve(hess, x.T @ (weight * (toxic - p)) - 0.05 * w)
-    model.document = w
+    _prune(model)
     return model
 
 
-def _fit(model: Model, chain: Chain, index: np.ndarray, before: np.ndarray, after: np.ndarray, target: np.ndarray, words: Words) -> None:
+def _prune(model: Model, least: float = 0.05) -> None:
+    """Drops features whose weights hardly matter, so that fewer tokens need a search."""
+    forms = (np.abs(model.weights[0]) > least) | (np.abs(model.weights[-2]) > least) | (np.abs(model.weights[-1]) > least)
+    for k in range(len(model.tables)):
+        keep = forms if k == 0 else np.abs(model.weights[k]) > least
+        keep[-1] = True
+        model.tables[k] = model.tables[k][keep[:-1]]
+        for w in (0, len(model.weights) - 2, len(model.weights) - 1) if k == 0 else (k,):
+            model.weights[w] = model.weights[w][keep]
+
+
+def _fit(model: Model, chain: Chain, places: list[np.ndarray], target: np.ndarray, words: Words) -> None:
     """Adam on the conditional likelihood of 0/1 token targets, with a small L2 pull."""
     state = target.astype(np.int64)
     last = np.zeros(len(state), np.int64)
     last[1:] = np.where(words.row[1:] == words.row[:-1], state[:-1], 0)
     seen = np.bincount(last * 2 + state, minlength=4).reshape(2, 2).astype(float)
-    places, size = (index, before, after), model.weights.shape[1]
-    params = [model.weights, np.array([model.bias]), model.transition]
+    params = [*model.weights, np.array([model.bias]), model.transition]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
-        marginal, pairs = chain.run(_emission(model, *places), model.transition, pairs=True)
+        marginal, pairs = chain.run(_emission(model, places), model.transition, pairs=True)
         diff = target - marginal
-        grad = [np.stack([np.bincount(p, weights=diff, minlength=size) for p in places]) - 0.1 * model.weights, np.array([diff.sum()]), seen - pairs - 0.1 * model.transition]
-        grad[0][:, -1] = 0
+        grad = [np.bincount(p, weights=diff, minlength=len(w)) - L2 * w for p, w in zip(places, model.weights, strict=True)]
+        for g in grad:
+            g[-1] = 0
+        grad += [np.array([diff.sum()]), seen - pairs - L2 * model.transition]
         for k, (p, g) in enumerate(zip(params, grad, strict=True)):
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
-            p += 0.3 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
-        model.bias = float(params[1][0])
+            p += 0.2 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+        model.bias = float(params[-2][0])
 
 
 def score_texts(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """(scores, spans): of each text its probability and the UTF-8 byte offsets of runs of tokens with a marginal of 0.5 or more."""
     words = Words(data, off)
-    index = _lookup(model.forms, form_hashes(data, words))
-    before, after = neighbours(index, words.row, len(model.forms))
-    marginal, _ = Chain(words.count).run(_emission(model, index, before, after), model.transition)
+    marginal, _ = Chain(words.count).run(_emission(model, _places(model.tables, data, words)), model.transition)
     score = 1 / (1 + np.exp(-np.clip(document_features(marginal, words.first, words.count) @ model.document, -30, 30)))
     spans: list[list[tuple[int, int]]] = [[] for _ in words.count]
     hit = np.flatnonzero(marginal >= 0.5)
@@ -277,14 +332,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     picks = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).collect()]
     if not picks:
-        return Model(np.zeros(0, np.uint64), np.zeros((3, 1)), document=np.array([-3.0, 0, 0, 0]))
+        return Model([np.zeros(0, np.uint64)] * (1 + len(PREFIXES)), [np.zeros(1)] * (3 + len(PREFIXES)), document=np.array([-3.0, 0, 0, 0]))
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picks], "doc_id long, toxic int")  # 2 * MAX_TRAIN_DOCS rows at most
     own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
     rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    texts = [(r.text or "").encode() for r in rows]
-    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train(np.frombuffer(b"".join(texts), np.uint8), off, np.array([r.toxic for r in rows], np.int64), prior)
+    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64), prior)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
