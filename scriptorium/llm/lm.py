@@ -21,13 +21,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, longs, mix, scratch_path, text_bytes
+from scriptorium.llm.common import Words, binary_parts, dropping_shuffles, longs, mix, scratch_path, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 END, BEGIN = np.uint64(0xE4D0F7E87), np.uint64(0xBE6177AB1)
 #: A bucket gets the bigrams of about this many bytes of text.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 18 << 20
 CHUNK_BYTES = 4 << 20
 BINS = 32  # of the ratio's logarithm, for each power of two
 STEPS = 60
@@ -268,11 +268,13 @@ def _weights(rows: list) -> dict[int, float]:
     return {k: learn_weight(np.array([a for a, _ in v]), np.array([b for _, b in v], np.float64)) for k, v in by_level.items()}
 
 
-SCORES = "rid long, doc_id long, n_tokens long, n_known long, base double, score double"
+PARTIAL = "part int, data binary"
+PARTIAL_ROW = np.dtype([("rid", "<i8"), ("doc_id", "<i8"), ("no_id", "u1"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(folder: str, slices: int, model: dict) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket: for each document its tokens here, and their sums of both models' log10 probabilities."""
+def _score(folder: str, slices: int, model: dict, parts_out: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: for each document its tokens here, and their sums of both models' log10 probabilities; packed, by documents."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -310,17 +312,35 @@ def _score(folder: str, slices: int, model: dict) -> Callable[[pa.Table], pa.Tab
         n_tokens = np.bincount(doc, minlength=size)
         some = np.flatnonzero(n_tokens)
         known, plain_sum, log_sum = (np.bincount(doc, weights=v[of], minlength=size)[some] for v in ((word > 0).astype(np.float64), plain, log))
-        return pa.table({"rid": rid[some], "doc_id": pa.array(np.concatenate(names)[some], mask=part[some] == -1), "n_tokens": n_tokens[some], "n_known": known.astype(np.int64), "base": plain_sum, "score": log_sum})
+        rows = np.empty(len(some), PARTIAL_ROW)
+        rows["rid"], rows["doc_id"], rows["no_id"], rows["n_tokens"] = rid[some], np.concatenate(names)[some], part[some] == -1, n_tokens[some]
+        rows["n_known"], rows["base"], rows["score"] = known, plain_sum, log_sum
+        where = (mix(rows["rid"].astype(np.uint64)) % np.uint64(parts_out)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        where, rows = where[order], rows[order]
+        start = _runs(where)
+        ends = np.append(start[1:], len(where))[: len(start)]
+        return pa.table({"part": pa.array(where[start], pa.int32()), "data": pa.array([rows[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
 
     return run
 
 
+def _sums(table: pa.Table) -> pa.Table:
+    """Of one part of the documents: one row each. Sums run in the order of the values, so reruns agree."""
+    rows = np.concatenate([np.frombuffer(x, PARTIAL_ROW) for x in table.column("data").to_pylist()])
+    rows = rows[np.lexsort((rows["score"], rows["base"], rows["rid"]))]
+    start = _runs(rows["rid"])
+    out = {n: np.add.reduceat(rows[n].astype(np.float64 if n in ("base", "score") else np.int64), start) for n in ("n_tokens", "n_known", "base", "score")}
+    return pa.table({"doc_id": pa.array(rows["doc_id"][start], mask=rows["no_id"][start].astype(bool)), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "base_score": out["base"], "score": out["score"]})
+
+
 def fit(rows: DataFrame, folder: str, slices: int) -> dict:
     """Counts all training texts into folder (by slice) and learns the weights. rows: text, fold, rid."""
     spark = rows.sparkSession
     own = rows.select("text", "fold")
     words = own.mapInArrow(_count_words(slices), "slice int, names binary, kept binary, gone binary").groupBy("slice").applyInArrow(_merge_words, WORDS)
-    words.write.partitionBy("slice").parquet(folder)
+    with dropping_shuffles(spark):
+        words.write.partitionBy("slice").parquet(folder)
     words = spark.read.schema(WORDS).parquet(folder)
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_kept", "v_kept", "n", "v")]).first()
     model = {c: int(total[c]) for c in ("n_kept", "v_kept", "n", "v")}
@@ -328,7 +348,8 @@ def fit(rows: DataFrame, folder: str, slices: int) -> dict:
     model["m"] = _weights(counts.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect()).get(0, 0.5)
     pairs = own.mapInArrow(_emit(slices, False), "bucket int, data binary").groupBy("bucket").applyInArrow(_bigram_ratio(folder, slices, model), "level long, place long, weight long")
     # One row for each power of two of the context's count and each place of the histogram: a few thousand at any size.
-    model["l"] = _weights(pairs.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect())
+    with dropping_shuffles(spark):
+        model["l"] = _weights(pairs.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect())
     known = [v for k, v in model["l"].items() if k]
     model["l_other"] = float(np.median(known)) if known else 0.5
     return model
@@ -346,17 +367,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     slices = max(2, math.ceil(math.sqrt(text_bytes(docs) / BUCKET_BYTES)))
     folder = scratch_path(spark, "words")
     model = fit(rows, folder, slices)
-    release(spark)
-    parts = rows.mapInArrow(_emit(slices, True), "bucket int, data binary").groupBy("bucket").applyInArrow(_score(folder, slices, model), SCORES)
-    sums = parts.groupBy("rid", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    parts = rows.mapInArrow(_emit(slices, True), "bucket int, data binary").groupBy("bucket").applyInArrow(_score(folder, slices, model, max(16, slices * slices)), PARTIAL)
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
-    return sums.select("doc_id", held, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
-
-
-def release(spark) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+    return parts.groupBy("part").applyInArrow(_sums, SCORES).select("doc_id", held, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
