@@ -126,8 +126,14 @@ def longs(batch: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
     return (column.fill_null(null) if column.null_count else column).to_numpy(zero_copy_only=False)
 
 
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def steady_heap() -> None:
+    """Has glibc return large arrays to the system as they are freed, so a worker that also keeps many small objects stays small."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 21)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to set
 
 
 def scratch_root(spark: SparkSession) -> str:
