@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
@@ -87,6 +87,7 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of rows of about `limit` bytes of text (a longer text stands alone): (rows, bytes, offsets)."""
+    steady_heap()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -336,18 +336,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x == y:
-                keep.append(len(x) > 0)
-                continue
-            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= 75 * (len(both) - common))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([p for p, k in zip(b, keep, strict=True) if k], pa.int64())], names=["a", "b"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_buffer(), y.as_buffer()
+                if x.equals(y):
+                    keep.append(x.size > 0)
+                    continue
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= 75 * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import _LOWER, Words, longs, prefix_hash, span_hash, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
-MAX_TRAIN_DOCS = 2000
+MAX_TRAIN_DOCS = 1500
 #: Longer texts don't train (they are scored whole as all others).
 MAX_TRAIN_BYTES = 16_384
 #: Forms and beginnings that occur in at least this many training documents have weights of their own.
@@ -69,7 +69,7 @@ def token_hashes(data: np.ndarray, words: Words) -> list[np.ndarray]:
 
 def _lookup(forms: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The place of each hash in forms; len(forms) for others. A bitmap keeps most others from the search."""
-    out = np.full(len(h), len(forms), np.int64)
+    out = np.full(len(h), len(forms), np.int32)
     if len(forms):
         maybe = np.zeros(1 << 20, bool)
         maybe[(forms >> np.uint64(44)).astype(np.int64)] = True
@@ -81,7 +81,7 @@ def _lookup(forms: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def neighbours(index: np.ndarray, row: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
-    before, after = np.full(len(index), other, np.int64), np.full(len(index), other, np.int64)
+    before, after = np.full(len(index), other, np.int32), np.full(len(index), other, np.int32)
     if len(index) > 1:
         same = row[1:] == row[:-1]
         before[1:][same] = index[:-1][same]
@@ -232,7 +232,7 @@ def _field(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -
         chance = n_bad / (n_bad + n_good)
         total = np.maximum(bad + good, 1)
         gain = bad * np.log(np.maximum(bad, 0.5) / (total * chance)) + good * np.log(np.maximum(good, 0.5) / (total * (1 - chance)))
-        marks = (np.log(share_bad / share_good) > 2.5) & (gain > np.log(len(forms) + 1) + 7)  # beyond what chance gives among so many
+        marks = (np.log(share_bad / share_good) > 2.5) & (gain > np.log(len(forms) + 1) + 5)  # beyond what chance gives among so many
         marked |= np.append(marks, False)[_lookup(forms, h)]
         tables.append(forms)
     model = Model(tables, [np.zeros(len(t) + 1) for t in [*tables, tables[0], tables[0]]])
