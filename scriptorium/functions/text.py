@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MIN_CHUNK, MAX_HEADING, MIN_SENTENCE = 50, 80, 10
 SPACE = r"(?U)^\s+|\s+$"
@@ -17,7 +18,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import vector as V
 
@@ -66,6 +67,7 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     q = np.array([list(r[1]) + [0.0] * (width - len(r[1])) for r in asked], np.float64).reshape(len(names), width)
     length = np.sqrt((q * q).sum(1))
     q = np.divide(q, length[:, None], out=np.zeros_like(q), where=length[:, None] > 0)
+    query_arrow = to_arrow_type(queries.schema[query_col].dataType)
     id_type, query_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,7 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
             order = np.argsort(np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None), kind="stable")
             best = order[np.argsort(-shown[order], axis=0, kind="stable")[:k]]  # ties to the smaller id
             rows, cols = best.T.ravel(), np.repeat(np.arange(len(names)), best.shape[0])
-            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols]), ids.take(pa.array(rows)), pa.array(shown[rows, cols])], names=[query_col, id_col, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols], query_arrow), ids.take(pa.array(rows)), pa.array(shown[rows, cols])], names=[query_col, id_col, "score"])
 
     own = vectors.select(id_col, F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col(id_col).isNotNull())
     return ranked(own.mapInArrow(run, f"{query_col} {query_type}, {id_col} {id_type}, score double"), k, query_col, id_col)
@@ -123,8 +125,7 @@ def selection_search(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col:
 
 def without_source(stored: DataFrame, source: str) -> tuple[DataFrame, Column]:
     """(the rows that stay, the condition of those that go). Count the latter before the former is written elsewhere."""
-    goes = F.coalesce(F.col("source") == source, F.lit(False))
-    return stored.where(~goes), goes
+    return stored.where(F.col("source").isNull() | (F.col("source") != source)), F.col("source") == source
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:
