@@ -195,7 +195,8 @@ def document_features(marginal: np.ndarray, first: np.ndarray, count: np.ndarray
 def train(texts: list[bytes], toxic: np.ndarray, prior: float) -> Model:
     """Fits the model on whole texts with a 0/1 label each; prior is the share of toxic documents among all labelled for training.
 
-    Two thirds of the texts train the field, the others the document's logistic, which so sees marginals of unseen texts.
+    A field trained on two thirds of the texts gives the others' marginals, on which the document's logistic is fitted, so it
+    sees those of unseen texts. The field itself is then trained on all.
     """
     model = _field(*_joined(texts, toxic, np.arange(len(texts)) % 3 != 0), prior)
     data, off, own = _joined(texts, toxic, np.arange(len(texts)) % 3 == 0)
@@ -209,6 +210,7 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float) -> Model:
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(4)
             w = w + np.linalg.solve(hess, x.T @ (weight * (own - p)) - 0.05 * w)
+        model = _field(*_joined(texts, toxic, np.ones(len(texts), bool)), prior)
         model.document = w
     return model
 
