@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op4_resharding, op5_mixing, op6_warc_revisits, op7_exact_top_k, op8_repeated_strings, op9_lm_scoring, op10_token_ids)
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_warc_revisits": warc.ORACLE, "op7_exact_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op6_warc_revisits": warc.ORACLE, "op7_exact_top_k": topk.ORACLE}

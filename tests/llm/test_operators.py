@@ -516,7 +516,7 @@ def test_edit_distance_matches_plain():
         assert dist == want == plain(a, b[start:end])
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op6_warc_revisits", "op7_exact_top_k"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op5_mixing", "op6_warc_revisits", "op7_exact_top_k"])
 def test_sql_agrees(spark, name):
     from scriptorium.llm.queries import ORACLES, QUERIES
 
