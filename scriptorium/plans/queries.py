@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,7 +142,7 @@ def s11_graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     from scriptorium.sources.files import load_table, save_tables
 
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='graph-')}"
-    folder = f"{root}/graph-{abs(hash(sf))}-{spark.sparkContext.startTime}"
+    folder = f"{root}/graph-{uuid.uuid4().hex}"
     own = trade_edges(spark, sf)
     save_tables(folder, edges=own, nodes=G.nodes(own))
     return load_table(spark, folder, "edges").groupBy("relation").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
