@@ -150,25 +150,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: For queries that are run inside an operator: shuffle files go as the query ends, and Arrow batches stay small.
+INNER = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Lets Spark drop the shuffle files of each query as it ends, for queries that are run inside; the session's setting comes back."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def inner_settings(spark: SparkSession) -> Iterator[None]:
+    """The settings of INNER while a query runs; the session's own come back."""
+    before = {key: spark.conf.get(key, None) for key in INNER}
+    for key, value in INNER.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    with dropping_shuffles(df.sparkSession):
+    with inner_settings(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, dropping_shuffles, longs, mix, scratch_path, text_bytes
+from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, scratch_path, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -339,7 +339,7 @@ def fit(rows: DataFrame, folder: str, slices: int) -> dict:
     spark = rows.sparkSession
     own = rows.select("text", "fold")
     words = own.mapInArrow(_count_words(slices), "slice int, names binary, kept binary, gone binary").groupBy("slice").applyInArrow(_merge_words, WORDS)
-    with dropping_shuffles(spark):
+    with inner_settings(spark):
         words.write.partitionBy("slice").parquet(folder)
     words = spark.read.schema(WORDS).parquet(folder)
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_kept", "v_kept", "n", "v")]).first()
@@ -348,7 +348,7 @@ def fit(rows: DataFrame, folder: str, slices: int) -> dict:
     model["m"] = _weights(counts.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect()).get(0, 0.5)
     pairs = own.mapInArrow(_emit(slices, False), "bucket int, data binary").groupBy("bucket").applyInArrow(_bigram_ratio(folder, slices, model), "level long, place long, weight long")
     # One row for each power of two of the context's count and each place of the histogram: a few thousand at any size.
-    with dropping_shuffles(spark):
+    with inner_settings(spark):
         model["l"] = _weights(pairs.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect())
     known = [v for k, v in model["l"].items() if k]
     model["l_other"] = float(np.median(known)) if known else 0.5
