@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,12 +69,17 @@ def _slice(h: np.ndarray, slices: int) -> np.ndarray:
     return ((h & ((np.uint64(1) << _SHIFT) - np.uint64(1))) % np.uint64(slices)).astype(np.int64)
 
 
+def _sub(h: np.ndarray, slices: int) -> np.ndarray:
+    """Part of a slice, by ranges of the hash: words meet in slices * slices parts, which laid end to end are sorted."""
+    return (((h >> np.uint64(40)) * np.uint64(slices)) >> np.uint64(24)).astype(np.int64)
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
 def _count_words(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(slice, packed words with their counts in the kept and the deleted part); begins count as words here."""
+    """(slice, part, packed words with their counts in the kept and the deleted part); begins count as words here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
@@ -85,21 +91,22 @@ def _count_words(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             names, inverse = np.unique(every, return_inverse=True)
             gone = np.bincount(inverse, weights=which == DELETED, minlength=len(names)).astype(np.uint32)
             kept = np.bincount(inverse, minlength=len(names)).astype(np.uint32) - gone
-            at = _slice(names, slices)
+            at, sub = _slice(names, slices), _sub(names, slices)
+            order = np.argsort(at * slices + sub, kind="stable")
+            start = _runs((at * slices + sub)[order])
             out = []
-            for s in range(slices):
-                i = np.flatnonzero(at == s)
-                if len(i):
-                    out.append((s, names[i].tobytes(), kept[i].tobytes(), gone[i].tobytes()))
+            for a, b in zip(start, np.append(start[1:], len(order))[: len(start)], strict=True):
+                i = order[a:b]
+                out.append((int(at[i[0]]), int(sub[i[0]]), names[i].tobytes(), kept[i].tobytes(), gone[i].tobytes()))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "names", "kept", "gone"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols[:2]], *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["slice", "sub", "names", "kept", "gone"])
 
     return run
 
 
 def _merge_words(table: pa.Table) -> pa.Table:
-    """One slice: sorted distinct words with their counts."""
+    """One part of a slice: sorted distinct words with their counts."""
     names = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()])
     kept = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("kept").to_pylist()]).astype(np.int64)
     gone = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("gone").to_pylist()]).astype(np.int64)
@@ -108,10 +115,10 @@ def _merge_words(table: pa.Table) -> pa.Table:
     start = _runs(names)
     names, kept, gone = names[start], np.add.reduceat(kept, start), np.add.reduceat(gone, start)
     word = names != BEGIN
-    return pa.table({"slice": table.column("slice")[:1], "names": pa.array([names.tobytes()], pa.binary()), "kept": pa.array([kept.tobytes()], pa.binary()), "gone": pa.array([gone.tobytes()], pa.binary()), "n_kept": [int(kept[word].sum())], "v_kept": [int((kept[word] > 0).sum())], "n": [int((kept + gone)[word].sum())], "v": [int(word.sum())]})
+    return pa.table({"slice": table.column("slice")[:1], "sub": table.column("sub")[:1], "names": pa.array([names.tobytes()], pa.binary()), "kept": pa.array([kept.tobytes()], pa.binary()), "gone": pa.array([gone.tobytes()], pa.binary()), "n_kept": [int(kept[word].sum())], "v_kept": [int((kept[word] > 0).sum())], "n": [int((kept + gone)[word].sum())], "v": [int(word.sum())]})
 
 
-WORDS = "slice int, names binary, kept binary, gone binary, n_kept long, v_kept long, n long, v long"
+WORDS = "slice int, sub int, names binary, kept binary, gone binary, n_kept long, v_kept long, n long, v long"
 
 
 class Slice:
@@ -120,15 +127,14 @@ class Slice:
     def __init__(self, folder: str, number: int):
         fs, base = file_system(folder)
         self.names, self.kept, self.gone = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = f"{base}/slice={number}"
-        from pyarrow.fs import FileSelector, FileType
-
-        for f in fs.get_file_info(FileSelector(at, allow_not_found=True)):
+        parts = []
+        for f in fs.get_file_info(FileSelector(f"{base}/slice={number}", allow_not_found=True)):
             if f.type == FileType.File and f.base_name.endswith(".parquet"):
                 with fs.open_input_file(f.path) as file:
-                    row = pq.read_table(file, columns=["names", "kept", "gone"])
-                for i in range(row.num_rows):
-                    self.names, self.kept, self.gone = np.frombuffer(row.column(0)[i].as_py(), np.uint64), np.frombuffer(row.column(1)[i].as_py(), np.int64), np.frombuffer(row.column(2)[i].as_py(), np.int64)
+                    parts += pq.read_table(file, columns=["sub", "names", "kept", "gone"]).to_pylist()
+        if parts:
+            parts.sort(key=lambda r: r["sub"])
+            self.names, self.kept, self.gone = (np.concatenate([np.frombuffer(r[n], k) for r in parts]) for n, k in (("names", np.uint64), ("kept", np.int64), ("gone", np.int64)))
         self.codes = self.names >> _SHIFT
 
     def find(self, names: np.ndarray, short: bool = False) -> np.ndarray:
@@ -196,7 +202,7 @@ def _bin(ratio: np.ndarray) -> np.ndarray:
 
 
 def _uniform_ratio(model: dict) -> Callable[[pa.Table], pa.Table]:
-    """Of one slice: the histogram of f(w) / (1 / (V + 1)) over the deleted part's tokens."""
+    """Of one part: the histogram of f(w) / (1 / (V + 1)) over the deleted part's tokens."""
 
     def run(table: pa.Table) -> pa.Table:
         kept, gone = np.frombuffer(table.column("kept")[0].as_py(), np.int64), np.frombuffer(table.column("gone")[0].as_py(), np.int64)
@@ -338,13 +344,13 @@ def fit(rows: DataFrame, folder: str, slices: int) -> dict:
     """Counts all training texts into folder (by slice) and learns the weights. rows: text, fold, rid."""
     spark = rows.sparkSession
     own = rows.select("text", "fold")
-    words = own.mapInArrow(_count_words(slices), "slice int, names binary, kept binary, gone binary").groupBy("slice").applyInArrow(_merge_words, WORDS)
+    words = own.mapInArrow(_count_words(slices), "slice int, sub int, names binary, kept binary, gone binary").groupBy("slice", "sub").applyInArrow(_merge_words, WORDS)
     with inner_settings(spark):
-        words.write.partitionBy("slice").parquet(folder)
+        words.repartition("slice").write.partitionBy("slice").parquet(folder)
     words = spark.read.schema(WORDS).parquet(folder)
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_kept", "v_kept", "n", "v")]).first()
     model = {c: int(total[c]) for c in ("n_kept", "v_kept", "n", "v")}
-    counts = words.groupBy("slice").applyInArrow(_uniform_ratio(model), "level long, place long, weight long")
+    counts = words.groupBy("slice", "sub").applyInArrow(_uniform_ratio(model), "level long, place long, weight long")
     model["m"] = _weights(counts.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect()).get(0, 0.5)
     pairs = own.mapInArrow(_emit(slices, False), "bucket int, data binary").groupBy("bucket").applyInArrow(_bigram_ratio(folder, slices, model), "level long, place long, weight long")
     # One row for each power of two of the context's count and each place of the histogram: a few thousand at any size.
