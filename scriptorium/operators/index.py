@@ -1,4 +1,4 @@
-"""The index as a whole: ingest files, delete a document, list and count, over Parquet tables that are rewritten by version."""
+"""The index as a whole: ingest files, delete a document, list and count, over logs of Parquet folders."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashed_embedding, decode: files.PageDecoder = files.text_decoder, ocr: files.Ocr | None = None):
         self.spark, self.embed, self.decode, self.ocr = spark, embed, decode, ocr
-        self.chunk_table, self.edge_table = VersionedTable(spark, f"{root}/chunks", CHUNKS), VersionedTable(spark, f"{root}/edges", EDGES)
+        self.chunk_table, self.edge_table = VersionedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id"), VersionedTable(spark, f"{root}/edges", EDGES)
         self.version = 0
 
     def chunks(self) -> DataFrame:
@@ -30,10 +30,14 @@ class Index:
         return self.edge_table.at(self.version)
 
     def add(self, new: DataFrame, replace: bool = False) -> DataFrame:
-        merge = vectors.replace_source if replace else vectors.upsert
-        self.chunk_table.write(self.version + 1, merge(self.chunks(), new))
-        self.edge_table.write(self.version + 1, graph.append_edges(self.edges(), graph.build_edges(graph.capitalised_mentions(new))))
+        """Upserts chunks and appends their edges. replace: chunks that the files had before and have no more go too."""
+        names = [r.source for r in new.select("source").distinct().collect()] if replace else []
+        for name in names:
+            self.version += 1
+            self.chunk_table.delete(self.version, name)
         self.version += 1
+        self.chunk_table.write(self.version, new)
+        self.edge_table.write(self.version, graph.build_edges(graph.capitalised_mentions(new)))
         return new.groupBy("source").agg(F.count("*").alias("chunks_added"))
 
     def ingest_documents(self, paths: str | list[str], suffixes: tuple[str, ...] = (".pdf",)) -> list[tuple[str, int, str]]:
@@ -56,12 +60,12 @@ class Index:
 
     def delete_document(self, source: str, cascade: bool = False) -> int:
         """Drops a document's chunks and returns how many; its edges stay unless cascade is asked for."""
-        kept, goes = vectors.without_source(self.chunks(), source)
+        _, goes = vectors.without_source(self.chunks(), source)
         count = self.chunks().where(goes).count()
-        self.chunk_table.write(self.version + 1, kept)
-        edges = self.edges()
-        self.edge_table.write(self.version + 1, edges.where(F.col("source") != source) if cascade else edges)
         self.version += 1
+        self.chunk_table.delete(self.version, source)
+        if cascade:
+            self.edge_table.delete(self.version, source)
         return count
 
     def list_documents(self) -> list[str]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +60,19 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _rows(column: pa.ListArray, width: int) -> np.ndarray:
+    """Lists as rows of a matrix: cut or filled up with zeros to the width, null as zeros."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out[row[at < width], at[at < width]] = flat[at < width]
+    return out
+
+
 def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
     """Each Arrow batch is scored against a query matrix of bounded size at once and hands on its k best of each query."""
     asked = queries.select(query_col, "embedding").where("embedding is not null").collect()
@@ -73,11 +87,7 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            v = np.zeros((batch.num_rows, width))
-            for i, x in enumerate(batch.column(1)):
-                if x.is_valid:
-                    own = x.values.to_numpy(zero_copy_only=False)[:width]
-                    v[i, : len(own)] = own
+            v = _rows(batch.column(1), width)
             norms = np.sqrt((v * v).sum(1))
             cos = np.round(np.divide(v, norms[:, None], out=np.zeros_like(v), where=norms[:, None] > 0) @ q.T, 9)
             shown = np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)

@@ -4,62 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.operators import graph, vectors
-
-
-def read_version(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root}/version={version}")
-    except AnalysisException:
-        return None
+CHUNKS = "chunk_id string, source string, page string, section string, chunk_index int, total_chunks int, doc_type string, text string"
+EDGES = "src string, dst string, relation string, source string, page string, chunk_text string, chunk_id string, kind int, place_a int, place_b int"
 
 
 class VersionedTable:
-    """Parquet that is never changed in place: every batch writes the next version; the newest complete one counts.
+    """A log of Parquet folders, one a version: a write costs what it adds, and reading takes the newest row of each key.
 
-    A version's number is the batch's, so a batch that is delivered again writes the same version again: ingest is idempotent.
+    Without a key all rows count. A version that is written again replaces itself, so a batch delivered twice changes nothing.
+    Deletions are a log of their own: a source deleted at a version hides its older rows.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str | None = None):
+        self.spark, self.root, self.schema, self.key = spark, root, schema, key
+
+    def _log(self, folder: str, schema: str, version: int) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], f"{schema}, version int")
+        return self.spark.read.schema(f"{schema}, version int").parquet(folder).where(F.col("version") <= version)
 
     def at(self, version: int) -> DataFrame:
-        for v in range(version, -1, -1):
-            if (found := read_version(self.spark, self.root, v)) is not None:
-                return found
-        return self.spark.createDataFrame([], self.schema)
+        """The rows as of a version. Versions are partitions, so later ones are not read."""
+        rows = self._log(f"{self.root}/rows", self.schema, version)
+        gone = self._log(f"{self.root}/gone", "source string", version).groupBy("source").agg(F.max("version").alias("gone"))
+        rows = rows.join(gone, "source", "left").where("gone is null or version > gone").drop("gone")
+        if self.key:
+            newest = F.row_number().over(W.partitionBy(self.key).orderBy(F.col("version").desc()))
+            rows = rows.withColumn("nth", newest).where("nth = 1").drop("nth")
+        return rows.select(*[c.split()[0] for c in self.schema.split(", ")])
 
     def newest(self) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], self.schema)
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return self.at(max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=-1))
+        return self.at((1 << 31) - 1)
 
     def write(self, version: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/version={version}")
+        """Adds rows; of rows with one key in one version one stays."""
+        (df.dropDuplicates([self.key]) if self.key else df).write.mode("overwrite").parquet(f"{self.root}/rows/version={version}")
 
+    def delete(self, version: int, source: str) -> None:
+        self.spark.createDataFrame([(source,)], "source string").write.mode("overwrite").parquet(f"{self.root}/gone/version={version}")
 
-CHUNKS = "chunk_id string, source string, page string, section string, chunk_index int, total_chunks int, doc_type string, text string"
-EDGES = "src string, dst string, relation string, source string, page string, chunk_text string, chunk_id string, kind int, place_a int, place_b int"
+    def compact(self, version: int, folder: str) -> VersionedTable:
+        """The table as of a version, as the first version of another folder."""
+        other = VersionedTable(self.spark, folder, self.schema, self.key)
+        other.write(version, self.at(version))
+        return other
 
 
 def ingest(stream: DataFrame, root: str, to_chunks: Callable[[DataFrame], DataFrame], to_edges: Callable[[DataFrame], DataFrame] | None = None, dedupe_edges: bool = False) -> StreamingQuery:
-    """Runs what is there and ends. Chunks are written before edges; where edges fail, that batch runs again as a whole."""
+    """Runs what is there and ends. Chunks are written before edges; where edges fail, that batch runs again as a whole.
+
+    A file taken in again in another batch has its edges twice unless dedupe_edges is asked for.
+    """
     spark = stream.sparkSession
-    chunks, edges = VersionedTable(spark, f"{root}/chunks", CHUNKS), VersionedTable(spark, f"{root}/edges", EDGES)
+    chunks, edges = VersionedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id"), VersionedTable(spark, f"{root}/edges", EDGES)
 
     def batch(df: DataFrame, number: int) -> None:
         new = to_chunks(df).persist()
         try:
-            chunks.write(number, vectors.upsert(chunks.at(number - 1), new))
+            chunks.write(number, new)
             if to_edges is not None:
-                edges.write(number, graph.append_edges(edges.at(number - 1), to_edges(new), dedupe=dedupe_edges))
+                fresh = new.join(edges.at(number - 1).select("chunk_id").distinct(), "chunk_id", "left_anti").select(*new.columns) if dedupe_edges else new
+                edges.write(number, to_edges(fresh))
         finally:
             new.unpersist()
 

@@ -234,6 +234,14 @@ def test_index_end_to_end(spark, tmp_path):
     assert index.stats().first().total_chunks == 3
     assert index.ingest_documents(str(tmp_path / "x.txt"))[0][2].startswith("error")
     assert index.vectors().where("size(embedding) = 384").count() == 3
+    (tmp_path / "a.PDF").write_text(long)
+    index.ingest_documents([str(tmp_path / "a.PDF")])
+    assert index.count() == 4  # the new chunk, and two of the file as it was
+    index.add(C.process_pages(files.document_pages(spark, str(tmp_path / "a.PDF"))), replace=True)
+    assert index.count() == 2
+    index.delete_document("a.PDF", cascade=True)
+    assert index.edges().where("source = 'a.PDF'").count() == 0 and index.list_documents() == ["i.png"]
+    assert index.chunk_table.compact(index.version, f"file://{tmp_path}/small").newest().count() == 1
 
 
 def test_files(spark, tmp_path):

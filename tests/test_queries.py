@@ -73,7 +73,7 @@ def test_stream_ingest_equals_batch_and_reruns_change_nothing(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         ingest.ingest(stream, f"file://{tmp_path}/out", to_chunks, to_edges).awaitTermination()
-        return tuple(ingest.VersionedTable(spark, f"file://{tmp_path}/out/{t}", s).newest() for t, s in (("chunks", ingest.CHUNKS), ("edges", ingest.EDGES)))
+        return tuple(ingest.VersionedTable(spark, f"file://{tmp_path}/out/{t}", s, k).newest() for t, s, k in (("chunks", ingest.CHUNKS, "chunk_id"), ("edges", ingest.EDGES, None)))
 
     chunks, edges = run()
     want = to_chunks(docs)
