@@ -6,6 +6,8 @@ operations a byte and no Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ _BASE = np.uint64(_mix_int(12345) | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(_mix_int(777) | 1)
 _tables: dict[str, np.ndarray] = {}
+_own: dict[str, str] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,8 +144,10 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _tables.setdefault("root", tempfile.mkdtemp(prefix="scratch-"))  # type: ignore[arg-type]
-        root = f"file://{root}"
+        if "root" not in _own:
+            _own["root"] = tempfile.mkdtemp(prefix="scratch-")
+            atexit.register(shutil.rmtree, _own["root"], ignore_errors=True)
+        root = f"file://{_own['root']}"
     return root.rstrip("/")
 
 

@@ -2,6 +2,9 @@
 
 Words per source are aggregated, targets are filled up by weight under a cap of three times a source's size, and each document
 is taken floor(rate) times plus once more with probability equal to the fraction, by a hash of its id and a seed.
+
+A hash has DRAWS places from which a draw can be read. Each source reads all its documents' draws from one of them, the one
+whose total comes nearest to the target, so a source of a few documents comes near it too.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from scriptorium.llm.common import saved
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+DRAWS = 20
 
 
 def word_count(text: Column) -> Column:
@@ -44,23 +48,34 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return marked.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+def id_hash(doc_id: Column, seed: str = SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def draw(hashed: Column, place: Column) -> Column:
+    """A number in [0, 1): twelve of the hash's 32 digits from a place on."""
+    return F.conv(F.substr(hashed, place + 1, F.lit(12)), 16, 10).cast("double") / float(1 << 48)
+
+
+def copies(hashed: Column, place: Column, rate: Column) -> Column:
+    return (F.floor(rate) + (draw(hashed, place) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def with_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Adds mix_size, mix_source_size, mix_target and mix_copies; see mix.
+def mix_plan(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size of every document; mix_source, mix_source_size, mix_target, mix_rate, mix_place of every source).
 
-    The table of sources is written first, so that its size is known when the join is planned: Spark broadcasts it below
-    spark.sql.autoBroadcastJoinThreshold and else shuffles, where AQE splits a hot source.
+    Texts are read once; both tables are written. So the size of the second is known when it is joined: Spark broadcasts it
+    below spark.sql.autoBroadcastJoinThreshold and else shuffles, where AQE splits a hot source.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    targets = saved(source_targets(sized.select(F.col("source"), F.col("mix_size").alias("size"))), "targets")
-    targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    targets = source_targets(sized.select("source", "size")).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("mix_copies", (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
+    targets = saved(targets.withColumn("mix_rate", rate), "targets")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("h", id_hash(F.col("doc_id"), seed))
+    totals = joined.groupBy("mix_source", "mix_source_size", "mix_target", "mix_rate").agg(*[F.sum(F.col("size") * copies(F.col("h"), F.lit(k), F.col("mix_rate"))).alias(f"t{k}") for k in range(DRAWS)])
+    miss = [F.abs(F.col(f"t{k}").cast("double") - F.col("mix_target")) for k in range(DRAWS)]
+    place = (F.array_position(F.array(*miss), F.least(*miss)) - 1).cast("int")
+    return sized, saved(totals.select("mix_source", "mix_source_size", "mix_target", "mix_rate", place.alias("mix_place")), "places")
 
 
 def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -69,14 +84,16 @@ def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Null text: size 0. Null source: a source of its own, the last. A source without words has target 0 and no copies.
     Null doc_id draws as the empty id; repeated rows draw alike and each count. An empty table gives an empty result.
     """
-    rows = with_copies(docs.select("doc_id", "text", "source"), seed)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
+    sized, sources = mix_plan(docs, seed)
+    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", copies(id_hash(F.col("doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
+    return rows.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
-    rows = with_copies(docs, seed).where("mix_copies > 0")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    _, sources = mix_plan(docs, seed)
+    rows = docs.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies(id_hash(F.col("doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
+    rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -95,14 +112,17 @@ targets AS (
   FROM marked),
 rated AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT *, k, floor(rate)::BIGINT + (('0x' || substr(h, k + 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE < rate - floor(rate))::BIGINT AS copies
+  FROM rated, range(20) t(k)),
+missed AS (SELECT source, k, abs(sum(size * copies)::DOUBLE - target) AS miss FROM drawn GROUP BY source, target, k),
+chosen AS (SELECT source, k FROM missed QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
 """
 
 ORACLE = f"""
 WITH {MIX_CTES.format(docs="documents")}
-SELECT doc_id, size, source_size, target,
-  size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken,
-  floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT AS copies
-FROM rated
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies
+FROM drawn d JOIN chosen c ON d.k = c.k AND d.source IS NOT DISTINCT FROM c.source
 """

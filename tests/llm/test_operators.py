@@ -404,12 +404,12 @@ def test_mixing(docs, rows, empty):
 
 
 def test_mixing_comes_near_its_targets(spark):
-    got = mixing.mix_report(spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")).collect()
+    got = mixing.mix_report(spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")).collect()
     taken, target = collections.Counter(), {}
     for r in got:
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
-    assert all(abs(taken[s] - t) < 0.2 * t for s, t in target.items())
+    assert all(abs(taken[s] - t) < 0.05 * t for s, t in target.items())
 
 
 def test_toxicity(spark, docs, rows):
