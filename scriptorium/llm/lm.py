@@ -158,7 +158,8 @@ def _emit(slices: int, with_docs: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 some = part[row] != HELD_OUT
                 context, token, row = context[some], token[some], row[some]
             bucket = _slice(context, slices) * slices + _slice(token, slices)
-            order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (mix(context * np.uint64(3) ^ token) >> np.uint64(16)), kind="stable")
+            name = mix(context * np.uint64(3) ^ token)
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (name >> np.uint64(16)), kind="stable") if slices <= 256 else np.lexsort((name, bucket))
             bucket, context, token, row = bucket[order], context[order], token[order], row[order]
             out = []
             start = _runs(bucket)
