@@ -101,6 +101,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    release_heap()
 
 
 class Words:
@@ -140,6 +141,17 @@ def steady_heap() -> None:
         pass  # another C library: nothing to set
 
 
+def release_heap() -> None:
+    """Gives back what a finished task leaves: Spark keeps idle Python workers for a minute, next to those of the next stage."""
+    import ctypes
+
+    _tables.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)

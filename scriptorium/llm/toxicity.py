@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, Words, longs, prefix_hash, span_hash, text_chunks
+from scriptorium.llm.common import _LOWER, Words, longs, mix, prefix_hash, release_heap, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
 MAX_TRAIN_DOCS = 1500
@@ -225,9 +225,9 @@ def _field(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     tables, marked, in_bad = [], np.zeros(len(words.start), bool), toxic[words.row] == 1
     for h in token_hashes(data, words):
-        pair = np.unique(np.stack([words.row.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-        forms, inverse, docs = np.unique(pair[1], return_inverse=True, return_counts=True)
-        bad = np.bincount(inverse, weights=toxic[pair[0].astype(np.int64)], minlength=len(forms))
+        once = np.unique(mix(h ^ mix(words.row.astype(np.uint64))), return_index=True)[1]  # a form counts once a document
+        forms, inverse, docs = np.unique(h[once], return_inverse=True, return_counts=True)
+        bad = np.bincount(inverse, weights=toxic[words.row[once]], minlength=len(forms))
         keep = docs >= MIN_DOCS
         forms, bad, good = forms[keep], bad[keep], (docs - bad)[keep]
         share_bad, share_good = (bad + 0.5) / (n_bad + 1), (good + 0.5) / (n_good + 1)
@@ -339,7 +339,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
     rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64), prior)
+    steady_heap()
+    model = train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64), prior)
+    release_heap()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
