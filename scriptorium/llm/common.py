@@ -40,6 +40,7 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(_mix_int(777) | 1)
 _tables: dict[str, np.ndarray] = {}
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,7 +165,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what operators of this process have written to the shared folder, once their results are stored; how many paths."""
+    count = len(_made)
+    while _made:
+        delete_path(spark, _made.pop())
+    return count
 
 
 #: For queries that are run inside an operator: shuffle files go as the query ends, and Arrow batches stay small.

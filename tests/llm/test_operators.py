@@ -527,3 +527,13 @@ def test_sql_agrees(spark, name):
     cols = [d[0] for d in want.description]
     got = QUERIES[name](spark, SF).select(*cols).collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
+
+
+def test_scratch_is_cleared(spark):
+    from scriptorium.llm import common
+
+    path = common.saved(spark.range(3), "three").inputFiles()[0]
+    assert common.clear_scratch(spark) > 0 and common.clear_scratch(spark) == 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
