@@ -10,6 +10,7 @@ all segments at once, the products are chained through each document, and a seco
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, Words, longs, mix, prefix_hash, release_heap, span_hash, steady_heap, text_chunks
+from scriptorium.llm.common import _LOWER, Words, inner_settings, longs, mix, prefix_hash, release_heap, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
 MAX_TRAIN_DOCS = 1500
@@ -327,22 +328,39 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = 0):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on at most MAX_TRAIN_DOCS labelled documents of each class, none of them held out.
 
-    The ids are picked from the labels alone, so two bounded lists and their texts are all that comes to the driver.
+    The ids are picked from the labels alone; two bounded lists of them are all that comes to the driver, with the model.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     picks = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).collect()]
     if not picks:
-        return Model([np.zeros(0, np.uint64)] * (1 + len(PREFIXES)), [np.zeros(1)] * (3 + len(PREFIXES)), document=np.array([-3.0, 0, 0, 0]))
+        return _empty()
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picks], "doc_id long, toxic int")  # 2 * MAX_TRAIN_DOCS rows at most
     own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).coalesce(1)  # at most 2 * MAX_TRAIN_DOCS texts of MAX_TRAIN_BYTES
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    steady_heap()
-    model = train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64), prior)
-    release_heap()
-    return model
+    with inner_settings(docs.sparkSession):
+        found = rows.select("doc_id", "text", "toxic").mapInArrow(_train(prior), "model binary").collect()
+    return pickle.loads(found[0].model) if found else _empty()
+
+
+def _empty() -> Model:
+    return Model([np.zeros(0, np.uint64)] * (1 + len(PREFIXES)), [np.zeros(1)] * (3 + len(PREFIXES)), document=np.array([-3.0, 0, 0, 0]))
+
+
+def _train(prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trains in a task, so the driver holds neither the sample nor the arrays; the model comes back as one small row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
+        rows = sorted((d, t or "", y) for batch in batches for d, t, y in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
+        if rows:
+            model = train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        release_heap()
+
+    return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
