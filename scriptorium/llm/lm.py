@@ -22,14 +22,14 @@ from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, scratch_path, text_bytes
+from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, release_heap, scratch_path, steady_heap, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 END, BEGIN = np.uint64(0xE4D0F7E87), np.uint64(0xBE6177AB1)
 #: A bucket gets the bigrams of about this many bytes of text.
-BUCKET_BYTES = 18 << 20
-CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 14 << 20
+CHUNK_BYTES = 2 << 20
 BINS = 32  # of the ratio's logarithm, for each power of two
 STEPS = 60
 _SHIFT = np.uint64(24)
@@ -40,6 +40,7 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    steady_heap()
     for batch in batches:
         data, off = binary_parts(batch.column(batch.schema.get_field_index("text")))
         at = 0
@@ -47,6 +48,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             to = min(max(int(np.searchsorted(off, off[at] + limit, side="right")) - 1, at + 1), batch.num_rows, at + 65_000)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    release_heap()
 
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +156,11 @@ def _emit(slices: int, with_docs: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for rows, data, off in chunks(batches):
             part = longs(rows, "fold", -1)
             context, token, row = sequences(data, off)
-            if not with_docs:
+            if with_docs:
+                rid = longs(rows, "rid")
+                if (np.diff(rid) != 1).any():
+                    raise ValueError("row ids of a chunk do not follow one another")
+            else:
                 some = part[row] != HELD_OUT
                 context, token, row = context[some], token[some], row[some]
             bucket = _slice(context, slices) * slices + _slice(token, slices)
@@ -170,7 +176,7 @@ def _emit(slices: int, with_docs: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 code = c[first] >> _SHIFT
                 head = [np.array([len(first), b - a, rows.num_rows], np.uint32).tobytes(), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (code >> np.uint64(32)).astype(np.uint8).tobytes(), t[first].tobytes()]
                 if with_docs:
-                    body = [count.astype(np.uint32).tobytes(), r.astype(np.uint16).tobytes(), part.astype(np.int8).tobytes(), longs(rows, "rid").tobytes(), longs(rows, "doc_id").tobytes()]
+                    body = [count.astype(np.uint32).tobytes(), r.astype(np.uint16).tobytes(), part.astype(np.int8).tobytes(), rid[:1].tobytes(), longs(rows, "doc_id").tobytes()]
                 else:
                     gone = np.add.reduceat((part[r] == DELETED).astype(np.int64), first)
                     body = [(count - gone).astype(np.uint32).tobytes(), gone.astype(np.uint32).tobytes()]
@@ -294,8 +300,8 @@ def _score(folder: str, slices: int, model: dict, parts_out: int) -> Callable[[p
             counts.append(np.frombuffer(x, np.uint32, n, at))
             docs.append(np.frombuffer(x, np.uint16, total, at + 4 * n).astype(np.int64) + base)
             parts.append(np.frombuffer(x, np.int8, rows, at + 4 * n + 2 * total))
-            rids.append(np.frombuffer(x, np.int64, rows, at + 4 * n + 2 * total + rows))
-            names.append(np.frombuffer(x, np.int64, rows, at + 4 * n + 2 * total + 9 * rows))
+            rids.append(np.frombuffer(x, np.int64, 1, at + 4 * n + 2 * total + rows) + np.arange(rows))
+            names.append(np.frombuffer(x, np.int64, rows, at + 4 * n + 2 * total + rows + 8))
             base += rows
         code, token, count, doc = (np.concatenate(v) for v in (codes, tokens, counts, docs))
         count, part, rid = count.astype(np.int64), np.concatenate(parts), np.concatenate(rids)
