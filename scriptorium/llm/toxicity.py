@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import _LOWER, Words, inner_settings, longs, mix, prefix_hash, release_heap, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
-MAX_TRAIN_DOCS = 1500
+MAX_TRAIN_DOCS = 1000
 #: Longer texts don't train (they are scored whole as all others).
 MAX_TRAIN_BYTES = 16_384
 #: Forms and beginnings that occur in at least this many training documents have weights of their own.
