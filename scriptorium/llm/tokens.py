@@ -68,7 +68,7 @@ class _Words:
         """Forgets all; there is room for twice the given number of words."""
         slots = 1 << max(TABLE_BITS, (2 * words).bit_length())
         self.keys = np.zeros(slots, np.uint64)  # 0: free
-        self.begin, self.size = np.zeros(slots, np.uint32), np.zeros(slots, np.uint16)
+        self.begin, self.size = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
         self.pool, self.used, self.count = np.zeros(1 << 20, np.uint16), 0, 0
 
     def one(self, word: bytes) -> bytes:
@@ -100,6 +100,8 @@ class _Words:
         self.pool[self.used : self.used + len(new)] = new
         begin = self.used + np.cumsum(size) - size
         self.used += len(new)
+        if self.used >= 1 << 32:
+            raise OverflowError("ids of the words kept do not fit in a table of 32 bits")
         self.count += len(names)
         slot, left = (names & np.uint64(len(self.keys) - 1)).astype(np.int64), np.arange(len(names))
         while len(left):

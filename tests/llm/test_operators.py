@@ -253,6 +253,18 @@ def test_tokens_of_odd_texts():
         assert np.frombuffer(got, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_a_long_piece():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["7" * 70_001, "one two", "7" * 70_001 + " three"]  # more than 65,536 ids and no space
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for t, got in zip(texts, tokens.encode_rows(np.frombuffer("".join(texts).encode(), np.uint8), off), strict=True):
+        ids = np.frombuffer(got, "<u2").tolist()
+        assert ids == tok.encode(t, add_special_tokens=False).ids and (len(ids) > 65_536) == (len(t) > 65_536)
+
+
 def test_repair_random_access():
     rng = np.random.RandomState(0)
     ids = [rng.randint(0, 9, size=n).astype("<u2").tobytes() for n in (0, 1, 500, 3000, 0, 40)]
