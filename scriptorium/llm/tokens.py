@@ -26,8 +26,8 @@ from scriptorium.llm.warc import file_system
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_BYTES, MOST_SHARDS = 5 << 20, 262_144
-#: Rounds of replacement, new symbols a round at most, and how often a pair must be replaced to earn a rule.
-ROUNDS, RULES_A_ROUND, LEAST_USES, SPOT_BITS = 2, 8000, 8, 20
+#: How often a pair must be replaced to earn a rule, and the table in which a round looks up the pairs it replaces.
+LEAST_USES, SPOT_BITS = 8, 18
 #: Text that is encoded at once.
 ENCODE_BYTES = 2 << 20
 #: Distinct words whose ids a worker remembers before it starts anew, in a table of 2**TABLE_BITS slots.
@@ -229,53 +229,64 @@ def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterat
     return run
 
 
-def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: (symbols, last, rules). seq: ids; last: True at a document's end, which no pair crosses.
+def _spot(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - SPOT_BITS)
 
-    A round counts pairs by hash and takes the most frequent ones at once. Where two of them overlap the more frequent wins; what stays over is
-    counted again in the next round. Symbols stay below 65,536.
+
+def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: (symbols, last, rules). seq: ids; last: True at a document's end, which no pair crosses.
+
+    Goes on until no pair can be replaced `least` times or the symbols, which stay below 65,536, are used up. A round counts all
+    pairs exactly and takes those at least half as frequent as the most frequent one. Where two of them overlap the more frequent
+    wins, by eighths of a doubling and then by hash, so that a long run of pairs alike in number is halved and not gone along one by one; what stays
+    over is counted again in the next round. The first pair in that order gets all its places, so each round makes a rule.
     """
-    seq, rules = seq.astype(np.uint32), []
-    for _ in range(rounds):
-        room = min(rules_a_round, (1 << 16) - first_symbol - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
+    seq, rules = seq.astype(np.uint32), np.zeros(0, np.uint32)
+    while len(seq) > 1 and len(rules) < (1 << 16) - first_symbol:
         code = (seq[:-1] << np.uint32(16)) | seq[1:]
         free = ~last[:-1]
-        spot = ((code * np.uint32(2654435761)) >> np.uint32(32 - SPOT_BITS)).astype(np.int64)
-        count = np.bincount(spot[free], minlength=1 << SPOT_BITS)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+        again = np.flatnonzero((code[1:] == code[:-1]) & free[1:] & free[:-1]) + 1  # one id over and over: every second pair
+        begin = np.append(True, np.diff(again) != 1)[: len(again)]
+        place = np.arange(len(again))
+        free[again[(place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0]] = False
+        ordered = np.sort(code[free])
+        if not len(ordered):
             break
-        often = often[np.lexsort((often, -count[often]))][:room]
-        holder = np.zeros(1 << SPOT_BITS, np.uint32)  # a pair of each spot; one that only shares a frequent pair's spot earns no rule below
-        holder[spot[free]] = code[free]
-        pairs = holder[often]
-        table = np.full(1 << SPOT_BITS, -1, np.int32)
-        table[often] = np.arange(len(pairs), dtype=np.int32)
-        rank = table[spot]
-        hit = (rank >= 0) & free & (holder[spot] == code)
-        none = np.int32(1 << 30)
-        rank = np.where(hit, rank, none)
-        left, right = np.append(none, rank[:-1]), np.append(rank[1:], none)
-        place = np.arange(len(rank))
-        run = np.maximum.accumulate(np.where(rank != left, place, 0))  # one id over and over: every second pair
-        chosen = np.flatnonzero(hit & (rank <= left) & (rank <= right) & ((place - run) % 2 == 0))
-        uses = np.bincount(rank[chosen], minlength=len(pairs))
-        good = uses >= least
-        if not good.any():
+        start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(start, len(ordered)))
+        top = int(count.max())
+        if top < least:
             break
-        name = np.cumsum(good) - 1 + first_symbol + len(rules)
-        chosen = chosen[good[rank[chosen]]]
-        seq = seq.copy()
-        seq[chosen] = name[rank[chosen]]
-        keep = np.ones(len(seq), bool)
-        keep[chosen + 1] = False
+        often = np.flatnonzero(count >= max(least, -(-top // 2)))
+        pairs, count = ordered[start[often]], count[often]
+        mixed = (pairs ^ (pairs >> np.uint32(15))) * np.uint32(2246822519)
+        mixed ^= mixed >> np.uint32(13)
+        best = np.lexsort((mixed, -count))[: (1 << 16) - first_symbol - len(rules)]
+        best = best[np.lexsort((mixed[best], -np.floor(8 * np.log2(count[best]))))]
+        pairs = pairs[best]
+        table = np.full(1 << SPOT_BITS, -1, np.int32)
+        table[_spot(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)  # of pairs with one spot the first stays, the others come in a later round
+        rank = table[_spot(code)]
+        at = np.flatnonzero((rank >= 0) & free)
+        rank = rank[at]
+        hit = pairs[rank] == code[at]
+        at, rank = at[hit], rank[hit]
+        near = np.diff(at) == 1
+        lost = np.zeros(len(at), bool)
+        lost[1:] |= near & (rank[:-1] < rank[1:])
+        lost[:-1] |= near & (rank[1:] < rank[:-1])
+        at, rank = at[~lost], rank[~lost]
+        good = np.bincount(rank, minlength=len(pairs)) >= least
+        name = (np.cumsum(good) - 1 + first_symbol + len(rules)).astype(np.uint32)
+        at, rank = at[good[rank]], rank[good[rank]]
+        seq[at] = name[rank]
         last = last.copy()
-        last[chosen] = last[chosen + 1]
+        last[at] = last[at + 1]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules += [(int(p) >> 16, int(p) & 0xFFFF) for p in pairs[good]]
-    return seq.astype(np.uint16), last, np.array(rules, np.uint16).reshape(-1, 2)
+        rules = np.append(rules, pairs[good])
+    return seq.astype(np.uint16), last, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype(np.uint16)
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[bytes], first_symbol: int) -> bytes:

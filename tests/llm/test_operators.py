@@ -289,6 +289,32 @@ def test_repair_overlapping_pairs():
     assert [x for s in symbols for x in expand(s)] == [7] * 101 and len(symbols) < 101
 
 
+def test_repair_goes_on_to_the_end():
+    def left_over(symbols, last):
+        seen, before = collections.Counter(), None
+        for i in range(len(symbols) - 1):
+            pair = None if last[i] else (int(symbols[i]), int(symbols[i + 1]))
+            pair = None if pair == before and pair is not None else pair  # of an id over and over every second pair
+            seen[pair] += pair is not None
+            before = pair
+        return max(seen.values(), default=0)
+
+    rng = np.random.RandomState(3)
+    passage, ids = rng.randint(0, 40_000, size=900), []
+    for k in range(300):
+        ids.append(np.concatenate([rng.randint(0, 30, size=rng.randint(0, 60)), passage[: 900 - k % 7], np.full(rng.randint(0, 40), 5), rng.randint(0, 40_000, size=20)]))
+    seq, last = np.concatenate(ids).astype(np.uint16), np.zeros(sum(map(len, ids)), bool)
+    last[np.cumsum([len(x) for x in ids]) - 1] = True
+    symbols, ends, rules = tokens.compress(seq, last, 40_000)
+    assert left_over(symbols, ends) < tokens.LEAST_USES and ends.sum() == 300 and len(rules) < (1 << 16) - 40_000
+    raw = tokens.pack_shard(list(range(300)), [x.astype("<u2").tobytes() for x in ids], 40_000)
+    shard = tokens.Shard(raw)
+    assert shard.lengths.max() >= 890 and all((shard.document(i) == x).all() for i, x in enumerate(ids))
+    assert (shard.ids(9, 100, 700) == ids[9][100:800]).all()
+    few, _, rules = tokens.compress(seq, last, (1 << 16) - 3)  # symbols run out
+    assert len(rules) == 3 and few.max() == 65_535
+
+
 def test_top_k_matches_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], 0) for i in range(0, 450)]
