@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, Words, inner_settings, longs, mix, prefix_hash, release_heap, span_hash, steady_heap, text_chunks
+from scriptorium.llm.common import _LOWER, Words, inner_settings, longs, mix, prefix_hash, release_heap, saved, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
-MAX_TRAIN_DOCS = 1000
+MAX_TRAIN_DOCS = 2000
 #: Longer texts don't train (they are scored whole as all others).
 MAX_TRAIN_BYTES = 16_384
 #: Forms and beginnings that occur in at least this many training documents have weights of their own.
@@ -328,16 +328,17 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = 0):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on at most MAX_TRAIN_DOCS labelled documents of each class, none of them held out.
 
-    The ids are picked from the labels alone; two bounded lists of them are all that comes to the driver, with the model.
+    The ids are picked among those whose text can train; two bounded lists of them are all that comes to the driver, with the model.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    picks = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).collect()]
+    own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    able = saved(known.join(own.select("doc_id"), "doc_id", "left_semi"), "able")
+    picks = [r for c in (0, 1) for r in able.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).collect()]
     if not picks:
         return _empty()
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picks], "doc_id long, toxic int")  # 2 * MAX_TRAIN_DOCS rows at most
-    own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
     rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).coalesce(1)  # at most 2 * MAX_TRAIN_DOCS texts of MAX_TRAIN_BYTES
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     with inner_settings(docs.sparkSession):

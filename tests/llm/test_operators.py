@@ -469,6 +469,18 @@ def test_toxicity(spark, docs, rows):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_trains_on_texts_that_can_train(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_DOCS", 3)
+    ids = spark.range(1, 60).select(F.col("id").alias("doc_id")).where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [r.doc_id for r in ids.collect()]
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, toxic int")
+    long = "calm words " * 2_000
+    docs = spark.createDataFrame([(d, long if k < 6 else f"calm words number {k} {'foul ' * (k % 2)}") for k, d in enumerate(ids)], "doc_id long, text string")
+    assert (toxicity.fit(docs, labels).document != toxicity._empty().document).any()  # the first six of the hash order are too long
+
+
 def test_chain_marginals_match_enumeration():
     import itertools
 
