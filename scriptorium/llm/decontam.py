@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit sampling.
 
 The edit distance of word sequences is what counts (words lower-cased, ASCII punctuation at their ends dropped). A document
-matches an item of W words if some stretch of it is within MAX_EDITS * W edits of the item.
+matches an item of W words if some stretch of it is within MAX_EDITS * W edits of the item; items under five words verbatim.
 
 * Item-sized windows are laid where a document holds one of the item's pieces: an item is cut into one piece more than it
   may have edits, so by the pigeonhole principle a match holds one piece unharmed, and no match is lost here.
@@ -24,8 +24,6 @@ from scriptorium.llm.common import Words, longs, mix, text_chunks
 from scriptorium.llm.toxicity import form_hashes
 
 MAX_EDITS = 0.2
-#: Items of fewer words are no evidence: a document may hold them by chance.
-LEAST_WORDS = 5
 K, REPEATS, WALKS = 2, 48, 6
 #: Items go to the executors in blocks of at most this many bytes of text, one scan a block.
 ITEM_BLOCK_BYTES = 8 << 20
@@ -45,7 +43,7 @@ class Items:
         self.ids, self.words, self.edits = [], [], []
         for i, item in enumerate(ids):
             own = h[words.first[i] : words.first[i + 1]]
-            if len(own) >= LEAST_WORDS:
+            if len(own):
                 self.ids.append(item)
                 self.words.append(own)
                 self.edits.append(int(max_edits * len(own)))
@@ -200,7 +198,7 @@ def item_blocks(benchmark: DataFrame, limit: int = ITEM_BLOCK_BYTES) -> Iterator
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that match: doc_id, item_id, start and end (UTF-8 byte offsets), edits, item_words.
 
-    Null and blank texts, items under LEAST_WORDS words, and null items match nothing. Documents without a match have no row;
+    Null and blank texts, items without words, and null items match nothing. Documents without a match have no row;
     a null doc_id is reported as null; repeated rows are reported each. An empty benchmark or table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text")

@@ -519,6 +519,14 @@ def test_decontamination(spark, rows):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_items_of_few_words(spark):
+    df = spark.createDataFrame([(1, "Then it was forty two, they said."), (2, "forty or two"), (3, "the Answer: forty"), (4, None), (5, "forty two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Forty two"), (2, "answer"), (3, "it was forty TWO"), (4, " "), (5, "two forty")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.item_words) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(1, 1, 0, 2), (1, 3, 0, 4), (3, 2, 0, 1), (5, 1, 0, 2)}
+    assert [r.doc_id for r in decontam.drop_contaminated(df, bench).orderBy("doc_id").collect()] == [2, 4]
+
+
 def test_decontamination_recall_against_brute_force():
     """Random edits up to the limit: what the exact edit distance finds in every stretch, the search finds in nearly all cases."""
     rng = random.Random(4)
