@@ -49,7 +49,7 @@ def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id
     stored = vectors.select(id_col, F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("vn", V.norm(F.col("v")))
     asked = queries.select(query_col, F.transform("embedding", lambda x: x.cast("double")).alias("q")).withColumn("qn", V.norm(F.col("q")))
     met = stored.join(query_blocks(asked, [query_col, "q", "qn"]), F.lit(True))
-    rows = met.select(id_col, "v", "vn", F.explode("asked").alias("a"))
+    rows = met.select(id_col, "v", "vn", F.explode("asked").alias("a")).where(F.size("v") == F.size("a.q"))
     cos = F.when((F.col("vn") == 0) | (F.col("a.qn") == 0), F.lit(0.0)).otherwise(V.dot(F.col("a.q"), F.col("v")) / (F.col("a.qn") * F.col("vn")))
     return rows.select(F.col(f"a.{query_col}").alias(query_col), id_col, V.score(cos).alias("score"))
 
@@ -77,7 +77,8 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     """Each Arrow batch is scored against a query matrix of bounded size at once and hands on its k best of each query."""
     asked = queries.select(query_col, "embedding").where("embedding is not null").collect()
     names = [r[0] for r in asked]
-    width = max((len(r[1]) for r in asked), default=0)
+    widths = np.array([len(r[1]) for r in asked], np.int64)
+    width = int(widths.max(initial=0))
     q = np.array([list(r[1]) + [0.0] * (width - len(r[1])) for r in asked], np.float64).reshape(len(names), width)
     length = np.sqrt((q * q).sum(1))
     q = np.divide(q, length[:, None], out=np.zeros_like(q), where=length[:, None] > 0)
@@ -91,9 +92,12 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
             norms = np.sqrt((v * v).sum(1))
             cos = np.round(np.divide(v, norms[:, None], out=np.zeros_like(v), where=norms[:, None] > 0) @ q.T, 9)
             shown = np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)
+            shown[pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)[:, None] != widths[None]] = -np.inf  # left out below
             order = np.argsort(np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None), kind="stable")
             best = order[np.argsort(-shown[order], axis=0, kind="stable")[:k]]  # ties to the smaller id
             rows, cols = best.T.ravel(), np.repeat(np.arange(len(names)), best.shape[0])
+            fits = shown[rows, cols] > -np.inf
+            rows, cols = rows[fits], cols[fits]
             yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols], query_arrow), ids.take(pa.array(rows)), pa.array(shown[rows, cols])], names=[query_col, id_col, "score"])
 
     own = vectors.select(id_col, F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col(id_col).isNotNull())
@@ -103,8 +107,11 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
     """Exact top-k: query_col, rank, id_col, score; fewer where the collection is smaller.
 
+    Vectors and queries that are null or hold a null are left out, and so are pairs of unequal length.
     Up to MATRIX_QUERIES queries go to the executors as one matrix; beyond that, blocks of queries are joined to the rows.
     """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    vectors, queries = vectors.where(whole & F.col(id_col).isNotNull()), queries.where(whole)
     if queries.limit(MATRIX_QUERIES + 1).count() <= MATRIX_QUERIES:
         return _matmul_search(vectors, queries, k, id_col, query_col)
     return ranked(similarities(vectors, queries, id_col, query_col), k, query_col, id_col)

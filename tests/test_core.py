@@ -126,6 +126,16 @@ def test_search_paths_agree(spark, monkeypatch):
     assert X.search(collection(spark).limit(0), asked, 3).count() == 0
 
 
+def test_search_paths_agree_on_null_and_uneven_vectors(spark, monkeypatch):
+    rows = [("n", None), ("h", [1.0, None]), ("l", [1.0, 0.0, 0.0]), ("s", [1.0]), ("b", [-1.0, 0.0]), ("c", [-1.0, 1.0]), (None, [1.0, 0.0])]
+    stored = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 1.0, 0.0]), (4, [None, 1.0])], "query_id int, embedding array<double>")
+    want = [(1, 1, "c", -0.7071), (1, 2, "b", -1.0), (3, 1, "l", 0.7071)]
+    for most in (X.MATRIX_QUERIES, 1):
+        monkeypatch.setattr(X, "MATRIX_QUERIES", most)
+        assert sorted(map(tuple, X.search(stored, asked, 3).select("query_id", "rank", "chunk_id", "score").collect())) == want
+
+
 def test_upsert_is_idempotent_and_leaves_stale_rows(spark):
     old = spark.createDataFrame([("1", "f", "x"), ("2", "f", "y")], "chunk_id string, source string, text string")
     new = spark.createDataFrame([("2", "f", "z"), ("3", "f", "w")], "chunk_id string, source string, text string")
