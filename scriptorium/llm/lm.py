@@ -5,9 +5,12 @@ is the bucket (power of two) of the context's count. The weights are learned by
 deleted part of the training documents, with f from the rest; then f is taken from all training documents.
 
 Counts never meet in one place. Words are dealt to K slices by hash, bigrams to K * K buckets by the slices of both words, so
-a bucket needs the unigram counts of two slices only; it reads those from files in the shared folder. Bigrams travel as packed
-arrays with the documents they occur in, and a bucket returns one partial sum for each document. What expectation-maximisation
-needs of the held-out counts is a histogram of the ratio f / q by bucket, a few thousand numbers at any size.
+a bucket needs the unigram counts of two slices only; it reads those from files in the shared folder. A first pass over the
+texts merges the bigrams of each bucket, one entry for each chunk of text, and writes their counts beside those of their two
+words. A second pass sends where bigrams occur, as packed arrays of one chunk; a bucket goes through them chunk by chunk beside
+its table of counts and returns one partial sum for each document. A bucket in which bigrams occur very often is dealt out
+further by chunk, as each of its parts can read the table. What expectation-maximisation needs of the held-out counts is a
+histogram of the ratio f / q by bucket, a few thousand numbers at any size.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, release_heap, scratch_path, steady_heap, text_bytes
+from scriptorium.llm.common import Words, binary_parts, delete_path, inner_settings, longs, mix, release_heap, saved, scratch_path, steady_heap, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -30,6 +33,8 @@ END, BEGIN = np.uint64(0xE4D0F7E87), np.uint64(0xBE6177AB1)
 #: A bucket gets the bigrams of about this many bytes of text.
 BUCKET_BYTES = 14 << 20
 CHUNK_BYTES = 2 << 20
+#: A bucket with more occurrences, and with more than one in so many of all, is dealt out by chunk.
+HOT_PLACES, MOST_HOT = 8 << 20, 100_000
 BINS = 32  # of the ratio's logarithm, for each power of two
 STEPS = 60
 _SHIFT = np.uint64(24)
@@ -137,68 +142,84 @@ class Slice:
         if parts:
             parts.sort(key=lambda r: r["sub"])
             self.names, self.kept, self.gone = (np.concatenate([np.frombuffer(r[n], k) for r in parts]) for n, k in (("names", np.uint64), ("kept", np.int64), ("gone", np.int64)))
-        self.codes = self.names >> _SHIFT
 
-    def find(self, names: np.ndarray, short: bool = False) -> np.ndarray:
-        """The place of each word, or -1. Short: names are the upper 40 bits, as contexts travel."""
-        table = self.codes if short else self.names
-        if not len(table):
-            return np.full(len(names), -1, np.int64)
-        at = np.minimum(np.searchsorted(table, names), len(table) - 1)
-        return np.where(table[at] == names, at, -1)
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of each word in the kept and the deleted part, 0 where it is not there."""
+        if not len(self.names):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        there = self.names[at] == names
+        return np.where(there, self.kept[at], 0), np.where(there, self.gone[at], 0)
 
 
-def _emit(slices: int, with_docs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, data): distinct bigrams of a chunk. Without docs: training documents' alone, with counts of both parts.
-    With docs: all documents', with the rows they occur in."""
+def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(3) ^ token)
+
+
+def _blobs(table: pa.Table) -> Iterator[pa.Buffer]:
+    for chunk in table.column("data").chunks:
+        for x in chunk:
+            yield x.as_buffer()
+
+
+def _packed(rows: list[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 500):
+        *keys, data = zip(*rows[a : a + 500], strict=True)
+        yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.int32()) for k in keys], pa.array(data, pa.binary())], names=list(names))
+
+
+def _emit_counts(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, data): the distinct bigrams of a chunk, with their counts in the kept and the deleted part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             part = longs(rows, "fold", -1)
             context, token, row = sequences(data, off)
-            if with_docs:
-                rid = longs(rows, "rid")
-                if (np.diff(rid) != 1).any():
-                    raise ValueError("row ids of a chunk do not follow one another")
-            else:
-                some = part[row] != HELD_OUT
-                context, token, row = context[some], token[some], row[some]
+            kept, gone = ((part != HELD_OUT) & (part != DELETED))[row], (part == DELETED)[row]
             bucket = _slice(context, slices) * slices + _slice(token, slices)
-            name = mix(context * np.uint64(3) ^ token)
-            order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (name >> np.uint64(16)), kind="stable") if slices <= 256 else np.lexsort((name, bucket))
-            bucket, context, token, row = bucket[order], context[order], token[order], row[order]
-            out = []
-            start = _runs(bucket)
-            for a, b in zip(start, np.append(start[1:], len(bucket))[: len(start)], strict=True):
-                c, t, r = context[a:b], token[a:b], row[a:b]
-                first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])))
-                count = np.diff(np.append(first, b - a))
-                code = c[first] >> _SHIFT
-                head = [np.array([len(first), b - a, rows.num_rows], np.uint32).tobytes(), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (code >> np.uint64(32)).astype(np.uint8).tobytes(), t[first].tobytes()]
-                if with_docs:
-                    body = [count.astype(np.uint32).tobytes(), r.astype(np.uint16).tobytes(), part.astype(np.int8).tobytes(), rid[:1].tobytes(), longs(rows, "doc_id").tobytes()]
-                else:
-                    gone = np.add.reduceat((part[r] == DELETED).astype(np.int64), first)
-                    body = [(count - gone).astype(np.uint32).tobytes(), gone.astype(np.uint32).tobytes()]
-                out.append((int(bucket[a]), b"".join(head + body)))
-            for a in range(0, len(out), 500):
-                cols = list(zip(*out[a : a + 500], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "data"])
+            if slices <= 256:  # equal contexts come together, so they compress; ties of the shortened hashes only repeat an entry
+                order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | ((context >> np.uint64(40)) << _SHIFT) | (token >> np.uint64(40)), kind="stable")
+            else:
+                order = np.lexsort((token, context, bucket))
+            bucket, context, token = bucket[order], context[order], token[order]
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (token[1:] != token[:-1])))
+            kept, gone = (np.add.reduceat(x[order], first, dtype=np.uint32) for x in (kept, gone))
+            size = np.diff(np.append(first, len(order)))
+            bucket, context, token = bucket[first], context[first], token[first]
+            start, out = _runs(bucket), []
+            for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+                head = np.array([b - a, size[a:b].sum()], np.uint32)
+                out.append((int(bucket[a]), b"".join(x.tobytes() for x in (head, context[a:b], token[a:b], kept[a:b], gone[a:b]))))
+            yield from _packed(out, ("bucket", "data"))
 
     return run
 
 
-def _head(x: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray, int]:
-    n, total, docs = (int(v) for v in np.frombuffer(x, np.uint32, 3))
-    code = np.frombuffer(x, np.uint32, n, 12).astype(np.uint64) | (np.frombuffer(x, np.uint8, n, 12 + 4 * n).astype(np.uint64) << np.uint64(32))
-    return n, total, docs, code, np.frombuffer(x, np.uint64, n, 12 + 5 * n), 12 + 13 * n
+def _emit_places(slices: int, parts_of: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, salt, data): the distinct bigrams of a chunk with the rows they occur in, and the doc_ids of rows that begin here."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in chunks(batches):
+            rid, doc = longs(rows, "rid"), rows.column(rows.schema.get_field_index("doc_id"))
+            if (np.diff(rid) != 1).any():
+                raise ValueError("row ids of a chunk do not follow one another")
+            doc, null = longs(rows, "doc_id"), doc.is_null().to_numpy(zero_copy_only=False)
+            context, token, row = sequences(data, off)
+            bucket, name, begin = _slice(context, slices) * slices + _slice(token, slices), _pair(context, token), context == BEGIN
+            del context, token
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (name >> np.uint64(16)), kind="stable") if slices <= 256 else np.lexsort((name, bucket))
+            bucket, name, row, begin = bucket[order], name[order], row[order], begin[order]
+            draw = int(mix(rid[:1].astype(np.uint64))[0])
+            start, out = _runs(bucket), []
+            for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+                which, own = int(bucket[a]), name[a:b]
+                first, new = _runs(own), row[a:b][begin[a:b]]
+                body = [np.array([len(first), b - a, rows.num_rows, len(new)], np.uint32), rid[:1], own[first], np.diff(np.append(first, b - a)).astype(np.uint32), row[a:b].astype(np.uint16)]
+                body += [new.astype(np.uint16), doc[new], null[new].astype(np.uint8)]
+                out.append((which, draw % parts_of.get(which, 1), b"".join(x.tobytes() for x in body)))
+            yield from _packed(out, ("bucket", "salt", "data"))
 
-def _grouped(code: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts of runs) that bring equal bigrams together."""
-    order = np.argsort(mix(code * np.uint64(3) ^ token), kind="stable")
-    c, t = code[order], token[order]
-    return order, (np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (t[1:] != t[:-1]))) if len(c) else np.zeros(0, np.int64))
+    return run
 
 
 def _bin(ratio: np.ndarray) -> np.ndarray:
@@ -221,39 +242,46 @@ def _uniform_ratio(model: dict) -> Callable[[pa.Table], pa.Table]:
 
 
 def _histogram(level: np.ndarray, place: np.ndarray, weight: np.ndarray) -> pa.Table:
-    pairs, inverse = np.unique(np.stack([level, place], 1), axis=0, return_inverse=True) if len(level) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    total = np.bincount(inverse.ravel(), weights=weight, minlength=len(pairs)).astype(np.int64)
-    return pa.table({"level": pa.array(pairs[:, 0], pa.int64()), "place": pa.array(pairs[:, 1], pa.int64()), "weight": pa.array(total)})
+    keys, inverse = np.unique((level << 32) + place, return_inverse=True)
+    total = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64)
+    found = (keys + (1 << 31)) >> 32
+    return pa.table({"level": pa.array(found), "place": pa.array(keys - (found << 32)), "weight": pa.array(total)})
 
 
-def _bigram_ratio(folder: str, slices: int, model: dict) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket: the histogram of f(w | h) / q(w) over the deleted part's tokens, by the context's bucket in the kept part."""
+PAIRS = "bucket int, names binary, pairs binary, contexts binary, words binary, places long, ratios array<struct<level: long, place: long, weight: long>>"
+
+
+def _merge_pairs(folder: str, slices: int, model: dict) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: its distinct bigrams by hash, with their training counts and those of both words; how often they occur; and
+    the histogram of f(w | h) / q(w) over the deleted part's tokens, by the context's bucket in the kept part."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         of_context, of_token = Slice(folder, bucket // slices), Slice(folder, bucket % slices)
-        codes, tokens, kept, gone = [], [], [], []
-        for x in table.column("data").to_pylist():
-            n, _, _, code, token, at = _head(x)
-            codes.append(code)
-            tokens.append(token)
-            kept.append(np.frombuffer(x, np.uint32, n, at))
-            gone.append(np.frombuffer(x, np.uint32, n, at + 4 * n))
-        code, token, kept, gone = (np.concatenate(v) for v in (codes, tokens, kept, gone))
-        order, start = _grouped(code, token)
-        if not len(start):
-            return _histogram(*[np.zeros(0, np.int64)] * 3)
-        kept, gone = np.add.reduceat(kept[order].astype(np.int64), start), np.add.reduceat(gone[order].astype(np.int64), start)
-        code, token = code[order][start], token[order][start]
+        got, places = [], 0
+        for x in _blobs(table):
+            n, total = (int(v) for v in np.frombuffer(x, np.uint32, 2))
+            places += total
+            got.append([np.frombuffer(x, kind, n, 8 + width * n) for kind, width in ((np.uint64, 0), (np.uint64, 8), (np.uint32, 16), (np.uint32, 20))])
+        context, token, kept, gone = (np.concatenate(v) for v in zip(*got, strict=True))
+        name = _pair(context, token)
+        order = np.argsort(name, kind="stable")
+        start = _runs(name[order])
+        kept, gone = (np.add.reduceat(x[order], start, dtype=np.int64) for x in (kept, gone))
+        order = order[start]
+        name, context, token = name[order], context[order], token[order]
+        del got, order, start
+        seen, seen_gone = of_context.find(context)
+        word, word_gone = of_token.find(token)
         some = gone > 0
-        code, token, kept, gone = code[some], token[some], kept[some], gone[some]
-        at = of_context.find(code, short=True)
-        seen = np.where(at >= 0, of_context.kept[at] if len(of_context.kept) else 0, 0)
-        at = of_token.find(token)
-        word = np.where(at >= 0, of_token.kept[at] if len(of_token.kept) else 0, 0)
-        q = model["m"] * word / max(1, model["n_kept"]) + (1 - model["m"]) / (model["v_kept"] + 1)
-        f = np.where(seen > 0, kept / np.maximum(seen, 1), 0.0)
-        return _histogram(level(seen), _bin(f / q), gone)
+        q = model["m"] * word[some] / max(1, model["n_kept"]) + (1 - model["m"]) / (model["v_kept"] + 1)
+        f = np.where(seen[some] > 0, kept[some] / np.maximum(seen[some], 1), 0.0)
+        ratios = _histogram(level(seen[some]), _bin(f / q), gone[some]).to_pylist()
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (name, kept + gone, seen + seen_gone, word + word_gone)]
+        out = pa.table([pa.array([bucket], pa.int32()), *columns, pa.array([places]), pa.array([ratios], pa.list_(pa.struct([("level", pa.int64()), ("place", pa.int64()), ("weight", pa.int64())])))], names=["bucket", "names", "pairs", "contexts", "words", "places", "ratios"])
+        del of_context, of_token, columns
+        release_heap()
+        return out
 
     return run
 
@@ -282,89 +310,107 @@ def _weights(rows: list) -> dict[int, float]:
 
 
 PARTIAL = "part int, data binary"
-PARTIAL_ROW = np.dtype([("rid", "<i8"), ("doc_id", "<i8"), ("no_id", "u1"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+PARTIAL_ROW = np.dtype([("row", "<u2"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+BEGUN_ROW = np.dtype([("row", "<u2"), ("doc_id", "<i8"), ("null", "u1")])
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(folder: str, slices: int, model: dict, parts_out: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket: for each document its tokens here, and their sums of both models' log10 probabilities; packed, by documents."""
+def _read_pairs(folder: str, bucket: int) -> list[np.ndarray]:
+    """Names, and counts of bigram, context and word, of one bucket."""
+    fs, base = file_system(folder)
+    for f in fs.get_file_info(FileSelector(f"{base}/bucket={bucket}")):
+        if f.type == FileType.File and f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as file:
+                table = pq.read_table(file, columns=["names", "pairs", "contexts", "words"])
+            if table.num_rows:
+                return [np.frombuffer(table.column(k)[0].as_buffer(), kind) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int64))]
+    raise FileNotFoundError(f"counts of bucket {bucket} in {folder}")
+
+
+def _score(folder: str, model: dict, parts_out: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket, or a part of it: chunk by chunk, the tokens of each document here and their sums of both models' log10
+    probabilities. All sums of a chunk go to one part."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        of_context, of_token = Slice(folder, bucket // slices), Slice(folder, bucket % slices)
-        codes, tokens, counts, docs, parts, rids, names, base = [], [], [], [], [], [], [], 0
-        for x in table.column("data").to_pylist():
-            n, total, rows, code, token, at = _head(x)
-            codes.append(code)
-            tokens.append(token)
-            counts.append(np.frombuffer(x, np.uint32, n, at))
-            docs.append(np.frombuffer(x, np.uint16, total, at + 4 * n).astype(np.int64) + base)
-            parts.append(np.frombuffer(x, np.int8, rows, at + 4 * n + 2 * total))
-            rids.append(np.frombuffer(x, np.int64, 1, at + 4 * n + 2 * total + rows) + np.arange(rows))
-            names.append(np.frombuffer(x, np.int64, rows, at + 4 * n + 2 * total + rows + 8))
-            base += rows
-        code, token, count, doc = (np.concatenate(v) for v in (codes, tokens, counts, docs))
-        count, part, rid = count.astype(np.int64), np.concatenate(parts), np.concatenate(rids)
-        order, start = _grouped(code, token)
-        pair = np.empty(len(code), np.int64)  # which distinct bigram each entry is
-        flag = np.zeros(len(code), np.int64)
-        flag[start] = 1
-        pair[order] = np.cumsum(flag) - 1
-        of = np.repeat(pair, count)  # and each occurrence
-        both = np.bincount(of, weights=part[doc] != HELD_OUT, minlength=len(start))
-        code, token = code[order][start], token[order][start]
-        at = of_context.find(code, short=True)
-        seen = np.where(at >= 0, (of_context.kept + of_context.gone)[at] if len(of_context.kept) else 0, 0)
-        at = of_token.find(token)
-        word = np.where(at >= 0, (of_token.kept + of_token.gone)[at] if len(of_token.kept) else 0, 0)
+        names, both, seen, word = _read_pairs(folder, table.column("bucket")[0].as_py())
         q = model["m"] * word / max(1, model["n"]) + (1 - model["m"]) / (model["v"] + 1)
         lam = np.array([model["l"].get(k, model["l_other"]) if k else 0.0 for k in range(72)])[level(seen)]
         log = np.log10(lam * np.where(seen > 0, both / np.maximum(seen, 1), 0.0) + (1 - lam) * q)
         plain = np.log10((word + 1) / (model["n"] + 1 * (model["v"] + 1)))
-        size = len(rid)
-        n_tokens = np.bincount(doc, minlength=size)
-        some = np.flatnonzero(n_tokens)
-        known, plain_sum, log_sum = (np.bincount(doc, weights=v[of], minlength=size)[some] for v in ((word > 0).astype(np.float64), plain, log))
-        rows = np.empty(len(some), PARTIAL_ROW)
-        rows["rid"], rows["doc_id"], rows["no_id"], rows["n_tokens"] = rid[some], np.concatenate(names)[some], part[some] == -1, n_tokens[some]
-        rows["n_known"], rows["base"], rows["score"] = known, plain_sum, log_sum
-        where = (mix(rows["rid"].astype(np.uint64)) % np.uint64(parts_out)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        where, rows = where[order], rows[order]
-        start = _runs(where)
-        ends = np.append(start[1:], len(where))[: len(start)]
-        return pa.table({"part": pa.array(where[start], pa.int32()), "data": pa.array([rows[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
+        known = (word > 0).astype(np.float64)
+        del both, seen, word, q, lam
+        parts, out = [], []
+        for x in _blobs(table):
+            n, total, size, new = (int(v) for v in np.frombuffer(x, np.uint32, 4))
+            rid = np.frombuffer(x, np.int64, 1, 16)
+            name, count, row = np.frombuffer(x, np.uint64, n, 24), np.frombuffer(x, np.uint32, n, 24 + 8 * n), np.frombuffer(x, np.uint16, total, 24 + 12 * n)
+            at = np.searchsorted(names, name)
+            if (names[np.minimum(at, len(names) - 1)] != name).any():
+                raise ValueError("a bigram was not counted")
+            at = np.repeat(at, count)
+            n_tokens = np.bincount(row, minlength=size)
+            some = np.flatnonzero(n_tokens)
+            sums = np.empty(len(some), PARTIAL_ROW)
+            sums["row"], sums["n_tokens"] = some, n_tokens[some]
+            for field, value in (("n_known", known), ("base", plain), ("score", log)):
+                sums[field] = np.bincount(row, weights=value[at], minlength=size)[some]
+            begun = np.empty(new, BEGUN_ROW)
+            for field, kind, where in (("row", np.uint16, 0), ("doc_id", np.int64, 2), ("null", np.uint8, 10)):
+                begun[field] = np.frombuffer(x, kind, new, 24 + 12 * n + 2 * total + where * new)
+            parts.append(int(mix(rid.astype(np.uint64))[0] % np.uint64(parts_out)))
+            out.append(b"".join([rid.tobytes(), np.array([len(sums), new], np.uint32).tobytes(), sums.tobytes(), begun.tobytes()]))
+        result = pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(out, pa.binary())})
+        del names, log, plain, known, out
+        release_heap()
+        return result
 
     return run
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Of one part of the documents: one row each. Sums run in the order of the values, so reruns agree."""
-    rows = np.concatenate([np.frombuffer(x, PARTIAL_ROW) for x in table.column("data").to_pylist()])
-    rows = rows[np.lexsort((rows["score"], rows["base"], rows["rid"]))]
-    start = _runs(rows["rid"])
-    out = {n: np.add.reduceat(rows[n].astype(np.float64 if n in ("base", "score") else np.int64), start) for n in ("n_tokens", "n_known", "base", "score")}
-    return pa.table({"doc_id": pa.array(rows["doc_id"][start], mask=rows["no_id"][start].astype(bool)), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "base_score": out["base"], "score": out["score"]})
+    """Of one part of the chunks: one row for each document. Sums run in the order of the values, so reruns agree."""
+    got, begun, of_got, of_begun = [], [], [], []
+    for x in _blobs(table):
+        rid, (n, new) = np.frombuffer(x, np.int64, 1), (int(v) for v in np.frombuffer(x, np.uint32, 2, 8))
+        got.append(np.frombuffer(x, PARTIAL_ROW, n, 16))
+        begun.append(np.frombuffer(x, BEGUN_ROW, new, 16 + n * PARTIAL_ROW.itemsize))
+        of_got.append(rid + got[-1]["row"])
+        of_begun.append(rid + begun[-1]["row"])
+    got, begun, of_got, of_begun = (np.concatenate(v) for v in (got, begun, of_got, of_begun))
+    order = np.lexsort((got["score"], got["base"], of_got))
+    got, of_got = got[order], of_got[order]
+    begun = begun[np.argsort(of_begun)]
+    start = _runs(of_got)
+    out = {n: np.add.reduceat(got[n].astype(np.float64 if n in ("base", "score") else np.int64), start) for n in ("n_tokens", "n_known", "base", "score")}
+    return pa.table({"doc_id": pa.array(begun["doc_id"], mask=begun["null"].astype(bool)), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "base_score": out["base"], "score": out["score"]})
 
 
 def fit(rows: DataFrame, folder: str, slices: int) -> dict:
-    """Counts all training texts into folder (by slice) and learns the weights. rows: text, fold, rid."""
+    """Counts all training texts into folder (words by slice, bigrams by bucket) and learns the weights. rows: text, fold.
+
+    The model's "hot" is a number of parts for each bucket that is dealt out; at most MOST_HOT buckets are."""
     spark = rows.sparkSession
     own = rows.select("text", "fold")
     words = own.mapInArrow(_count_words(slices), "slice int, sub int, names binary, kept binary, gone binary").groupBy("slice", "sub").applyInArrow(_merge_words, WORDS)
     with inner_settings(spark):
-        words.repartition("slice").write.partitionBy("slice").parquet(folder)
-    words = spark.read.schema(WORDS).parquet(folder)
+        words.repartition("slice").write.partitionBy("slice").parquet(f"{folder}/words")
+    words = spark.read.schema(WORDS).parquet(f"{folder}/words")
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_kept", "v_kept", "n", "v")]).first()
     model = {c: int(total[c]) for c in ("n_kept", "v_kept", "n", "v")}
     counts = words.groupBy("slice", "sub").applyInArrow(_uniform_ratio(model), "level long, place long, weight long")
     model["m"] = _weights(counts.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect()).get(0, 0.5)
-    pairs = own.mapInArrow(_emit(slices, False), "bucket int, data binary").groupBy("bucket").applyInArrow(_bigram_ratio(folder, slices, model), "level long, place long, weight long")
-    # One row for each power of two of the context's count and each place of the histogram: a few thousand at any size.
+    pairs = own.mapInArrow(_emit_counts(slices), "bucket int, data binary").groupBy("bucket").applyInArrow(_merge_pairs(f"{folder}/words", slices, model), PAIRS)
     with inner_settings(spark):
-        model["l"] = _weights(pairs.groupBy("level", "place").agg(F.sum("weight").alias("weight")).collect())
+        pairs.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/pairs")
+    pairs = spark.read.schema(PAIRS).parquet(f"{folder}/pairs")
+    # One row for each power of two of the context's count and each place of the histogram: a few thousand at any size.
+    ratios = pairs.select(F.explode("ratios").alias("r")).groupBy("r.level", "r.place").agg(F.sum("r.weight").alias("weight"))
+    model["l"] = _weights(ratios.collect())
     known = [v for k, v in model["l"].items() if k]
     model["l_other"] = float(np.median(known)) if known else 0.5
+    places = int(pairs.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0])
+    bound = max(HOT_PLACES, places // MOST_HOT)
+    model["hot"] = {r.bucket: -(-r.places // bound) for r in pairs.where(F.col("places") > bound).select("bucket", "places").collect()}
     return model
 
 
@@ -380,6 +426,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     slices = max(2, math.ceil(math.sqrt(text_bytes(docs) / BUCKET_BYTES)))
     folder = scratch_path(spark, "words")
     model = fit(rows, folder, slices)
-    parts = rows.mapInArrow(_emit(slices, True), "bucket int, data binary").groupBy("bucket").applyInArrow(_score(folder, slices, model, max(16, slices * slices)), PARTIAL)
+    places = rows.mapInArrow(_emit_places(slices, model["hot"]), "bucket int, salt int, data binary")
+    parts = places.groupBy("bucket", "salt").applyInArrow(_score(f"{folder}/pairs", model, max(16, slices * slices)), PARTIAL)
+    scores = saved(parts.groupBy("part").applyInArrow(_sums, SCORES), "scores")
+    delete_path(spark, folder)
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
-    return parts.groupBy("part").applyInArrow(_sums, SCORES).select("doc_id", held, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores.select("doc_id", held, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -218,6 +218,15 @@ def test_lm_beats_base_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_buckets_that_are_dealt_out(spark, docs, monkeypatch):
+    want = sorted(map(tuple, lm.lm_scores(docs).collect()), key=str)
+    monkeypatch.setattr(lm, "HOT_PLACES", 3)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 50)
+    got = sorted(map(tuple, lm.lm_scores(docs.repartition(5).sortWithinPartitions("doc_id")).collect()), key=str)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert [x[5:] for x in got] == [pytest.approx(x[5:], rel=1e-9) for x in want]
+
+
 def test_weights_are_learned():
     ratio, weight = np.array([0.0, 4.0]), np.array([30.0, 70.0])
     best = max((sum(w * math.log(x * r + 1 - x) for r, w in zip(ratio, weight, strict=True)), x) for x in np.linspace(0.001, 0.999, 999))[1]
