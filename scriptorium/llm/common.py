@@ -147,6 +147,7 @@ def release_heap() -> None:
     import ctypes
 
     _tables.clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

@@ -33,8 +33,11 @@ END, BEGIN = np.uint64(0xE4D0F7E87), np.uint64(0xBE6177AB1)
 #: A bucket gets the bigrams of about this many bytes of text.
 BUCKET_BYTES = 14 << 20
 CHUNK_BYTES = 2 << 20
+HASH_BYTES = 1 << 18
 #: A bucket with more occurrences, and with more than one in so many of all, is dealt out by chunk.
 HOT_PLACES, MOST_HOT = 8 << 20, 100_000
+#: Entries that wait, unless more are held already, before those of one bucket are merged.
+MERGE_ENTRIES = 1 << 18
 BINS = 32  # of the ratio's logarithm, for each power of two
 STEPS = 60
 _SHIFT = np.uint64(24)
@@ -58,14 +61,20 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, token, row) of every token: the words of each text and an end, each after the word before it or a begin."""
-    words = Words(data, off)
-    rows = len(off) - 1
-    size = words.count + 1
+    counts, hashes, at = [], [], 0
+    while at < len(off) - 1:  # words are hashed piece by piece: that takes many bytes for each of the text's
+        to = max(int(np.searchsorted(off, off[at] + HASH_BYTES, side="right")) - 1, at + 1)
+        words = Words(data[off[at] : off[to]], off[at : to + 1] - off[at])
+        counts.append(words.count)
+        hashes.append(words.hash)
+        at = to
+    size, hashes = np.concatenate(counts) + 1, np.concatenate(hashes)
+    rows = len(size)
     last = np.cumsum(size) - 1
     token = np.empty(int(size.sum()), np.uint64)
     is_end = np.zeros(len(token), bool)
     is_end[last] = True
-    token[is_end], token[~is_end] = END, words.hash
+    token[is_end], token[~is_end] = END, hashes
     context = np.empty_like(token)
     context[1:] = token[:-1]
     context[last - size + 1] = BEGIN
@@ -156,8 +165,34 @@ def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(3) ^ token)
 
 
-def _blobs(table: pa.Table) -> Iterator[pa.Buffer]:
-    for chunk in table.column("data").chunks:
+def squeeze(*arrays: np.ndarray, rising: int = 0) -> bytes:
+    """Several arrays as one compressed blob: the bytes of each by place, so small numbers leave runs of zeros. The first `rising`
+    arrays are held as differences."""
+    planes, head = [], [len(arrays)]
+    for k, x in enumerate(arrays):
+        if k < rising and len(x):
+            x = np.append(x[:1], np.diff(x))
+        head += [ord(x.dtype.char), len(x)]
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: pa.Buffer, rising: int = 0) -> list[np.ndarray]:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    raw = np.frombuffer(pa.decompress(blob.slice(8), decompressed_size=size, codec="zstd"), np.uint8)
+    count = int(raw[:8].view(np.int64)[0])
+    head, at, out = raw[8 : 8 + 16 * count].view(np.int64).reshape(count, 2).tolist(), 8 + 16 * count, []
+    for k, (kind, n) in enumerate(head):
+        width = np.dtype(chr(kind)).itemsize
+        x = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(np.dtype(chr(kind)))
+        out.append(np.cumsum(x, dtype=x.dtype) if k < rising else x)
+        at += n * width
+    return out
+
+
+def _blobs(table: pa.Table, column: str = "data") -> Iterator[pa.Buffer]:
+    for chunk in table.column(column).chunks:
         for x in chunk:
             yield x.as_buffer()
 
@@ -188,8 +223,7 @@ def _emit_counts(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             bucket, context, token = bucket[first], context[first], token[first]
             start, out = _runs(bucket), []
             for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
-                head = np.array([b - a, size[a:b].sum()], np.uint32)
-                out.append((int(bucket[a]), b"".join(x.tobytes() for x in (head, context[a:b], token[a:b], kept[a:b], gone[a:b]))))
+                out.append((int(bucket[a]), squeeze(context[a:b], token[a:b], kept[a:b], gone[a:b], size[a:b].sum(keepdims=True), rising=1)))
             yield from _packed(out, ("bucket", "data"))
 
     return run
@@ -214,9 +248,8 @@ def _emit_places(slices: int, parts_of: dict[int, int]) -> Callable[[Iterator[pa
             for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
                 which, own = int(bucket[a]), name[a:b]
                 first, new = _runs(own), row[a:b][begin[a:b]]
-                body = [np.array([len(first), b - a, rows.num_rows, len(new)], np.uint32), rid[:1], own[first], np.diff(np.append(first, b - a)).astype(np.uint32), row[a:b].astype(np.uint16)]
-                body += [new.astype(np.uint16), doc[new], null[new].astype(np.uint8)]
-                out.append((which, draw % parts_of.get(which, 1), b"".join(x.tobytes() for x in body)))
+                blob = squeeze(own[first], np.diff(np.append(first, b - a)).astype(np.uint32), row[a:b].astype(np.uint16), new.astype(np.uint16), doc[new], null[new].astype(np.uint8), np.array([rid[0], rows.num_rows]), rising=1)
+                out.append((which, draw % parts_of.get(which, 1), blob))
             yield from _packed(out, ("bucket", "salt", "data"))
 
     return run
@@ -248,7 +281,19 @@ def _histogram(level: np.ndarray, place: np.ndarray, weight: np.ndarray) -> pa.T
     return pa.table({"level": pa.array(found), "place": pa.array(keys - (found << 32)), "weight": pa.array(total)})
 
 
-PAIRS = "bucket int, names binary, pairs binary, contexts binary, words binary, places long, ratios array<struct<level: long, place: long, weight: long>>"
+def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Contexts, tokens and both counts of several runs of entries as one, in the order of the pairs' hashes."""
+    context, token, kept, gone = (np.concatenate(v) for v in zip(*parts, strict=True))
+    name = _pair(context, token)
+    order = np.argsort(name, kind="stable")
+    start = _runs(name[order])
+    del name
+    kept, gone = (np.add.reduceat(x[order], start, dtype=np.int64) if len(start) else x.astype(np.int64) for x in (kept, gone))
+    order = order[start]
+    return [context[order], token[order], kept, gone]
+
+
+PAIRS = "bucket int, counts binary, places long, ratios array<struct<level: long, place: long, weight: long>>"
 
 
 def _merge_pairs(folder: str, slices: int, model: dict) -> Callable[[pa.Table], pa.Table]:
@@ -258,28 +303,25 @@ def _merge_pairs(folder: str, slices: int, model: dict) -> Callable[[pa.Table],
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         of_context, of_token = Slice(folder, bucket // slices), Slice(folder, bucket % slices)
-        got, places = [], 0
+        held, waiting, places = [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64)], [], 0
         for x in _blobs(table):
-            n, total = (int(v) for v in np.frombuffer(x, np.uint32, 2))
-            places += total
-            got.append([np.frombuffer(x, kind, n, 8 + width * n) for kind, width in ((np.uint64, 0), (np.uint64, 8), (np.uint32, 16), (np.uint32, 20))])
-        context, token, kept, gone = (np.concatenate(v) for v in zip(*got, strict=True))
-        name = _pair(context, token)
-        order = np.argsort(name, kind="stable")
-        start = _runs(name[order])
-        kept, gone = (np.add.reduceat(x[order], start, dtype=np.int64) for x in (kept, gone))
-        order = order[start]
-        name, context, token = name[order], context[order], token[order]
-        del got, order, start
+            *entries, total = unsqueeze(x, rising=1)
+            places += int(total[0])
+            waiting.append(entries)
+            if sum(len(w[0]) for w in waiting) > max(MERGE_ENTRIES, len(held[0])):
+                held, waiting = _merged([held, *waiting]), []
+        context, token, kept, gone = _merged([held, *waiting])
+        del held, waiting, entries
         seen, seen_gone = of_context.find(context)
         word, word_gone = of_token.find(token)
         some = gone > 0
         q = model["m"] * word[some] / max(1, model["n_kept"]) + (1 - model["m"]) / (model["v_kept"] + 1)
         f = np.where(seen[some] > 0, kept[some] / np.maximum(seen[some], 1), 0.0)
         ratios = _histogram(level(seen[some]), _bin(f / q), gone[some]).to_pylist()
-        columns = [pa.array([x.tobytes()], pa.binary()) for x in (name, kept + gone, seen + seen_gone, word + word_gone)]
-        out = pa.table([pa.array([bucket], pa.int32()), *columns, pa.array([places]), pa.array([ratios], pa.list_(pa.struct([("level", pa.int64()), ("place", pa.int64()), ("weight", pa.int64())])))], names=["bucket", "names", "pairs", "contexts", "words", "places", "ratios"])
-        del of_context, of_token, columns
+        counts = squeeze(_pair(context, token), kept + gone, seen + seen_gone, word + word_gone, rising=1)
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("level", "place", "weight")]))
+        out = pa.table([pa.array([bucket], pa.int32()), pa.array([counts], pa.binary()), pa.array([places]), pa.array([ratios], kind)], names=["bucket", "counts", "places", "ratios"])
+        del of_context, of_token, context, token, kept, gone, seen, seen_gone, word, word_gone
         release_heap()
         return out
 
@@ -310,8 +352,6 @@ def _weights(rows: list) -> dict[int, float]:
 
 
 PARTIAL = "part int, data binary"
-PARTIAL_ROW = np.dtype([("row", "<u2"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8")])
-BEGUN_ROW = np.dtype([("row", "<u2"), ("doc_id", "<i8"), ("null", "u1")])
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -321,9 +361,9 @@ def _read_pairs(folder: str, bucket: int) -> list[np.ndarray]:
     for f in fs.get_file_info(FileSelector(f"{base}/bucket={bucket}")):
         if f.type == FileType.File and f.base_name.endswith(".parquet"):
             with fs.open_input_file(f.path) as file:
-                table = pq.read_table(file, columns=["names", "pairs", "contexts", "words"])
-            if table.num_rows:
-                return [np.frombuffer(table.column(k)[0].as_buffer(), kind) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int64))]
+                table = pq.read_table(file, columns=["counts"])
+            for x in _blobs(table, "counts"):
+                return unsqueeze(x, rising=1)
     raise FileNotFoundError(f"counts of bucket {bucket} in {folder}")
 
 
@@ -341,24 +381,16 @@ def _score(folder: str, model: dict, parts_out: int) -> Callable[[pa.Table], pa.
         del both, seen, word, q, lam
         parts, out = [], []
         for x in _blobs(table):
-            n, total, size, new = (int(v) for v in np.frombuffer(x, np.uint32, 4))
-            rid = np.frombuffer(x, np.int64, 1, 16)
-            name, count, row = np.frombuffer(x, np.uint64, n, 24), np.frombuffer(x, np.uint32, n, 24 + 8 * n), np.frombuffer(x, np.uint16, total, 24 + 12 * n)
+            name, count, row, new, doc, null, (first, size) = unsqueeze(x, rising=1)
             at = np.searchsorted(names, name)
             if (names[np.minimum(at, len(names) - 1)] != name).any():
                 raise ValueError("a bigram was not counted")
             at = np.repeat(at, count)
             n_tokens = np.bincount(row, minlength=size)
             some = np.flatnonzero(n_tokens)
-            sums = np.empty(len(some), PARTIAL_ROW)
-            sums["row"], sums["n_tokens"] = some, n_tokens[some]
-            for field, value in (("n_known", known), ("base", plain), ("score", log)):
-                sums[field] = np.bincount(row, weights=value[at], minlength=size)[some]
-            begun = np.empty(new, BEGUN_ROW)
-            for field, kind, where in (("row", np.uint16, 0), ("doc_id", np.int64, 2), ("null", np.uint8, 10)):
-                begun[field] = np.frombuffer(x, kind, new, 24 + 12 * n + 2 * total + where * new)
-            parts.append(int(mix(rid.astype(np.uint64))[0] % np.uint64(parts_out)))
-            out.append(b"".join([rid.tobytes(), np.array([len(sums), new], np.uint32).tobytes(), sums.tobytes(), begun.tobytes()]))
+            sums = [np.bincount(row, weights=value[at], minlength=size)[some] for value in (known, plain, log)]
+            parts.append(int(mix(np.array([first]).astype(np.uint64))[0] % np.uint64(parts_out)))
+            out.append(squeeze(some.astype(np.uint16), *(v.astype(np.uint32) for v in (n_tokens[some], sums[0])), *sums[1:], new, doc, null, np.array([first])))
         result = pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(out, pa.binary())})
         del names, log, plain, known, out
         release_heap()
@@ -369,20 +401,21 @@ def _score(folder: str, model: dict, parts_out: int) -> Callable[[pa.Table], pa.
 
 def _sums(table: pa.Table) -> pa.Table:
     """Of one part of the chunks: one row for each document. Sums run in the order of the values, so reruns agree."""
-    got, begun, of_got, of_begun = [], [], [], []
+    got, begun = [], []
     for x in _blobs(table):
-        rid, (n, new) = np.frombuffer(x, np.int64, 1), (int(v) for v in np.frombuffer(x, np.uint32, 2, 8))
-        got.append(np.frombuffer(x, PARTIAL_ROW, n, 16))
-        begun.append(np.frombuffer(x, BEGUN_ROW, new, 16 + n * PARTIAL_ROW.itemsize))
-        of_got.append(rid + got[-1]["row"])
-        of_begun.append(rid + begun[-1]["row"])
-    got, begun, of_got, of_begun = (np.concatenate(v) for v in (got, begun, of_got, of_begun))
-    order = np.lexsort((got["score"], got["base"], of_got))
-    got, of_got = got[order], of_got[order]
-    begun = begun[np.argsort(of_begun)]
-    start = _runs(of_got)
-    out = {n: np.add.reduceat(got[n].astype(np.float64 if n in ("base", "score") else np.int64), start) for n in ("n_tokens", "n_known", "base", "score")}
-    return pa.table({"doc_id": pa.array(begun["doc_id"], mask=begun["null"].astype(bool)), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "base_score": out["base"], "score": out["score"]})
+        row, n_tokens, n_known, base, score, new, doc, null, first = unsqueeze(x)
+        got.append((first[0] + row, n_tokens, n_known, base, score))
+        begun.append((first[0] + new, doc, null))
+    rid, n_tokens, n_known, base, score = (np.concatenate(v) for v in zip(*got, strict=True))
+    begun, doc, null = (np.concatenate(v) for v in zip(*begun, strict=True))
+    order = np.lexsort((score, base, rid))
+    start = _runs(rid[order])
+    out = {k: np.add.reduceat(v[order], start, dtype=kind) for k, v, kind in (("n_tokens", n_tokens, np.int64), ("n_known", n_known, np.int64), ("base_score", base, np.float64), ("score", score, np.float64))}
+    order = np.argsort(begun)
+    result = pa.table({"doc_id": pa.array(doc[order], mask=null[order].astype(bool)), **{k: pa.array(v) for k, v in out.items()}})
+    del got, rid, n_tokens, n_known, base, score
+    release_heap()
+    return result
 
 
 def fit(rows: DataFrame, folder: str, slices: int) -> dict:
