@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, longs, prefix_hash, release_heap, saved, scratch_path, span_hash, text_bytes, text_chunks
+from scriptorium.llm.common import _LOWER, longs, mix, release_heap, saved, scratch_path, text_bytes, text_chunks
 from scriptorium.llm.warc import file_system
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_BYTES, MOST_SHARDS = 5 << 20, 262_144
-#: How often a pair must be replaced to earn a rule, and the table in which a round looks up the pairs it replaces.
-LEAST_USES, SPOT_BITS = 8, 18
+#: How often a pair must be replaced to earn a rule.
+LEAST_USES = 8
 #: Text that is encoded at once.
 ENCODE_BYTES = 2 << 20
 #: Distinct words whose ids a worker remembers before it starts anew, in a table of 2**TABLE_BITS slots.
@@ -40,6 +40,25 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123)]] = True
 
 
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def piece_hash(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of many short pieces, read eight bytes at a time; 0 stands for none."""
+    eight = np.ndarray((len(text) + 1,), "<u8", np.append(text, np.zeros(8, np.uint8)), strides=(1,))
+    left = stop - start
+    out = mix((eight[start] & _MASK[np.minimum(left, 8)]) + left.astype(np.uint64) * _ODD)
+    which = np.flatnonzero(left > 8)
+    at, left = start[which] + 8, left[which] - 8
+    while len(which):
+        out[which] = mix(out[which] * _ODD ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    out[out == 0] = 1
+    return out
+
+
 def _plain(word: str) -> bool:
     """Lower-case letters of the alphabets up to Cyrillic, in the form that normalising leaves alone."""
     return word.isalpha() and word.islower() and max(word) < "\u0530" and unicodedata.is_normalized("NFC", word)
@@ -173,8 +192,7 @@ def encode_rows(data: np.ndarray, off: np.ndarray, path: str = TOKENIZER, end: i
     letter = _ALNUM[before] | ((stop - start > 2) & (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
     cut = long & letter & ((sign == 46) | (sign == 44))
     stop = stop - cut
-    names = span_hash(prefix_hash(low), start, stop)
-    names[names == 0] = 1
+    names = piece_hash(low, start, stop)
     slot = known.find(names)
     miss = np.flatnonzero(slot < 0)
     if len(miss):
@@ -229,64 +247,94 @@ def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterat
     return run
 
 
-def _spot(code: np.ndarray) -> np.ndarray:
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - SPOT_BITS)
-
-
 def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, last, rules). seq: ids; last: True at a document's end, which no pair crosses.
 
-    Goes on until no pair can be replaced `least` times or the symbols, which stay below 65,536, are used up. A round counts all
-    pairs exactly and takes those at least half as frequent as the most frequent one. Where two of them overlap the more frequent
-    wins, by eighths of a doubling and then by hash, so that a long run of pairs alike in number is halved and not gone along one by one; what stays
-    over is counted again in the next round. The first pair in that order gets all its places, so each round makes a rule.
+    Goes on until no pair can be replaced `least` times or the symbols, which stay below 65,536, are used up. A round takes the
+    pairs at least half as frequent as the most frequent one. Where two of them overlap the more frequent wins, by eighths of a
+    doubling and then by hash, so that a long run of pairs alike in number is halved and not gone along one by one; what stays
+    over comes in the next round. The first pair in that order gets all its places, so a round makes a rule or strikes a pair.
+
+    Symbols are linked to their neighbours, and places are listed by pair, so after one sort of all pairs a round touches only
+    the places that it replaces and those beside them. Counts are exact, but for an id that follows itself over and over: that is
+    counted at every place and replaced at every second one. A pair gets all its places in the round that makes its later
+    symbol, so pairs less frequent than `least` never come back.
     """
-    seq, rules = seq.astype(np.uint32), np.zeros(0, np.uint32)
-    while len(seq) > 1 and len(rules) < (1 << 16) - first_symbol:
-        code = (seq[:-1] << np.uint32(16)) | seq[1:]
-        free = ~last[:-1]
-        again = np.flatnonzero((code[1:] == code[:-1]) & free[1:] & free[:-1]) + 1  # one id over and over: every second pair
-        begin = np.append(True, np.diff(again) != 1)[: len(again)]
-        place = np.arange(len(again))
-        free[again[(place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0]] = False
-        ordered = np.sort(code[free])
-        if not len(ordered):
-            break
-        start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(start, len(ordered)))
-        top = int(count.max())
-        if top < least:
-            break
-        often = np.flatnonzero(count >= max(least, -(-top // 2)))
-        pairs, count = ordered[start[often]], count[often]
-        mixed = (pairs ^ (pairs >> np.uint32(15))) * np.uint32(2246822519)
+    n = len(seq)
+    sym, following = np.append(seq, 0).astype(np.uint32), np.append(np.where(last, n, np.arange(1, n + 1)), n).astype(np.int32)
+    before = np.full(n + 1, n, np.int32)
+    before[1:-1][~last[:-1]] = np.flatnonzero(~last[:-1])
+    pair, rank_at, gone = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
+    pool, used, rules = np.empty(2 * n, np.int32), 0, np.zeros(0, np.uint32)  # places, pair by pair, of one round after the other
+    begin, sizes, counts, codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def enlist(places: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Lists these places by their pairs, if those are frequent: the numbers of the pairs."""
+        nonlocal pool, used, begin, sizes, counts, codes
+        order = np.argsort(code)
+        code = code[order]
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
+        count = np.diff(np.append(start, len(code)))
+        often = count >= least
+        places, count = places[order[np.repeat(often, count)]], count[often]
+        new = np.arange(len(counts), len(counts) + len(count))
+        pair[places] = np.repeat(new, count)
+        while used + len(places) > len(pool):
+            pool = np.append(pool, np.empty_like(pool))
+        pool[used : used + len(places)] = places
+        begin, sizes = np.append(begin, used + np.cumsum(count) - count), np.append(sizes, count)
+        counts, codes = np.append(counts, count), np.append(codes, code[start[often]])
+        used += len(places)
+        return new
+
+    at = np.flatnonzero(~last)
+    live = enlist(at, (sym[at] << np.uint32(16)) | sym[at + 1])
+    while len(live) and len(rules) < (1 << 16) - first_symbol:
+        count = counts[live]
+        chosen = live[count >= max(least, -(-int(count.max()) // 2))]
+        count = counts[chosen]
+        mixed = (codes[chosen] ^ (codes[chosen] >> np.uint32(15))) * np.uint32(2246822519)
         mixed ^= mixed >> np.uint32(13)
         best = np.lexsort((mixed, -count))[: (1 << 16) - first_symbol - len(rules)]
         best = best[np.lexsort((mixed[best], -np.floor(8 * np.log2(count[best]))))]
-        pairs = pairs[best]
-        table = np.full(1 << SPOT_BITS, -1, np.int32)
-        table[_spot(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)  # of pairs with one spot the first stays, the others come in a later round
-        rank = table[_spot(code)]
-        at = np.flatnonzero((rank >= 0) & free)
-        rank = rank[at]
-        hit = pairs[rank] == code[at]
-        at, rank = at[hit], rank[hit]
-        near = np.diff(at) == 1
-        lost = np.zeros(len(at), bool)
-        lost[1:] |= near & (rank[:-1] < rank[1:])
-        lost[:-1] |= near & (rank[1:] < rank[:-1])
-        at, rank = at[~lost], rank[~lost]
-        good = np.bincount(rank, minlength=len(pairs)) >= least
-        name = (np.cumsum(good) - 1 + first_symbol + len(rules)).astype(np.uint32)
-        at, rank = at[good[rank]], rank[good[rank]]
-        seq[at] = name[rank]
-        last = last.copy()
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules = np.append(rules, pairs[good])
-    return seq.astype(np.uint16), last, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype(np.uint16)
+        chosen = chosen[best]
+        size = sizes[chosen]
+        where = pool[np.repeat(begin[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].astype(np.int64)
+        rank = np.repeat(np.arange(len(chosen)), size)
+        there = pair[where] == np.repeat(chosen, size)
+        where, rank = where[there], rank[there]
+        rank_at[where] = rank
+        same = np.flatnonzero(((codes[chosen] >> np.uint32(16)) == (codes[chosen] & np.uint32(0xFFFF)))[rank])
+        if len(same):  # one id over and over: of each run every second place
+            same = same[np.argsort(where[same])]
+            first, place = rank_at[before[where[same]]] != rank[same], np.arange(len(same))
+            odd = same[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 1]
+            rank_at[where[odd]] = -1
+            where, rank = np.delete(where, odd), np.delete(rank, odd)
+        counts[chosen[np.bincount(rank, minlength=len(chosen)) < least]] = 0
+        second, left = following[where], before[where]
+        after, ahead = rank_at[second], rank_at[left]
+        lost = ((after >= 0) & (after < rank)) | ((ahead >= 0) & (ahead < rank))
+        rank_at[where] = -1
+        good = np.bincount(rank[~lost], minlength=len(chosen)) >= least
+        stay = np.flatnonzero(~lost & good[rank])
+        where, rank, second, left = where[stay], rank[stay], second[stay], left[stay]
+        third = following[second].astype(np.int64)
+        gone[second] = True
+        left = left[(left != n) & ~gone[left]].astype(np.int64)
+        old = np.concatenate([pair[where], pair[second], pair[left]])
+        counts -= np.bincount(old[old >= 0], minlength=len(counts))
+        pair[second], pair[where], pair[left] = -1, -1, -1
+        name = (np.cumsum(good) - 1 + first_symbol + len(rules)).astype(np.uint32)[rank]
+        sym[where], following[where], before[third] = name, third, where
+        before[n] = n
+        rules = np.append(rules, codes[chosen[good]])
+        inner = third != n
+        new = enlist(np.concatenate([where[inner], left]), np.concatenate([(name[inner] << np.uint32(16)) | sym[third[inner]], (sym[left] << np.uint32(16)) | sym[following[left]]]))
+        live = np.append(live, new)
+        live = live[counts[live] >= least]
+    keep = np.flatnonzero(~gone[:n])
+    return sym[keep].astype(np.uint16), following[keep] == n, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype(np.uint16)
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[bytes], first_symbol: int) -> bytes:
