@@ -30,7 +30,7 @@ SHARD_BYTES, MOST_SHARDS = 5 << 20, 262_144
 LEAST_USES = 8
 #: Text that is encoded at once.
 ENCODE_BYTES = 2 << 20
-#: Distinct words whose ids a worker remembers before it starts anew, in a table of 2**TABLE_BITS slots.
+#: Distinct words whose ids a worker remembers, from task to task, before it starts anew; in a table of 2**TABLE_BITS slots.
 CACHE_WORDS, TABLE_BITS = 1_000_000, 21
 MAGIC = b"REPAIR01"
 _loaded: dict[str, tuple] = {}
@@ -241,7 +241,6 @@ def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterat
             docs, valid = longs(rows, "doc_id"), rows.column(0).is_valid().to_numpy(zero_copy_only=False)
             shard = np.where(valid, np.searchsorted(borders, docs, side="right"), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(docs, mask=~valid), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
-        _tokenizer(path)[1].reset()
         release_heap()
 
     return run
@@ -261,9 +260,9 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
     symbol, so pairs less frequent than `least` never come back.
     """
     n = len(seq)
-    sym, following = np.append(seq, 0).astype(np.uint32), np.append(np.where(last, n, np.arange(1, n + 1)), n).astype(np.int32)
-    before = np.full(n + 1, n, np.int32)
-    before[1:-1][~last[:-1]] = np.flatnonzero(~last[:-1])
+    sym, following, before = np.append(seq, 0).astype(np.uint32), np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    following[:-1][last], before[1:][last] = n, n
+    following[n], before[0], before[n] = n, n, n
     pair, rank_at, gone = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
     pool, used, rules = np.empty(2 * n, np.int32), 0, np.zeros(0, np.uint32)  # places, pair by pair, of one round after the other
     begin, sizes, counts, codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -271,12 +270,13 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
     def enlist(places: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Lists these places by their pairs, if those are frequent: the numbers of the pairs."""
         nonlocal pool, used, begin, sizes, counts, codes
-        order = np.argsort(code)
-        code = code[order]
+        key = (code.astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64)
+        key.sort()
+        code, places = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
         count = np.diff(np.append(start, len(code)))
         often = count >= least
-        places, count = places[order[np.repeat(often, count)]], count[often]
+        places, count = places[np.repeat(often, count)].astype(np.int64), count[often]
         new = np.arange(len(counts), len(counts) + len(count))
         pair[places] = np.repeat(new, count)
         while used + len(places) > len(pool):
@@ -287,7 +287,7 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
         used += len(places)
         return new
 
-    at = np.flatnonzero(~last)
+    at = np.flatnonzero(following[:n] != n)
     live = enlist(at, (sym[at] << np.uint32(16)) | sym[at + 1])
     while len(live) and len(rules) < (1 << 16) - first_symbol:
         count = counts[live]
