@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,44 +13,40 @@ from pyspark.sql import functions as F
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Split so that the separator opens the piece after it; no empty pieces."""
+def _borders(text: str, separator: str) -> list[int]:
+    """Where pieces begin, and the text's end: a separator opens the piece after it; no piece is empty."""
     if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [p for p in [head, *(separator + r for r in rest)] if p]
+        return list(range(len(text) + 1))
+    head, *rest = map(len, text.split(separator))
+    at = list(accumulate((n + len(separator) for n in rest), initial=head))
+    return [0, *at] if head else at
 
 
-def _merged(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Greedy runs of pieces of at most `size` characters; a new run keeps whole pieces, `overlap` characters at most, of the last."""
-    run: list[str] = []
-    total = 0
-    for piece in pieces:
-        if run and total + len(piece) > size:
-            if joined := "".join(run).strip():
-                yield joined
-            while run and (total > overlap or (total + len(piece) > size and total > 0)):
-                total -= len(run.pop(0))
-        run.append(piece)
-        total += len(piece)
-    if joined := "".join(run).strip():
-        yield joined
+def _merged(text: str, at: list[int], size: int, overlap: int) -> Iterator[str]:
+    """Greedy runs of the pieces between borders, of at most `size` characters; a new run keeps whole pieces, `overlap` characters
+    at most, of the last one's end. Borders rise, so both ends of a run are found by bisection."""
+    first, last = 0, len(at) - 1
+    while first < last:
+        end = min(max(bisect_right(at, at[first] + size) - 1, first + 1), last)
+        if joined := text[at[first] : at[end]].strip():
+            yield joined
+        if end == last:
+            return
+        first = max(first, bisect_left(at, at[end] - overlap), min(bisect_left(at, at[end + 1] - size), end))
 
 
 def split_text(text: str, size: int = 500, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of about `size` characters, cut at the coarsest separator that occurs and within long pieces at finer ones."""
-    at = next(i for i, s in enumerate(separators) if s == "" or s in text or i == len(separators) - 1)
-    finer = separators[at + 1 :]
+    which = next(i for i, s in enumerate(separators) if s == "" or s in text or i == len(separators) - 1)
+    at, finer = _borders(text, separators[which]), separators[which + 1 :]
     out: list[str] = []
-    waiting: list[str] = []
-    for piece in _pieces(text, separators[at]):
-        if len(piece) < size:
-            waiting.append(piece)
-            continue
-        out += _merged(waiting, size, overlap)
-        waiting = []
+    first = 0
+    for k in [k for k in range(len(at) - 1) if at[k + 1] - at[k] >= size]:
+        out += _merged(text, at[first : k + 1], size, overlap)
+        piece = text[at[k] : at[k + 1]]
         out += split_text(piece, size, overlap, finer) if finer else [piece]
-    return out + list(_merged(waiting, size, overlap))
+        first = k + 1
+    return out + list(_merged(text, at[first:], size, overlap))
 
 
 def recursive_split(text: Column, size: int = 500, overlap: int = 100) -> Column:

@@ -29,12 +29,15 @@ TOOLS = {
     "comparator": (8, "Please compare and contrast the relevant information from the documents. Structure your response as: \n1. Key similarities\n2. Key differences\n3. Summary\nClearly label which document each point comes from. Cite page numbers."),
     "extractor": (8, "Please extract and list the requested information in a structured format. Use numbered lists or tables where appropriate. Include the source document and page number for each extracted item. Do not add information that is not present in the context."),
 }
+#: What stands for a context that is not there, and the lines above context, history and question.
 NO_CONTEXT = "No relevant context found in the loaded documents."
+CONTEXT_HEAD, HISTORY_HEAD, QUESTION_HEAD = "DOCUMENT CONTEXT:\n\n", "CONVERSATION HISTORY:\n", "\n\nUSER QUESTION: "
 SHORT_QUESTION, ENRICH_FROM, HISTORY = 5, 4, 6
 
 
 class Generator(Protocol):
-    """Turns prompts into answers: a function of a frame with `prompt` that adds `answer`. A model behind a pandas UDF fits."""
+    """Turns prompts into answers: a function of a frame with `prompt` that adds `answer`, null where it fails. A model behind a pandas
+    UDF fits."""
 
     def __call__(self, prompts: DataFrame) -> DataFrame: ...
 
@@ -80,20 +83,20 @@ def history(messages: DataFrame) -> DataFrame:
     """conv_id, history: the last six messages as lines; whoever is not the user is the assistant."""
     who = F.when(F.col("role") == "user", "User: ").otherwise("Assistant: ")
     lines = last_messages(messages, HISTORY).groupBy("conv_id").agg(_joined(F.concat(who, F.col("text")), "\n").alias("lines"))
-    return lines.select("conv_id", F.concat(F.lit("CONVERSATION HISTORY:\n"), "lines").alias("history"))
+    return lines.select("conv_id", F.concat(F.lit(HISTORY_HEAD), "lines").alias("history"))
 
 
 def contexts(hits: DataFrame) -> DataFrame:
     """query_id, context: hits in rank order, each with its source line."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Source: "), "source", F.lit(" | Page: "), "page", F.lit(" | Section: "), "section", F.lit(" | Confidence: "), "confidence", F.lit("\n"), "text", F.lit("\n"))
     rows = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n").alias("body"))
-    return rows.select("query_id", F.concat(F.lit("DOCUMENT CONTEXT:\n\n"), "body").alias("context"))
+    return rows.select("query_id", F.concat(F.lit(CONTEXT_HEAD), "body").alias("context"))
 
 
 def user_message(question: Column, context: Column, history_block: Column) -> Column:
     """History, context and question; a null history leaves no line behind, a null context says so."""
     before = F.when(history_block.isNotNull() & (history_block != ""), F.concat(history_block, F.lit("\n\n"))).otherwise("")
-    return F.concat(before, F.coalesce(context, F.lit(NO_CONTEXT)), F.lit("\n\nUSER QUESTION: "), question)
+    return F.concat(before, F.coalesce(context, F.lit(NO_CONTEXT)), F.lit(QUESTION_HEAD), question)
 
 
 def sources(hits: DataFrame) -> DataFrame:
@@ -126,13 +129,26 @@ def extractive_answers(hits: DataFrame, limit: int = 2) -> DataFrame:
     return best.select("query_id", F.array_join("s", " ").alias("answer"))
 
 
-def answered(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """query_id, tool_used, request, answer, confidence, n_sources, status: one row a question, hits or not."""
+def generated(questions: DataFrame, hits: DataFrame, generate: Generator) -> DataFrame:
+    """(query_id, request) with hits -> query_id, answer: the generator gets context and request as one prompt."""
+    prompts = questions.join(contexts(hits), "query_id").select("query_id", user_message(F.col("request"), F.col("context"), F.lit(None).cast("string")).alias("prompt"))
+    return generate(prompts).select("query_id", "answer")
+
+
+def answered(queries: DataFrame, hits: DataFrame, generate: Generator | None = None) -> DataFrame:
+    """query_id, tool_used, request, answer, confidence, n_sources, status: one row a question, hits or not.
+
+    Without a generator the answer is the first sentences of the best hit. status: ok; no_context, where nothing was found; failed,
+    where the generator gave none, and then the answer is null.
+    """
     tool = route(F.col("question"))
     base = queries.select("query_id", tool.alias("tool_used"), rewritten(F.col("question"), tool).alias("request"))
     counted = sources(hits).groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    out = base.join(extractive_answers(hits), "query_id", "left").join(answer_confidence(queries, hits), "query_id", "left").join(counted, "query_id", "left")
-    return out.select("query_id", "tool_used", "request", F.coalesce("answer", F.lit(NO_CONTEXT)).alias("answer"), "confidence", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.when(F.col("answer").isNull(), "no_context").otherwise("ok").alias("status"))
+    answers = generated(base, hits, generate) if generate else extractive_answers(hits)
+    out = base.join(answers, "query_id", "left").join(answer_confidence(queries, hits), "query_id", "left").join(counted, "query_id", "left")
+    status = F.when(F.col("n_sources").isNull(), "no_context").when(F.col("answer").isNull(), "failed").otherwise("ok")
+    answer = F.when(F.col("n_sources").isNull(), F.lit(NO_CONTEXT)).otherwise(F.col("answer"))
+    return out.select("query_id", "tool_used", "request", answer.alias("answer"), "confidence", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), status.alias("status"))
 
 
 #: Fixed value: the answer where a selection finds nothing.
@@ -144,6 +160,20 @@ def selection_prompt(selected: Column, question: Column) -> Column:
     return F.concat(F.lit('The user selected this text from the document:\n"'), selected, F.lit('"\n\nTheir question: '), question)
 
 
+def selection_answers(queries: DataFrame, hits: DataFrame, generate: Generator | None = None) -> DataFrame:
+    """(query_id, selected, question) and the hits of a selection search -> query_id, tool_used, request, answer, confidence, n_sources, status.
+
+    The tool is always the retriever. A selection without hits gets the fixed answer.
+    """
+    base = queries.select("query_id", selection_prompt(F.col("selected"), F.col("question")).alias("request"))
+    counted = sources(hits).groupBy("query_id").agg(F.count("*").alias("n_sources"))
+    answers = generated(base, hits, generate) if generate else extractive_answers(hits)
+    out = base.join(answers, "query_id", "left").join(answer_confidence(queries, hits), "query_id", "left").join(counted, "query_id", "left")
+    none = F.col("n_sources").isNull()
+    status = F.when(none, "no_context").when(F.col("answer").isNull(), "failed").otherwise("ok")
+    return out.select("query_id", F.lit("retriever").alias("tool_used"), "request", F.when(none, F.lit(NO_SELECTION)).otherwise(F.col("answer")).alias("answer"), "confidence", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), status.alias("status"))
+
+
 def remembered(messages: DataFrame, new: DataFrame) -> DataFrame:
     """Adds (conv_id, question, request, answer) as two turns at the end of each conversation; both forms of the question are kept."""
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.errors import RetrievalError
 from scriptorium.functions import text as T
 from scriptorium.functions import vector as V
+from scriptorium.functions.exact import exact_mean
 
 FAITHFUL, RELEVANT = 0.40, 0.45
 
@@ -57,14 +58,14 @@ METRICS = ("answer_relevancy", "faithfulness", "context_precision", "context_rec
 
 def report(per_question: DataFrame) -> DataFrame:
     """Means over the questions that could be evaluated, to four places, and how many those are."""
-    return per_question.where("faithfulness is not null").agg(*[F.round(F.avg(m), 4).alias(m) for m in METRICS], F.count("*").alias("num_evaluated"))
+    return per_question.where("faithfulness is not null").agg(*[exact_mean(F.col(m)).alias(m) for m in METRICS], F.count("*").alias("num_evaluated"))
 
 
 def comparison(questions: DataFrame, per_question: DataFrame) -> DataFrame:
     """(qa_id, question_type, method) and metrics by (qa_id, method) -> means in which questions without hits score 0."""
     joined = questions.join(per_question, ["qa_id", "method"], "left")
-    mean = lambda m: F.round(F.avg(F.coalesce(m, F.lit(0.0))), 4).alias(m)
-    missed = F.round(F.avg(F.col("faithfulness").isNull().cast("double")), 4).alias("zero_result_rate")
+    mean = lambda m: exact_mean(F.coalesce(m, F.lit(0.0))).alias(m)
+    missed = exact_mean(F.col("faithfulness").isNull().cast("double")).alias("zero_result_rate")
     return joined.groupBy("question_type", "method").agg(mean("faithfulness"), mean("context_precision"), missed, F.count("*").alias("num_questions"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,11 @@ from scriptorium.functions.text import strip
 #: Leading articles that are dropped, and entity labels that count.
 ARTICLES = ("the", "a", "an", "der", "die", "das", "den", "dem")
 LABELS = ("PERSON", "ORG", "GPE", "LOC", "LAW", "NORP", "PRODUCT", "EVENT", "FAC", "WORK_OF_ART")
+#: The names of the two relations, and how much of a chunk's text an edge keeps.
 DOCUMENT_RELATION, DEFAULT_RELATION = "appears_in", "related_to"
+HEAD = 200
+Extractor = Callable[[Column], Column]
+Relation = Callable[[Column, Column, Column], Column]
 CAPITALISED = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 
 
@@ -25,19 +31,39 @@ def document_node(source: Column) -> Column:
     return strip(F.translate(F.regexp_replace(source, r"(?i)\.pdf$", ""), "_", " "))
 
 
-def capitalised_mentions(chunks: DataFrame) -> DataFrame:
-    """The default extractor, by built-in functions: chunk_id, source, page, text, sent_idx, pos, surface, label of runs of capitalised words.
+def capitalised(text: Column) -> Column:
+    """The default extractor, by built-in functions: runs of capitalised words, as an array<struct<surface, label>> for each sentence.
+
+    A model goes in its place as any function of the text that returns such arrays of arrays, sentence by sentence.
+    """
+    found = lambda s: F.transform(F.regexp_extract_all(s, F.lit(CAPITALISED), F.lit(0)), lambda m: F.struct(m.alias("surface"), F.lit("ORG").alias("label")))
+    return F.transform(F.split(text, r"(?<=[.!?])\s+"), found)
+
+
+def capitalised_mentions(chunks: DataFrame, extract: Extractor = capitalised) -> DataFrame:
+    """One row a chunk: chunk_id, source, page, head (the text's first HEAD characters), mentions (an array for each sentence).
 
-    pos counts mentions along the chunk. A model goes in its place as any function that returns these columns.
+    Everything that is derived from mentions stays inside that row, so no text travels and nothing is shuffled.
     """
-    parts = chunks.select("chunk_id", "source", "page", "text", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent_idx", "sentence"))
-    found = parts.select("chunk_id", "source", "page", "text", "sent_idx", F.posexplode(F.regexp_extract_all("sentence", F.lit(CAPITALISED), F.lit(0))).alias("at", "surface"))
-    along = F.row_number().over(W.partitionBy("chunk_id").orderBy("sent_idx", "at")) - 1
-    return found.withColumn("pos", along).select("chunk_id", "source", "page", "text", "sent_idx", "pos", "surface", F.lit("ORG").alias("label"))
+    return chunks.select("chunk_id", "source", "page", F.left("text", F.lit(HEAD)).alias("head"), extract(F.col("text")).alias("mentions"))
+
+
+def _flat(sentences: Column) -> Column:
+    """All mentions of a chunk in order, each with its sentence, its place there, and how many there are."""
+    return F.flatten(F.transform(sentences, lambda s, i: F.transform(s, lambda m, at: F.struct(i.alias("sent_idx"), at.alias("at"), F.size(s).alias("n"), m["surface"].alias("surface"), m["label"].alias("label")))))
+
+
+def mention_rows(mentions: DataFrame) -> DataFrame:
+    """One row a mention: chunk_id, source, page, pos (counted along the chunk), sent_idx, surface, label."""
+    rows = mentions.select("chunk_id", "source", "page", F.posexplode(_flat(F.col("mentions"))).alias("pos", "m"))
+    return rows.select("chunk_id", "source", "page", "pos", "m.sent_idx", "m.surface", "m.label")
 
 
 def relevant(mentions: DataFrame) -> DataFrame:
-    return mentions.where(F.col("label").isin(*LABELS)).withColumn("name", normalise(F.col("surface")))
+    """Mentions whose label counts, flat and with normalised names, as the array m of a chunk's row."""
+    kept = F.transform("mentions", lambda s: F.filter(s, lambda m: m["label"].isin(*LABELS)))
+    named = F.transform(_flat(kept), lambda m: F.struct(m["sent_idx"].alias("sent_idx"), m["at"].alias("at"), m["n"].alias("n"), normalise(m["surface"]).alias("name")))
+    return mentions.select("chunk_id", "source", "page", "head", named.alias("m"))
 
 
 def reject_reason(a: Column, b: Column) -> Column:
@@ -46,30 +72,31 @@ def reject_reason(a: Column, b: Column) -> Column:
 
 
 def sentence_pairs(mentions: DataFrame) -> DataFrame:
-    """All pairs of mentions in a sentence, earlier to later: chunk_id, source, page, text, sent_idx, src, dst, a_pos, b_pos, reason.
+    """All pairs of mentions in a sentence, earlier to later: chunk_id, source, page, head, sent_idx, src, dst, a_pos, b_pos, reason.
 
-    A sentence's names are gathered and paired inside one row; sentences are short, and no join is needed.
+    The partners of a mention are those that follow it in its sentence, a slice of the row's array.
     """
-    own = relevant(mentions).groupBy("chunk_id", "sent_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("m"), F.first("source").alias("source"), F.first("page").alias("page"), F.first("text").alias("text"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["pos"] > a["pos"]), lambda b: F.struct(a["pos"].alias("a_pos"), b["pos"].alias("b_pos"), a["name"].alias("src"), b["name"].alias("dst")))))
-    rows = own.where(F.size("m") > 1).select("chunk_id", "source", "page", "text", "sent_idx", F.explode(pairs).alias("p")).select("chunk_id", "source", "page", "text", "sent_idx", "p.*")
+    partners = lambda a, p: F.transform(F.slice("m", p + 2, a["n"] - a["at"] - 1), lambda b, q: F.struct(a["sent_idx"].alias("sent_idx"), p.alias("a_pos"), (p + q + 1).alias("b_pos"), a["name"].alias("src"), b["name"].alias("dst")))
+    rows = relevant(mentions).select("chunk_id", "source", "page", "head", F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("chunk_id", "source", "page", "head", "p.*")
     return rows.withColumn("reason", reject_reason(F.col("src"), F.col("dst")))
 
 
 def document_links(mentions: DataFrame) -> DataFrame:
-    """Document to entity, once a chunk and name regardless of case, the first spelling: chunk_id, source, page, text, src, dst, pos."""
-    own = relevant(mentions).withColumn("src", document_node(F.col("source"))).where("name <> '' and not endswith(name, '-') and lower(name) <> lower(src)")
-    first = F.row_number().over(W.partitionBy("chunk_id", F.lower("name")).orderBy("pos"))
-    return own.withColumn("n", first).where("n = 1").select("chunk_id", "source", "page", "text", "src", F.col("name").alias("dst"), "pos")
+    """Document to entity, once a chunk and name regardless of case, the first spelling: chunk_id, source, page, head, src, dst, pos."""
+    own = relevant(mentions).withColumn("src", document_node(F.col("source"))).withColumn("low", F.transform("m", lambda a: F.lower(a["name"])))
+    first = own.select("chunk_id", "source", "page", "head", "src", "low", F.posexplode(F.transform("m", lambda a: a["name"])).alias("pos", "dst")).where(F.array_position("low", F.lower("dst")) == F.col("pos") + 1)
+    return first.where("dst <> '' and not endswith(dst, '-') and lower(dst) <> lower(src)").select("chunk_id", "source", "page", "head", "src", "dst", "pos")
 
 
-def build_edges(mentions: DataFrame) -> DataFrame:
+def build_edges(mentions: DataFrame, relation: Relation | None = None) -> DataFrame:
     """src, dst, relation, source, page, chunk_text, chunk_id, kind, place_a, place_b: a chunk's pairs first, then its document links.
 
-    (chunk order, kind, place_a, place_b) is the order of insertion. Parallel edges stay.
+    (chunk order, kind, place_a, place_b) is the order of insertion. Parallel edges stay. `relation` names a pair's relation from
+    its two names and the chunk's head; where it gives none, and by default, that is DEFAULT_RELATION.
     """
-    pairs = sentence_pairs(mentions).where("reason is null").select("src", "dst", F.lit(DEFAULT_RELATION).alias("relation"), "source", "page", F.left("text", F.lit(200)).alias("chunk_text"), "chunk_id", F.lit(0).alias("kind"), F.col("a_pos").alias("place_a"), F.col("b_pos").alias("place_b"))
-    links = document_links(mentions).select("src", "dst", F.lit(DOCUMENT_RELATION).alias("relation"), "source", "page", F.left("text", F.lit(200)).alias("chunk_text"), "chunk_id", F.lit(1).alias("kind"), F.col("pos").alias("place_a"), F.lit(0).alias("place_b"))
+    named = F.coalesce(relation(F.col("src"), F.col("dst"), F.col("head")), F.lit(DEFAULT_RELATION)) if relation else F.lit(DEFAULT_RELATION)
+    pairs = sentence_pairs(mentions).where("reason is null").select("src", "dst", named.alias("relation"), "source", "page", F.col("head").alias("chunk_text"), "chunk_id", F.lit(0).alias("kind"), F.col("a_pos").alias("place_a"), F.col("b_pos").alias("place_b"))
+    links = document_links(mentions).select("src", "dst", F.lit(DOCUMENT_RELATION).alias("relation"), "source", "page", F.col("head").alias("chunk_text"), "chunk_id", F.lit(1).alias("kind"), F.col("pos").alias("place_a"), F.lit(0).alias("place_b"))
     return pairs.unionByName(links)
 
 

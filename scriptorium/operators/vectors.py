@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scriptorium.errors import RetrievalError
 from scriptorium.functions import vector as V
+from scriptorium.functions.exact import exact_mean
 
 #: Queries meet the collection in blocks; a block of this many 384-place vectors is about 0.8 MB.
 QUERY_BLOCK = 256
@@ -54,6 +56,24 @@ def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id
     return rows.select(F.col(f"a.{query_col}").alias(query_col), id_col, V.score(cos).alias("score"))
 
 
+def similarities_within(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
+    """query_col, id_col, similarity, source of each query with the rows of the source it wants: one join by source, so a query
+    meets no other source's rows. AQE splits a source that holds many of them."""
+    stored = vectors.select(id_col, "source", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("vn", V.norm(F.col("v")))
+    asked = queries.select(query_col, "wanted", F.transform("embedding", lambda x: x.cast("double")).alias("q")).withColumn("qn", V.norm(F.col("q")))
+    met = stored.join(asked, (F.col("source") == F.col("wanted")) & (F.size("v") == F.size("q")))
+    cos = F.when((F.col("vn") == 0) | (F.col("qn") == 0), F.lit(0.0)).otherwise(V.dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")))
+    return met.select(query_col, id_col, V.score(cos).alias("score"), "source")
+
+
+def require_searchable(vectors: DataFrame, questions: list[str]) -> None:
+    """Raises RetrievalError for a blank question, and for a store without rows."""
+    if not questions or any(not (q or "").strip() for q in questions):
+        raise RetrievalError("a question is empty")
+    if vectors.isEmpty():
+        raise RetrievalError("the store is empty; take in documents first")
+
+
 def ranked(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id") -> DataFrame:
     """The k best of each query; Spark cuts each partition to k rows a query before the shuffle (WindowGroupLimit)."""
     rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("score").desc(), tie))
@@ -132,8 +152,7 @@ def selection_search(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col:
     """
     sources = vectors.select(id_col, "source")
     if prefilter:
-        own = similarities(vectors, queries, id_col, query_col).join(sources, id_col).join(queries.select(query_col, "wanted"), query_col).where("source = wanted")
-        return ranked(own.drop("wanted"), n, query_col, id_col)
+        return ranked(similarities_within(vectors, queries, id_col, query_col), n, query_col, id_col)
     wide = search(vectors, queries, 3 * n, id_col, query_col).join(sources, id_col).join(queries.select(query_col, "wanted"), query_col)
     matches = F.coalesce(F.col("source") == F.col("wanted"), F.lit(False))
     marked = wide.withColumn("match", matches).withColumn("any_match", F.max("match").over(W.partitionBy(query_col)))
@@ -156,7 +175,7 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 
 def score_summary(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 6).alias("mean"))
+    return hits.agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), exact_mean(F.col("score"), 6).alias("mean"))
 
 
 def score_histogram(hits: DataFrame, bins: int = 25) -> DataFrame:

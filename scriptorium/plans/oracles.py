@@ -7,6 +7,12 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def exact_mean(x: str, places: int = 4) -> str:
+    """A mean over whole millionths, rounded half away from zero."""
+    total, n = f"sum(round(({x}) * 1000000)::BIGINT)::BIGINT", f"count({x}) * {10 ** (6 - places)}"
+    return f"(sign({total}) * ((2 * abs({total}) + {n}) // (2 * {n})))::DOUBLE / {10**places}::DOUBLE"
+
+
 BLANKED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN x || chr(10) ELSE x END), chr(10))"
 DIRTY = "CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(9) || text || '  ' || chr(10) || '-----' || repeat(chr(10), 4) || 'end ' || chr(10) || ' ' || chr(10) ELSE text END"
 
@@ -68,7 +74,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 SPOKEN = "spoken AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant'))"
 HISTORY = "hist AS (SELECT conv_id, 'CONVERSATION HISTORY:' || chr(10) || string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) ORDER BY turn) AS history FROM spoken WHERE back <= 6 GROUP BY 1)"
-ROUTED = """routed AS (SELECT doc_id AS query_id, substr(text, 1, 60) || CASE WHEN doc_id % 8 = 0 THEN ' tvs summary' WHEN doc_id % 4 = 0 THEN ' Overview' WHEN doc_id % 4 = 1 THEN ' vs ' WHEN doc_id % 4 = 2 THEN ' LIST ALL ' ELSE '' END AS question FROM documents),
+ROUTED = """routed AS (SELECT doc_id AS query_id, text || CASE WHEN doc_id % 8 = 0 THEN ' tvs summary' WHEN doc_id % 4 = 0 THEN ' Overview' WHEN doc_id % 4 = 1 THEN ' vs ' WHEN doc_id % 4 = 2 THEN ' LIST ALL ' ELSE '' END AS question FROM documents),
 tooled AS (SELECT *, CASE
   WHEN regexp_matches(lower(question), 'summarize|summary|overview|zusammenfassung|résumé') THEN 'summarizer'
   WHEN regexp_matches(lower(question), 'compare|difference|versus|vs|vergleich|comparer') THEN 'comparator'
@@ -197,9 +203,9 @@ ORACLES: dict[str, str] = {
     "v13_stats": "SELECT count(*) AS total_chunks, count(DISTINCT source) AS total_documents, (SELECT string_agg(source, chr(10) ORDER BY source) FROM (SELECT DISTINCT source FROM documents)) AS documents FROM documents",
     "v14_retrieval_probe": f"WITH {text_hits(3)} SELECT query_id, rank, chunk_id, score FROM hits",
     "v15_score_histogram": f"WITH {dense_hits(5)}, binned AS ({HIST_BINS}) SELECT bin, left_edge, count(*) AS n, CASE WHEN left_edge >= 0.75 THEN 'High' WHEN left_edge >= 0.5 THEN 'Medium' ELSE 'Low' END AS label FROM (SELECT bin, round(low + bin * (high - low) / 25, 6) AS left_edge FROM binned) GROUP BY 1, 2",
-    "v15_score_summary": f"WITH {dense_hits(5)} SELECT count(*) AS n, min(score) AS least, max(score) AS most, round(avg(score), 6) AS mean FROM hits",
+    "v15_score_summary": f"WITH {dense_hits(5)} SELECT count(*) AS n, min(score) AS least, max(score) AS most, {exact_mean('score', 6)} AS mean FROM hits",
     "g1_mentions": f"WITH {MENTIONS} SELECT chunk_id, sent_idx, pos, surface FROM mentions_",
-    "g2_normalise": f"SELECT doc_id, {normalised('''(['the ', 'DER  ', '', 'an' || chr(10), 'Theory '])[doc_id % 5 + 1] || substr(text, 1, 40)''')} AS name FROM documents",
+    "g2_normalise": f"SELECT doc_id, {normalised('''(['the ', 'DER  ', '', 'an' || chr(10), 'Theory '])[doc_id % 5 + 1] || text''')} AS name FROM documents",
     "g3_document_nodes": f"SELECT doc_id, {node_of('''source || CASE WHEN doc_id % 2 = 0 THEN '_Report.PDF' ELSE '_x.pdf.txt' END''')} AS node FROM documents",
     "g4_sentence_pairs": f"WITH {MENTIONS}, {PAIRS} SELECT chunk_id, a_pos, b_pos, src, dst, reason FROM pairs",
     "g6_rejections": f"WITH {MENTIONS}, {PAIRS} SELECT reason, count(*) AS n FROM pairs GROUP BY 1",
@@ -223,21 +229,21 @@ ORACLES: dict[str, str] = {
     "q4_answer": f"""WITH {text_hits(5)}, first_ AS (SELECT query_id, array_to_string(({sentences('text')})[1:2], ' ') AS answer, confidence FROM hits WHERE rank = 1), places AS (SELECT query_id, count(DISTINCT (source, page)) AS n FROM hits GROUP BY 1)
       SELECT item_id AS query_id, 'retriever' AS tool_used, b.text AS request, coalesce(answer, 'No relevant context found in the loaded documents.') AS answer, coalesce(confidence, 'Low') AS confidence, coalesce(n, 0) AS n_sources, CASE WHEN answer IS NULL THEN 'no_context' ELSE 'ok' END AS status
       FROM benchmark b LEFT JOIN first_ f ON f.query_id = item_id LEFT JOIN places p ON p.query_id = item_id""",
-    "q6_selection_prompt": """SELECT doc_id, 'The user selected this text from the document:' || chr(10) || '"' || substr(text, 1, 120) || '"' || chr(10) || chr(10) || 'Their question: what is ' || lang AS prompt FROM documents""",
+    "q6_selection_prompt": """SELECT doc_id, 'The user selected this text from the document:' || chr(10) || '"' || text || '"' || chr(10) || chr(10) || 'Their question: what is ' || lang AS prompt FROM documents""",
     "q7_context": f"WITH {text_hits(3)}, c AS (SELECT query_id, 'DOCUMENT CONTEXT:' || chr(10) || chr(10) || string_agg('[' || rank || '] Source: ' || source || ' | Page: ' || page || ' | Section: ' || section || ' | Confidence: ' || confidence || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context FROM hits GROUP BY 1) SELECT query_id, length(context)::INTEGER AS n_chars, md5(context) AS context_md5 FROM c",
     "q8_history": f"WITH {SPOKEN}, {HISTORY} SELECT conv_id, history FROM hist",
-    "q9_user_message": f"WITH {SPOKEN}, {HISTORY} SELECT conv_id, md5(CASE WHEN history IS NOT NULL THEN history || chr(10) || chr(10) ELSE '' END || coalesce(substr(b.text, 1, 200), 'No relevant context found in the loaded documents.') || chr(10) || chr(10) || 'USER QUESTION: question ' || conv_id) AS message_md5 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (FROM hist WHERE conv_id % 2 = 0) USING (conv_id) LEFT JOIN benchmark b ON item_id = conv_id",
+    "q9_user_message": f"WITH {SPOKEN}, {HISTORY} SELECT conv_id, md5(CASE WHEN history IS NOT NULL THEN history || chr(10) || chr(10) ELSE '' END || coalesce(b.text, 'No relevant context found in the loaded documents.') || chr(10) || chr(10) || 'USER QUESTION: question ' || conv_id) AS message_md5 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (FROM hist WHERE conv_id % 2 = 0) USING (conv_id) LEFT JOIN benchmark b ON item_id = conv_id",
     "q10_sources": f"WITH {text_hits(8)}, once AS (SELECT *, (chunk_id::BIGINT % 3)::VARCHAR AS third FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, source, third ORDER BY rank) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, source AS document, third AS page, section, confidence, score FROM once",
     "q11_confidence": f"WITH {text_hits(5)} SELECT item_id AS query_id, coalesce(confidence, 'Low') AS confidence FROM benchmark LEFT JOIN (FROM hits WHERE rank = 1 AND query_id % 4 <> 0) ON query_id = item_id",
     "q14_memory": f"WITH {SPOKEN} SELECT conv_id, count(*) + 2 AS n, max(turn) + 2 AS last_turn, 'an answer' AS last_text FROM spoken WHERE conv_id <> 3 GROUP BY 1",
     "q15_tools": tool_texts(),
     "e1_evaluate_questions": f"WITH {judged()} SELECT qa_id, round(answer_relevancy, 6) AS answer_relevancy, round(faithfulness, 6) AS faithfulness, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall FROM per",
-    "e5_report": f"WITH {judged()} SELECT round(avg(answer_relevancy), 4) AS answer_relevancy, round(avg(faithfulness), 4) AS faithfulness, round(avg(context_precision), 4) AS context_precision, round(avg(context_recall), 4) AS context_recall, count(*) AS num_evaluated FROM per WHERE faithfulness IS NOT NULL",
+    "e5_report": f"WITH {judged()} SELECT {', '.join(exact_mean(m) + ' AS ' + m for m in ('answer_relevancy', 'faithfulness', 'context_precision', 'context_recall'))}, count(*) AS num_evaluated FROM per WHERE faithfulness IS NOT NULL",
     "e7_comparison": f"""WITH {judged()}, asked AS (SELECT item_id AS qa_id, CASE WHEN item_id % 2 = 0 THEN 'single_fact' ELSE 'multi_hop' END AS question_type, unnest(['vector', 'graph']) AS method FROM benchmark)
-      SELECT question_type, method, round(avg(coalesce(faithfulness, 0.0)), 4) AS faithfulness, round(avg(coalesce(context_precision, 0.0)), 4) AS context_precision, round(avg(CASE WHEN faithfulness IS NULL THEN 1.0 ELSE 0.0 END), 4) AS zero_result_rate, count(*) AS num_questions
+      SELECT question_type, method, {exact_mean('coalesce(faithfulness, 0.0)')} AS faithfulness, {exact_mean('coalesce(context_precision, 0.0)')} AS context_precision, {exact_mean('CASE WHEN faithfulness IS NULL THEN 1.0 ELSE 0.0 END')} AS zero_result_rate, count(*) AS num_questions
       FROM asked a LEFT JOIN per p ON p.qa_id = a.qa_id AND (a.method = 'vector' OR a.qa_id % 3 <> 0) GROUP BY 1, 2""",
     "e10_score_bars": f"WITH {dense_hits(3)} SELECT query_id, chunk_id, rpad(repeat('#', floor(score * 30)::INTEGER), 30, '-') AS bar FROM hits WHERE score >= 0",
-    "m4_panels": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, round(avg(value), 6) AS mean_latency, max(value) AS max_latency FROM events GROUP BY 1, time_bucket(INTERVAL 1 HOUR, ts)",
+    "m4_panels": f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, (2000000 * count(*) FILTER (event_type = 'error') + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS error_rate, {exact_mean('value', 6)} AS mean_latency, max(value) AS max_latency FROM events GROUP BY 1, time_bucket(INTERVAL 1 HOUR, ts)",
     "m4_latency_p95": "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, round(p, 6) AS p95 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)",
     "m5_busiest_first_per_user": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from scriptorium.operators import chunking as C
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
-from scriptorium.session import load
+from scriptorium.session import load, shared_folder
 from scriptorium.streaming import monitoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,9 +88,9 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def routed_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Document openings with a route's keyword by id; ids divisible by 8 hold two, so precedence counts."""
+    """Whole documents with a route's keyword by id; ids divisible by 8 hold two, so precedence counts."""
     words = F.when(F.col("doc_id") % 8 == 0, " tvs summary").when(F.col("doc_id") % 4 == 0, " Overview").when(F.col("doc_id") % 4 == 1, " vs ").when(F.col("doc_id") % 4 == 2, " LIST ALL ").otherwise("")
-    return load(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.left("text", F.lit(60)), words).alias("question"))
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat("text", words).alias("question"))
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,8 +140,7 @@ def s11_graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The graph written as tables and read back."""
     from scriptorium.sources.files import load_table, save_tables
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='graph-')}"
-    folder = f"{root}/graph-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     own = trade_edges(spark, sf)
     save_tables(folder, edges=own, nodes=G.nodes(own))
     return load_table(spark, folder, "edges").groupBy("relation").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
@@ -314,13 +312,13 @@ def v16_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def g1_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions(spark, sf).select("chunk_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("pos").cast("bigint").alias("pos"), "surface")
+    return G.mention_rows(mentions(spark, sf)).select("chunk_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("pos").cast("bigint").alias("pos"), "surface")
 
 
 @query
 def g2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     front = F.element_at(F.array(*[F.lit(x) for x in ("the ", "DER  ", "", "an\n", "Theory ")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return load(spark, sf, "documents").select("doc_id", G.normalise(F.concat(front, F.left("text", F.lit(40)))).alias("name"))
+    return load(spark, sf, "documents").select("doc_id", G.normalise(F.concat(front, F.col("text"))).alias("name"))
 
 
 @query
@@ -378,7 +376,7 @@ def r1_node_index(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def r2_match_entities(spark: SparkSession, sf: str) -> DataFrame:
     asked = G.capitalised_mentions(questions(spark, sf).select(key("query_id").alias("chunk_id"), F.lit("").alias("source"), F.lit("").alias("page"), F.col("question").alias("text")))
-    found = G.match_entities(asked.select(F.col("chunk_id").cast("bigint").alias("query_id"), "pos", "surface"), G.node_index(edges(spark, sf)))
+    found = G.match_entities(G.mention_rows(asked).select(F.col("chunk_id").cast("bigint").alias("query_id"), "pos", "surface"), G.node_index(edges(spark, sf)))
     return found.select("query_id", "node", F.col("start_rank").cast("bigint").alias("start_rank"))
 
 
@@ -421,7 +419,7 @@ def q4_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q6_selection_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", A.selection_prompt(F.left("text", F.lit(120)), F.concat(F.lit("what is "), "lang")).alias("prompt"))
+    return load(spark, sf, "documents").select("doc_id", A.selection_prompt(F.col("text"), F.concat(F.lit("what is "), "lang")).alias("prompt"))
 
 
 @query
@@ -439,7 +437,7 @@ def q9_user_message(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation asks the benchmark item of its number; odd ones have no history, and items run out for later ones."""
     rows = load(spark, sf, "conversations").select("conv_id").distinct()
     hist = A.history(messages(spark, sf)).where("conv_id % 2 = 0")
-    asked = questions(spark, sf).select(F.col("query_id").alias("conv_id"), F.left("question", F.lit(200)).alias("context"))
+    asked = questions(spark, sf).select(F.col("query_id").alias("conv_id"), F.col("question").alias("context"))
     joined = rows.join(hist, "conv_id", "left").join(asked, "conv_id", "left")
     return joined.select("conv_id", F.md5(A.user_message(F.concat(F.lit("question "), key("conv_id")), F.col("context"), F.col("history"))).alias("message_md5"))
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.errors import EngineError
+
 _shipped: set[str] = set()
+_own: list[str] = []
 
 
 def build_session(master: str = "local[8]", app: str = "scriptorium", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -44,5 +49,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a local session gets a temporary folder
+    of this process; any other is refused, as executors would write where nobody else can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise EngineError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="scratch-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scriptorium.errors import VectorStoreError
+
 CHUNKS = "chunk_id string, source string, page string, section string, chunk_index int, total_chunks int, doc_type string, text string"
 EDGES = "src string, dst string, relation string, source string, page string, chunk_text string, chunk_id string, kind int, place_a int, place_b int"
 
@@ -17,7 +20,7 @@ class VersionedTable:
     """A log of Parquet folders, one a version: a write costs what it adds, and reading takes the newest row of each key.
 
     Without a key all rows count. A version that is written again replaces itself, so a batch delivered twice changes nothing.
-    Deletions are a log of their own: a source deleted at a version hides its older rows.
+    Deletions are a log of their own: a source deleted at a version hides the rows it had before that version.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str | None = None):
@@ -34,21 +37,47 @@ class VersionedTable:
         """The rows as of a version. Versions are partitions, so later ones are not read."""
         rows = self._log(f"{self.root}/rows", self.schema, version)
         gone = self._log(f"{self.root}/gone", "source string", version).groupBy("source").agg(F.max("version").alias("gone"))
-        rows = rows.join(gone, "source", "left").where("gone is null or version > gone").drop("gone")
+        rows = rows.join(gone, "source", "left").where("gone is null or version >= gone").drop("gone")
         if self.key:
             newest = F.row_number().over(W.partitionBy(self.key).orderBy(F.col("version").desc()))
             rows = rows.withColumn("nth", newest).where("nth = 1").drop("nth")
         return rows.select(*[c.split()[0] for c in self.schema.split(", ")])
 
+    def latest(self) -> int:
+        """The greatest version that holds rows or deletions, 0 where there is none."""
+        jvm, found = self.spark.sparkContext._jvm, [0]
+        for part in ("rows", "gone"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}")
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.exists(path):
+                names = [s.getPath().getName() for s in fs.listStatus(path)]
+                found += [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+        return max(found)
+
+    def written(self, version: int) -> DataFrame:
+        """The rows of one version, as they were written."""
+        return self._log(f"{self.root}/rows", self.schema, version).where(F.col("version") == version).drop("version")
+
     def newest(self) -> DataFrame:
         return self.at((1 << 31) - 1)
 
-    def write(self, version: int, df: DataFrame) -> None:
-        """Adds rows; of rows with one key in one version one stays."""
-        (df.dropDuplicates([self.key]) if self.key else df).write.mode("overwrite").parquet(f"{self.root}/rows/version={version}")
+    def write(self, version: int, df: DataFrame, again: bool = True) -> None:
+        """Adds rows; of rows with one key in one version one stays. Without `again` a version that is there is an error."""
+        own = df.dropDuplicates([self.key]) if self.key else df
+        self._put(own.select(*[c.split()[0] for c in self.schema.split(", ")]), f"{self.root}/rows/version={version}", again)
 
-    def delete(self, version: int, source: str) -> None:
-        self.spark.createDataFrame([(source,)], "source string").write.mode("overwrite").parquet(f"{self.root}/gone/version={version}")
+    def delete(self, version: int, sources: str | DataFrame, again: bool = True) -> None:
+        """Hides the older rows of a source, or of all sources in a frame with that column."""
+        gone = self.spark.createDataFrame([(sources,)], "source string") if isinstance(sources, str) else sources.select("source").distinct()
+        self._put(gone, f"{self.root}/gone/version={version}", again)
+
+    def _put(self, df: DataFrame, path: str, again: bool) -> None:
+        try:
+            df.write.mode("overwrite" if again else "errorifexists").parquet(path)
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" in str(e):
+                raise VectorStoreError(f"another writer has made {path}") from e
+            raise
 
     def compact(self, version: int, folder: str) -> VersionedTable:
         """The table as of a version, as the first version of another folder."""

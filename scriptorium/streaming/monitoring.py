@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.exact import exact_mean, exact_share
+
 
 def timed(events: DataFrame) -> DataFrame:
     """ts as a timestamp with a zone, which watermarks need."""
@@ -17,11 +19,35 @@ def panels(events: DataFrame, width: str = "1 hour", late: str | None = None) ->
     if late:
         rows = rows.withWatermark("ts", late)
     grouped = rows.groupBy(F.window("ts", width))
-    out = grouped.agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("mean_latency"), F.max("value").alias("max_latency"))
-    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "errors", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"), F.round("mean_latency", 6).alias("mean_latency"), "max_latency")
+    out = grouped.agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), exact_mean(F.col("value"), 6).alias("mean_latency"), F.max("value").alias("max_latency"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "errors", exact_share(F.col("errors"), F.col("requests")).alias("error_rate"), "mean_latency", "max_latency")
 
 
-def latency_p95(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Exact 95th percentile of a window; for a stream use approx=True percentiles instead, which have bounded state."""
-    rows = timed(events).groupBy(F.window("ts", width)).agg(F.percentile("value", F.lit(0.95)).alias("p95"))
+def latency_p95(events: DataFrame, width: str = "1 hour", approx: bool = False, late: str | None = None) -> DataFrame:
+    """95th percentile of a window. Exact, a window's distinct values are counted in one buffer; approx (to a ten-thousandth of the
+    ranks) has a state of bounded size, which a stream and windows of very many requests need. `late` sets a watermark."""
+    rows = timed(events)
+    if late:
+        rows = rows.withWatermark("ts", late)
+    value = F.percentile_approx("value", 0.95, 10_000).cast("double") if approx else F.percentile("value", F.lit(0.95))
+    rows = rows.groupBy(F.window("ts", width)).agg(value.alias("p95"))
     return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.round("p95", 6).alias("p95"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """user_id, session_start, session_end, requests, errors: runs of a user's requests with no pause of `gap` or more."""
+    rows = timed(events)
+    if late:
+        rows = rows.withWatermark("ts", late)
+    out = rows.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select("user_id", shown("session_window.start").alias("session_start"), shown("session_window.end").alias("session_end"), "requests", "errors")
+
+
+def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str | None = None) -> DataFrame:
+    """window_start, requests, errors over windows that overlap."""
+    rows = timed(events)
+    if late:
+        rows = rows.withWatermark("ts", late)
+    out = rows.groupBy(F.window("ts", width, slide)).agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "errors")
