@@ -1,28 +1,30 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, the block transfers that move the fewest bytes.
 
-Each old shard is cut into blocks by a hash of the document's id. Only the sizes of blocks come to the driver, MAX_BLOCKS at
-most, whatever the input's size. A flow from old sizes to new capacities, where staying costs nothing, says how many bytes
-go from each shard to each other. Blocks are laid along those flows; a block at a border is cut at a point of its hash
-range. So a document's new shard follows from its own row and the plan, without a shuffle, and the rewrite moves text once.
+The old layout is a folder of files: each shard is cut into blocks by a hash of the document's id, and runs of blocks are its
+pieces, a folder of files each. Only the sizes of blocks come to the driver, MAX_BLOCKS at most, whatever the input's size. A flow
+from old sizes to new capacities, where staying costs nothing, says how many bytes go from each shard to each other. Blocks are
+laid along those flows; a block at a border is cut at a point of its hash range. Then only pieces that lose a block, or a part of
+one, are read and written again; the others stay as they are, and the new layout takes their files over.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import scratch_path
+from scriptorium.llm.common import inner_settings, scratch_path
 
 SHARDS = 16
 MAX_BLOCKS = 65_536
 LEAST_BLOCKS = 256
 BLOCK_BYTES = 64 << 20
-#: Files of a shard hold about this many bytes of text.
-PART_BYTES = 64 << 20
+#: A piece holds about this many bytes of text; a shard has so many pieces at least, and one for each block at most.
+PIECE_BYTES, LEAST_PIECES = 64 << 20, 16
 #: Above this relative error whole small documents are moved after the plan; at most REPAIR of each shard are looked at.
 TOLERANCE = 0.001
 REPAIR = 512
@@ -87,9 +89,10 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _spot(doc_id: Column) -> Column:
-    """A place in [0, 2**62) that depends on the id alone; its high half picks the block, its low half the place inside."""
-    return F.xxhash64(F.lit("reshard"), doc_id.cast("string")).bitwiseAND((1 << 62) - 1)
+def _spot(doc_id: Column, text: Column) -> Column:
+    """A place in [0, 2**62) that depends on the id alone, or on the text where there is none; its high half picks the block, its low
+    half the place inside."""
+    return F.xxhash64(F.lit("reshard"), doc_id.cast("string"), F.when(doc_id.isNull(), text)).bitwiseAND((1 << 62) - 1)
 
 
 def plan(blocks: dict[tuple[int, int], int], old_sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -120,8 +123,9 @@ def plan(blocks: dict[tuple[int, int], int], old_sizes: list[int], capacities: l
     return rows
 
 
-def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int]) -> dict[int, int]:
-    """{doc_id: shard}: moves of small whole documents that even out what cutting blocks left over. Bounded by REPAIR of each shard."""
+def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int]) -> tuple[dict[int, int], dict[int, int]]:
+    """({doc_id: shard}, {shard: bytes over its capacity after them}): moves of small whole documents that even out what cutting
+    blocks left over. Bounded by REPAIR of each shard."""
     over = {j: sizes.get(j, 0) - c for j, c in enumerate(capacities)}
     order = W.partitionBy("shard").orderBy("size", "doc_id")
     unique = assigned.where("doc_id is not null").groupBy("shard", "doc_id").agg(F.sum("size").alias("size"))
@@ -138,85 +142,115 @@ def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int])
         own = pool[high]
         fits = next((k for k in range(len(own) - 1, -1, -1) if own[k][0] <= max(room, (over[high] - over[low]) // 2)), None)
         if over[high] <= 0 or fits is None or over[high] - over[low] < 2:
-            return moves
+            return moves, over
         size, doc = own.pop(fits)
         moves[doc] = low
         over[high] -= size
         over[low] += size
 
 
-def assign(docs: DataFrame, old_shard: Column, capacities: list[int] | None = None, shards: int = SHARDS) -> tuple[DataFrame, dict]:
-    """(docs with `old_shard` and `shard`, report). Capacities default to equal shares of all bytes (text size plus 1 each)."""
-    spark = docs.sparkSession
-    base = docs.withColumn("old_shard", old_shard.cast("int")).withColumn("_size", text_size(F.col("text"))).withColumn("_spot", _spot(F.col("doc_id")))
+@dataclass(frozen=True)
+class Layout:
+    """Shards in a folder: piece=N/ folders of files with doc_id, text, size, block, at, and pos, the running place in the piece.
+    A shard has `pieces` pieces and `per_shard` blocks; piece // pieces is the shard."""
+
+    folder: str
+    shards: int
+    pieces: int
+    per_shard: int
+
+
+FILES = "doc_id long, text string, size long, block int, at long, pos long, piece int"
+
+
+def lay_out(docs: DataFrame, old_shard: Column, folder: str, shards: int = SHARDS) -> Layout:
+    """Writes docs (doc_id, text, and what old_shard needs) to a folder as they lie before."""
     total = int(docs.agg(F.sum(text_size(F.col("text")))).first()[0] or 0)
     per_shard = max(LEAST_BLOCKS, min(MAX_BLOCKS // shards, total // BLOCK_BYTES // shards))
-    base = base.withColumn("_block", F.pmod(F.shiftright("_spot", 31), F.lit(per_shard)).cast("int")).withColumn("_at", F.col("_spot").bitwiseAND(_U - 1))
-    blocks = {(r.old_shard, r._block): r.size for r in base.groupBy("old_shard", "_block").agg(F.sum("_size").alias("size")).collect()}
-    old_sizes = [0] * shards
-    for (i, _), x in blocks.items():
-        old_sizes[i] += x
+    pieces = min(per_shard, max(LEAST_PIECES, -(-total // 3 // PIECE_BYTES)))  # a shard may hold a third of all bytes
+    layout = Layout(folder, shards, pieces, per_shard)
+    rows = docs.select(F.col("doc_id"), "text", text_size(F.col("text")).alias("size"), old_shard.cast("int").alias("old"), _spot(F.col("doc_id"), F.col("text")).alias("spot"))
+    rows = rows.withColumn("block", F.pmod(F.shiftright("spot", 31), F.lit(per_shard)).cast("int")).withColumn("at", F.col("spot").bitwiseAND(_U - 1))
+    rows = rows.withColumn("piece", (F.col("old") * pieces + F.floor(F.col("block") * pieces / per_shard)).cast("int"))
+    order = W.partitionBy("piece").orderBy("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    own = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).select("doc_id", "text", "size", "block", "at", "pos", "piece")
+    with inner_settings(docs.sparkSession):
+        own.write.option("compression", "zstd").partitionBy("piece").parquet(folder)
+    return layout
+
+
+def affected_pieces(layout: Layout, ranges: list[tuple[int, int, int, int, int]]) -> list[int]:
+    """The pieces that lose a block or a part of one; only their files are rewritten."""
+    return sorted({i * layout.pieces + block * layout.pieces // layout.per_shard for i, block, _, _, j in ranges if i != j})
+
+
+def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[int] | None = None) -> tuple[DataFrame, dict]:
+    """Brings a layout to new capacities, equal shares of all bytes by default; rewritten pieces go to a folder of their own.
+
+    Returns (doc_id, text, old_shard, shard, slot, rewritten: whether the row's file is a new one) as read from the files of the new
+    layout, and a report: old_sizes, capacities, planned_moved_bytes (the flow's), affected pieces, repairs.
+    """
+    old = spark.read.schema(FILES).parquet(layout.folder)
+    shards, pieces = layout.shards, layout.pieces
+    found = old.groupBy("piece", "block").agg(F.sum("size").alias("size")).collect()  # MAX_BLOCKS rows at most
+    blocks = {(r.piece // pieces, r.block): r.size for r in found}
+    old_sizes = [sum(x for (i, _), x in blocks.items() if i == j) for j in range(shards)]
+    total = sum(old_sizes)
     capacities = capacities or [total * (j + 1) // shards - total * j // shards for j in range(shards)]
     ranges = plan(blocks, old_sizes, capacities)
-    table = spark.createDataFrame(ranges, "p_old int, p_block int, p_from long, p_to long, shard int")
-    # At most MAX_BLOCKS ranges and one more for each flow: a proven bound for the broadcast.
-    placed = base.join(F.broadcast(table), (F.col("old_shard") == F.col("p_old")) & (F.col("_block") == F.col("p_block")) & (F.col("_at") >= F.col("p_from")) & (F.col("_at") < F.col("p_to")))
-    placed = placed.drop("p_old", "p_block", "p_from", "p_to")
-    light = placed.select("shard", "doc_id", F.col("_size").alias("size"))
-    sizes = {r.shard: r.size for r in light.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
-    moves = {}
-    if total and max(abs(sizes.get(j, 0) - c) for j, c in enumerate(capacities)) > TOLERANCE * max(capacities):
-        moves = _repairs(light, sizes, capacities)
-    if moves:
-        fixes = spark.createDataFrame(sorted(moves.items()), "m_doc long, m_shard int")  # at most shards * REPAIR rows
-        placed = placed.join(F.broadcast(fixes), F.col("doc_id") == F.col("m_doc"), "left").withColumn("shard", F.coalesce("m_shard", "shard")).drop("m_doc", "m_shard")
-    moved = sum(x for i, row in _flow_rows(ranges, blocks).items() for j, x in row.items() if i != j)
-    return placed.drop("_size", "_spot", "_block", "_at"), {"old_sizes": old_sizes, "capacities": capacities, "planned_moved_bytes": moved, "repairs": len(moves)}
-
-
-def _flow_rows(ranges: list[tuple[int, int, int, int, int]], blocks: dict[tuple[int, int], int]) -> dict[int, dict[int, float]]:
-    out: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    for i, b, low, high, j in ranges:
-        out[i][j] += blocks[i, b] * (high - low) / _U
-    return out
-
-
-def affected_shards(assigned: DataFrame) -> DataFrame:
-    """The shards that gain or lose a document; only their files need to be rewritten."""
-    moved = assigned.where(F.col("shard") != F.col("old_shard"))
-    return moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-
-
-def write_shards(assigned: DataFrame, folder: str, parts: int) -> None:
-    """Writes shard=N/part=M/ folders of parquet with a running `pos` in each part. Parts cut a shard by the id's hash, so no task holds a shard."""
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id").cast("string")), F.lit(parts)).cast("int")
-    rows = assigned.select("doc_id", "text", "shard", part.alias("part"))
-    order = W.partitionBy("shard", "part").orderBy("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows.withColumn("pos", F.row_number().over(order) - 1).write.partitionBy("shard").parquet(folder)
-
-
-def read_shards(spark, folder: str) -> DataFrame:
-    """doc_id, text, shard, slot: the place in a shard is its part's offset plus the place there."""
-    rows = spark.read.schema("doc_id long, text string, part int, pos int, shard int").parquet(folder)
-    counts = rows.groupBy("shard", "part").count()
-    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    return rows.join(offsets, ["shard", "part"]).select("doc_id", "text", "shard", (F.col("first") + F.col("pos")).cast("long").alias("slot"))
+    affected = affected_pieces(layout, ranges)
+    planned = sum(max(0, a - b) for a, b in zip(old_sizes, capacities, strict=True))
+    moves: dict[int, int] = {}
+    if affected:
+        # At most MAX_BLOCKS ranges and one more for each flow: a proven bound for the broadcast.
+        table = F.broadcast(spark.createDataFrame(ranges, "p_old int, p_block int, p_from long, p_to long, shard int"))
+        here = (F.floor(F.col("piece") / pieces) == F.col("p_old")) & (F.col("block") == F.col("p_block")) & (F.col("at") >= F.col("p_from")) & (F.col("at") < F.col("p_to"))
+        while True:  # once, but for small tables, where the documents of the affected pieces may not do to even out the shards
+            placed = old.where(F.col("piece").isin(affected)).join(table, here).select("doc_id", "text", "size", "piece", "pos", "shard")
+            light, lost = placed.select("shard", "doc_id", "size"), set(affected)
+            sizes = {r.shard: r.size for r in light.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+            for (i, block), x in blocks.items():
+                if i * pieces + block * pieces // layout.per_shard not in lost:
+                    sizes[i] = sizes.get(i, 0) + x
+            allowed = TOLERANCE * max(capacities)
+            if max(abs(sizes.get(j, 0) - c) for j, c in enumerate(capacities)) <= allowed:
+                break
+            moves, over = _repairs(light, sizes, capacities)
+            there = {r.piece for r in found} - lost
+            more = [min(own) for j, x in over.items() if x > 0 and (own := [p for p in there if p // pieces == j])]
+            if max(map(abs, over.values())) <= allowed or not more:
+                break
+            affected += more
+        if moves:
+            fixes = F.broadcast(spark.createDataFrame(sorted(moves.items()), "m_doc long, m_shard int"))  # at most shards * REPAIR rows
+            placed = placed.join(fixes, F.col("doc_id") == F.col("m_doc"), "left").withColumn("shard", F.coalesce("m_shard", "shard"))
+        again = F.row_number().over(W.partitionBy("piece", "shard").orderBy("pos")) - 1
+        with inner_settings(spark):
+            placed.select("doc_id", "text", "piece", "shard", again.cast("long").alias("pos")).write.option("compression", "zstd").partitionBy("shard", "piece").parquet(folder)
+    stays = old.where(~F.col("piece").isin(affected))
+    result = stays.select("doc_id", "text", "piece", F.floor(F.col("piece") / pieces).cast("int").alias("shard"), "pos", F.lit(False).alias("rewritten"))
+    if affected:
+        new = spark.read.schema("doc_id long, text string, pos long, shard int, piece int").parquet(folder)
+        result = result.unionByName(new.withColumn("rewritten", F.lit(True)))
+    # A row for each piece, and for each shard that a piece went to: MAX_BLOCKS, one more for each flow, and the repairs at most.
+    before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    counts = result.groupBy("shard", "piece").count()
+    offsets = F.broadcast(counts.select("shard", "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
+    slots = result.join(offsets, ["shard", "piece"]).select("doc_id", "text", F.floor(F.col("piece") / pieces).cast("int").alias("old_shard"), "shard", (F.col("first") + F.col("pos")).cast("long").alias("slot"), "rewritten")
+    return slots, {"old_sizes": old_sizes, "capacities": capacities, "planned_moved_bytes": planned, "affected": affected, "repairs": len(moves)}
 
 
 def reshard_documents(docs: DataFrame, folder: str | None = None, shards: int = SHARDS) -> DataFrame:
-    """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, read back from the shards' files.
+    """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, rewritten, read back from the files of the new layout.
 
     The old layout keeps a source together (crc32 of the source modulo the shard count), so a hot source overfills a shard.
-    Null text: size 1, crc32 0. Null source: the shard of the empty name. Null doc_id: hashed as such, slots come first.
+    Null text: size 1, crc32 0. Null source: the shard of the empty name. Null doc_id: placed by its text, first in its piece.
     Repeated rows share a shard and get a slot each. Law `bytes`: sizes near equal, to about a document's size.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Further columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
     own = docs.select(F.col("doc_id").cast("long"), "text", "source")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(shards))
-    assigned, report = assign(own, old, shards=shards)
-    write_shards(assigned, folder, max(16, -(-sum(report["capacities"]) // shards // PART_BYTES)))
-    rows = read_shards(spark, folder)
-    return rows.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows, _ = reshard(spark, lay_out(own, old, f"{folder}/old", shards), f"{folder}/new")
+    return rows.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "rewritten")

@@ -422,6 +422,35 @@ def test_resharding_is_near_equal(spark):
     assert len(size) == 16 and max(size.values()) - min(size.values()) < 0.01 * sum(size.values()) / 16
 
 
+def test_resharding_rewrites_affected_files_alone(spark, tmp_path):
+    """Moved bytes against the least possible, and files: those of pieces that lose nothing stay the only ones of their rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(0, 400), 0 if rng.random() < 0.4 else rng.randrange(16)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    layout = sharding.lay_out(df, F.col("old"), f"file://{tmp_path}/old")
+    old = [sum(len(t) + 1 for _, t, k in rows if k == j) for j in range(16)]
+    for capacities in (None, [old[0], old[1] + old[2], 0, *old[3:]], old):
+        got, report = sharding.reshard(spark, layout, f"file://{tmp_path}/new-{capacities is None}-{capacities == old}", capacities)
+        got = got.collect()
+        check_slots(got)
+        assert sorted((r.doc_id, r.text, r.old_shard) for r in got) == rows and report["old_sizes"] == old
+        least = sum(max(0, a - b) for a, b in zip(old, report["capacities"], strict=True))
+        moved = sum(len(r.text) + 1 for r in got if r.shard != r.old_shard)
+        assert report["planned_moved_bytes"] == least and abs(moved - least) <= 0.002 * sum(old)
+        size = collections.Counter()
+        for r in got:
+            size[r.shard] += len(r.text) + 1
+        assert all(abs(size[j] - c) <= 0.001 * sum(old) / 16 + 401 for j, c in enumerate(report["capacities"]))
+        touched = {r.old_shard for r in got if r.rewritten}
+        assert {r.old_shard for r in got if r.shard != r.old_shard} <= touched <= {j for j in range(16) if old[j] > report["capacities"][j]}
+        if capacities is None:
+            assert 0 < sum(r.rewritten for r in got) < len(got) / 2
+        else:
+            assert touched == ({2} if capacities != old else set())
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_report(docs).collect()
     assert len(got) == len(rows)
