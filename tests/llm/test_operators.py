@@ -594,6 +594,61 @@ def test_decontamination_recall_against_brute_force():
     assert wanted > 150 and found >= 0.97 * wanted
 
 
+@pytest.mark.parametrize("size", [5, 8, 15, 30, 60])
+def test_decontamination_recall_by_size_and_edits(size):
+    """Every number of edits up to the limit, at any place, in texts that repeat a word, share the item's words and its halves."""
+    rng = random.Random(size)
+    item = [f"i{rng.randrange(size * 4)}" for _ in range(size)]
+    items = decontam.Items([1], [" ".join(item)])
+    for edits in range(int(0.2 * size) + 1):
+        found = wanted = 0
+        for _ in range(60):
+            own = list(item)
+            for _ in range(edits):
+                k = rng.randrange(len(own))
+                how = rng.random()
+                if how < 0.4:
+                    own[k] = f"r{rng.random()}"
+                elif how < 0.7:
+                    del own[k]
+                else:
+                    own.insert(k, f"r{rng.random()}")
+            text = " ".join([item[0]] * 30 + item[: size // 2] + [f"p{rng.random()}" for _ in range(rng.randint(0, 9))] + own + [f"s{rng.random()}" for _ in range(rng.randint(0, 9))] + rng.sample(item, size))
+            raw = np.frombuffer(text.encode(), np.uint8)
+            w = decontam.Words(raw, np.array([0, len(raw)]))
+            h = decontam.form_hashes(raw, w)
+            best = decontam.edit_distance(items.words[0], h)[0]
+            hits = decontam.find(items, h, w.row, w.first)
+            wanted += best <= items.edits[0]
+            found += bool(hits)
+            assert not hits or best <= hits[0][4] <= items.edits[0]
+        assert wanted >= 50 and found >= decontam.TARGET_RECALL * wanted
+
+
+def test_windows_that_cannot_match_are_not_laid():
+    rng = random.Random(2)
+    items = decontam.Items(list(range(50)), [" ".join(f"w{rng.randrange(200)}" for _ in range(30)) for _ in range(50)])
+    for text in (" ".join(f"w{rng.randrange(200)}" for _ in range(20_000)), "w1 w2 " * 5_000, "w7 " * 9_000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        w = decontam.Words(raw, np.array([0, len(raw)]))
+        assert len(decontam.window_places(items, decontam.form_hashes(raw, w), w.first, w.row)[0]) == 0
+
+
+def test_decontamination_block_by_block(spark, rows, monkeypatch):
+    """Blocks of the benchmark one at a time give what one block gives; a table with any columns keeps its rows."""
+    texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 20]
+    bench = spark.createDataFrame([(k, " ".join(t.split()[5:25])) for k, t in enumerate(texts[:30])] + [(99, None), (98, " ")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as item_id", "2 as edits", "'x' as hits")
+    find = lambda: sorted(map(str, decontam.contaminated(docs, bench).collect()))
+    keep = lambda: sorted(map(str, decontam.drop_contaminated(docs, bench).collect()))
+    one = find(), keep()
+    monkeypatch.setattr(decontam, "ITEM_BLOCK_BYTES", 500)
+    assert (find(), keep()) == one and one[0] and 0 < len(one[1]) < len(rows)
+    dirty = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
+    left = decontam.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in dirty)
+
+
 def test_edit_distance_matches_plain():
     rng = random.Random(6)
     for _ in range(60):
