@@ -6,9 +6,6 @@ operations a byte and no Python object is made per word.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import shared_folder
+
 CHUNK_BYTES = 2 << 20
 
 _SEP = np.zeros(256, bool)
@@ -39,7 +38,6 @@ _BASE = np.uint64(_mix_int(12345) | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(_mix_int(777) | 1)
 _tables: dict[str, np.ndarray] = {}
-_own: dict[str, str] = {}
 _made: list[str] = []
 
 
@@ -154,19 +152,9 @@ def release_heap() -> None:
         pass  # another C library: nothing to trim
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if "root" not in _own:
-            _own["root"] = tempfile.mkdtemp(prefix="scratch-")
-            atexit.register(shutil.rmtree, _own["root"], ignore_errors=True)
-        root = f"file://{_own['root']}"
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     return path
 
@@ -179,6 +167,16 @@ def clear_scratch(spark: SparkSession) -> int:
     return count
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what was written inside it, but for the paths that are put on the list (saved does that for keep=)."""
+    first, kept = len(_made), []
+    yield kept
+    for path in [p for p in _made[first:] if p not in kept]:
+        _made.remove(path)
+        delete_path(spark, path)
+
+
 #: For queries that are run inside an operator: shuffle files go as the query ends, and Arrow batches stay small.
 INNER = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -203,9 +201,11 @@ def inner_settings(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd", keep: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
+    if keep is not None:
+        keep.append(path)
     with inner_settings(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

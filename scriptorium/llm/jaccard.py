@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, bucket_count, columns_only, longs, mix, saved, text_bytes, text_chunks
+from scriptorium.llm.common import Words, bucket_count, columns_only, longs, mix, saved, scratch, text_bytes, text_chunks
 from scriptorium.llm.components import connected_components
 
 SHINGLE = 5
@@ -409,9 +409,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A null doc_id can't be linked: its component_id is null. Repeated rows come out as often as they came in; rows that share
     a doc_id are one node of the graph. Further columns are not read.
     """
-    info, links = jaccard_links(docs)
-    parts = connected_components(links)
-    return info.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession) as kept:
+        info, links = jaccard_links(docs)
+        parts = connected_components(links)
+        out = info.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return saved(out, "components", keep=kept)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -419,9 +421,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents without words and those without a doc_id are linked with nothing and stay.
     """
-    info, links = jaccard_links(docs)
-    parts = connected_components(links)
-    gone = parts.where("doc_id <> component").select("doc_id")
+    with scratch(docs.sparkSession) as kept:
+        _, links = jaccard_links(docs)
+        gone = saved(connected_components(links).where("doc_id <> component").select("doc_id"), "copies", keep=kept)
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 

@@ -25,7 +25,7 @@ from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, delete_path, inner_settings, longs, mix, release_heap, saved, scratch_path, steady_heap, text_bytes
+from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, release_heap, saved, scratch, scratch_path, steady_heap, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -457,11 +457,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("fold", fold(F.col("doc_id"))).withColumn("rid", F.monotonically_increasing_id())
     slices = max(2, math.ceil(math.sqrt(text_bytes(docs) / BUCKET_BYTES)))
-    folder = scratch_path(spark, "words")
-    model = fit(rows, folder, slices)
-    places = rows.mapInArrow(_emit_places(slices, model["hot"]), "bucket int, salt int, data binary")
-    parts = places.groupBy("bucket", "salt").applyInArrow(_score(f"{folder}/pairs", model, max(16, slices * slices)), PARTIAL)
-    scores = saved(parts.groupBy("part").applyInArrow(_sums, SCORES), "scores")
-    delete_path(spark, folder)
+    with scratch(spark) as kept:
+        folder = scratch_path(spark, "words")
+        model = fit(rows, folder, slices)
+        places = rows.mapInArrow(_emit_places(slices, model["hot"]), "bucket int, salt int, data binary")
+        parts = places.groupBy("bucket", "salt").applyInArrow(_score(f"{folder}/pairs", model, max(16, slices * slices)), PARTIAL)
+        scores = saved(parts.groupBy("part").applyInArrow(_sums, SCORES), "scores", keep=kept)
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
     return scores.select("doc_id", held, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import saved
+from scriptorium.llm.common import columns_only, saved, scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -67,7 +67,7 @@ def mix_plan(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     Texts are read once; both tables are written. So the size of the second is known when it is joined: Spark broadcasts it
     below spark.sql.autoBroadcastJoinThreshold and else shuffles, where AQE splits a hot source.
     """
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = saved(columns_only(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sized.select("source", "size")).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     targets = saved(targets.withColumn("mix_rate", rate), "targets")
@@ -84,17 +84,27 @@ def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Null text: size 0. Null source: a source of its own, the last. A source without words has target 0 and no copies.
     Null doc_id draws as the empty id; repeated rows draw alike and each count. An empty table gives an empty result.
     """
-    sized, sources = mix_plan(docs, seed)
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", copies(id_hash(F.col("doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
-    return rows.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    with scratch(docs.sparkSession) as kept:
+        sized, sources = mix_plan(docs, seed)
+        rows = sized.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", copies(id_hash(F.col("doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
+        out = rows.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        return saved(out, "mixed", keep=kept)
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns."""
-    _, sources = mix_plan(docs, seed)
-    rows = docs.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies(id_hash(F.col("doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
-    rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each document as often as it is taken, with all its columns, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables are as in mix_report: a null text or a source without words is not taken,
+    a null source is a source, rows without a doc_id draw alike. Very long texts are counted whole.
+    """
+    with scratch(docs.sparkSession) as kept:
+        _, sources = mix_plan(docs, seed)
+        sources = saved(sources, "sources", keep=kept)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row")  # so no name of theirs meets one of the plan's
+    rows = docs.select(row).join(sources, F.col("mix_row.source").eqNullSafe(F.col("mix_source")))
+    rows = rows.withColumn("mix_copies", copies(id_hash(F.col("mix_row.doc_id"), seed), F.col("mix_place"), F.col("mix_rate")))
+    rows = rows.where("mix_copies > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return rows.select(*[F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns])
 
 
 MIX_CTES = r"""

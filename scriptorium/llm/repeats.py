@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import binary_parts, bucket_count, longs, mix, prefix_hash, saved, scratch_path, span_hash, text_bytes, text_chunks
+from scriptorium.llm.common import binary_parts, bucket_count, longs, mix, prefix_hash, saved, scratch, scratch_path, span_hash, text_bytes, text_chunks
 from scriptorium.llm.warc import file_system
 
 WINDOW, GRAM = 200, 32
-FILE_BYTES, PIECE_BYTES = 16 << 20, 2 << 20
+FILE_BYTES, PIECE_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20, 8 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 
@@ -87,8 +87,26 @@ def _pieces(folder: str, file: int) -> Iterator[tuple[int, pa.Array, np.ndarray,
             first += batch.num_rows
 
 
-def owners(data: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window's start in the row, the owner's distance from it, windows - 1, gram hash, stretch hash) of each owner, in order."""
+def _blocks(size: int) -> Iterator[tuple[int, int]]:
+    """Blocks of a long run of bytes; each overlaps the next by a byte less than a window, so a window lies in one block."""
+    for at in range(0, max(1, size - WINDOW + 1), BLOCK_BYTES):
+        yield at, min(size, at + BLOCK_BYTES + WINDOW - 1)
+
+
+def owners(data: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(row, first window's start in the row, the owner's distance from it, windows - 1, gram hash, stretch hash) of each owner, in order.
+
+    A long text is gone through in blocks. A stretch that is cut between two is no longer equal to its whole copies, and so its
+    windows are compared one by one.
+    """
+    parts = []
+    for a, b in _blocks(len(data)):
+        row, start, *rest = _block_owners(data[a:b], np.clip(off, a, b) - a, window, gram)
+        parts.append((row, start + np.maximum(a - off[row], 0), *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _block_owners(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     start = np.arange(len(data) - window + 1)
     row = np.searchsorted(off, start, side="right") - 1
     inside = start + window <= off[row + 1] if len(start) else np.zeros(0, bool)
@@ -192,11 +210,14 @@ def _window_hashes(folder: str, buckets: int) -> Callable[[pa.Table], pa.Table]:
             own = np.flatnonzero((row >= first) & (row < first + len(ids)))
             if not len(own):
                 continue
-            sums, count = prefix_hash(data), more[own] + 1
+            count = more[own] + 1
             which = np.repeat(np.arange(len(own)), count)
             step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             at = off[row[own] - first][which] + start[own][which] + step
-            name = mix(key[own][which] ^ mix((far[own][which] - step).astype(np.uint64))) ^ span_hash(sums, at, at + WINDOW)
+            name = mix(key[own][which] ^ mix((far[own][which] - step).astype(np.uint64)))
+            for a, b in _blocks(len(data)):
+                some = np.flatnonzero((at >= a) & (at + WINDOW <= b))
+                name[some] ^= span_hash(prefix_hash(data[a:b]), at[some] - a, at[some] - a + WINDOW)
             begin = np.cumsum(count) - count
             for b, i in _by_bucket(((key[own] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)):
                 names = np.concatenate([name[begin[j] : begin[j] + count[j]] for j in i])
@@ -295,9 +316,11 @@ def remove_repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null texts are empty. Texts under WINDOW bytes lose nothing. Repeated rows repeat each other and lose what is long enough.
     A null doc_id is kept as null. Strings are judged on the input, and overlaps count. An empty table gives an empty result.
+    Very long texts are hashed in blocks; a text may have as many bytes as Spark allows. Further columns are not read.
     """
-    folder = folder or scratch_path(docs.sparkSession, "texts")
-    return _marked(docs, folder).groupBy("file").applyInArrow(_finish(folder), RESULT)
+    with scratch(docs.sparkSession) as kept:
+        folder = folder or scratch_path(docs.sparkSession, "texts")
+        return saved(_marked(docs, folder).groupBy("file").applyInArrow(_finish(folder), RESULT), "repeats", keep=kept)
 
 
 def kept_texts(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import longs, saved
+from scriptorium.llm.common import longs, saved, scratch
 
 PIVOTS = 32
 #: Pivots are chosen, far from one another, among this many vectors; they change the speed, never the result.
 PIVOT_POOL = 256
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
 STEP = 128
+#: Vectors of this squared length would not be sure to have products in 64 bits (the product of two is their lengths' at most).
+MOST = float(1 << 62)
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,8 +39,11 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(valid & there):
             x = flat[off[i] : off[i + 1]]
             if np.isfinite(x).all():
+                whole = np.floor(1024.0 * x)
+                if (whole * whole).sum() >= MOST:
+                    raise OverflowError(f"vector {int(ids[i])} is too long for inner products of 64 bits")
                 out_ids.append(int(ids[i]))
-                out.append(np.floor(1024.0 * x).astype(np.int64).tobytes())
+                out.append(whole.astype(np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "q"])
 
 
@@ -115,7 +120,14 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with another vec_id. Ties go to the
     smaller vec_id; fewer candidates give fewer rows. Vectors that are null or hold a null or non-finite component, and rows
     without a vec_id, take no part. Of rows that repeat a vec_id and vector one takes part. An empty vector scores 0.
+    A vector whose components, times 1024, have squares that add up to 2**62 or more raises OverflowError: its scores may not fit.
+    An empty table gives an empty result. Further columns are not read.
     """
+    with scratch(vectors.sparkSession) as kept:
+        return saved(_top_k(vectors, every, k), "top-k", keep=kept)
+
+
+def _top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     rows = saved(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, "vec_id long, q binary").distinct(), "quantised")
     count = rows.count()
     pool = [bytes(r.q) for r in rows.orderBy(F.xxhash64("q"), "vec_id").limit(PIVOT_POOL).collect()]

@@ -377,6 +377,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is below 0.5, with all their columns."""
+    """The documents whose score is below 0.5, with all their columns, whatever their names; each as often as it came.
+
+    Null and blank texts have the score of a text without evidence, and stay unless most labelled documents are toxic. A null
+    doc_id is judged by its text as any other. Without labels of both classes every text has the prior, so without any label all
+    stay. Very long texts are scored whole. An empty table gives an empty result.
+    """
     model = fit(docs, labels)
     return docs.mapInArrow(_score(model, True), docs.schema)

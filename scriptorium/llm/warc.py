@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,7 +27,6 @@ from scriptorium.llm.common import saved, scratch_path
 #: A file is closed once it has this many compressed bytes.
 ROLL_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -53,23 +53,24 @@ def resolve_revisits(headers: DataFrame, smallest: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(revisit, F.col("original"))).withColumn("refers_uri", F.when(revisit, F.col("original_uri"))).drop("original", "original_uri")
 
 
-def record_name(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_name(page_id: int | None, place: str = "") -> str:
+    """The id of a record: its page's number, and for a revisit, to which nothing refers, its place, so ids of pages that come twice differ."""
+    return f"<urn:page:{'' if page_id is None else page_id}{place and '/' + place}>"
 
 
 def _line(value: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", value or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_uri: str | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_uri: str | None, date: str, place: str) -> bytes:
     """One record: a response with its payload, or a revisit with the HTTP header block alone, whose Content-Length tells the payload's size."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_name(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_name(page_id, "" if refers_to is None else place)), ("WARC-Date", date), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is None:
         block = http + payload
     else:
         block = http
-        fields += [("WARC-Refers-To", record_name(refers_to)), ("WARC-Refers-To-Target-URI", _line(refers_uri)), ("WARC-Refers-To-Date", DATE), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_name(refers_to)), ("WARC-Refers-To-Target-URI", _line(refers_uri)), ("WARC-Refers-To-Date", date), ("WARC-Profile", PROFILE)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -78,17 +79,17 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if "://" not in uri or uri.startswith("file:") else uri)
 
 
-def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         fs, base = file_system(folder)
-        out, temp, names, counts, at, number = None, "", [], [], 0, 0
+        out, temp, names, counts, at, number, own = None, "", [], [], 0, 0, uuid.uuid4().hex[:12]
 
         def close() -> None:
             nonlocal out, number, at
             if out is not None:
                 out.close()
-                name = f"{base}/part-{task:05d}-{number:04d}.warc.gz"
+                name = f"{base}/part-{task:05d}-{number:04d}-{own}.warc.gz"  # each attempt of a task has names of its own
                 fs.move(temp, name)
                 names.append(name.rsplit("/", 1)[1])
                 out, number, at = None, number + 1, 0
@@ -101,7 +102,7 @@ def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     out = fs.open_output_stream(temp)
                     counts.append(0)
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-                member = pack.compress(record(row[0], row[1], (row[2] or "").encode(), *row[3:])) + pack.flush()
+                member = pack.compress(record(row[0], row[1], (row[2] or "").encode(), *row[3:], date, f"{own}-{number}-{counts[-1]}")) + pack.flush()
                 out.write(member)
                 counts[-1] += 1
                 at += len(member)
@@ -113,16 +114,19 @@ def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes rows of page_id, url, html, payload_digest, refers_to, refers_uri; returns (file, records)."""
+def write_archives(records: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Writes rows of page_id, url, html, payload_digest, refers_to, refers_uri; returns the manifest (file, records).
+
+    date: the WARC-Date of all records, by default the time of writing. What a lost attempt of a task left behind is in no manifest.
+    """
     spark = records.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    return saved(records.select("page_id", "url", "html", "payload_digest", "refers_to", "refers_uri").mapInArrow(_write(folder), "file string, records long"), "archive-files")
+    return saved(records.select("page_id", "url", "html", "payload_digest", "refers_to", "refers_uri").mapInArrow(_write(folder, date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")), "file string, records long"), "archive-files")
 
 
 def _number(name: str) -> int | None:
-    digits = name.removeprefix("<urn:page:").removesuffix(">")
+    digits = name.removeprefix("<urn:page:").removesuffix(">").partition("/")[0]
     return int(digits) if digits else None
 
 
@@ -175,9 +179,13 @@ def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """Rows of all archives in a folder. Files are streamed record by record; payload is null-free bytes, empty for revisits."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+def read_archives(spark: SparkSession, folder: str, payload: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+    """Rows of the archives that a manifest names, or of all in a folder. Files are streamed record by record; payload is null-free
+    bytes, empty for revisits."""
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    else:
+        files = manifest.select(F.concat(F.lit(f"{folder}/"), "file").alias("path")).repartition(max(1, min(manifest.count(), 100_000)), "path")
     return files.mapInArrow(_read(payload), READ + ", payload binary" * payload)
 
 
@@ -192,8 +200,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or scratch_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    write_archives(resolve_revisits(rows), folder)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write_archives(resolve_revisits(rows), folder)
+    return read_archives(spark, folder, manifest=manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _LETTERS = " || ".join(f"substr('{_BASE32}', (v[{g + 1}] >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))

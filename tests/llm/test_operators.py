@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -11,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import columnwise, decontam, jaccard, lm, mixing, repeats, sharding, tokens, topk, toxicity, warc
 
@@ -144,6 +146,22 @@ def test_repeats_at_borders(spark):
     assert want[0][2] == 260 and want[2][2] == 0 and want[4][2] == 800
 
 
+def test_repeats_of_long_texts_in_blocks(spark, monkeypatch):
+    """Blocks far smaller than the texts give the same result as one block."""
+    rng = random.Random(12)
+    base = bytes(rng.randrange(97, 123) for _ in range(6_000)).decode()
+    rows = [(1, base), (2, "x" * 700 + base[1_000:4_000] + "y"), (3, base[:199]), (4, base[5_000:5_200] + base[100:2_000]), (5, None), (6, base[2_500:2_699] + "é" * 300)]
+    data, off = np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8), np.concatenate([[0], np.cumsum([len((t or "").encode()) for _, t in rows])])
+    for size in (1, 7, 250, 1_000, 4_096):
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", size)
+        if size > 200:
+            row, start, far, more, *_ = repeats.owners(data, off)
+            covered = sorted((r, s + k) for r, s, m in zip(row.tolist(), start.tolist(), more.tolist(), strict=True) for k in range(m + 1))
+            assert covered == [(r, k) for r in range(len(rows)) for k in range(int(off[r + 1] - off[r]) - 199)]
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1_000)
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_columnwise_construction_agrees(spark, tmp_path):
     rng = random.Random(4)
     part = "".join(rng.choice("abc") for _ in range(30))
@@ -342,6 +360,15 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_refuses_products_beyond_64_bits(spark):
+    kind = "vec_id long, embedding array<double>"
+    big = spark.createDataFrame([(100, [1e20, 0.0]), (1, [1.0, 1.0])], kind)
+    with pytest.raises(Exception, match="vector 100 is too long"):
+        topk.top_k(big).collect()
+    near = spark.createDataFrame([(100, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 1e6]), (3, [float("inf"), 0.0])], kind)
+    assert [(r.vec_id, r.score) for r in topk.top_k(near).orderBy("rank").collect()] == [(1, 0), (2, -2 * 1024_000_000**2)]
+
+
 def test_top_k_stops_early():
     x = np.random.RandomState(1).randint(-1000, 1000, size=(4000, 6))
     pivots = topk.choose_pivots([v.astype(np.int64).tobytes() for v in x[:200]])
@@ -371,6 +398,24 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_reads_what_the_manifest_names(spark, tmp_path):
+    """Files that a lost attempt has left in the folder are not read; ids of records differ, but for pages that come as responses twice."""
+    df = spark.createDataFrame([(k % 7, f"u{k}", "same" if k % 2 else f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    rows = df.withColumn("payload_digest", warc.base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    manifest = warc.write_archives(warc.resolve_revisits(rows), folder, date="2030-01-02T03:04:05Z")
+    name = manifest.first().file
+    (tmp_path / "w" / "part-00099-0000-left.warc.gz").write_bytes((tmp_path / "w" / name).read_bytes())
+    assert warc.read_archives(spark, folder, manifest=manifest).count() == 20 < warc.read_archives(spark, folder).count()
+    fields = []
+    for r in manifest.collect():
+        with gzip.open(tmp_path / "w" / r.file) as f:
+            fields += [x["fields"] for x in warc.parse(f)]
+    revisits = [f["warc-record-id"] for f in fields if f["warc-type"] == "revisit"]
+    assert len(revisits) == len(set(revisits)) and {f["warc-date"] for f in fields} == {"2030-01-02T03:04:05Z"}
+    assert {f["warc-refers-to"] for f in fields if f["warc-type"] == "revisit"} <= {f["warc-record-id"] for f in fields if f["warc-type"] == "response"}
+
+
 def test_warc_payloads_and_smaller_ones(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "longer text"), (4, "d", "longer text")], "page_id long, url string, html string")
     from pyspark.sql import functions as F
@@ -479,6 +524,20 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark, rows):
+    docs = spark.createDataFrame(rows, DOC)
+    names = ["mix_source", "mix_source_size", "mix_target", "mix_rate", "mix_place", "mix_copies", "mix_copy", "mix_row", "size", "col", "h", "copies"]
+    odd = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)], F.lit("x").alias("a.b"))
+    got = mixing.mix(odd)
+    assert got.columns == odd.columns
+    copies = collections.Counter()
+    for r in mixing.mix_report(odd).collect():
+        copies[r.doc_id] += r.copies
+    assert collections.Counter(r.doc_id for r in got.collect()) == +copies
+    assert {tuple(r)[5:] for r in got.collect()} == {(*range(len(names)), "x")}
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
 def test_mixing_comes_near_its_targets(spark):
     got = mixing.mix_report(spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")).collect()
     taken, target = collections.Counter(), {}
@@ -519,6 +578,24 @@ def test_toxicity_trains_on_texts_that_can_train(spark, monkeypatch):
     assert (toxicity.fit(docs, labels).document != toxicity._empty().document).any()  # the first six of the hash order are too long
 
 
+def test_drop_toxic_on_awkward_rows(spark, docs, rows, empty):
+    """Rows without an id, repeated rows, null and blank texts and columns of any name: what is scored below 0.5 stays as it came."""
+    labels, documents = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("labels", "documents"))
+    plain = documents.select("doc_id", "text")
+    odd = plain.unionByName(plain.where("doc_id < 50")).unionByName(plain.where("doc_id < 50").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, " \n"), (10**9 + 2, "")], "doc_id long, text string"))
+    odd = odd.selectExpr("*", "1 as score", "2 as toxic", "'x' as spans", "3 as predicted", "true as held_out", "4 as model")
+    scored = toxicity.toxicity_scores(odd, labels).collect()
+    left = toxicity.drop_toxic(odd, labels)
+    assert left.columns == odd.columns
+    got = collections.Counter(map(str, left.collect()))
+    assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter(r.doc_id for r in scored if not r.predicted)
+    assert not got - collections.Counter(map(str, odd.collect())) and 0 < sum(got.values()) < odd.count()
+    assert left.where("doc_id >= 1000000000").count() == 3
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
+    assert toxicity.drop_toxic(empty, labels).count() == 0
+
+
 def test_chain_marginals_match_enumeration():
     import itertools
 
