@@ -36,6 +36,8 @@ FIRST_BLOCK_LEVEL = 7
 SMALL_GROUP, HUBS = 16, 8
 #: Of the groups of four and more, one in so many is gone through before components are known. All are gone through after.
 EARLY_SHARE = 8
+#: At most so many keys are broadcast to be joined where their rows lie.
+HOT_GROUPS = 10_000
 _Q = [np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(64)]
 
 
@@ -142,7 +144,11 @@ EMIT = "bucket int, kind int, doc_id long, n_shingles long, digest long, data bi
 
 
 def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of kind 0, one a document, and packed keys of kind 1. Of equal sets in one task the first alone emits its keys: they stand
+    for one another later, and so a text that a third of all documents share has as many keys as there are tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for rows, data, off in text_chunks(batches):
             ids = longs(rows, "doc_id")
             has_id = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -153,9 +159,14 @@ def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             ends = np.concatenate([[0], np.cumsum(sizes)])
             digest = (edge[ends[1:]] - edge[ends[:-1]]).view(np.int64)
             out = [(int(spread[i]), 0, int(ids[i]) if has_id[i] else None, int(sizes[i]), int(digest[i]), sketches[i]) for i in range(len(ids))]
-            row, key = block_keys(hashes, sizes)
-            if not has_id.all():
-                row, key = row[has_id[row]], key[has_id[row]]
+            first = np.zeros(len(ids), bool)
+            for i in np.flatnonzero(has_id & (sizes > 0)).tolist():
+                if (name := (int(sizes[i]), int(digest[i]))) not in seen:
+                    seen.add(name)
+                    first[i] = True
+            some = np.flatnonzero(first)
+            row, key = block_keys(hashes[np.repeat(first, sizes)], sizes[some])
+            row = some[row]
             bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             out += [(b, 1, None, None, None, blob) for b, blob in pack(bucket, key >> np.uint64(32), row, ids)]
             for a in range(0, len(out), 2000):
@@ -363,14 +374,27 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _equal_sets(info: DataFrame) -> DataFrame:
     """(a, b): every document but the first of those with the same size and digest, with the first."""
     some = info.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    first = some.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("n_shingles", "digest", "a")
-    return some.join(first, ["n_shingles", "digest"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = some.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("size")).where("a < z").select("n_shingles", "digest", "a", "size")
+    joined = join_groups(some, saved(first, "first"), ["n_shingles", "digest"], some.count())
+    return joined.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined to groups, which have one row a key and the key's `size`, the number of its rows; total: of all rows.
+
+    Keys with more than one in HOT_GROUPS of all rows, HOT_GROUPS of them at most, are broadcast, so their rows are not dealt by key.
+    """
+    hot = F.broadcast(groups.where(F.col("size") * HOT_GROUPS > total))
+    cold = groups.where(F.col("size") * HOT_GROUPS <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
     """(gid, doc_id) -> the same with size, without groups of one and with each set of members once."""
+    members = saved(members, "named")
     sets = members.groupBy("gid").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("name"), F.sum(F.col("doc_id").cast("decimal(38,0)")).alias("total")).where("size > 1")
-    return members.join(sets.groupBy("size", "name", "total").agg(F.min("gid").alias("gid")).select("gid", "size"), "gid")
+    own = saved(sets.groupBy("size", "name", "total").agg(F.min("gid").alias("gid")).select("gid", "size"), "sets")
+    return join_groups(members, own, ["gid"], members.count()).select("gid", "doc_id", "size")
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -388,6 +412,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = info.where("doc_id is not null and n_shingles > 0").join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
     members = reduced.where("kind = 1").select("gid", F.col("doc_id").alias("b")).join(equal, "b", "left").select("gid", F.coalesce("a", "b").alias("doc_id")).distinct()
     members = saved(_distinct_groups(members), "members")
+    total = members.count()
     deal = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("deal")
     early = members.where((F.col("size") <= 3) | (F.pmod("gid", F.lit(EARLY_SHARE)) == 0)).select("gid", "doc_id").join(sketches, "doc_id")
     pairs = saved(early.groupBy(deal).applyInArrow(_propose(False), "a long, b long").distinct(), "pairs")
@@ -395,8 +420,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for best_only in (True, False):
         parts = connected_components(links)
         late = saved(members.select("gid", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "late")
-        mixed = late.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gid")
-        late = late.join(mixed, "gid", "left_semi").join(sketches, "doc_id")
+        mixed = late.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most").select("gid", "size")
+        late = join_groups(late, saved(mixed, "mixed"), ["gid"], total).drop("size").join(sketches, "doc_id")
         rest = saved(late.groupBy(deal).applyInArrow(_propose(True, best_only), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         links, pairs = links.unionAll(saved(verified(docs, rest), "links")), pairs.unionAll(rest)
     return info.select("doc_id", "n_shingles"), links.unionAll(equal)
