@@ -25,7 +25,7 @@ LEAST_BLOCKS = 256
 BLOCK_BYTES = 64 << 20
 #: A piece holds about this many bytes of text; a shard has so many pieces at least, and one for each block at most.
 PIECE_BYTES, LEAST_PIECES = 64 << 20, 16
-#: Above this relative error whole small documents are moved after the plan; at most REPAIR of each shard are looked at.
+#: Above this relative error whole documents are moved after the plan; at most REPAIR of each shard are looked at.
 TOLERANCE = 0.001
 REPAIR = 512
 _U = 1 << 31
@@ -124,14 +124,14 @@ def plan(blocks: dict[tuple[int, int], int], old_sizes: list[int], capacities: l
 
 
 def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int]) -> tuple[dict[int, int], dict[int, int]]:
-    """({doc_id: shard}, {shard: bytes over its capacity after them}): moves of small whole documents that even out what cutting
-    blocks left over. Bounded by REPAIR of each shard."""
+    """({doc_id: shard}, {shard: bytes over its capacity after them}): moves of whole documents that even out what cutting blocks left
+    over, the largest that fits first. Bounded by REPAIR of each shard, picked by hash, so they are of all sizes."""
     over = {j: sizes.get(j, 0) - c for j, c in enumerate(capacities)}
-    order = W.partitionBy("shard").orderBy("size", "doc_id")
+    order = W.partitionBy("shard").orderBy(F.xxhash64("doc_id"), "doc_id")
     unique = assigned.where("doc_id is not null").groupBy("shard", "doc_id").agg(F.sum("size").alias("size"))
-    small = unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REPAIR).collect()
+    some = unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REPAIR).collect()
     pool: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for r in small:
+    for r in some:
         pool[r.shard].append((r.size, r.doc_id))
     for own in pool.values():
         own.sort()
@@ -205,6 +205,7 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
         # At most MAX_BLOCKS ranges and one more for each flow: a proven bound for the broadcast.
         table = F.broadcast(spark.createDataFrame(ranges, "p_old int, p_block int, p_from long, p_to long, shard int"))
         here = (F.floor(F.col("piece") / pieces) == F.col("p_old")) & (F.col("block") == F.col("p_block")) & (F.col("at") >= F.col("p_from")) & (F.col("at") < F.col("p_to"))
+        wider = 1
         while True:  # once, but for small tables, where the documents of the affected pieces may not do to even out the shards
             placed = old.where(F.col("piece").isin(affected)).join(table, here).select("doc_id", "text", "size", "piece", "pos", "shard")
             light, lost = placed.select("shard", "doc_id", "size"), set(affected)
@@ -217,7 +218,8 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
                 break
             moves, over = _repairs(light, sizes, capacities)
             there = {r.piece for r in found} - lost
-            more = [min(own) for j, x in over.items() if x > 0 and (own := [p for p in there if p // pieces == j])]
+            more = [p for j, x in over.items() if x > allowed for p in sorted(p for p in there if p // pieces == j)[:wider]]
+            wider *= 2
             if max(map(abs, over.values())) <= allowed or not more:
                 break
             affected += more
