@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import saved
 
 
+#: At most so many keys are broadcast to be joined where their rows lie.
+HOT_GROUPS = 10_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one batch: a star (smallest member, member) for each tree, so long chains shrink at once."""
     for batch in batches:
@@ -30,8 +34,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], names=["a", "b"])
 
 
-def _least(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined to groups, which have one row a key and the key's `size`, the number of its rows; total: of all rows.
+
+    Keys with more than one in HOT_GROUPS of all rows, HOT_GROUPS of them at most, are broadcast, so their rows are not dealt by key.
+    """
+    hot = F.broadcast(groups.where(F.col("size") * HOT_GROUPS > total))
+    cold = groups.where(F.col("size") * HOT_GROUPS <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
+def _with_least(both: DataFrame, total: int) -> DataFrame:
+    """(u, v) with m, the least of u and all its v; total bounds the number of rows."""
+    least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("size")).select("u", F.least("u", "least").alias("m"), "size")
+    return join_groups(both, least, ["u"], total)
 
 
 def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -41,18 +57,18 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a < b")
     edges = saved(edges.mapInArrow(_forest, "a long, b long").distinct(), "edges")
-    state = None
+    state, total = None, 2 * edges.count()
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        large = _with_least(both, total).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         large = saved(large, "edges")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        small = down.join(_least(down), "u").select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).where("a < b").select("a", "b").distinct()
+        small = _with_least(down, total).select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).where("a < b").select("a", "b").distinct()
         edges = saved(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, total = now, 2 * int(now[0])
     else:
         raise RuntimeError("components did not settle")
     members = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("doc_id"), "component")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import Words, bucket_count, columns_only, longs, mix, saved, scratch, text_bytes, text_chunks
-from scriptorium.llm.components import connected_components
+from scriptorium.llm.components import connected_components, join_groups
 
 SHINGLE = 5
 #: Bands below this level (sets under 128 shingles) use each shingle as a block of its own: too few blocks to rely on averages.
@@ -36,8 +36,6 @@ FIRST_BLOCK_LEVEL = 7
 SMALL_GROUP, HUBS = 16, 8
 #: Of the groups of four and more, one in so many is gone through before components are known. All are gone through after.
 EARLY_SHARE = 8
-#: At most so many keys are broadcast to be joined where their rows lie.
-HOT_GROUPS = 10_000
 _Q = [np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(64)]
 
 
@@ -379,16 +377,6 @@ def _equal_sets(info: DataFrame) -> DataFrame:
     return joined.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
-    """rows joined to groups, which have one row a key and the key's `size`, the number of its rows; total: of all rows.
-
-    Keys with more than one in HOT_GROUPS of all rows, HOT_GROUPS of them at most, are broadcast, so their rows are not dealt by key.
-    """
-    hot = F.broadcast(groups.where(F.col("size") * HOT_GROUPS > total))
-    cold = groups.where(F.col("size") * HOT_GROUPS <= total)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
-
-
 def _distinct_groups(members: DataFrame) -> DataFrame:
     """(gid, doc_id) -> the same with size, without groups of one and with each set of members once."""
     members = saved(members, "named")
