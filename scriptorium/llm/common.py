@@ -7,7 +7,7 @@ operations a byte and no Python object is made per word.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -39,6 +39,8 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(_mix_int(777) | 1)
 _tables: dict[str, np.ndarray] = {}
 _made: list[str] = []
+#: What operators hold in a worker from task to task: by name, how to drop it.
+held: dict[str, Callable[[], None]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,8 +89,15 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def forget(but: str | None = None) -> None:
+    """Drops what operators hold in this worker from task to task, but for one; a task of another operator needs the memory."""
+    for name in [n for n in held if n != but]:
+        held.pop(name)()
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, holds: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of rows of about `limit` bytes of text (a longer text stands alone): (rows, bytes, offsets)."""
+    forget(holds)
     steady_heap()
     for batch in batches:
         if not batch.num_rows:

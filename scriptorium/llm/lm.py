@@ -25,7 +25,7 @@ from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Words, binary_parts, inner_settings, longs, mix, release_heap, saved, scratch, scratch_path, steady_heap, text_bytes
+from scriptorium.llm.common import Words, binary_parts, forget, inner_settings, longs, mix, release_heap, saved, scratch, scratch_path, steady_heap, text_bytes
 from scriptorium.llm.warc import file_system
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -48,6 +48,7 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    forget()
     steady_heap()
     for batch in batches:
         data, off = binary_parts(batch.column(batch.schema.get_field_index("text")))

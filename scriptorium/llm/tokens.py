@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, longs, mix, release_heap, saved, scratch_path, text_bytes, text_chunks
+from scriptorium.llm.common import _LOWER, forget, held, longs, mix, release_heap, saved, scratch_path, text_bytes, text_chunks
 from scriptorium.llm.warc import file_system
 
 TOKENIZER = "word_bpe_49k.json"
@@ -236,7 +236,8 @@ ENCODED = "shard int, doc_id long, ids binary"
 
 def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_chunks(batches, limit=ENCODE_BYTES):
+        for rows, data, off in text_chunks(batches, limit=ENCODE_BYTES, holds="words"):
+            held["words"] = _tokenizer(path)[1].reset
             ids = encode_rows(data, off, path, end)
             docs, valid = longs(rows, "doc_id"), rows.column(0).is_valid().to_numpy(zero_copy_only=False)
             shard = np.where(valid, np.searchsorted(borders, docs, side="right"), 0).astype(np.int32)
@@ -273,6 +274,7 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
         key = (code.astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64)
         key.sort()
         code, places = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)
+        del key
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
         count = np.diff(np.append(start, len(code)))
         often = count >= least
@@ -287,8 +289,9 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
         used += len(places)
         return new
 
-    at = np.flatnonzero(following[:n] != n)
+    at = np.flatnonzero(following[:n] != n).astype(np.uint32)
     live = enlist(at, (sym[at] << np.uint32(16)) | sym[at + 1])
+    del at
     while len(live) and len(rules) < (1 << 16) - first_symbol:
         count = counts[live]
         chosen = live[count >= max(least, -(-int(count.max()) // 2))]
@@ -420,6 +423,7 @@ WRITTEN = "shard int, path string, documents long, ids long, file_bytes long"
 
 def _write(folder: str, first_symbol: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        forget()
         docs, ids = table.column("doc_id").to_pylist(), table.column("ids").to_pylist()
         order = sorted(range(len(docs)), key=lambda i: (docs[i] is not None, docs[i] or 0, ids[i]))
         shard = table.column("shard")[0].as_py()
@@ -429,7 +433,10 @@ def _write(folder: str, first_symbol: int) -> Callable[[pa.Table], pa.Table]:
         with fs.open_output_stream(temp) as out:
             out.write(raw)
         fs.move(temp, name)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"shard-{shard:06d}.repair"], "documents": pa.array([len(docs)], pa.int64()), "ids": pa.array([sum(map(len, ids)) // 2], pa.int64()), "file_bytes": pa.array([len(raw)], pa.int64())})
+        total, size = sum(map(len, ids)) // 2, len(raw)
+        del ids, raw
+        release_heap()
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"shard-{shard:06d}.repair"], "documents": pa.array([len(docs)], pa.int64()), "ids": pa.array([total], pa.int64()), "file_bytes": pa.array([size], pa.int64())})
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, Words, inner_settings, longs, mix, prefix_hash, release_heap, saved, span_hash, steady_heap, text_chunks
+from scriptorium.llm.common import _LOWER, Words, forget, inner_settings, longs, mix, prefix_hash, release_heap, saved, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
 MAX_TRAIN_DOCS = 2000
@@ -354,6 +354,7 @@ def _train(prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Trains in a task, so the driver holds neither the sample nor the arrays; the model comes back as one small row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         steady_heap()
         rows = sorted((d, t or "", y) for batch in batches for d, t, y in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
         if rows:
