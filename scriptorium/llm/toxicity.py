@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import _LOWER, Words, forget, inner_settings, longs, mix, prefix_hash, release_heap, saved, span_hash, steady_heap, text_chunks
+from scriptorium.llm.common import _LOWER, CHUNK_BYTES, Words, forget, inner_settings, longs, mix, prefix_hash, release_heap, saved, span_hash, steady_heap, text_chunks
 
 #: At most this many labelled documents of each class train the model, the first by a hash of their id.
 MAX_TRAIN_DOCS = 2000
@@ -30,6 +30,8 @@ MIN_DOCS = 2
 PREFIXES = (3, 4, 5, 6, 7)
 FOLDS = 5
 SEGMENT = 64
+#: Segments that training goes through at a time.
+BLOCK_SEGMENTS = 8192
 ROUNDS, STEPS, L2 = 2, 40, 2.0
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -168,10 +170,29 @@ class Chain:
         return marginal, total
 
 
-def _places(tables: list[np.ndarray], data: np.ndarray, words: Words) -> list[np.ndarray]:
+class Chains:
+    """Forward-backward over many documents, some of them at a time: memory is bounded by BLOCK_SEGMENTS, and a step's arrays stay in cache."""
+
+    def __init__(self, count: np.ndarray):
+        segs, first = np.cumsum(-(-count // SEGMENT)), np.concatenate([[0], np.cumsum(count)])
+        self.n, self.parts, at = int(first[-1]), [], 0
+        while at < len(count):
+            to = max(at + 1, int(np.searchsorted(segs, (segs[at - 1] if at else 0) + BLOCK_SEGMENTS, side="right")))
+            self.parts.append((int(first[at]), int(first[to]), Chain(count[at:to])))
+            at = to
+
+    def run(self, u: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        marginal, total = np.zeros(self.n), np.zeros((2, 2))
+        for a, b, chain in self.parts:
+            marginal[a:b], pairs = chain.run(u[a:b], transition, pairs=True)
+            total += pairs
+        return marginal, total
+
+
+def _places(tables: list[np.ndarray], hashes: list[np.ndarray], row: np.ndarray) -> list[np.ndarray]:
     """The place of each feature of each token in its table, the table's length where it has none."""
-    own = [_lookup(t, h) for t, h in zip(tables, token_hashes(data, words), strict=True)]
-    return [*own, *neighbours(own[0], words.row, len(tables[0]))]
+    own = [_lookup(t, h) for t, h in zip(tables, hashes, strict=True)]
+    return [*own, *neighbours(own[0], row, len(tables[0]))]
 
 
 def _emission(model: Model, places: list[np.ndarray]) -> np.ndarray:
@@ -199,36 +220,52 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float) -> Model:
     A field trained on two thirds of the texts gives the others' marginals, on which the document's logistic is fitted, so it
     sees those of unseen texts. The field itself is then trained on all.
     """
-    model = _field(*_joined(texts, toxic, np.arange(len(texts)) % 3 != 0), prior)
-    data, off, own = _joined(texts, toxic, np.arange(len(texts)) % 3 == 0)
+    third = np.arange(len(texts)) % 3 == 0
+    model = _field([t for t, k in zip(texts, third, strict=True) if not k], toxic[~third], prior)
+    own = toxic[third]
     if 0 < toxic.sum() < len(toxic) and 0 < own.sum() < len(own):
-        words = Words(data, off)
-        marginal, _ = Chain(words.count).run(_emission(model, _places(model.tables, data, words)), model.transition)
-        x = document_features(marginal, words.first, words.count)
+        count, hashes = _tokens([t for t, k in zip(texts, third, strict=True) if k])
+        places = _places(model.tables, hashes, np.repeat(np.arange(len(count)), count))
+        del hashes
+        marginal, _ = Chains(count).run(_emission(model, places), model.transition)
+        x = document_features(marginal, np.concatenate([[0], np.cumsum(count)]), count)
         weight = np.where(own == 1, prior / own.sum(), (1 - prior) / (1 - own).sum()) * len(own)
         w = np.zeros(4)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(4)
             w = w + np.linalg.solve(hess, x.T @ (weight * (own - p)) - 0.05 * w)
-        model = _field(*_joined(texts, toxic, np.ones(len(texts), bool)), prior)
+        model = _field(texts, toxic, prior)
         model.document = w
     return model
 
 
-def _joined(texts: list[bytes], toxic: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own = [t for t, k in zip(texts, some, strict=True) if k]
-    return np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64), toxic[some]
-
-
-def _field(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
-    words = Words(data, off)
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words of each text, hashes of each word's form and beginnings). Hashing needs dozens of bytes a byte, so it goes block by block."""
+    count, hashes = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(PREFIXES))]
+    size = np.cumsum([len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+        block = texts[at:to]
+        data = np.frombuffer(b"".join(block), np.uint8)
+        words = Words(data, np.concatenate([[0], np.cumsum([len(t) for t in block])]).astype(np.int64))
+        count.append(words.count)
+        for kept, h in zip(hashes, token_hashes(data, words), strict=True):
+            kept.append(h)
+        at = to
+    return np.concatenate(count), [np.concatenate(h) for h in hashes]
+
+
+def _field(texts: list[bytes], toxic: np.ndarray, prior: float) -> Model:
+    count, hashes = _tokens(texts)
+    row = np.repeat(np.arange(len(count)), count)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    tables, marked, in_bad = [], np.zeros(len(words.start), bool), toxic[words.row] == 1
-    for h in token_hashes(data, words):
-        once = np.unique(mix(h ^ mix(words.row.astype(np.uint64))), return_index=True)[1]  # a form counts once a document
+    tables, marked, in_bad = [], np.zeros(len(row), bool), toxic[row] == 1
+    for h in hashes:
+        once = np.unique(mix(h ^ mix(row.astype(np.uint64))), return_index=True)[1]  # a form counts once a document
         forms, inverse, docs = np.unique(h[once], return_inverse=True, return_counts=True)
-        bad = np.bincount(inverse, weights=toxic[words.row[once]], minlength=len(forms))
+        bad = np.bincount(inverse, weights=toxic[row[once]], minlength=len(forms))
         keep = docs >= MIN_DOCS
         forms, bad, good = forms[keep], bad[keep], (docs - bad)[keep]
         share_bad, share_good = (bad + 0.5) / (n_bad + 1), (good + 0.5) / (n_good + 1)
@@ -242,11 +279,12 @@ def _field(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, prior: float) -
     if not 0 < toxic.sum() < len(toxic):
         model.document[0] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
         return model
-    places = _places(tables, data, words)
+    places = _places(tables, hashes, row)
+    del hashes, h
     target = (marked & in_bad).astype(float)
-    chain = Chain(words.count)
+    chain = Chains(count)
     for _ in range(ROUNDS):
-        _fit(model, chain, places, target, words)
+        _fit(model, chain, places, target, row)
         marginal, _ = chain.run(_emission(model, places), model.transition)
         target = np.where(in_bad, (marginal > 0.5).astype(float), 0.0)
     _prune(model)
@@ -264,16 +302,16 @@ def _prune(model: Model, least: float = 0.05) -> None:
             model.weights[w] = model.weights[w][keep]
 
 
-def _fit(model: Model, chain: Chain, places: list[np.ndarray], target: np.ndarray, words: Words) -> None:
+def _fit(model: Model, chain: Chains, places: list[np.ndarray], target: np.ndarray, row: np.ndarray) -> None:
     """Adam on the conditional likelihood of 0/1 token targets, with a small L2 pull."""
     state = target.astype(np.int64)
     last = np.zeros(len(state), np.int64)
-    last[1:] = np.where(words.row[1:] == words.row[:-1], state[:-1], 0)
+    last[1:] = np.where(row[1:] == row[:-1], state[:-1], 0)
     seen = np.bincount(last * 2 + state, minlength=4).reshape(2, 2).astype(float)
     params = [*model.weights, np.array([model.bias]), model.transition]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
-        marginal, pairs = chain.run(_emission(model, places), model.transition, pairs=True)
+        marginal, pairs = chain.run(_emission(model, places), model.transition)
         diff = target - marginal
         grad = [np.bincount(p, weights=diff, minlength=len(w)) - L2 * w for p, w in zip(places, model.weights, strict=True)]
         for g in grad:
@@ -289,7 +327,7 @@ def _fit(model: Model, chain: Chain, places: list[np.ndarray], target: np.ndarra
 def score_texts(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """(scores, spans): of each text its probability and the UTF-8 byte offsets of runs of tokens with a marginal of 0.5 or more."""
     words = Words(data, off)
-    marginal, _ = Chain(words.count).run(_emission(model, _places(model.tables, data, words)), model.transition)
+    marginal, _ = Chain(words.count).run(_emission(model, _places(model.tables, token_hashes(data, words), words.row)), model.transition)
     score = 1 / (1 + np.exp(-np.clip(document_features(marginal, words.first, words.count) @ model.document, -30, 30)))
     spans: list[list[tuple[int, int]]] = [[] for _ in words.count]
     hit = np.flatnonzero(marginal >= 0.5)

@@ -765,3 +765,19 @@ def test_scratch_is_cleared(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_toxicity_training_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "Cde,", "fghij", "klmnopqr", "été"], int(n))).encode() for n in [0, 1, 3, 200, 64, 65, 0, 500, 7]]
+    count, hashes = toxicity._tokens(texts)
+    u, transition = rng.normal(size=int(count.sum())), rng.normal(size=(2, 2))
+    marginal, pairs = toxicity.Chain(count).run(u, transition, pairs=True)
+    monkeypatch.setattr(toxicity, "BLOCK_SEGMENTS", 2)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 100)
+    some, parts = toxicity.Chains(count).run(u, transition)
+    assert len(toxicity.Chains(count).parts) > 3
+    assert np.allclose(some, marginal, atol=1e-12) and np.allclose(parts, pairs, atol=1e-9)
+    again, others = toxicity._tokens(texts)
+    assert (again == count).all() and all((a == b).all() for a, b in zip(hashes, others, strict=True))
+    assert not len(toxicity.Chains(np.zeros(0, np.int64)).run(np.zeros(0), transition)[0])
