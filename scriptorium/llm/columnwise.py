@@ -2,8 +2,8 @@
 
 Round j inserts, for every text at once, the symbol j places before its end: the suffix that starts there goes to its place
 among those already there. Each round reads the files of the round before from front to back and writes new ones, so memory
-holds one entry a text, and work is rounds times size: the longest text's length times all bytes. That serves small
-collections; scriptorium.llm.repeats finds the same repeats on large ones.
+holds one entry a text, and work is rounds times size: the longest text's length times all bytes. in_pieces cuts texts first,
+so that rounds are few. Both serve small collections; scriptorium.llm.repeats finds the same repeats on large ones.
 
 Equal suffixes of different texts stand in the order of the texts. The end of a text is smaller than every byte.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import struct
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -138,3 +138,95 @@ def repeated_bytes(texts: list[bytes], length: int, folder: str) -> list[np.ndar
         np.add.at(edge, at + length, -1)
         out.append(np.cumsum(edge[:-1]) > 0)
     return out
+
+
+def in_pieces(texts: list[bytes], length: int, folder: str, step: int | None = None) -> list[np.ndarray]:
+    """As repeated_bytes, in as many rounds as a piece has bytes: texts are cut every `step` bytes, into pieces of step + length - 1.
+
+    A suffix that starts in the bytes a piece shares with the next is shorter than `length`, so it is never found twice. Rounds
+    are whole-array operations on the files of the round before; common prefixes are kept up to 255, so `length` is 255 at most.
+    """
+    if not 0 < length < 256:
+        raise ValueError("length must be 1 to 255")
+    step = step or length
+    cut = [(d, i) for d, t in enumerate(texts) for i in range(0, max(1, len(t) - length + 1), step)]
+    pieces = [np.frombuffer(texts[d][i : i + step + length - 1], np.uint8) for d, i in cut]
+    found = _grow(pieces, folder)
+    hits = [[] for _ in texts]
+    for piece, start in found(length):
+        d, i = cut[piece]
+        hits[d].append(i + start)
+    out = []
+    for t, own in zip(texts, hits, strict=True):
+        edge = np.zeros(len(t) + 1, np.int64)
+        np.add.at(edge, np.array(own, np.int64), 1)
+        np.add.at(edge, np.array(own, np.int64) + length, -1)
+        out.append(np.cumsum(edge[:-1]) > 0)
+    return out
+
+
+def _grow(pieces: list[np.ndarray], folder: str) -> Callable[[int], Iterator[tuple[int, int]]]:
+    """Inserts one symbol a piece each round; the result gives (piece, start) of the suffixes that share so many symbols with another."""
+    os.makedirs(folder, exist_ok=True)
+    symbol, prefix = os.path.join(folder, "symbol"), os.path.join(folder, "prefix")
+    ends, sizes = len(pieces), np.array([len(p) for p in pieces], np.int64)
+    data, last = np.concatenate([*pieces, np.zeros(1, np.uint8)]), np.cumsum(sizes)
+    np.where(sizes > 0, data[np.maximum(last - 1, 0)].astype(np.int16), np.int16(-1)).tofile(symbol)
+    np.zeros(ends, np.uint8).tofile(prefix)
+    place = np.arange(ends)
+    for j in range(1, int(sizes.max(initial=0)) + 1):
+        c, p = np.fromfile(symbol, np.int16), np.fromfile(prefix, np.uint8)
+        live = np.flatnonzero(sizes >= j)
+        owner = np.full(len(c), -1, np.int64)
+        owner[place[live]] = live
+        order = _by_symbol(c)
+        fresh = owner[order] >= 0
+        k = np.flatnonzero(fresh)
+        meets = np.append(False, c[order[1:]] == c[order[:-1]])
+        after = k[k + 1 < len(order)] + 1
+        after = after[meets[after] & ~fresh[after]]
+        spots = np.sort(np.concatenate([k, after]))  # of old suffixes, those right after a new one
+        spots, alone = spots[meets[spots]], spots[~meets[spots]]
+        least = _least(np.append(p, np.uint8(255)), order[spots - 1] + 1, order[spots] + 1, c[order[spots]])
+        old = np.ones(len(c) + len(k), bool)
+        old[ends + k] = False
+        symbols, prefixes = np.empty(len(old), np.int16), np.empty(len(old), np.uint8)
+        symbols[old], prefixes[old] = c, p
+        who = owner[order[k]]
+        symbols[ends + k] = np.where(sizes[who] > j, data[np.maximum(last[who] - j - 1, 0)].astype(np.int16), np.int16(-1))
+        prefixes[ends + spots], prefixes[ends + alone] = np.minimum(least.astype(np.int16) + 1, 255), 0
+        symbols.tofile(symbol)
+        prefixes.tofile(prefix)
+        place[who] = ends + k
+
+    def found(length: int) -> Iterator[tuple[int, int]]:
+        c, p = np.fromfile(symbol, np.int16), np.fromfile(prefix, np.uint8)
+        order = _by_symbol(c)
+        before = np.zeros(len(c), np.int64)  # where the suffix stands that is one symbol longer
+        before[order] = ends + np.arange(len(order))
+        hit = p >= length
+        hit[:-1] |= hit[1:]
+        row = np.arange(ends)
+        for j in range(1, int(sizes.max(initial=0)) + 1):
+            live = np.flatnonzero(sizes >= j)
+            row[live] = before[row[live]]
+            some = live[hit[row[live]]]
+            yield from zip(some.tolist(), (sizes[some] - j).tolist(), strict=True)
+
+    return found
+
+
+def _by_symbol(c: np.ndarray) -> np.ndarray:
+    """The rows that have a symbol before them, by symbol and place: the order of the suffixes one symbol longer."""
+    own = np.flatnonzero(c >= 0)
+    return own[np.argsort(c[own], kind="stable")]
+
+
+def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The least value of each span; those of one symbol come in order and don't overlap."""
+    out = np.empty(len(begin), values.dtype)
+    edges = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])) if len(symbol) else np.zeros(0, np.int64)
+    for a, b in zip(edges, np.append(edges[1:], len(symbol))[: len(edges)], strict=True):
+        pairs = np.stack([begin[a:b][::-1], end[a:b][::-1]], 1).ravel()  # from the last on, so what lies between two spans is not gone through
+        out[a:b] = np.minimum.reduceat(values, pairs)[::2][::-1]
+    return out

@@ -2,7 +2,7 @@
 
 Every byte that lies in a WINDOW-byte string that also starts anywhere else goes. The dealt method, column-wise construction
 of the collection's Burrows-Wheeler transform and common prefixes, is in columnwise.py; it passes over all data once for each
-byte of the longest text, so it serves small collections and tests alone (the README has figures). Here the same result is
+byte of the longest text, or of the pieces that texts are cut into, so it serves small collections and tests alone (the README has figures). Here the same result is
 found by content-chosen anchors:
 
 1. Texts are laid down in files in the shared folder; a byte is known by file, row and place.

@@ -781,3 +781,19 @@ def test_toxicity_training_blocks_change_nothing(monkeypatch):
     again, others = toxicity._tokens(texts)
     assert (again == count).all() and all((a == b).all() for a, b in zip(hashes, others, strict=True))
     assert not len(toxicity.Chains(np.zeros(0, np.int64)).run(np.zeros(0), transition)[0])
+
+
+def test_columnwise_in_pieces_agrees_with_counting(tmp_path):
+    rng = np.random.default_rng(1)
+    for n in range(25):
+        length, step = int(rng.integers(1, 12)), int(rng.integers(1, 20))
+        texts = [bytes(rng.choice(list(b"ab\x00\xff"), int(rng.integers(0, 60))).tolist()) for _ in range(int(rng.integers(0, 6)))]
+        seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        for t, got in zip(texts, columnwise.in_pieces(texts, length, str(tmp_path / str(n)), step), strict=True):
+            want = np.zeros(len(t), bool)
+            for i in range(len(t) - length + 1):
+                if seen[t[i : i + length]] > 1:
+                    want[i : i + length] = True
+            assert (want == got).all()
+    with pytest.raises(ValueError):
+        columnwise.in_pieces([b"a"], 256, str(tmp_path / "x"))
