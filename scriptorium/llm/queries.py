@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontam, filters, jaccard, lm, mixing, phrases, repeats, sharding, tokens, topk, toxicity, warc
+from scriptorium.llm import decontam, filters, jaccard, lm, mixing, neardup, phrases, repeats, sharding, tokens, topk, toxicity, warc
 from scriptorium.session import load
 
 
@@ -54,13 +54,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.interactions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op4_resharding, op5_mixing, op6_warc_revisits, op7_exact_top_k, op8_repeated_strings, op9_lm_scoring, op10_token_ids, op11_collocations, op13_filter_audit)
+    for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op4_resharding, op5_mixing, op6_warc_revisits, op7_exact_top_k, op8_repeated_strings, op9_lm_scoring, op10_token_ids, op11_collocations, op12_near_vectors, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op6_warc_revisits": warc.ORACLE, "op7_exact_top_k": topk.ORACLE, "op11_collocations": phrases.ORACLE, "op13_filter_audit": filters.ORACLE}
