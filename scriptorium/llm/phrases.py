@@ -95,7 +95,7 @@ def by_bucket(names: np.ndarray, seq: np.ndarray, buckets: int) -> tuple[np.ndar
 def _packed(block: int, lang: str, seq: np.ndarray | None, names: np.ndarray, bucket: np.ndarray, counts: np.ndarray, lefts: np.ndarray | None = None, rights: np.ndarray | None = None, words: list[bytes] | None = None) -> pa.RecordBatch:
     """A block's sequence, if it goes on, and a row for each bucket that it has names in."""
     kept = seq is not None
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     spans = list(zip(edges.tolist(), np.append(edges[1:], len(bucket)).tolist(), strict=True))
     part = lambda x, kind, a, b: None if x is None else x[a:b].astype(kind).tobytes()
     none = [None] * kept
@@ -122,9 +122,9 @@ def _read(buckets: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             langs = np.array(rows.column(0).to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 for data, off in pieces_cut(*binary_parts(rows.column(1).filter(pa.array(langs == lang))), limit):
-                    if not len(data):
-                        continue
                     seq, names, counts, words = word_sequence(data, off, lang)
+                    if not len(names):
+                        continue
                     order, bucket, seq = by_bucket(names, seq, buckets)
                     yield _packed(uuid.uuid4().int >> 65, lang, seq, names[order], bucket, counts[order], words=[words[i] for i in order])
 

@@ -32,7 +32,7 @@ LEAST_USES = 8
 ENCODE_BYTES = 2 << 20
 #: Distinct words whose ids a worker remembers, from task to task, before it starts anew; in a table of 2**TABLE_BITS slots.
 CACHE_WORDS, TABLE_BITS = 1_000_000, 21
-MAGIC = b"REPAIR01"
+MAGIC = b"REPAIR02"
 _loaded: dict[str, tuple] = {}
 _CUT = np.zeros(256, bool)
 _CUT[[10, 32]] = True
@@ -232,6 +232,15 @@ def encode_rows(data: np.ndarray, off: np.ndarray, path: str = TOKENIZER, end: i
 
 
 ENCODED = "shard int, doc_id long, ids binary"
+#: What a row without doc_id is dealt out by: it comes before all others.
+_FIRST = -(1 << 63)
+
+
+def deal(borders: np.ndarray, docs: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Shards by ranges of doc_id. An id that is a border several times fills several shards, and its rows are spread over them by their place."""
+    low, high = np.searchsorted(borders, docs, side="left"), np.searchsorted(borders, docs, side="right")
+    spread = np.where(high - low > 1, mix(place.astype(np.uint64)) % np.maximum(high - low, 1).astype(np.uint64), 0).astype(np.int64)
+    return (high - spread).astype(np.int32)
 
 
 def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -239,8 +248,8 @@ def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterat
         for rows, data, off in text_chunks(batches, limit=ENCODE_BYTES, holds="words"):
             held["words"] = _tokenizer(path)[1].reset
             ids = encode_rows(data, off, path, end)
-            docs, valid = longs(rows, "doc_id"), rows.column(0).is_valid().to_numpy(zero_copy_only=False)
-            shard = np.where(valid, np.searchsorted(borders, docs, side="right"), 0).astype(np.int32)
+            docs, valid = longs(rows, "doc_id", _FIRST), rows.column(0).is_valid().to_numpy(zero_copy_only=False)
+            shard = deal(borders, docs, longs(rows, "place"))
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(docs, mask=~valid), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
         release_heap()
 
@@ -250,7 +259,7 @@ def _encode(path: str, borders: np.ndarray, end: int | None) -> Callable[[Iterat
 def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, last, rules). seq: ids; last: True at a document's end, which no pair crosses.
 
-    Goes on until no pair can be replaced `least` times or the symbols, which stay below 65,536, are used up. A round takes the
+    Goes on until no pair can be replaced `least` times; symbols have 32 bits, and there are fewer rules than ids. A round takes the
     pairs at least half as frequent as the most frequent one. Where two of them overlap the more frequent wins, by eighths of a
     doubling and then by hash, so that a long run of pairs alike in number is halved and not gone along one by one; what stays
     over comes in the next round. The first pair in that order gets all its places, so a round makes a rule or strikes a pair.
@@ -261,20 +270,30 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
     symbol, so pairs less frequent than `least` never come back.
     """
     n = len(seq)
+    wide = np.uint64(max(1, (first_symbol + n // least + 1).bit_length()))  # bits of a symbol: a rule replaces `least` ids or more
+    far = np.uint64(max(1, n.bit_length()))
+    mask, packs = np.uint64((1 << int(wide)) - 1), 2 * int(wide) + int(far) <= 64
     sym, following, before = np.append(seq, 0).astype(np.uint32), np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     following[:-1][last], before[1:][last] = n, n
     following[n], before[0], before[n] = n, n, n
     pair, rank_at, gone = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
-    pool, used, rules = np.empty(2 * n, np.int32), 0, np.zeros(0, np.uint32)  # places, pair by pair, of one round after the other
-    begin, sizes, counts, codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    pool, used, rules = np.empty(2 * n, np.int32), 0, np.zeros(0, np.uint64)  # places, pair by pair, of one round after the other
+    begin, sizes, counts, codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def code_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.uint64) << wide) | right
 
     def enlist(places: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Lists these places by their pairs, if those are frequent: the numbers of the pairs."""
         nonlocal pool, used, begin, sizes, counts, codes
-        key = (code.astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64)
-        key.sort()
-        code, places = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)
-        del key
+        if packs:
+            key = (code << far) | places.astype(np.uint64)
+            key.sort()
+            code, places = key >> far, (key & ((np.uint64(1) << far) - np.uint64(1))).astype(np.uint32)
+            del key
+        else:
+            order = np.lexsort((places, code))
+            code, places = code[order], places[order]
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
         count = np.diff(np.append(start, len(code)))
         often = count >= least
@@ -290,24 +309,20 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
         return new
 
     at = np.flatnonzero(following[:n] != n).astype(np.uint32)
-    live = enlist(at, (sym[at] << np.uint32(16)) | sym[at + 1])
+    live = enlist(at, code_of(sym[at], sym[at + 1]))
     del at
-    while len(live) and len(rules) < (1 << 16) - first_symbol:
+    while len(live):
         count = counts[live]
         chosen = live[count >= max(least, -(-int(count.max()) // 2))]
         count = counts[chosen]
-        mixed = (codes[chosen] ^ (codes[chosen] >> np.uint32(15))) * np.uint32(2246822519)
-        mixed ^= mixed >> np.uint32(13)
-        best = np.lexsort((mixed, -count))[: (1 << 16) - first_symbol - len(rules)]
-        best = best[np.lexsort((mixed[best], -np.floor(8 * np.log2(count[best]))))]
-        chosen = chosen[best]
+        chosen = chosen[np.lexsort((mix(codes[chosen]), -np.floor(8 * np.log2(count))))]
         size = sizes[chosen]
         where = pool[np.repeat(begin[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].astype(np.int64)
         rank = np.repeat(np.arange(len(chosen)), size)
         there = pair[where] == np.repeat(chosen, size)
         where, rank = where[there], rank[there]
         rank_at[where] = rank
-        same = np.flatnonzero(((codes[chosen] >> np.uint32(16)) == (codes[chosen] & np.uint32(0xFFFF)))[rank])
+        same = np.flatnonzero(((codes[chosen] >> wide) == (codes[chosen] & mask))[rank])
         if len(same):  # one id over and over: of each run every second place
             same = same[np.argsort(where[same])]
             first, place = rank_at[before[where[same]]] != rank[same], np.arange(len(same))
@@ -333,17 +348,28 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
         before[n] = n
         rules = np.append(rules, codes[chosen[good]])
         inner = third != n
-        new = enlist(np.concatenate([where[inner], left]), np.concatenate([(name[inner] << np.uint32(16)) | sym[third[inner]], (sym[left] << np.uint32(16)) | sym[following[left]]]))
+        new = enlist(np.concatenate([where[inner], left]), np.concatenate([code_of(name[inner], sym[third[inner]]), code_of(sym[left], sym[following[left]])]))
         live = np.append(live, new)
         live = live[counts[live] >= least]
     keep = np.flatnonzero(~gone[:n])
-    return sym[keep].astype(np.uint16), following[keep] == n, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype(np.uint16)
+    return sym[keep], following[keep] == n, np.stack([rules >> wide, rules & mask], 1).astype(np.uint32)
+
+
+def narrow(symbols: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, little-endian."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def widened(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u4").ravel()
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[bytes], first_symbol: int) -> bytes:
-    """One shard's file. All numbers little-endian: MAGIC; documents, rules, symbols, first symbol (uint64 each); doc ids (int64),
-    null flags (uint8), ids and symbols of each document (uint64 each), rules' left and right symbols (uint16), rules' expansion
-    lengths (uint32), symbols (uint16)."""
+    """One shard's file. All numbers little-endian: MAGIC; documents, rules, symbols, first symbol, bytes of a symbol (uint64 each); doc
+    ids (int64), null flags (uint8), ids and symbols of each document (uint64 each), rules' left and right symbols, rules' expansion
+    lengths (uint32), symbols; symbols take 2 to 4 bytes, as many as the last rule needs."""
     seq = np.frombuffer(b"".join(ids), "<u2")
     tokens = np.array([len(x) // 2 for x in ids], np.uint64)
     ends = np.cumsum(tokens).astype(np.int64)
@@ -355,8 +381,9 @@ def pack_shard(doc_ids: list[int | None], ids: list[bytes], first_symbol: int) -
         lengths[first_symbol + k] = lengths[a] + lengths[b]
     per_doc = np.zeros(len(ids), np.uint64)
     per_doc[tokens > 0] = np.diff(np.append(-1, np.flatnonzero(last)))
-    head = struct.pack("<QQQQ", len(ids), len(rules), len(symbols), first_symbol)
-    return b"".join([MAGIC, head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), tokens.astype("<u8").tobytes(), per_doc.astype("<u8").tobytes(), rules[:, 0].astype("<u2").tobytes(), rules[:, 1].astype("<u2").tobytes(), lengths[first_symbol:].astype("<u4").tobytes(), symbols.astype("<u2").tobytes()])
+    width = max(2, -(-(first_symbol + len(rules)).bit_length() // 8))
+    head = struct.pack("<QQQQQ", len(ids), len(rules), len(symbols), first_symbol, width)
+    return b"".join([MAGIC, head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), tokens.astype("<u8").tobytes(), per_doc.astype("<u8").tobytes(), narrow(rules[:, 0], width), narrow(rules[:, 1], width), lengths[first_symbol:].astype("<u4").tobytes(), narrow(symbols, width)])
 
 
 class Shard:
@@ -365,8 +392,8 @@ class Shard:
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
             raise ValueError("not a shard file")
-        n, r, s, self.first = struct.unpack("<QQQQ", raw[8:40])
-        at = 40
+        n, r, s, self.first, width = struct.unpack("<QQQQQ", raw[8:48])
+        at = 48
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -376,7 +403,8 @@ class Shard:
 
         self.doc_ids, self.null = take("<i8", n), take("u1", n).astype(bool)
         self.tokens, self.per_doc = take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        self.left, self.right, self.lengths, self.symbols = take("<u2", r), take("<u2", r), take("<u4", r), take("<u2", s)
+        self.left, self.right = widened(take("u1", r * width), width), widened(take("u1", r * width), width)
+        self.lengths, self.symbols = take("<u4", r), widened(take("u1", s * width), width)
         self.symbol_start = np.concatenate([[0], np.cumsum(self.per_doc)])
         self._flat: np.ndarray | None = None
 
@@ -463,13 +491,15 @@ def _report(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def write_ids(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int | None = END_ID) -> DataFrame:
     """Encodes documents and writes one file a shard, in ascending doc_id order; returns (shard, path, documents, ids, file_bytes).
 
-    Shards are ranges of doc_id of about SHARD_BYTES of text, by quantiles of the ids alone.
+    Shards are ranges of doc_id of about SHARD_BYTES of text, by quantiles of the ids alone. Rows of one doc_id, or of none, that
+    are more than a shard's share are spread over several.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place"))
     shards = min(-(-text_bytes(own) // SHARD_BYTES) or 1, MOST_SHARDS)
-    found = own.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (20 * shards)) if shards > 1 else []
-    borders = np.unique(np.array(found, np.float64).astype(np.int64))
+    dealt = own.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"))
+    found = dealt.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (20 * shards)) if shards > 1 else []
+    borders = np.sort(np.array(found, np.float64)).astype(np.int64)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     encoded = own.mapInArrow(_encode(tokenizer, borders, end), ENCODED)
@@ -487,8 +517,8 @@ def read_report(files: DataFrame, folder: str) -> DataFrame:
 def token_ids(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """documents -> doc_id, start, n_tokens (with the end id), ids_crc32, from files written in ascending doc_id order and read back.
 
-    Null and empty texts are the end id alone. Null doc_ids come first. Rows with equal doc_ids stand in the order of their
-    ids. An empty table gives an empty result and no file. Further columns are not read.
+    Null and empty texts are the end id alone. Null doc_ids come first. Rows with equal doc_ids stand together, those
+    of one shard in the order of their ids. A very long text lies whole in one shard. An empty table gives an empty result and no file. Further columns are not read.
     """
     folder = folder or scratch_path(docs.sparkSession, "ids")
     return read_report(write_ids(docs, folder, tokenizer), folder)

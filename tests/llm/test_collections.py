@@ -96,8 +96,8 @@ def brute_audit(rows, labels):
     for i, text, *_ in rows:
         if i is not None:
             first[text or ""] = min(i, first.get(text or "", i))
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     docs = []
     for i, text, _, source, _ in rows:
         t = text or ""

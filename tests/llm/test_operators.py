@@ -338,8 +338,38 @@ def test_repair_goes_on_to_the_end():
     shard = tokens.Shard(raw)
     assert shard.lengths.max() >= 890 and all((shard.document(i) == x).all() for i, x in enumerate(ids))
     assert (shard.ids(9, 100, 700) == ids[9][100:800]).all()
-    few, _, rules = tokens.compress(seq, last, (1 << 16) - 3)  # symbols run out
-    assert len(rules) == 3 and few.max() == 65_535
+    more, ends, rules = tokens.compress(seq, last, (1 << 16) - 3)  # symbols pass 16 bits
+    assert len(rules) > 100 and more.max() > 65_535 and left_over(more, ends) < tokens.LEAST_USES
+    wide = tokens.Shard(tokens.pack_shard(list(range(300)), [x.astype("<u2").tobytes() for x in ids], (1 << 16) - 3))
+    assert all((wide.document(i) == x).all() for i, x in enumerate(ids))
+
+
+def test_repair_of_a_full_shard_ends_for_want_of_pairs(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(3500).collect()]
+    ids = [tokens.encode_rows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), end=2)[0] for t in texts]
+    assert sum(len(t.encode()) for t in texts) > tokens.SHARD_BYTES
+    shard = tokens.Shard(tokens.pack_shard(list(range(len(ids))), ids, 49_408))
+    assert len(shard.left) > 16_128  # more rules than 16 bits had room for
+    edge = np.zeros(len(shard.symbols), bool)
+    edge[np.cumsum(shard.per_doc) - 1] = True
+    inner = np.flatnonzero(~edge[:-1])
+    pairs = (shard.symbols[inner].astype(np.uint64) << np.uint64(32)) | shard.symbols[inner + 1]
+    equal = shard.symbols[inner] == shard.symbols[inner + 1]
+    assert np.unique(pairs[~equal], return_counts=True)[1].max() < tokens.LEAST_USES
+    assert shard.expand(shard.symbols).astype("<u2").tobytes() == b"".join(ids)
+
+
+def test_repeated_ids_fill_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 2000)
+    rows = [(k, f"text {k} " * 5) for k in range(50)] + [(20, f"again {k} " * 4) for k in range(300)] + [(None, f"none {k} " * 4) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    files = tokens.write_ids(table, folder := tokens.scratch_path(spark, "ids"))
+    sizes = {r.shard: r.documents for r in files.collect()}
+    assert sum(sizes.values()) == 650 and max(sizes.values()) < 120
+    got = sorted(tokens.read_report(files, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r.start for r in got[1:]] == np.cumsum([r.n_tokens for r in got])[:-1].tolist()
+    table.unpersist()
 
 
 def test_top_k_matches_brute_force(spark):
