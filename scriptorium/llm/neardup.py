@@ -28,6 +28,8 @@ SHARD, MOST_CENTRES = 1024, 16_384
 #: The sample that centres are fitted on: so many vectors a centre, and so many bytes at most. Centres have so many bytes at most.
 SAMPLES, SAMPLE_BYTES, CENTRE_BYTES = 4, 32 << 20, 16 << 20
 FITTING_STEPS = 4
+#: Centres within so many times the reach of one another become one, so a dense group isn't cut up, as long as no more than this many do.
+APART, MERGED = 3.0, 8
 #: Shards a vector lies in; the next number is taken where the audited recall is below LEAST_RECALL.
 OVERLAPS, LEAST_RECALL = (2, 4, 8), 0.97
 #: How often neighbours become guests of shards that don't know them.
@@ -82,7 +84,7 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     return rows.select("vec_id", "digest"), nodes, kind
 
 
-def fit_centres(nodes: DataFrame, kind: str, shard: int = SHARD) -> dict[str, np.ndarray]:
+def fit_centres(nodes: DataFrame, kind: str, shard: int = SHARD, least: float = LEAST_COSINE) -> dict[str, np.ndarray]:
     """Centres of each space with more vectors than a shard holds, by k-means steps over a sample of bounded size."""
     sizes = nodes.groupBy("space").agg(F.count("*").alias("n"), F.max(F.length("v")).alias("width"))
     large = sizes.where(F.col("n") > shard).orderBy(F.desc("n"), "space").limit(MOST_CENTRES // 2).collect()
@@ -99,7 +101,24 @@ def fit_centres(nodes: DataFrame, kind: str, shard: int = SHARD) -> dict[str, np
     sample: dict[str, list] = {}
     for r in nodes.join(F.broadcast(rates), "space").where(drawn < F.col("rate")).select("space", "digest", "v").collect():
         sample.setdefault(r.space, []).append((bytes(r.digest), bytes(r.v)))
-    return {space: _means(unit_rows([v for _, v in sorted(found)], kind), count[space]) for space, found in sample.items()}
+    return {space: _merged(_means(unit_rows([v for _, v in sorted(found)], kind), count[space]), APART * reach_of(least)) for space, found in sample.items()}
+
+
+def reach_of(least: float) -> float:
+    """The distance of vectors of length 1 that have this cosine."""
+    return float(np.sqrt(2 - 2 * least))
+
+
+def _merged(centres: np.ndarray, apart: float) -> np.ndarray:
+    kept, weight, n = centres.copy(), np.ones(len(centres), np.int64), 1
+    for c in centres[1:]:
+        near = (vamana.distances(kept[:n], c[None])[:, 0] < apart) & (weight[:n] < MERGED)
+        if near.any():
+            weight[near.argmax()] += 1
+        else:
+            kept[n] = c
+            n += 1
+    return kept[:n]
 
 
 def _means(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +160,7 @@ def _assign(centres: dict[str, np.ndarray], overlap: int, kind: str) -> Callable
 def _search(least: float, kind: str) -> Callable[[pa.Table], pa.Table]:
     """One shard: builds its graph and searches it. kind 0: a pair a < b that is linked, both at home here; 1: one that is a guest;
     2: an edge a -> b of the graph that is short enough to lead to a link elsewhere."""
-    reach = float(np.sqrt(2 - 2 * least))
+    reach = reach_of(least)
 
     def run(table: pa.Table) -> pa.Table:
         # of a vector that came several ways the row at home counts
@@ -153,7 +172,7 @@ def _search(least: float, kind: str) -> Callable[[pa.Table], pa.Table]:
         x = unit_rows(raw, kind)
         graph, starts = vamana.build(x)
         out_a, out_b, out_kind = [], [], []
-        for a, b, _ in vamana.range_search(x, graph, starts, np.flatnonzero(home), reach + 1e-6):
+        for a, b, _ in vamana.range_search(x, graph, starts, np.flatnonzero(home), reach + 1e-3):
             exact = _cosines(raw, kind, a, b)
             a, b = a[exact >= least], b[exact >= least]
             out_a.append(node[a])
@@ -254,7 +273,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, shard: int
 
 def _near_duplicates(vectors: DataFrame, least: float, shard: int) -> DataFrame:
     rows, nodes, kind = distinct_vectors(vectors)
-    centres = fit_centres(nodes, kind, shard)
+    centres = fit_centres(nodes, kind, shard, least)
     for overlap in OVERLAPS:
         links = graph_links(nodes, kind, least, overlap, centres)
         true, found = audit_recall(nodes, links, kind, least)

@@ -1,6 +1,7 @@
 """A robust-pruned flat graph over the vectors of one shard, and range-expanding greedy search in it, for many queries at once.
 
-All vectors have length 1, so distance is |x - y| and a cosine is 1 - distance^2 / 2.
+All vectors have length 1, so distance is |x - y| and a cosine is 1 - distance^2 / 2. Single precision does here: what is found is
+verified elsewhere.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import numpy as np
 NEAR, FAR, ALPHA = 20, 6, 1.2
 #: Of so many nearest and so many others a vector's neighbours are chosen.
 POOL, OTHERS = 64, 24
-BEAM, MEDOIDS = 32, 8
-#: Vectors that are compared or that search at once.
-AT_ONCE = 512
+BEAM, MEDOIDS = 16, 8
+#: Vectors that are compared or that search at once, and found ones whose neighbours are looked at.
+AT_ONCE, FOUND_AT_ONCE = 512, 50_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -29,18 +30,19 @@ def prune(own: np.ndarray, pool: np.ndarray, x: np.ndarray, keep: int, alpha: fl
     """
     there = (pool >= 0) & (pool != own[:, None])
     safe = np.where(there, pool, 0)
-    far = np.where(there, np.sqrt(np.maximum(2 - 2 * np.einsum("nd,npd->np", x[own], x[safe]), 0)), np.inf)
+    some = x[safe]
+    far = np.where(there, np.sqrt(np.maximum(2 - 2 * (some @ x[own][:, :, None])[:, :, 0], 0)), np.inf)
+    apart = np.sqrt(np.maximum(2 - 2 * (some @ some.transpose(0, 2, 1)), 0))
     out, rows = np.full((len(own), keep), -1, np.int64), np.arange(len(own))
     left = far.copy()
     for k in range(keep):
         best = left.argmin(1)
-        some = np.isfinite(left[rows, best])
-        if not some.any():
+        goes = np.isfinite(left[rows, best])
+        if not goes.any():
             break
         chosen = safe[rows, best]
-        out[some, k] = chosen[some]
-        between = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,npd->np", x[chosen], x[safe]), 0))
-        left[some[:, None] & ((alpha * between <= far) | (safe == chosen[:, None]))] = np.inf
+        out[goes, k] = chosen[goes]
+        left[goes[:, None] & ((alpha * apart[rows, best] <= far) | (safe == chosen[:, None]))] = np.inf
     return out
 
 
@@ -62,7 +64,7 @@ def medoids(x: np.ndarray, count: int = MEDOIDS) -> np.ndarray:
 
 def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(adjacency with -1 for none, medoids): each vector's neighbours, pruned; the ways back, pruned again; and a way to every vector."""
-    n = len(x)
+    n, x = len(x), x.astype(np.float32)
     starts = medoids(x)
     rng = np.random.default_rng(n)
     near = np.full((n, NEAR), -1, np.int64)
@@ -133,6 +135,7 @@ def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, asked: np
     A beam goes from the medoids towards the query until its `beam` best are all expanded. Then the range is expanded: neighbours of
     what lies within reach are looked at, and theirs, until nothing new is within reach.
     """
+    x = x.astype(np.float32)
     for a in range(0, len(asked), AT_ONCE):
         yield _search(x, graph, starts, asked[a : a + AT_ONCE], reach, beam)
 
@@ -157,7 +160,7 @@ def _search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, own: np.ndarra
         if not len(active):
             break
         at = front[active, best]
-        done[active, at] = True
+        done[active, at] = True  # of each query one at a time
         near = graph[at]
         fresh = (near >= 0) & ~np.isfinite(far[active[:, None], np.maximum(near, 0)])
         r, c = np.nonzero(fresh)
@@ -171,18 +174,19 @@ def _search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, own: np.ndarra
         order = np.argsort(gaps, axis=1, kind="stable")[:, :beam]
         front[active] = np.where(np.isfinite(np.take_along_axis(gaps, order, 1)), np.take_along_axis(both, order, 1), -1)
     who, at = np.nonzero((far <= reach) & ~done)
-    while len(who):  # the range, breadth first; of what the beam has expanded all neighbours have been looked at
-        done[who, at] = True
-        near = graph[at]
-        r, c = np.nonzero(near >= 0)
-        pairs = np.unique(who[r] * n + near[r, c])
-        w, to = pairs // n, pairs % n
-        fresh = ~np.isfinite(far[w, to])
-        w, to = w[fresh], to[fresh]
-        gap = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,nd->n", q[w], x[to]), 0))
-        far[w, to] = gap
-        inside = gap <= reach
-        who, at = w[inside], to[inside]
+    while len(who):  # the range; of what the beam has expanded all neighbours have been looked at
+        fresh_who, fresh_at = [], []
+        for i in range(0, len(who), FOUND_AT_ONCE):
+            near = graph[at[i : i + FOUND_AT_ONCE]]
+            w, to = np.broadcast_to(who[i : i + FOUND_AT_ONCE, None], near.shape)[near >= 0], near[near >= 0]
+            fresh = ~np.isfinite(far[w, to])
+            pairs = np.unique(w[fresh] * n + to[fresh])
+            w, to = pairs // n, pairs % n
+            gap = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,nd->n", q[w], x[to]), 0))
+            far[w, to] = gap
+            fresh_who.append(w[gap <= reach])
+            fresh_at.append(to[gap <= reach])
+        who, at = np.concatenate(fresh_who), np.concatenate(fresh_at)
     r, c = np.nonzero(far <= reach)
     other = own[r] != c
     return own[r[other]], c[other], far[r[other], c[other]].astype(np.float64)

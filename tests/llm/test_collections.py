@@ -193,7 +193,7 @@ def test_graph_is_pruned_and_reaches_everything():
     assert (graph >= 0).sum(1).max() <= 2 * vamana.NEAR + vamana.FAR + 4
     pairs = set()
     for a, b, gap in vamana.range_search(x, graph, starts, np.arange(len(x)), 0.6):
-        assert np.allclose(gap, np.linalg.norm(x[a] - x[b], axis=1), atol=1e-6) and (gap <= 0.6).all()
+        assert np.allclose(gap, np.linalg.norm(x[a] - x[b], axis=1), atol=1e-3) and (gap <= 0.6 + 1e-6).all()
         pairs |= set(zip(a.tolist(), b.tolist(), strict=True))
     true = {(a, b) for a, b in zip(*np.nonzero(vamana.distances(x, x) <= 0.6), strict=True) if a != b}
     assert len(pairs & true) >= 0.99 * len(true) > 30_000
