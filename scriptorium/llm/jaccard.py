@@ -415,30 +415,68 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return info.select("doc_id", "n_shingles"), links.unionAll(equal)
 
 
+NODE = "jaccard_node"
+
+
+def by_text(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with NODE, names): NODE is the doc_id, or a hash of id and text where one id comes with several texts.
+
+    names (NODE, real_id) has the nodes that are not their doc_id; None where there are none, which is the rule.
+    """
+    own = columns_only(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    clashing = saved(own.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select(F.col("doc_id").alias("clash_id")), "clashing", keep=keep)
+    doc_id = F.col("doc_id").cast("long")
+    if clashing.isEmpty():
+        return docs.withColumn(NODE, doc_id), None
+    hashed = F.xxhash64(F.lit("node"), doc_id, F.coalesce("text", F.lit("")))
+    keyed = docs.join(clashing, doc_id == F.col("clash_id"), "left").withColumn(NODE, F.when(F.col("clash_id").isNotNull(), hashed).otherwise(doc_id)).drop("clash_id")
+    names = columns_only(keyed, NODE, "doc_id").where(f"{NODE} <> doc_id").select(NODE, doc_id.alias("real_id")).distinct()
+    return keyed, saved(names, "names", keep=keep)
+
+
+def _named(parts: DataFrame, names: DataFrame | None) -> DataFrame:
+    """(doc_id, component) of nodes -> (node, real_id, component_id, first): the smallest doc_id of its component, and that one's node."""
+    rows = parts.select(F.col("doc_id").alias("node"), "component")
+    if names is None:
+        return rows.select("node", F.col("node").alias("real_id"), F.col("component").alias("component_id"), F.col("component").alias("first"))
+    rows = saved(rows.join(names.select(F.col(NODE).alias("node"), "real_id"), "node", "left").withColumn("real_id", F.coalesce("real_id", "node")), "named")
+    least = saved(rows.groupBy("component").agg(F.min(F.struct("real_id", "node")).alias("least"), F.count("*").alias("size")), "least")
+    return join_groups(rows, least, ["component"], rows.count()).select("node", "real_id", F.col("least.real_id").alias("component_id"), F.col("least.node").alias("first"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """documents -> one row each: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity >= 0.75).
 
     Null and blank texts: size 0, linked with nothing. Fewer than five words: the whole sequence is the one shingle.
-    A null doc_id can't be linked: its component_id is null. Repeated rows come out as often as they came in; rows that share
-    a doc_id are one node of the graph. Further columns are not read.
+    A null doc_id can't be linked: its component_id is null. Repeated rows come out as often as they came in; rows of one doc_id
+    and text are one node of the graph, rows of one doc_id and several texts are a node each. Very long texts are taken whole. An
+    empty table gives an empty result. Further columns, whatever their names, are not read.
     """
     with scratch(docs.sparkSession) as kept:
-        info, links = jaccard_links(docs)
-        parts = connected_components(links)
-        out = info.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        return saved(out, "components", keep=kept)
+        keyed, names = by_text(columns_only(docs, "doc_id", "text"))
+        info, links = jaccard_links(keyed.select(F.col(NODE).alias("doc_id"), "text"))
+        parts = _named(connected_components(links), names)
+        rows = info.withColumnRenamed("doc_id", "node").join(parts.select("node", "component_id"), "node", "left")
+        if names is None:
+            rows = rows.withColumn("doc_id", F.col("node"))
+        else:
+            rows = rows.join(names.select(F.col(NODE).alias("node"), "real_id"), "node", "left").withColumn("doc_id", F.coalesce("real_id", "node"))
+        return saved(rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components", keep=kept)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component (and of repeated rows of that id one), with all its columns.
+    """Keeps the document with the smallest doc_id of each component, with all its columns, whatever their names.
 
-    Documents without words and those without a doc_id are linked with nothing and stay.
+    Of rows that share doc_id and text one stays; rows that share a doc_id alone are documents of their own. Documents without words (null, empty
+    or blank texts) and those without a doc_id are linked with nothing and stay. Very long texts are taken whole. An empty table stays empty.
     """
     with scratch(docs.sparkSession) as kept:
-        _, links = jaccard_links(docs)
-        gone = saved(connected_components(links).where("doc_id <> component").select("doc_id"), "copies", keep=kept)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        keyed, names = by_text(docs, keep=kept)
+        _, links = jaccard_links(columns_only(keyed, NODE, "text").select(F.col(NODE).alias("doc_id"), "text"))
+        gone = _named(connected_components(links), names).where("node <> first").select(F.col("node").alias(NODE))
+        gone = saved(gone, "copies", keep=kept)
+    left = keyed.join(gone, NODE, "left_anti")
+    return left.where(f"{NODE} is null").unionByName(left.where(f"{NODE} is not null").dropDuplicates([NODE])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
