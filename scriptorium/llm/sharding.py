@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import inner_settings, scratch_path
+from scriptorium.llm.common import inner_settings, saved, scratch_path
+from scriptorium.log import logger
 
 SHARDS = 16
 MAX_BLOCKS = 65_536
@@ -89,10 +90,10 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _spot(doc_id: Column, text: Column) -> Column:
-    """A place in [0, 2**62) that depends on the id alone, or on the text where there is none; its high half picks the block, its low
-    half the place inside."""
-    return F.xxhash64(F.lit("reshard"), doc_id.cast("string"), F.when(doc_id.isNull(), text)).bitwiseAND((1 << 62) - 1)
+def _spot(doc_id: Column, alone: Column, place: Column) -> Column:
+    """A number in [0, 2**62) that depends on the id alone if no other row has it, else on the row's place in the table too, so many
+    rows of one id can be cut apart; its high half picks the block, its low half the place inside."""
+    return F.xxhash64(F.lit("reshard"), doc_id.cast("string"), F.when(~alone, place)).bitwiseAND((1 << 62) - 1)
 
 
 def plan(blocks: dict[tuple[int, int], int], old_sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -123,19 +124,18 @@ def plan(blocks: dict[tuple[int, int], int], old_sizes: list[int], capacities: l
     return rows
 
 
-def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int]) -> tuple[dict[int, int], dict[int, int]]:
-    """({doc_id: shard}, {shard: bytes over its capacity after them}): moves of whole documents that even out what cutting blocks left
-    over, the largest that fits first. Bounded by REPAIR of each shard, picked by hash, so they are of all sizes."""
+def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int]) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
+    """({(piece, pos): shard}, {shard: bytes over its capacity after them}): moves of whole documents that even out what cutting blocks
+    left over, the largest that fits first. Bounded by REPAIR of each shard, picked by hash, so they are of all sizes."""
     over = {j: sizes.get(j, 0) - c for j, c in enumerate(capacities)}
-    order = W.partitionBy("shard").orderBy(F.xxhash64("doc_id"), "doc_id")
-    unique = assigned.where("doc_id is not null").groupBy("shard", "doc_id").agg(F.sum("size").alias("size"))
-    some = unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REPAIR).collect()
-    pool: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    order = W.partitionBy("shard").orderBy(F.xxhash64("piece", "pos"), "piece", "pos")
+    some = assigned.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REPAIR).collect()
+    pool: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for r in some:
-        pool[r.shard].append((r.size, r.doc_id))
+        pool[r.shard].append((r.size, r.piece, r.pos))
     for own in pool.values():
         own.sort()
-    moves: dict[int, int] = {}
+    moves: dict[tuple[int, int], int] = {}
     while True:
         high, low = max(over, key=lambda j: (over[j], -j)), min(over, key=lambda j: (over[j], j))
         room = min(over[high], -over[low])
@@ -143,8 +143,8 @@ def _repairs(assigned: DataFrame, sizes: dict[int, int], capacities: list[int])
         fits = next((k for k in range(len(own) - 1, -1, -1) if own[k][0] <= max(room, (over[high] - over[low]) // 2)), None)
         if over[high] <= 0 or fits is None or over[high] - over[low] < 2:
             return moves, over
-        size, doc = own.pop(fits)
-        moves[doc] = low
+        size, *row = own.pop(fits)
+        moves[tuple(row)] = low
         over[high] -= size
         over[low] += size
 
@@ -169,7 +169,12 @@ def lay_out(docs: DataFrame, old_shard: Column, folder: str, shards: int = SHARD
     per_shard = max(LEAST_BLOCKS, min(MAX_BLOCKS // shards, total // BLOCK_BYTES // shards))
     pieces = min(per_shard, max(LEAST_PIECES, -(-total // 3 // PIECE_BYTES)))  # a shard may hold a third of all bytes
     layout = Layout(folder, shards, pieces, per_shard)
-    rows = docs.select(F.col("doc_id"), "text", text_size(F.col("text")).alias("size"), old_shard.cast("int").alias("old"), _spot(F.col("doc_id"), F.col("text")).alias("spot"))
+    rows = docs.select("doc_id", "text", text_size(F.col("text")).alias("size"), old_shard.cast("int").alias("old"), F.monotonically_increasing_id().alias("place"))
+    repeated = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id")), "repeated")
+    alone = F.col("doc_id").isNotNull()
+    if not repeated.isEmpty():
+        rows, alone = rows.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left"), alone & F.col("repeated_id").isNull()
+    rows = rows.withColumn("spot", _spot(F.col("doc_id"), alone, F.col("place")))
     rows = rows.withColumn("block", F.pmod(F.shiftright("spot", 31), F.lit(per_shard)).cast("int")).withColumn("at", F.col("spot").bitwiseAND(_U - 1))
     rows = rows.withColumn("piece", (F.col("old") * pieces + F.floor(F.col("block") * pieces / per_shard)).cast("int"))
     order = W.partitionBy("piece").orderBy("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
@@ -188,7 +193,8 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
     """Brings a layout to new capacities, equal shares of all bytes by default; rewritten pieces go to a folder of their own.
 
     Returns (doc_id, text, old_shard, shard, slot, rewritten: whether the row's file is a new one) as read from the files of the new
-    layout, and a report: old_sizes, capacities, planned_moved_bytes (the flow's), affected pieces, repairs.
+    layout, and a report: old_sizes, capacities, planned_moved_bytes (the flow's), affected pieces, repairs, and
+    uneven, the largest deviation as a share of a capacity; above TOLERANCE it is logged too.
     """
     old = spark.read.schema(FILES).parquet(layout.folder)
     shards, pieces = layout.shards, layout.pieces
@@ -200,7 +206,8 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
     ranges = plan(blocks, old_sizes, capacities)
     affected = affected_pieces(layout, ranges)
     planned = sum(max(0, a - b) for a, b in zip(old_sizes, capacities, strict=True))
-    moves: dict[int, int] = {}
+    moves: dict[tuple[int, int], int] = {}
+    over = {j: 0 for j in range(shards)}
     if affected:
         # At most MAX_BLOCKS ranges and one more for each flow: a proven bound for the broadcast.
         table = F.broadcast(spark.createDataFrame(ranges, "p_old int, p_block int, p_from long, p_to long, shard int"))
@@ -208,13 +215,14 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
         wider = 1
         while True:  # once, but for small tables, where the documents of the affected pieces may not do to even out the shards
             placed = old.where(F.col("piece").isin(affected)).join(table, here).select("doc_id", "text", "size", "piece", "pos", "shard")
-            light, lost = placed.select("shard", "doc_id", "size"), set(affected)
+            light, lost = placed.select("shard", "piece", "pos", "size"), set(affected)
             sizes = {r.shard: r.size for r in light.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
             for (i, block), x in blocks.items():
                 if i * pieces + block * pieces // layout.per_shard not in lost:
                     sizes[i] = sizes.get(i, 0) + x
             allowed = TOLERANCE * max(capacities)
-            if max(abs(sizes.get(j, 0) - c) for j, c in enumerate(capacities)) <= allowed:
+            over = {j: sizes.get(j, 0) - c for j, c in enumerate(capacities)}
+            if max(map(abs, over.values())) <= allowed:
                 break
             moves, over = _repairs(light, sizes, capacities)
             there = {r.piece for r in found} - lost
@@ -224,8 +232,8 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
                 break
             affected += more
         if moves:
-            fixes = F.broadcast(spark.createDataFrame(sorted(moves.items()), "m_doc long, m_shard int"))  # at most shards * REPAIR rows
-            placed = placed.join(fixes, F.col("doc_id") == F.col("m_doc"), "left").withColumn("shard", F.coalesce("m_shard", "shard"))
+            fixes = F.broadcast(spark.createDataFrame([(*row, j) for row, j in sorted(moves.items())], "piece int, pos long, m_shard int"))  # at most shards * REPAIR rows
+            placed = placed.join(fixes, ["piece", "pos"], "left").withColumn("shard", F.coalesce("m_shard", "shard"))
         again = F.row_number().over(W.partitionBy("piece", "shard").orderBy("pos")) - 1
         with inner_settings(spark):
             placed.select("doc_id", "text", "piece", "shard", again.cast("long").alias("pos")).write.option("compression", "zstd").partitionBy("shard", "piece").parquet(folder)
@@ -239,16 +247,19 @@ def reshard(spark: SparkSession, layout: Layout, folder: str, capacities: list[i
     counts = result.groupBy("shard", "piece").count()
     offsets = F.broadcast(counts.select("shard", "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
     slots = result.join(offsets, ["shard", "piece"]).select("doc_id", "text", F.floor(F.col("piece") / pieces).cast("int").alias("old_shard"), "shard", (F.col("first") + F.col("pos")).cast("long").alias("slot"), "rewritten")
-    return slots, {"old_sizes": old_sizes, "capacities": capacities, "planned_moved_bytes": planned, "affected": affected, "repairs": len(moves)}
+    uneven = max(map(abs, over.values())) / max(1, *capacities)
+    if uneven > TOLERANCE and max(map(abs, over.values())) > 1:
+        logger().warning("shards differ from their capacities by up to %.2f %%", 100 * uneven)
+    return slots, {"uneven": uneven, "old_sizes": old_sizes, "capacities": capacities, "planned_moved_bytes": planned, "affected": affected, "repairs": len(moves)}
 
 
 def reshard_documents(docs: DataFrame, folder: str | None = None, shards: int = SHARDS) -> DataFrame:
     """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, rewritten, read back from the files of the new layout.
 
     The old layout keeps a source together (crc32 of the source modulo the shard count), so a hot source overfills a shard.
-    Null text: size 1, crc32 0. Null source: the shard of the empty name. Null doc_id: placed by its text, first in its piece.
-    Repeated rows share a shard and get a slot each. Law `bytes`: sizes near equal, to about a document's size.
-    An empty table gives an empty result. Further columns are not read.
+    Null text: size 1, crc32 0. Null source: the shard of the empty name. Rows without doc_id, first in their piece, and rows
+    that repeat one are placed each for itself, so they can fill several shards. Law `bytes`: sizes near equal, to about a document's size.
+    A very long text is moved whole. An empty table gives an empty result. Further columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
