@@ -23,7 +23,7 @@ PIVOTS = 32
 PIVOT_POOL = 256
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
 STEP = 128
-#: Vectors of this squared length would not be sure to have products in 64 bits (the product of two is their lengths' at most).
+#: Where two vectors' lengths multiply to this or more their product may not fit in 64 bits, and is taken in whole numbers of any size.
 MOST = float(1 << 62)
 
 
@@ -40,8 +40,8 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = flat[off[i] : off[i + 1]]
             if np.isfinite(x).all():
                 whole = np.floor(1024.0 * x)
-                if (whole * whole).sum() >= MOST:
-                    raise OverflowError(f"vector {int(ids[i])} is too long for inner products of 64 bits")
+                if len(whole) and np.abs(whole).max() >= float(1 << 63):
+                    raise OverflowError(f"vector {int(ids[i])} has a component that does not fit in 64 bits")
                 out_ids.append(int(ids[i]))
                 out.append(whole.astype(np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "q"])
@@ -75,9 +75,22 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0))
 
 
-def block_top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.ndarray, c: np.ndarray, c_table: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+def exact_products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with q in numbers of any size: 64 bits are not enough for these."""
+    return c.astype(object) @ q.astype(object)
+
+
+def _checked(score: int) -> int | None:
+    """The score if it fits in 64 bits. One far above is among the best, so an error; one far below may come to nothing: null, which ranks last."""
+    if score >= 1 << 63:
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return None if score < -(1 << 63) else score
+
+
+def block_top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.ndarray, c: np.ndarray, c_table: np.ndarray, k: int) -> Iterator[tuple[int, int, int | None]]:
     """(query_id, vec_id, score): the k best of one block of candidates for each query, and how it stops early is said above."""
     c_norm, q_norm = (c.astype(np.float64) ** 2).sum(1), (q.astype(np.float64) ** 2).sum(1)
+    longest = np.sqrt(c_norm.max(initial=0.0))
     for i in range(len(qid)):
         low = np.zeros(len(cid))
         for p in range(q_table.shape[1]):
@@ -86,7 +99,8 @@ def block_top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.nda
         bound = (q_norm[i] + c_norm - low**2) / 2 + slack
         bound[cid == qid[i]] = -np.inf
         order = np.argsort(-bound, kind="stable")
-        best = np.zeros((0, 2), np.int64)
+        big = longest * np.sqrt(q_norm[i]) >= MOST
+        best = np.zeros((0, 2), object if big else np.int64)
         for at in range(0, len(order), STEP):
             if len(best) == k and bound[order[at]] < best[-1, 0]:
                 break
@@ -94,10 +108,14 @@ def block_top_k(qid: np.ndarray, q: np.ndarray, q_table: np.ndarray, cid: np.nda
             some = some[np.isfinite(bound[some])]
             if not len(some):
                 break
-            best = np.concatenate([best, np.stack([c[some] @ q[i], cid[some]], 1)])
-            best = best[np.lexsort((best[:, 1], -best[:, 0]))][:k]
+            found = exact_products(c[some], q[i]) if big else c[some] @ q[i]
+            best = np.concatenate([best, np.stack([found, cid[some]], 1)])
+            if big:
+                best = np.array(sorted(best.tolist(), key=lambda row: (-row[0], row[1]))[:k], object)
+            else:
+                best = best[np.lexsort((best[:, 1], -best[:, 0]))][:k]
         for score, vec in best:
-            yield int(qid[i]), int(vec), int(score)
+            yield int(qid[i]), int(vec), _checked(int(score))
 
 
 def _meet(pivots: np.ndarray, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -120,7 +138,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with another vec_id. Ties go to the
     smaller vec_id; fewer candidates give fewer rows. Vectors that are null or hold a null or non-finite component, and rows
     without a vec_id, take no part. Of rows that repeat a vec_id and vector one takes part. An empty vector scores 0.
-    A vector whose components, times 1024, have squares that add up to 2**62 or more raises OverflowError: its scores may not fit.
+    Scores are exact for vectors of any length; one that is returned and does not fit in 64 bits is an error, and so is a component
+    that, times 1024, does not.
     An empty table gives an empty result. Further columns are not read.
     """
     with scratch(vectors.sparkSession) as kept:
@@ -133,14 +152,15 @@ def _top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     pool = [bytes(r.q) for r in rows.orderBy(F.xxhash64("q"), "vec_id").limit(PIVOT_POOL).collect()]
     pivots = choose_pivots(pool)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    c_blocks, q_blocks = -(-count // CANDIDATE_BLOCK) or 1, -(-count // every // QUERY_BLOCK) or 1
+    c_blocks, q_blocks = -(-count // CANDIDATE_BLOCK) or 1, -(-asked.count() // QUERY_BLOCK) or 1
     q_block = F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(q_blocks)).cast("int")
     c_block = F.pmod(F.xxhash64(F.lit("c"), "vec_id"), F.lit(c_blocks)).cast("int")
     queries = asked.select("vec_id", "q", q_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     candidates = rows.select("vec_id", "q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), c_block.alias("cb"))
     met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(_meet(pivots, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return met.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    best = met.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return best.withColumn("score", F.coalesce("score", F.raise_error(F.lit("an inner product does not fit in 64 bits")).cast("long")))
 
 
 ORACLE = """
