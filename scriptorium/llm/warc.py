@@ -41,20 +41,28 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve_revisits(headers: DataFrame, smallest: int = 0) -> DataFrame:
-    """Adds refers_to (null for responses) and refers_uri to rows with page_id, url, payload_digest and payload_bytes.
+    """(page_id, payload_digest, refers_to, refers_uri), once for each page and digest that is a revisit; all other records are responses.
 
-    Of records with one digest and at least `smallest` bytes the largest page_id is the response; all others refer to it.
-    Smaller ones are responses. Only digests that occur more than once take part in the join.
+    headers: page_id, url, payload_digest, payload_bytes. Of records with one digest and at least `smallest` bytes the largest page_id
+    is the response; all others refer to it. Only headers are shuffled by digest, and only digests that occur more than once are joined.
     """
-    originals = headers.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_uri"))
-    originals = saved(originals.where("n > 1").select("payload_digest", "original", "original_uri"), "originals")
-    revisit = (F.col("payload_bytes") >= smallest) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    joined = headers.join(originals, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(revisit, F.col("original"))).withColumn("refers_uri", F.when(revisit, F.col("original_uri"))).drop("original", "original_uri")
+    slim = headers.where(F.col("payload_bytes") >= smallest).select("page_id", "url", "payload_digest")
+    originals = slim.groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_uri"))
+    originals = saved(originals.where("n > 1 and refers_to is not null").drop("n"), "originals")
+    found = slim.select("page_id", "payload_digest").join(originals, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select("page_id", "payload_digest", "refers_to", "refers_uri").distinct()
+
+
+def with_revisits(rows: DataFrame, revisits: DataFrame) -> DataFrame:
+    """rows (page_id, payload_digest and more) with refers_to and refers_uri, null for responses. The key is page and digest, so equal payloads
+    don't meet in one task; a table of revisits below Spark's threshold is broadcast and payloads stay where they are."""
+    keyed = revisits.select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), "refers_to", "refers_uri")
+    same = F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("payload_digest") == F.col("r_digest"))
+    return rows.join(keyed, same, "left").drop("r_page", "r_digest")
 
 
 def record_name(page_id: int | None, place: str = "") -> str:
-    """The id of a record: its page's number, and for a revisit, to which nothing refers, its place, so ids of pages that come twice differ."""
+    """The id of a record: its page's number, and where nothing refers to it (revisits, and pages without an id) its place, so ids differ."""
     return f"<urn:page:{'' if page_id is None else page_id}{place and '/' + place}>"
 
 
@@ -65,7 +73,7 @@ def _line(value: str | None) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_uri: str | None, date: str, place: str) -> bytes:
     """One record: a response with its payload, or a revisit with the HTTP header block alone, whose Content-Length tells the payload's size."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_name(page_id, "" if refers_to is None else place)), ("WARC-Date", date), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_name(page_id, place if refers_to is not None or page_id is None else "")), ("WARC-Date", date), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is None:
         block = http + payload
     else:
@@ -193,14 +201,16 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """pages (page_id, url, html) -> deduplicated archives, read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html is an empty payload; empty payloads are equal and revisit as others do. Null url: an empty target.
-    Rows repeated with the largest page_id of their payload are each a response. A null page_id revisits where the
-    payload has an original with an id, else it is a response. An empty table gives an empty result.
+    Rows repeated with the largest page_id of their payload are each a response, under one record id. A null page_id revisits where the
+    payload has an original with an id, else it is a response. Very long payloads are written whole, one record at a time. An
+    empty table gives an empty result. Further columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    manifest = write_archives(resolve_revisits(rows), folder)
+    revisits = saved(resolve_revisits(rows), "revisits")
+    manifest = write_archives(with_revisits(rows, revisits), folder)
     return read_archives(spark, folder, manifest=manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -211,7 +221,7 @@ WITH hashed AS (
 split AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(hex, (5 * g + 1)::BIGINT, 5))::BIGINT) AS v FROM hashed),
 named AS (SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS original FROM split)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS NULL OR page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
 FROM named
 """
