@@ -113,6 +113,19 @@ def test_drop_near_duplicates_keeps_one_of_each(docs, rows):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_jaccard_of_ids_that_come_with_several_texts(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"v{rng.randrange(400)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b + " more", "x"), (3, c, "x"), (0, c + " more", "x"), (5, None, "x"), (5, "", "x"), (6, text(), "x"), (None, a, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, component string").selectExpr("*", "7 as node", "8 as real_id")
+    got = sorted(map(tuple, jaccard.jaccard_components(table).select("doc_id", "component_id").collect()), key=repr)
+    assert got == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (3, 0), (0, 0), (5, 5), (5, 5), (6, 6), (None, None)], key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard.drop_near_duplicates(table).collect()]
+    assert sorted(kept, key=repr)[:-1] == sorted([(0, c + " more"), (1, a), (1, b), (5, kept[[k[0] for k in kept].index(5)][1]), (6, rows[8][1])], key=repr)
+    assert len(kept) == 6 and jaccard.drop_near_duplicates(table).columns == table.columns
+
+
 def test_repeats_match_brute_force(docs, rows, empty):
     check_repeats(docs, rows)
     assert repeats.remove_repeats(empty).count() == 0
@@ -390,13 +403,25 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_refuses_products_beyond_64_bits(spark):
+def test_top_k_of_long_vectors(spark):
     kind = "vec_id long, embedding array<double>"
     big = spark.createDataFrame([(100, [1e20, 0.0]), (1, [1.0, 1.0])], kind)
-    with pytest.raises(Exception, match="vector 100 is too long"):
+    with pytest.raises(Exception, match="vector 100 has a component"):
         topk.top_k(big).collect()
-    near = spark.createDataFrame([(100, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 1e6]), (3, [float("inf"), 0.0])], kind)
-    assert [(r.vec_id, r.score) for r in topk.top_k(near).orderBy("rank").collect()] == [(1, 0), (2, -2 * 1024_000_000**2)]
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 3, 6, 9]) if i % 3 else rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(200, [3e6, 2e6, 1e6, -3e6]), (300, [float("inf"), 0.0, 0.0, 0.0])]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if all(map(math.isfinite, v))}
+    for q in (0, 200):  # queries whose best scores fit, though lengths say they might not
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q)[:10]
+        near = spark.createDataFrame([r for r in rows if r[0] == q or r[0] % 100], kind)
+        if all(-s < 1 << 63 for s, _ in best):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q and c % 100)[:10]
+            assert [(r.vec_id, r.score) for r in topk.top_k(near).orderBy("rank").collect()] == [(c, -s) for s, c in best]
+    far = spark.createDataFrame([(100, [4e9, 4e9]), (1, [4e9, -4e9]), (2, [-4e9, -4e9]), (3, [1.0, 1.0])], kind)
+    assert [(r.vec_id, r.score) for r in topk.top_k(far, k=2).orderBy("rank").collect()] == [(3, 2 * 1024 * int(4e9) * 1024), (1, 0)]
+    with pytest.raises(Exception, match="does not fit in 64 bits"):
+        topk.top_k(far).collect()
 
 
 def test_top_k_stops_early():
@@ -433,7 +458,7 @@ def test_warc_reads_what_the_manifest_names(spark, tmp_path):
     df = spark.createDataFrame([(k % 7, f"u{k}", "same" if k % 2 else f"page {k}") for k in range(20)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"
     rows = df.withColumn("payload_digest", warc.base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    manifest = warc.write_archives(warc.resolve_revisits(rows), folder, date="2030-01-02T03:04:05Z")
+    manifest = warc.write_archives(warc.with_revisits(rows, warc.resolve_revisits(rows)), folder, date="2030-01-02T03:04:05Z")
     name = manifest.first().file
     (tmp_path / "w" / "part-00099-0000-left.warc.gz").write_bytes((tmp_path / "w" / name).read_bytes())
     assert warc.read_archives(spark, folder, manifest=manifest).count() == 20 < warc.read_archives(spark, folder).count()
@@ -452,7 +477,7 @@ def test_warc_payloads_and_smaller_ones(spark, tmp_path):
 
     rows = df.withColumn("payload_digest", warc.base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     folder = f"file://{tmp_path}/w"
-    warc.write_archives(warc.resolve_revisits(rows, smallest=5), folder)
+    warc.write_archives(warc.with_revisits(rows, warc.resolve_revisits(rows, smallest=5)), folder)
     got = {r.page_id: (r.record_type, bytes(r.payload)) for r in warc.read_archives(spark, folder, payload=True).collect()}
     assert got == {1: ("response", b"xy"), 2: ("response", b"xy"), 3: ("revisit", b""), 4: ("response", b"longer text")}
 
@@ -497,6 +522,18 @@ def test_resharding_is_near_equal(spark):
     assert len(size) == 16 and max(size.values()) - min(size.values()) < 0.01 * sum(size.values()) / 16
 
 
+def test_resharding_of_very_many_rows_of_one_id(spark):
+    rng = random.Random(11)
+    rows = [(k, "x" * rng.randint(20, 900), f"s{k % 7}") for k in range(1000)] + [(17, "y" * 300, "s1")] * 1000 + [(None, "z" * 200, None)] * 400
+    got = sharding.reshard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    check_slots(got)
+    assert len(got) == 2400
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 2 * 901
+
+
 def test_resharding_rewrites_affected_files_alone(spark, tmp_path):
     """Moved bytes against the least possible, and files: those of pieces that lose nothing stay the only ones of their rows."""
     from pyspark.sql import functions as F
