@@ -74,18 +74,25 @@ def reject_reason(a: Column, b: Column) -> Column:
 def sentence_pairs(mentions: DataFrame) -> DataFrame:
     """All pairs of mentions in a sentence, earlier to later: chunk_id, source, page, head, sent_idx, src, dst, a_pos, b_pos, reason.
 
-    The partners of a mention are those that follow it in its sentence, a slice of the row's array.
+    A mention is exploded first, then the slice of the row's array that follows it in its sentence, so Spark streams the pairs
+    and a row never holds more than its mentions.
     """
-    partners = lambda a, p: F.transform(F.slice("m", p + 2, a["n"] - a["at"] - 1), lambda b, q: F.struct(a["sent_idx"].alias("sent_idx"), p.alias("a_pos"), (p + q + 1).alias("b_pos"), a["name"].alias("src"), b["name"].alias("dst")))
-    rows = relevant(mentions).select("chunk_id", "source", "page", "head", F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("chunk_id", "source", "page", "head", "p.*")
+    rows = relevant(mentions).select("chunk_id", "source", "page", "head", "m", F.posexplode("m").alias("a_pos", "a"))
+    rows = rows.select("chunk_id", "source", "page", "head", "a", "a_pos", F.posexplode(F.slice("m", F.col("a_pos") + 2, F.col("a.n") - F.col("a.at") - 1)).alias("after", "b"))
+    rows = rows.select("chunk_id", "source", "page", "head", "a.sent_idx", F.col("a_pos"), (F.col("a_pos") + F.col("after") + 1).alias("b_pos"), F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
     return rows.withColumn("reason", reject_reason(F.col("src"), F.col("dst")))
 
 
 def document_links(mentions: DataFrame) -> DataFrame:
-    """Document to entity, once a chunk and name regardless of case, the first spelling: chunk_id, source, page, head, src, dst, pos."""
-    own = relevant(mentions).withColumn("src", document_node(F.col("source"))).withColumn("low", F.transform("m", lambda a: F.lower(a["name"])))
-    first = own.select("chunk_id", "source", "page", "head", "src", "low", F.posexplode(F.transform("m", lambda a: a["name"])).alias("pos", "dst")).where(F.array_position("low", F.lower("dst")) == F.col("pos") + 1)
-    return first.where("dst <> '' and not endswith(dst, '-') and lower(dst) <> lower(src)").select("chunk_id", "source", "page", "head", "src", "dst", "pos")
+    """Document to entity, once a chunk and name regardless of case, the first spelling: chunk_id, source, page, head, src, dst, pos.
+
+    The row's names are sorted once, and of each run of equal ones the first stays: no pairs, and no array in the exploded rows.
+    """
+    names = F.sort_array(F.transform("m", lambda a, pos: F.struct(F.lower(a["name"]).alias("low"), pos.alias("pos"), a["name"].alias("dst"))))
+    own = relevant(mentions).select("chunk_id", "source", "page", "head", document_node(F.col("source")).alias("src"), names.alias("names"))
+    first = F.filter("names", lambda x, i: (i == 0) | (F.element_at("names", F.greatest(i, F.lit(1)))["low"] != x["low"]))
+    rows = own.select("chunk_id", "source", "page", "head", "src", F.explode(first).alias("x")).select("chunk_id", "source", "page", "head", "src", "x.dst", "x.pos")
+    return rows.where("dst <> '' and not endswith(dst, '-') and lower(dst) <> lower(src)")
 
 
 def build_edges(mentions: DataFrame, relation: Relation | None = None) -> DataFrame:
