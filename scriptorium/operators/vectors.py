@@ -80,7 +80,7 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _rows(column: pa.ListArray, width: int) -> np.ndarray:
+def matrix_rows(column: pa.ListArray, width: int) -> np.ndarray:
     """Lists as rows of a matrix: cut or filled up with zeros to the width, null as zeros."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -93,6 +93,13 @@ def _rows(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def shown_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of v with all rows of q as they are reported, to four places; 0 where one has no length."""
+    unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
+    cos = np.round(unit(v, np.sqrt((v * v).sum(1))) @ unit(q, np.sqrt((q * q).sum(1))).T, 9)
+    return np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)
+
+
 def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
     """Each Arrow batch is scored against a query matrix of bounded size at once and hands on its k best of each query."""
     asked = queries.select(query_col, "embedding").where("embedding is not null").collect()
@@ -100,18 +107,13 @@ def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str,
     widths = np.array([len(r[1]) for r in asked], np.int64)
     width = int(widths.max(initial=0))
     q = np.array([list(r[1]) + [0.0] * (width - len(r[1])) for r in asked], np.float64).reshape(len(names), width)
-    length = np.sqrt((q * q).sum(1))
-    q = np.divide(q, length[:, None], out=np.zeros_like(q), where=length[:, None] > 0)
     query_arrow = to_arrow_type(queries.schema[query_col].dataType)
     id_type, query_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            v = _rows(batch.column(1), width)
-            norms = np.sqrt((v * v).sum(1))
-            cos = np.round(np.divide(v, norms[:, None], out=np.zeros_like(v), where=norms[:, None] > 0) @ q.T, 9)
-            shown = np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)
+            shown = shown_scores(matrix_rows(batch.column(1), width), q)
             shown[pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)[:, None] != widths[None]] = -np.inf  # left out below
             order = np.argsort(np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None), kind="stable")
             best = order[np.argsort(-shown[order], axis=0, kind="stable")[:k]]  # ties to the smaller id

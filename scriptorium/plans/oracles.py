@@ -247,3 +247,5 @@ ORACLES: dict[str, str] = {
     "m4_latency_p95": "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, round(p, 6) AS p95 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)",
     "m5_busiest_first_per_user": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
 }
+ORACLES["v4_bucketed_upsert"] = ORACLES["v4_upsert"]
+ORACLES["v5_inverted_lists"] = ORACLES["v5_similarity_search"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,9 @@ from scriptorium.operators import chunking as C
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
-from scriptorium.session import load, shared_folder
+from scriptorium.operators.inverted import InvertedLists
+from scriptorium.session import load, new_folder, remove_folder, stored
+from scriptorium.sources.buckets import BucketedTable
 from scriptorium.streaming import monitoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,10 +141,14 @@ def s11_graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The graph written as tables and read back."""
     from scriptorium.sources.files import load_table, save_tables
 
-    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    own = trade_edges(spark, sf)
-    save_tables(folder, edges=own, nodes=G.nodes(own))
-    return load_table(spark, folder, "edges").groupBy("relation").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
+    folder = new_folder(spark, "graph")
+    try:
+        own = trade_edges(spark, sf)
+        save_tables(folder, edges=own, nodes=G.nodes(own))
+        counted = load_table(spark, folder, "edges").groupBy("relation").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
+        return stored(counted, "graph-tables")
+    finally:
+        remove_folder(spark, folder)
 
 
 @query
@@ -243,6 +248,46 @@ def v5_similarity_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
+@query
+def v4_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in a store by buckets: a version of all even ids, one of those divisible by three, a compaction, and another version."""
+    docs = load(spark, sf, "documents").select("doc_id", "source", F.lit(0).alias("version"), "n_chars")
+    again = lambda v: docs.where("doc_id % 3 = 0").select("doc_id", F.upper("source").alias("source"), F.lit(v).alias("stage"), "n_chars")
+    folder = new_folder(spark, "buckets")
+    table = BucketedTable(spark, folder, "doc_id bigint, source string, stage int, n_chars bigint", "doc_id")
+    try:
+        table.write(1, docs.where("doc_id % 2 = 0").withColumnRenamed("version", "stage"))
+        table.write(2, again(1))
+        table.compact()
+        table.write(3, again(2))
+        return stored(table.newest().withColumnRenamed("stage", "version"), "bucketed")
+    finally:
+        table.drop_names()
+        remove_folder(spark, folder)
+
+
+def with_lists(spark: SparkSession, sf: str, nprobe: int | None) -> DataFrame:
+    folder = new_folder(spark, "lists")
+    try:
+        hits = InvertedLists.build(dense(spark, sf), folder).search(dense_queries(spark, sf), 5, nprobe)
+        return stored(hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score"), "hits")
+    finally:
+        remove_folder(spark, folder)
+
+
+@query
+def v5_inverted_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """All lists are probed: what exact search finds."""
+    return with_lists(spark, sf, None)
+
+
+@query
+def v5_probed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate search: a third of the lists, or eight of them, whichever is more."""
+    lists = max(1, round(load(spark, sf, "embeddings").count() ** 0.5))
+    return with_lists(spark, sf, max(8, lists // 3))
+
+
 @query
 def v6_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector with its successor; every seventh is replaced by zeros."""

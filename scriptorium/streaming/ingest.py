@@ -36,11 +36,11 @@ class VersionedTable:
     def at(self, version: int) -> DataFrame:
         """The rows as of a version. Versions are partitions, so later ones are not read."""
         rows = self._log(f"{self.root}/rows", self.schema, version)
-        gone = self._log(f"{self.root}/gone", "source string", version).groupBy("source").agg(F.max("version").alias("gone"))
-        rows = rows.join(gone, "source", "left").where("gone is null or version >= gone").drop("gone")
-        if self.key:
+        if self.key:  # before deletions, so none brings an older row of a key back
             newest = F.row_number().over(W.partitionBy(self.key).orderBy(F.col("version").desc()))
             rows = rows.withColumn("nth", newest).where("nth = 1").drop("nth")
+        gone = self._log(f"{self.root}/gone", "source string", version).groupBy("source").agg(F.max("version").alias("gone"))
+        rows = rows.join(gone, "source", "left").where("gone is null or version >= gone").drop("gone")
         return rows.select(*[c.split()[0] for c in self.schema.split(", ")])
 
     def latest(self) -> int:
