@@ -249,3 +249,24 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["v4_bucketed_upsert"] = ORACLES["v4_upsert"]
 ORACLES["v5_inverted_lists"] = ORACLES["v5_similarity_search"]
+
+_MINUTES = "minutes_ AS (SELECT epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT // 60 AS m, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)"
+_CLOCK = "strftime(make_timestamp((({}) * 60000000)::BIGINT), '%Y-%m-%d %H:%M:%S')"
+BORDERS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, None]
+ORACLES |= {
+    "m4_latency_histogram": f"""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, le, (count(*) FILTER (value <= le OR (le IS NULL AND value IS NOT NULL)))::BIGINT AS requests
+      FROM events, (SELECT unnest([{", ".join("NULL" if b is None else f"{b}::DOUBLE" for b in BORDERS)}]) AS le) GROUP BY 1, 2""",
+    "m4_merged_panels": "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, (2000000 * count(*) FILTER (event_type = 'error') + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS error_rate FROM events GROUP BY 1",
+    "m4_uptime": f"""WITH {_MINUTES}, span AS (SELECT min(m) AS low, max(m) AS high FROM minutes_),
+      days AS (SELECT m // 1440 AS d, count(*) FILTER (requests > errors) AS up_minutes FROM minutes_ GROUP BY 1),
+      sized AS (SELECT d, up_minutes, least(high, d * 1440 + 1439) - greatest(low, d * 1440) + 1 AS seen_minutes FROM days, span)
+      SELECT strftime(make_timestamp((d * 86400000000)::BIGINT), '%Y-%m-%d') AS day, up_minutes, seen_minutes, (2000000 * up_minutes + seen_minutes) // (2 * seen_minutes) / 1000000.0::DOUBLE AS uptime FROM sized""",
+    "m4_uptime_islands": f"""WITH {_MINUTES}, up AS (SELECT m, lag(m) OVER (ORDER BY m) AS b FROM minutes_ WHERE requests > errors),
+      marked AS (SELECT *, sum((b IS NULL OR m - b > 3)::INT) OVER (ORDER BY m) AS island FROM up)
+      SELECT {_CLOCK.format("min(m)")} AS up_from, {_CLOCK.format("max(m) + 1")} AS up_to, count(*) AS minutes, min(m) - arg_min(coalesce(b, -1), m) - 1 + CASE WHEN arg_min(coalesce(b, -1), m) < 0 THEN NULL ELSE 0 END AS down_before FROM marked GROUP BY island""",
+    "m5_sessions": """WITH marked AS (SELECT *, sum((before IS NULL OR ts >= before + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth
+        FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
+      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM marked GROUP BY user_id, nth""",
+    "m5_sliding": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors
+      FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1""",
+}

@@ -565,6 +565,38 @@ def m4_latency_p95(spark: SparkSession, sf: str) -> DataFrame:
     return monitoring.latency_p95(load(spark, sf, "events"))
 
 
+@query
+def m4_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours merged from minutes."""
+    return monitoring.merged_histogram(monitoring.minute_sketches(load(spark, sf, "events")))
+
+
+@query
+def m4_merged_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """Days merged from minutes. The sketch's quantile depends on how rows met, so p95 is held to exact ranks in tests and not shown here."""
+    return monitoring.merged_panels(monitoring.minute_sketches(load(spark, sf, "events")), "1 day").drop("p95")
+
+
+@query
+def m4_uptime(spark: SparkSession, sf: str) -> DataFrame:
+    return monitoring.uptime(monitoring.minute_sketches(load(spark, sf, "events")))
+
+
+@query
+def m4_uptime_islands(spark: SparkSession, sf: str) -> DataFrame:
+    return monitoring.uptime_islands(monitoring.minute_sketches(load(spark, sf, "events")), silence=2)
+
+
+@query
+def m5_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return monitoring.sessions(load(spark, sf, "events"))
+
+
+@query
+def m5_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return monitoring.sliding(load(spark, sf, "events"))
+
+
 @query
 def m5_busiest_first_per_user(spark: SparkSession, sf: str) -> DataFrame:
     """First event of each user and type: the first-per-key form that source lists and document links share."""

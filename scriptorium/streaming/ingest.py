@@ -86,12 +86,26 @@ class VersionedTable:
         return other
 
 
-def ingest(stream: DataFrame, root: str, to_chunks: Callable[[DataFrame], DataFrame], to_edges: Callable[[DataFrame], DataFrame] | None = None, dedupe_edges: bool = False) -> StreamingQuery:
+def without_redelivery(stream: DataFrame, within: str, arrived: str | None = None) -> DataFrame:
+    """Pages (source, page, raw_text) that were not delivered before: equal ones in one batch or in several, up to `within` apart, pass once.
+
+    What is kept for it is a hash a page in the state store, and goes as the watermark passes. Time is a column `arrived` of the stream, or
+    that of the batch. Chunk ids are made of just these columns, so no chunk comes twice either.
+    """
+    rows = stream.withColumn("_arrived", F.col(arrived).cast("timestamp") if arrived else F.current_timestamp()).withWatermark("_arrived", within)
+    rows = rows.withColumn("_page", F.sha2(F.concat_ws("\x1f", F.coalesce("source", F.lit("\x00")), F.coalesce("page", F.lit("\x00")), F.coalesce("raw_text", F.lit("\x00"))), 256))
+    return rows.dropDuplicatesWithinWatermark(["_page"]).drop("_page", "_arrived")
+
+
+def ingest(stream: DataFrame, root: str, to_chunks: Callable[[DataFrame], DataFrame], to_edges: Callable[[DataFrame], DataFrame] | None = None, dedupe_edges: bool = False, redelivery: str | None = None, arrived: str | None = None) -> StreamingQuery:
     """Runs what is there and ends. Chunks are written before edges; where edges fail, that batch runs again as a whole.
 
-    A file taken in again in another batch has its edges twice unless dedupe_edges is asked for.
+    A file taken in again has its edges twice unless dedupe_edges is asked for, which compares a batch with all edges there are, or
+    `redelivery`, the time within which pages that come again are kept out of the stream (see without_redelivery).
     """
     spark = stream.sparkSession
+    if redelivery:
+        stream = without_redelivery(stream, redelivery, arrived)
     chunks, edges = VersionedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id"), VersionedTable(spark, f"{root}/edges", EDGES)
 
     def batch(df: DataFrame, number: int) -> None:
