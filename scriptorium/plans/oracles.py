@@ -264,7 +264,7 @@ ORACLES |= {
     "m4_uptime_islands": f"""WITH {_MINUTES}, up AS (SELECT m, lag(m) OVER (ORDER BY m) AS b FROM minutes_ WHERE requests > errors),
       marked AS (SELECT *, sum((b IS NULL OR m - b > 3)::INT) OVER (ORDER BY m) AS island FROM up)
       SELECT {_CLOCK.format("min(m)")} AS up_from, {_CLOCK.format("max(m) + 1")} AS up_to, count(*) AS minutes, min(m) - arg_min(coalesce(b, -1), m) - 1 + CASE WHEN arg_min(coalesce(b, -1), m) < 0 THEN NULL ELSE 0 END AS down_before FROM marked GROUP BY island""",
-    "m5_sessions": """WITH marked AS (SELECT *, sum((before IS NULL OR ts >= before + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth
+    "m5_sessions": """WITH marked AS (SELECT *, sum((before IS NULL OR ts > before + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth
         FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM marked GROUP BY user_id, nth""",
     "m5_sliding": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors

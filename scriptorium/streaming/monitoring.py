@@ -36,7 +36,7 @@ def latency_p95(events: DataFrame, width: str = "1 hour", approx: bool = False,
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    """user_id, session_start, session_end, requests, errors: runs of a user's requests with no pause of `gap` or more."""
+    """user_id, session_start, session_end, requests, errors: runs of a user's requests with no pause of more than `gap`."""
     rows = timed(events)
     if late:
         rows = rows.withWatermark("ts", late)

@@ -26,10 +26,10 @@ def shown(micros: int) -> str:
 
 
 def merged(sessions: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-    """(first, last, requests, errors) in microseconds, in any order -> those less than `gap` apart as one."""
+    """(first, last, requests, errors) in microseconds, in any order -> those no more than `gap` apart as one."""
     out: list[tuple[int, int, int, int]] = []
     for first, last, requests, errors in sorted(sessions):
-        if out and first - out[-1][1] < gap:
+        if out and first - out[-1][1] <= gap:
             a, b, n, e = out[-1]
             out[-1] = (a, max(b, last), n + requests, e + errors)
         else:
@@ -38,7 +38,7 @@ def merged(sessions: list[tuple[int, int, int, int]], gap: int) -> list[tuple[in
 
 
 class Sessions(StatefulProcessor):
-    """State: a list of a user's open sessions, which a pause of `gap` parts; one timer for each."""
+    """State: a list of a user's open sessions, which pauses of more than `gap` part; one timer for each."""
 
     def __init__(self, gap_seconds: int):
         self.gap = gap_seconds * 1_000_000
