@@ -385,7 +385,17 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
     return join_groups(members, own, ["gid"], members.count()).select("gid", "doc_id", "size")
 
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> the table of REDUCED: a row for each document, and the distinct groups of documents that share a key."""
+    docs = columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return saved(docs.mapInArrow(_emit(_buckets(docs)), EMIT).groupBy("bucket").applyInArrow(_groups, REDUCED), "groups")
+
+
+def _buckets(docs: DataFrame) -> int:
+    return bucket_count(text_bytes(docs) // 4)
+
+
+def jaccard_links(docs: DataFrame, reduced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sizes, links): (doc_id, n_shingles) of every row, and verified links (a, b), a < b, that connect every component of the full join.
 
     Documents with equal sets stand for one another. Pairs and triples that share a key, and a share of the larger groups, are
@@ -393,8 +403,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member's nearest, to merge what belongs together, then all pairs that are left and were not verified yet.
     """
     docs = columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    buckets = bucket_count(text_bytes(docs) // 4)
-    reduced = saved(docs.mapInArrow(_emit(buckets), EMIT).groupBy("bucket").applyInArrow(_groups, REDUCED), "groups")
+    reduced = joined_keys(docs) if reduced is None else reduced
+    buckets = bucket_count(16 * int(reduced.where("kind = 1").count()))  # of what goes through groups: a member is about so large
     info = reduced.where("kind = 0").select("doc_id", "n_shingles", F.col("gid").alias("digest"), "sketch")
     equal = saved(_equal_sets(info), "equal")
     sketches = info.where("doc_id is not null and n_shingles > 0").join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
@@ -418,20 +428,24 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 NODE = "jaccard_node"
 
 
-def by_text(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(docs with NODE, names): NODE is the doc_id, or a hash of id and text where one id comes with several texts.
+def by_text(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(docs with NODE, names, keys): NODE is the doc_id, or a hash of id and text where one id comes with texts of different words.
 
-    names (NODE, real_id) has the nodes that are not their doc_id; None where there are none, which is the rule.
+    names (NODE, real_id) has the nodes that are not their doc_id, None where there are none, which is the rule; keys are joined_keys of
+    the nodes. Whether ids clash is seen from the documents' rows among the keys, so texts are not read for it.
     """
-    own = columns_only(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    clashing = saved(own.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select(F.col("doc_id").alias("clash_id")), "clashing", keep=keep)
     doc_id = F.col("doc_id").cast("long")
+    plain = docs.withColumn(NODE, doc_id)
+    keys = joined_keys(docs)
+    sets = F.struct("n_shingles", "gid")
+    clashing = keys.where("kind = 0 and doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("least"), F.max(sets).alias("most"))
+    clashing = saved(clashing.where("least <> most").select(F.col("doc_id").alias("clash_id")), "clashing", keep=keep)
     if clashing.isEmpty():
-        return docs.withColumn(NODE, doc_id), None
+        return plain, None, keys
     hashed = F.xxhash64(F.lit("node"), doc_id, F.coalesce("text", F.lit("")))
     keyed = docs.join(clashing, doc_id == F.col("clash_id"), "left").withColumn(NODE, F.when(F.col("clash_id").isNotNull(), hashed).otherwise(doc_id)).drop("clash_id")
     names = columns_only(keyed, NODE, "doc_id").where(f"{NODE} <> doc_id").select(NODE, doc_id.alias("real_id")).distinct()
-    return keyed, saved(names, "names", keep=keep)
+    return keyed, saved(names, "names", keep=keep), joined_keys(columns_only(keyed, NODE, "text").withColumnRenamed(NODE, "doc_id"))
 
 
 def _named(parts: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -449,12 +463,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null and blank texts: size 0, linked with nothing. Fewer than five words: the whole sequence is the one shingle.
     A null doc_id can't be linked: its component_id is null. Repeated rows come out as often as they came in; rows of one doc_id
-    and text are one node of the graph, rows of one doc_id and several texts are a node each. Very long texts are taken whole. An
+    and the same words are one node of the graph, rows of one doc_id and different ones a node each. Very long texts are taken whole. An
     empty table gives an empty result. Further columns, whatever their names, are not read.
     """
     with scratch(docs.sparkSession) as kept:
-        keyed, names = by_text(columns_only(docs, "doc_id", "text"))
-        info, links = jaccard_links(keyed.select(F.col(NODE).alias("doc_id"), "text"))
+        keyed, names, keys = by_text(columns_only(docs, "doc_id", "text"))
+        info, links = jaccard_links(keyed.select(F.col(NODE).alias("doc_id"), "text"), keys)
         parts = _named(connected_components(links), names)
         rows = info.withColumnRenamed("doc_id", "node").join(parts.select("node", "component_id"), "node", "left")
         if names is None:
@@ -467,12 +481,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component, with all its columns, whatever their names.
 
-    Of rows that share doc_id and text one stays; rows that share a doc_id alone are documents of their own. Documents without words (null, empty
+    Of rows that share a doc_id and all their words one stays; rows that share a doc_id alone are documents of their own. Documents without words (null, empty
     or blank texts) and those without a doc_id are linked with nothing and stay. Very long texts are taken whole. An empty table stays empty.
     """
     with scratch(docs.sparkSession) as kept:
-        keyed, names = by_text(docs, keep=kept)
-        _, links = jaccard_links(columns_only(keyed, NODE, "text").select(F.col(NODE).alias("doc_id"), "text"))
+        keyed, names, keys = by_text(docs, keep=kept)
+        _, links = jaccard_links(columns_only(keyed, NODE, "text").select(F.col(NODE).alias("doc_id"), "text"), keys)
         gone = _named(connected_components(links), names).where("node <> first").select(F.col("node").alias(NODE))
         gone = saved(gone, "copies", keep=kept)
     left = keyed.join(gone, NODE, "left_anti")
