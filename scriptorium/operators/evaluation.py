@@ -42,12 +42,15 @@ def precision(questions: DataFrame, context_vecs: DataFrame, threshold: float =
 def evaluate(qa: DataFrame, context_vecs: DataFrame, embed=V.hashed_embedding) -> DataFrame:
     """(qa_id, question, answer, ground_truth) and (qa_id, rank, vec) -> one row of each question's four metrics.
 
-    No sentences give 0. A question without contexts has null metrics and counts as failed.
+    No sentences give 0. A question without contexts or without an answer, or whose `status` (where qa has it) is not ok, has null metrics and
+    counts as failed: it is not scored as an empty text.
     """
+    fine = F.col("answer").isNotNull() & (F.coalesce(F.col("status") == "ok", F.lit(False)) if "status" in qa.columns else F.lit(True))
+    qa = qa.where(fine).unionByName(qa.where(~fine).withColumn("answer", F.lit(None).cast("string")))
     base = qa.select("qa_id", "answer", "ground_truth", embed(F.col("question")).alias("question_vec"), embed(F.col("answer")).alias("answer_vec"))
     faithful = supported_share(sentence_rows(base, "answer", embed), context_vecs, FAITHFUL, "faithfulness")
     recall = supported_share(sentence_rows(base, "ground_truth", embed), context_vecs, RELEVANT, "context_recall")
-    has = context_vecs.select("qa_id").distinct().withColumn("ok", F.lit(True))
+    has = context_vecs.select("qa_id").distinct().join(base.where("answer is not null").select("qa_id"), "qa_id", "left_semi").withColumn("ok", F.lit(True))
     out = relevancy(base).join(has, "qa_id", "left").join(faithful, "qa_id", "left").join(precision(base, context_vecs), "qa_id", "left").join(recall, "qa_id", "left")
     zero = lambda c: F.when(F.col("ok"), F.coalesce(c, F.lit(0.0))).alias(c)
     return out.select("qa_id", F.when(F.col("ok"), F.col("relevancy")).alias("answer_relevancy"), zero("faithfulness"), zero("context_precision"), zero("context_recall"))

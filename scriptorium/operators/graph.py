@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip
+from scriptorium.session import new_folder, remove_folder, stored
 
 #: Leading articles that are dropped, and entity labels that count.
 ARTICLES = ("the", "a", "an", "der", "die", "das", "den", "dem")
@@ -144,34 +145,82 @@ def match_entities(named: DataFrame, index: DataFrame) -> DataFrame:
     return found.withColumn("start_rank", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "node"))).select("query_id", "node", "start_rank")
 
 
-def traverse(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
-    """Breadth-first along edges' direction: every edge whose source is reached within hops - 1, once for each start.
+def successors(edges: DataFrame, both: bool = False) -> DataFrame:
+    """src, dst, succ_rank, back: whom a node leads to, in the order of first edges. both: along edges and against them, ways along first."""
+    slim = edges.select("src", "dst", F.lit(False).alias("back"), "seq")
+    if both:
+        slim = slim.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"), "seq"))
+    firsts = slim.groupBy("src", "dst", "back").agg(F.min("seq").alias("first_seq"))
+    return firsts.withColumn("succ_rank", F.row_number().over(W.partitionBy("src").orderBy("back", "first_seq"))).drop("first_seq")
 
-    starts: query_id, node, start_rank. Returns query_id, start_rank, level, order_key, path (nodes), and the edge's columns.
-    A node keeps the first path that reached it; order_key sorts as the walk went: level, the order in which nodes joined the
-    frontier, successors in the order of their first edge, parallel edges by seq.
+
+def walk(edges: DataFrame, starts: DataFrame, hops: int, both: bool = False, written: bool | None = None) -> DataFrame:
+    """Breadth-first: query_id, start_rank, level, src, dst, back, path, key, fresh, one row for each step from a node that is reached.
+
+    A node keeps the first path that reached it: `key` sorts as the walk went, and `fresh` marks the steps that reached their dst first.
+    Beyond two hops (or if `written` says so) successors and every hop's steps go to the shared folder, so each hop's plan is one join and one
+    anti-join however many there were, and a lost executor costs one hop. Nodes of very many edges are split by AQE's skew join.
     """
-    slim = edges.select("src", "dst", "seq")
-    successors = slim.groupBy("src", "dst").agg(F.min("seq").alias("first_seq"))
-    ranked = successors.withColumn("succ_rank", F.row_number().over(W.partitionBy("src").orderBy("first_seq")))
-    frontier = starts.select("query_id", "start_rank", F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("key"))
-    visited = frontier.select("query_id", "start_rank", "at")
-    out = None
+    written = hops > 2 if written is None else written
+    spark = edges.sparkSession
+    folder = new_folder(spark, "walk") if written else ""
+    ranked = successors(edges, both)
+    who = ["query_id", "start_rank"]
+    start = starts.select(*who, F.col("node").alias("dst"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("key"))
+    if written:
+        ranked.write.parquet(f"{folder}/successors")
+        ranked = spark.read.schema(ranked.schema).parquet(f"{folder}/successors")
+        start.withColumns({"level": F.lit(0), "fresh": F.lit(True)}).write.parquet(f"{folder}/steps/level=0")
+    frontier, visited, out = start, start.select(*who, "dst"), None
     for level in range(1, hops + 1):
-        step = frontier.join(ranked, F.col("at") == F.col("src"))
-        step = step.select("query_id", "start_rank", "src", "dst", F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array(F.col("succ_rank").cast("bigint"))).alias("key"))
-        emitted = step.withColumn("level", F.lit(level))
-        out = emitted if out is None else out.unionByName(emitted)
-        if level < hops:
-            fresh = step.withColumnRenamed("dst", "at").join(visited, ["query_id", "start_rank", "at"], "left_anti")
-            frontier = fresh.groupBy("query_id", "start_rank", "at").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
-            visited = visited.unionByName(frontier.select("query_id", "start_rank", "at"))
-    return out.join(edges, ["src", "dst"]).select("query_id", "start_rank", "level", F.concat("key", F.array("seq")).alias("order_key"), "path", "src", "dst", "relation", "source", "page", "chunk_text", "seq")
-
-
-def graph_retrieve(edges: DataFrame, starts: DataFrame, hops: int = 2, n: int = 5) -> DataFrame:
+        step = frontier.select(*who, F.col("dst").alias("at"), "path", "key").join(ranked, F.col("at") == F.col("src"))
+        step = step.select(*who, "src", "dst", "back", F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array(F.col("succ_rank").cast("bigint"))).alias("key"))
+        first = step.groupBy(*who, "dst").agg(F.min("key").alias("first_key")).join(visited, [*who, "dst"], "left_anti")
+        step = step.join(first, [*who, "dst"], "left").withColumn("fresh", F.coalesce(F.col("key") == F.col("first_key"), F.lit(False))).drop("first_key")
+        if written:
+            step.write.parquet(f"{folder}/steps/level={level}")
+            read = lambda n, schema=step.schema: spark.read.schema(schema).parquet(f"{folder}/steps/level={n}")
+            frontier = read(level).where("fresh")
+            visited = spark.read.schema(step.schema.add("level", "integer")).parquet(f"{folder}/steps").where("fresh").select(*who, "dst")
+            if frontier.isEmpty():
+                break
+        else:
+            frontier, visited = step.where("fresh"), visited.unionByName(step.where("fresh").select(*who, "dst"))
+            emitted = step.withColumn("level", F.lit(level))
+            out = emitted if out is None else out.unionByName(emitted)
+    columns = [*who, "level", "src", "dst", "back", "path", "key", "fresh"]
+    if not written:
+        return out.select(*columns)
+    steps = spark.read.schema(step.schema.add("level", "integer")).parquet(f"{folder}/steps").where("level > 0").select(*columns)
+    try:
+        return stored(steps, "steps")
+    finally:
+        remove_folder(spark, folder)
+
+
+def traverse(edges: DataFrame, starts: DataFrame, hops: int = 2, both: bool = False, written: bool | None = None) -> DataFrame:
+    """Every edge whose source is reached within hops - 1, once for each start; both: edges count in either direction.
+
+    starts: query_id, node, start_rank. Returns query_id, start_rank, level, order_key, path (nodes), and the edge's columns.
+    order_key sorts as the walk went: level, the order in which nodes joined the frontier, successors in the order of their first edge, parallel
+    edges by seq. See walk.
+    """
+    steps = walk(edges, starts, hops, both, written)
+    ends = steps.withColumns({"_from": F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")), "_to": F.when(F.col("back"), F.col("src")).otherwise(F.col("dst"))}).drop("src", "dst")
+    own = edges.select("src", "dst", "relation", "source", "page", "chunk_text", "seq")
+    met = ends.join(own, (F.col("_from") == F.col("src")) & (F.col("_to") == F.col("dst")))
+    return met.select("query_id", "start_rank", "level", F.concat("key", F.array("seq")).alias("order_key"), "path", "src", "dst", "relation", "source", "page", "chunk_text", "seq")
+
+
+def reached(edges: DataFrame, starts: DataFrame, hops: int, both: bool = False) -> DataFrame:
+    """query_id, start_rank, node, level: every node within `hops` of a start, and how far it is; the start itself at 0."""
+    steps = walk(edges, starts, hops, both, written=True).where("fresh").select("query_id", "start_rank", F.col("dst").alias("node"), "level")
+    return starts.select("query_id", "start_rank", "node", F.lit(0).alias("level")).unionByName(steps)
+
+
+def graph_retrieve(edges: DataFrame, starts: DataFrame, hops: int = 2, n: int = 5, both: bool = False) -> DataFrame:
     """The first n distinct (source, page, first 50 characters) of each query along the walks of its starts in turn."""
-    walked = traverse(edges, starts, hops).withColumn("head", F.left("chunk_text", F.lit(50)))
+    walked = traverse(edges, starts, hops, both).withColumn("head", F.left("chunk_text", F.lit(50)))
     order = ["start_rank", "level", "order_key"]
     first = F.row_number().over(W.partitionBy("query_id", "source", "page", "head").orderBy(*order))
     once = walked.withColumn("nth", first).where("nth = 1")

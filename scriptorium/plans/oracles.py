@@ -128,11 +128,49 @@ trade AS (SELECT src, dst, relation, seq, src || ' ' || relation || ' ' || dst A
   UNION ALL SELECT n_name, r_name, 'in', n_nationkey + 100 FROM rn WHERE n_nationkey % 3 = 0
   UNION ALL SELECT r_name, n_name, 'also', n_nationkey + 200 FROM rn WHERE n_nationkey % 5 = 0
   UNION ALL SELECT n_name, s_name, 'home_of', s_suppkey + 1000 FROM supplier JOIN nation ON s_nationkey = n_nationkey)),
-starts AS (SELECT r_regionkey::BIGINT AS query_id, r_name AS node, 1 AS start_rank FROM region UNION ALL SELECT n_regionkey, n_name, n_nationkey + 2 FROM nation WHERE n_nationkey % 4 = 0),
-succ AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY min(seq)) AS sr FROM trade GROUP BY src, dst),
+starts AS (SELECT r_regionkey::BIGINT AS query_id, r_name AS node, 1 AS start_rank FROM region UNION ALL SELECT n_regionkey, n_name, n_nationkey + 2 FROM nation WHERE n_nationkey % 4 = 0)"""
+
+
+def walked(edges: str) -> str:
+    """walk from `edges` and starts, two hops."""
+    return f"""succ AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY min(seq)) AS sr FROM {edges} GROUP BY src, dst),
 one AS (SELECT query_id, start_rank, src, dst, src || ' -> ' || dst AS path, sr AS k1, 0 AS k2, 1 AS level, node AS start FROM starts JOIN succ ON node = src),
 two AS (SELECT o.query_id, o.start_rank, s.src, s.dst, o.path || ' -> ' || s.dst AS path, o.k1, s.sr AS k2, 2 AS level, o.start FROM one o JOIN succ s ON o.dst = s.src WHERE o.dst <> o.start),
-walk AS (SELECT w.*, t.relation, t.seq, t.chunk_text FROM (SELECT * FROM one UNION ALL SELECT * FROM two) w JOIN trade t ON w.src = t.src AND w.dst = t.dst)"""
+walk AS (SELECT w.*, t.* EXCLUDE (src, dst) FROM (SELECT * FROM one UNION ALL SELECT * FROM two) w JOIN {edges} t ON w.src = t.src AND w.dst = t.dst)"""
+
+
+WALK = f"{TRADE}, {walked('trade')}"
+MATCHED = f"""asked AS (SELECT query_id, pos, {normalised('surface')} AS name FROM (
+  SELECT item_id AS query_id, surface, row_number() OVER (PARTITION BY item_id ORDER BY sent_idx, nth_) - 1 AS pos FROM (
+    SELECT item_id, sent_idx, unnest(m) AS surface, generate_subscripts(m, 1) AS nth_ FROM (SELECT item_id, sent_idx, regexp_extract_all(sentence, '\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)*') AS m FROM (
+      SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark)))))),
+matched AS (SELECT a.query_id, i.node, min(a.pos) AS pos FROM asked a JOIN index_ i ON lower(a.name) = i.node_key GROUP BY 1, 2),
+starts AS (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY pos, node) AS start_rank FROM matched)"""
+DOCUMENT_WALK = f"{EDGES}, {INDEX}, {MATCHED}, {walked('edges_')}"
+
+
+def best_of_walk(key: str) -> str:
+    return f"""once AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id, {key}, substr(chunk_text, 1, 50) ORDER BY start_rank, level, k1, k2, seq) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY start_rank, level, k1, k2, seq) AS nth FROM once QUALIFY nth <= 5)"""
+
+
+def by_method() -> str:
+    """Faithfulness and precision of both methods, each question's texts told apart by method and kind."""
+    return f"""{text_hits(5)}, {DOCUMENT_WALK}, {best_of_walk("source, page")},
+found AS (SELECT 'vector' AS method, query_id AS qa_id, rank, text FROM hits UNION ALL SELECT 'graph', query_id, nth, chunk_text FROM best),
+answers AS (SELECT method, qa_id, array_to_string(({sentences('text')})[1:2], ' ') AS answer FROM found WHERE rank = 1),
+pieces AS (
+  SELECT 'q' AS kind, method, qa_id, 0::BIGINT AS nth_, b.text FROM answers JOIN benchmark b ON qa_id = item_id
+  UNION ALL SELECT 'c', method, qa_id, rank, text FROM found
+  UNION ALL SELECT 'as', method, qa_id, generate_subscripts(s, 1), unnest(s) FROM (SELECT method, qa_id, {sentences('answer')} AS s FROM answers)),
+keyed AS (SELECT kind || ':' || method || ':' || qa_id || ':' || nth_ AS piece, * FROM pieces),
+{hashed('pv', 'keyed', 'piece')},
+met AS (SELECT p.piece, c.piece AS other, sum(a.n * b.n) AS dot FROM keyed p JOIN keyed c ON p.qa_id = c.qa_id AND p.method = c.method AND p.kind <> 'c' AND c.kind = 'c' JOIN pv a ON a.id = p.piece JOIN pv b ON b.id = c.piece AND b.place = a.place GROUP BY 1, 2),
+sims AS (SELECT p.kind, p.method, p.qa_id, p.nth_, coalesce(round(m.dot / (pn.norm * dn.norm), 6), 0.0) AS sim
+  FROM keyed p JOIN keyed c ON p.qa_id = c.qa_id AND p.method = c.method AND p.kind <> 'c' AND c.kind = 'c' LEFT JOIN met m ON m.piece = p.piece AND m.other = c.piece LEFT JOIN pv_norm pn ON pn.id = p.piece LEFT JOIN pv_norm dn ON dn.id = c.piece),
+faith AS (SELECT method, qa_id, avg(CASE WHEN best >= 0.40 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT method, qa_id, nth_, max(sim) AS best FROM sims WHERE kind = 'as' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+prec AS (SELECT method, qa_id, avg(CASE WHEN sim >= 0.45 THEN 1.0 ELSE 0.0 END) AS share FROM sims WHERE kind = 'q' GROUP BY 1, 2),
+per AS (SELECT a.method, a.qa_id, coalesce(f.share, 0.0) AS faithfulness, coalesce(p.share, 0.0) AS context_precision FROM answers a LEFT JOIN faith f USING (method, qa_id) LEFT JOIN prec p USING (method, qa_id))"""
 
 
 def judged() -> str:
@@ -215,14 +253,14 @@ ORACLES: dict[str, str] = {
     "g10_graph_stats": f"WITH {EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges_ UNION SELECT dst FROM edges_ UNION SELECT {node_of('source')} FROM documents)) AS n_nodes, (SELECT count(*) FROM edges_) AS n_edges",
     "g11_membership": f"WITH {EDGES}, names AS (SELECT DISTINCT source AS name FROM documents UNION ALL SELECT n_name FROM nation) SELECT name, name IN (SELECT src FROM edges_ UNION SELECT dst FROM edges_) AS present FROM names",
     "r1_node_index": f"WITH {EDGES}, {INDEX} SELECT node_key, node FROM index_",
-    "r2_match_entities": f"""WITH {EDGES}, {INDEX}, asked AS (SELECT query_id, pos, {normalised('surface')} AS name FROM (
-        SELECT item_id AS query_id, surface, row_number() OVER (PARTITION BY item_id ORDER BY sent_idx, nth_) - 1 AS pos FROM (
-          SELECT item_id, sent_idx, unnest(m) AS surface, generate_subscripts(m, 1) AS nth_ FROM (SELECT item_id, sent_idx, regexp_extract_all(sentence, '\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)*') AS m FROM (
-            SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM benchmark)))))),
-      matched AS (SELECT a.query_id, i.node, min(a.pos) AS pos FROM asked a JOIN index_ i ON lower(a.name) = i.node_key GROUP BY 1, 2)
-      SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY pos, node) AS start_rank FROM matched""",
-    "r3_traverse": f"WITH {TRADE} SELECT query_id, start_rank::BIGINT AS start_rank, level::BIGINT AS level, path, relation, seq FROM walk",
-    "r4_graph_retrieve": f"WITH {TRADE}, once AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id, seq::VARCHAR, substr(chunk_text, 1, 50) ORDER BY start_rank, level, k1, k2, seq) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY start_rank, level, k1, k2, seq) AS rank, chunk_text, path AS entity_path, relation FROM once QUALIFY rank <= 5",
+    "r2_match_entities": f"WITH {EDGES}, {INDEX}, {MATCHED} SELECT query_id, node, start_rank FROM starts",
+    "r3_traverse": f"WITH {WALK} SELECT query_id, start_rank::BIGINT AS start_rank, level::BIGINT AS level, path, relation, seq FROM walk",
+    "r4_graph_retrieve": f"WITH {WALK}, {best_of_walk('seq::VARCHAR')} SELECT query_id, nth AS rank, chunk_text, path AS entity_path, relation FROM best",
+    "r3_document_graph": f"WITH {DOCUMENT_WALK} SELECT query_id, start_rank::BIGINT AS start_rank, level::BIGINT AS level, path, relation, seq FROM walk",
+    "r4_document_graph": f"WITH {DOCUMENT_WALK}, {best_of_walk('source, page')} SELECT query_id, nth AS rank, md5(chunk_text) AS text_md5, source, page, path AS entity_path, relation FROM best",
+    "r3_reached": f"""WITH RECURSIVE {TRADE}, ways AS (SELECT DISTINCT src AS a, dst AS b FROM trade UNION SELECT dst, src FROM trade),
+      steps AS (SELECT query_id, start_rank, node, 0 AS level FROM starts UNION SELECT query_id, start_rank, b, level + 1 FROM steps JOIN ways ON node = a WHERE level < 6)
+      SELECT query_id, start_rank::BIGINT AS start_rank, node, min(level)::BIGINT AS level FROM steps GROUP BY 1, 2, 3""",
     "q1_route": f"WITH {ROUTED} SELECT query_id, tool FROM tooled",
     "q2_enrich": f"WITH {SPOKEN}, recent AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS r FROM spoken WHERE back <= 4 AND role = 'user' GROUP BY 1), asked AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'and then?' ELSE 'this question has a few words more' END AS question FROM conversations) SELECT conv_id, question, CASE WHEN conv_id % 2 = 0 AND r IS NOT NULL THEN r || ' ' || question ELSE question END AS enriched FROM asked LEFT JOIN recent USING (conv_id)",
     "q3_rewrite": f"WITH {ROUTED} SELECT query_id, {rewritten('question', 'tool')} AS request FROM tooled",
@@ -239,9 +277,9 @@ ORACLES: dict[str, str] = {
     "q15_tools": tool_texts(),
     "e1_evaluate_questions": f"WITH {judged()} SELECT qa_id, round(answer_relevancy, 6) AS answer_relevancy, round(faithfulness, 6) AS faithfulness, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall FROM per",
     "e5_report": f"WITH {judged()} SELECT {', '.join(exact_mean(m) + ' AS ' + m for m in ('answer_relevancy', 'faithfulness', 'context_precision', 'context_recall'))}, count(*) AS num_evaluated FROM per WHERE faithfulness IS NOT NULL",
-    "e7_comparison": f"""WITH {judged()}, asked AS (SELECT item_id AS qa_id, CASE WHEN item_id % 2 = 0 THEN 'single_fact' ELSE 'multi_hop' END AS question_type, unnest(['vector', 'graph']) AS method FROM benchmark)
-      SELECT question_type, method, {exact_mean('coalesce(faithfulness, 0.0)')} AS faithfulness, {exact_mean('coalesce(context_precision, 0.0)')} AS context_precision, {exact_mean('CASE WHEN faithfulness IS NULL THEN 1.0 ELSE 0.0 END')} AS zero_result_rate, count(*) AS num_questions
-      FROM asked a LEFT JOIN per p ON p.qa_id = a.qa_id AND (a.method = 'vector' OR a.qa_id % 3 <> 0) GROUP BY 1, 2""",
+    "e7_comparison": f"""WITH {by_method()}, typed AS (SELECT item_id AS qa_id, CASE WHEN item_id % 2 = 0 THEN 'single_fact' ELSE 'multi_hop' END AS question_type, unnest(['vector', 'graph']) AS method FROM benchmark)
+      SELECT question_type, t.method, {exact_mean('coalesce(faithfulness, 0.0)')} AS faithfulness, {exact_mean('coalesce(context_precision, 0.0)')} AS context_precision, {exact_mean('CASE WHEN faithfulness IS NULL THEN 1.0 ELSE 0.0 END')} AS zero_result_rate, count(*) AS num_questions
+      FROM typed t LEFT JOIN per p ON p.qa_id = t.qa_id AND p.method = t.method GROUP BY 1, 2""",
     "e10_score_bars": f"WITH {dense_hits(3)} SELECT query_id, chunk_id, rpad(repeat('#', floor(score * 30)::INTEGER), 30, '-') AS bar FROM hits WHERE score >= 0",
     "m4_panels": f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, (2000000 * count(*) FILTER (event_type = 'error') + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS error_rate, {exact_mean('value', 6)} AS mean_latency, max(value) AS max_latency FROM events GROUP BY 1, time_bucket(INTERVAL 1 HOUR, ts)",
     "m4_latency_p95": "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, round(p, 6) AS p95 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)",
