@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,27 +48,56 @@ def bucket(token: str, dimensions: int = DIMENSIONS) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
 
 
-def hashed_counts(text: str, known: dict[str, int], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """How many tokens fall into each place. Tokens are runs of letters and digits, lower-cased."""
-    places = []
-    for token in re.split(r"[\W_]+", text.lower()):
-        if token:
-            at = known.get(token)
-            if at is None:
-                if len(known) > 500_000:
-                    known.clear()
-                at = known[token] = bucket(token, dimensions)
-            places.append(at)
-    return np.bincount(np.array(places, np.int64), minlength=dimensions).astype(np.float64)
+class _Places:
+    """The places of tokens, kept from batch to batch; md5 is taken once for each distinct token."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions, self.known = dimensions, {}
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for token in tokens:
+            if token not in self.known:
+                self.known[token] = bucket(token, self.dimensions)
+        return np.fromiter((self.known[t] for t in tokens), np.int64, len(tokens))
+
+
+def hashed_counts(texts: pa.Array, places: _Places) -> np.ndarray:
+    """A row for each text: how many of its tokens fall into each place. Tokens are runs of letters and digits, lower-cased."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}\p{N}]+")
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    tokens = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = tokens.dictionary.to_pylist()
+    place = places(words)
+    which = tokens.indices.to_numpy(zero_copy_only=False)
+    real = np.array([w != "" for w in words], bool)[which] if words else np.zeros(0, bool)
+    at = row[real] * places.dimensions + place[which[real]]
+    return np.bincount(at, minlength=len(texts) * places.dimensions).astype(np.float64).reshape(len(texts), places.dimensions)
+
+
+#: Characters of text that are taken apart at once.
+AT_ONCE = 4 << 20
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Term frequencies by hash: the default embedder, deterministic and without a model. Null texts give a zero vector."""
+    """Term frequencies by hash: the default embedder, deterministic and without a model. Null texts give a zero vector.
+
+    Batches stay Arrow arrays: splitting, coding of tokens and counting are whole-array steps, and Python sees each distinct token of a batch once.
+    """
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = _Places(dimensions)
         for texts in batches:
-            yield texts.map(lambda t: hashed_counts(t or "", known, dimensions))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            rows, at = [], 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+                rows.append(hashed_counts(texts.slice(at, to - at), places))
+                at = to
+            flat = np.concatenate(rows) if rows else np.zeros((0, dimensions))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dimensions), pa.array(flat.ravel()))
 
     return run(text)
