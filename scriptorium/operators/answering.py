@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions import vector as V
 
 #: Keywords of the router by tool, in the order they are tried; a keyword counts anywhere in a question.
 KEYWORDS = {
@@ -129,22 +133,85 @@ def extractive_answers(hits: DataFrame, limit: int = 2) -> DataFrame:
     return best.select("query_id", F.array_join("s", " ").alias("answer"))
 
 
+#: Sentences of a question's hits that take part in ranking, those most like the question; and how much likeness counts against novelty.
+RANKED_SENTENCES, NOVELTY = 200, 0.7
+DAMPING, ROUNDS = 0.85, 40
+CITED = "query_id long, answer string, cites array<struct<chunk_id:string,sentence:int,text:string>>"
+
+
+def sentence_ranks(sims: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """PageRank over sentences: a walk goes on to those alike, and starts anew (by DAMPING) at those like the question."""
+    n = len(sims)
+    ways = np.where(np.eye(n, dtype=bool), 0.0, np.maximum(sims, 0.0))
+    total = ways.sum(1, keepdims=True)
+    ways = np.divide(ways, total, out=np.full_like(ways, 1 / n), where=total > 0)
+    start = np.maximum(wanted, 0.0)
+    start = start / start.sum() if start.sum() > 0 else np.full(n, 1 / n)
+    rank = start.copy()
+    for _ in range(ROUNDS):
+        rank = (1 - DAMPING) * start + DAMPING * (rank @ ways)
+    return rank
+
+
+def most_novel(rank: np.ndarray, sims: np.ndarray, count: int, novelty: float = NOVELTY) -> list[int]:
+    """Maximal marginal relevance: the best ranked first, then each time the one that is best by rank and least like those chosen; ties to the first."""
+    scaled = np.round(rank / rank.max(), 9) if len(rank) and rank.max() > 0 else rank
+    chosen: list[int] = []
+    while len(chosen) < min(count, len(rank)):
+        like = np.round(sims[:, chosen].max(1), 9) if chosen else np.zeros(len(rank))
+        score = novelty * scaled - (1 - novelty) * like
+        score[chosen] = -np.inf
+        chosen.append(int(score.argmax()))
+    return chosen
+
+
+def _ranked_answer(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "at"], kind="stable").drop_duplicates("sentence")
+        x = np.array(rows["vec"].tolist(), np.float64)
+        length = np.sqrt((x * x).sum(1))
+        x = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0)
+        sims = x @ x.T
+        chosen = most_novel(sentence_ranks(sims, rows["likeness"].to_numpy(np.float64)), sims, limit)
+        own = rows.iloc[chosen]
+        cites = [{"chunk_id": c, "sentence": int(a), "text": s} for c, a, s in zip(own["chunk_id"], own["at"], own["sentence"], strict=True)]
+        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "answer": [" ".join(own["sentence"])], "cites": [cites]})
+
+    return run
+
+
+def ranked_answers(questions: DataFrame, hits: DataFrame, limit: int = 2, embed=V.hashed_embedding, most: int = RANKED_SENTENCES) -> DataFrame:
+    """An extractive generator over all hits: (query_id, question) and hits (query_id, rank, chunk_id, text) -> query_id, answer, cites.
+
+    The sentences of a question's hits are a graph by likeness; those that PageRank puts first, started at those like the question, make the
+    answer, as long as they say something new. cites names the chunk and the place of each sentence in it. `most` sentences of a question,
+    those most like it, take part, so what meets in one task is bounded. Equal sentences count once. A question without sentences has no row.
+    """
+    rows = hits.select("query_id", "rank", "chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+    asked = questions.select("query_id", embed(F.col("question")).alias("asked"))
+    like = rows.withColumn("vec", embed(F.col("sentence"))).join(asked, "query_id").withColumn("likeness", F.round(V.cosine(F.col("vec"), F.col("asked")), 9)).drop("asked")
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("likeness").desc(), "rank", "at"))
+    some = like.withColumn("nth", best).where(F.col("nth") <= most).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "at", "sentence", "vec", "likeness")
+    return some.groupBy("query_id").applyInPandas(_ranked_answer(limit), CITED)
+
+
 def generated(questions: DataFrame, hits: DataFrame, generate: Generator) -> DataFrame:
     """(query_id, request) with hits -> query_id, answer: the generator gets context and request as one prompt."""
     prompts = questions.join(contexts(hits), "query_id").select("query_id", user_message(F.col("request"), F.col("context"), F.lit(None).cast("string")).alias("prompt"))
     return generate(prompts).select("query_id", "answer")
 
 
-def answered(queries: DataFrame, hits: DataFrame, generate: Generator | None = None) -> DataFrame:
+def answered(queries: DataFrame, hits: DataFrame, generate: Generator | None = None, ranked: bool = False) -> DataFrame:
     """query_id, tool_used, request, answer, confidence, n_sources, status: one row a question, hits or not.
 
-    Without a generator the answer is the first sentences of the best hit. status: ok; no_context, where nothing was found; failed,
+    Without a generator the answer is the first sentences of the best hit, or with `ranked` the best sentences of all hits. status: ok; no_context, where nothing was found; failed,
     where the generator gave none, and then the answer is null.
     """
     tool = route(F.col("question"))
     base = queries.select("query_id", tool.alias("tool_used"), rewritten(F.col("question"), tool).alias("request"))
     counted = sources(hits).groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    answers = generated(base, hits, generate) if generate else extractive_answers(hits)
+    extract = ranked_answers(queries, hits).select("query_id", "answer") if ranked else extractive_answers(hits)
+    answers = generated(base, hits, generate) if generate else extract
     out = base.join(answers, "query_id", "left").join(answer_confidence(queries, hits), "query_id", "left").join(counted, "query_id", "left")
     status = F.when(F.col("n_sources").isNull(), "no_context").when(F.col("answer").isNull(), "failed").otherwise("ok")
     answer = F.when(F.col("n_sources").isNull(), F.lit(NO_CONTEXT)).otherwise(F.col("answer"))

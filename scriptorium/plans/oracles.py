@@ -308,3 +308,13 @@ ORACLES |= {
     "m5_sliding": """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors
       FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1""",
 }
+
+_LABELS = ["PERSON", "ORG", "GPE", "LOC", "EVENT", "CARDINAL", "DATE"]
+LABELLED = f"""
+sents AS (SELECT chunk_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT doc_id::VARCHAR AS chunk_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)),
+toks AS (SELECT chunk_id, sent_idx, unnest(t) AS surface, generate_subscripts(t, 1) AS nth_ FROM (SELECT *, regexp_split_to_array(sentence, '[^\\p{{L}}\\p{{N}}]+') AS t FROM sents)),
+named AS (SELECT *, ({_LABELS})[('0x' || substr(md5(surface), 1, 8))::BIGINT % 7 + 1] AS label FROM toks WHERE regexp_full_match(surface, '\\p{{Lu}}\\p{{Ll}}{{2,}}'))"""
+ORACLES |= {
+    "g1_labelled_mentions": f"WITH {LABELLED} SELECT chunk_id, sent_idx, row_number() OVER (PARTITION BY chunk_id ORDER BY sent_idx, nth_) - 1 AS pos, surface, label FROM named",
+    "g1_relevant_labels": f"WITH {LABELLED} SELECT label, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT surface) AS n_names FROM named WHERE label NOT IN ('CARDINAL', 'DATE') GROUP BY 1",
+}

@@ -16,6 +16,7 @@ from scriptorium.operators import chunking as C
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
+from scriptorium.operators.gazetteer import labelled_mentions
 from scriptorium.operators.inverted import InvertedLists
 from scriptorium.session import load, new_folder, remove_folder, stored
 from scriptorium.sources.buckets import BucketedTable
@@ -360,6 +361,35 @@ def g1_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return G.mention_rows(mentions(spark, sf)).select("chunk_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("pos").cast("bigint").alias("pos"), "surface")
 
 
+#: Labels that the names of a document are dealt out to, five that count and two that don't.
+DEALT_LABELS = ("PERSON", "ORG", "GPE", "LOC", "EVENT", "CARDINAL", "DATE")
+
+
+def document_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A gazetteer made of the documents: every capitalised word of three letters or more, with a label by its hash."""
+    words = load(spark, sf, "documents").select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("name")).where(F.col("name").rlike(r"^\p{Lu}\p{Ll}{2,}$"))
+    nth = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("bigint") % len(DEALT_LABELS) + 1
+    return words.select("name", F.element_at(F.array(*[F.lit(x) for x in DEALT_LABELS]), nth.cast("int")).alias("label"))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled_mentions(documents_as_chunks(spark, sf), document_names(spark, sf))
+
+
+@query
+def g1_labelled_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of a gazetteer in all documents, with their labels."""
+    rows = G.mention_rows(labelled(spark, sf))
+    return rows.select("chunk_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("pos").cast("bigint").alias("pos"), "surface", "label")
+
+
+@query
+def g1_relevant_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Of those the labels that count: mentions, documents and distinct names by label."""
+    rows = G.mention_rows(labelled(spark, sf)).where(F.col("label").isin(*G.LABELS))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("surface").alias("n_names"))
+
+
 @query
 def g2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     front = F.element_at(F.array(*[F.lit(x) for x in ("the ", "DER  ", "", "an\n", "Theory ")]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -497,6 +527,13 @@ def q4_answer(spark: SparkSession, sf: str) -> DataFrame:
     return A.answered(questions(spark, sf), text_hits(spark, sf))
 
 
+@query
+def q12_ranked_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers from the best sentences of all hits, each with the chunk it stands in."""
+    rows = A.ranked_answers(questions(spark, sf), text_hits(spark, sf))
+    return rows.select("query_id", "answer", F.array_join(F.transform("cites", lambda c: F.concat(c["chunk_id"], F.lit(":"), c["sentence"])), " ").alias("cites"))
+
+
 @query
 def q6_selection_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", A.selection_prompt(F.col("text"), F.concat(F.lit("what is "), "lang")).alias("prompt"))
