@@ -49,9 +49,15 @@ def capitalised_mentions(chunks: DataFrame, extract: Extractor = capitalised) ->
     return chunks.select("chunk_id", "source", "page", F.left("text", F.lit(HEAD)).alias("head"), extract(F.col("text")).alias("mentions"))
 
 
-def _flat(sentences: Column) -> Column:
+def has_verbs(mentions: DataFrame) -> bool:
+    """Whether mentions carry the verb that follows them (see operators.tagging)."""
+    return "verb" in mentions.schema["mentions"].dataType.elementType.elementType.names
+
+
+def _flat(sentences: Column, verbs: bool = False) -> Column:
     """All mentions of a chunk in order, each with its sentence, its place there, and how many there are."""
-    return F.flatten(F.transform(sentences, lambda s, i: F.transform(s, lambda m, at: F.struct(i.alias("sent_idx"), at.alias("at"), F.size(s).alias("n"), m["surface"].alias("surface"), m["label"].alias("label")))))
+    more = lambda m: [m[c].alias(c) for c in ("start", "verb", "verb_start")] if verbs else []
+    return F.flatten(F.transform(sentences, lambda s, i: F.transform(s, lambda m, at: F.struct(i.alias("sent_idx"), at.alias("at"), F.size(s).alias("n"), m["surface"].alias("surface"), m["label"].alias("label"), *more(m)))))
 
 
 def mention_rows(mentions: DataFrame) -> DataFrame:
@@ -63,7 +69,9 @@ def mention_rows(mentions: DataFrame) -> DataFrame:
 def relevant(mentions: DataFrame) -> DataFrame:
     """Mentions whose label counts, flat and with normalised names, as the array m of a chunk's row."""
     kept = F.transform("mentions", lambda s: F.filter(s, lambda m: m["label"].isin(*LABELS)))
-    named = F.transform(_flat(kept), lambda m: F.struct(m["sent_idx"].alias("sent_idx"), m["at"].alias("at"), m["n"].alias("n"), normalise(m["surface"]).alias("name")))
+    verbs = has_verbs(mentions)
+    more = lambda m: [m[c].alias(c) for c in ("start", "verb", "verb_start")] if verbs else []
+    named = F.transform(_flat(kept, verbs), lambda m: F.struct(m["sent_idx"].alias("sent_idx"), m["at"].alias("at"), m["n"].alias("n"), normalise(m["surface"]).alias("name"), *more(m)))
     return mentions.select("chunk_id", "source", "page", "head", named.alias("m"))
 
 
@@ -73,14 +81,15 @@ def reject_reason(a: Column, b: Column) -> Column:
 
 
 def sentence_pairs(mentions: DataFrame) -> DataFrame:
-    """All pairs of mentions in a sentence, earlier to later: chunk_id, source, page, head, sent_idx, src, dst, a_pos, b_pos, reason.
+    """All pairs of mentions in a sentence, earlier to later: chunk_id, source, page, head, sent_idx, src, dst, a_pos, b_pos, reason,
+    and verb (the first one between the two) where mentions carry verbs.
 
     A mention is exploded first, then the slice of the row's array that follows it in its sentence, so Spark streams the pairs
     and a row never holds more than its mentions.
     """
     rows = relevant(mentions).select("chunk_id", "source", "page", "head", "m", F.posexplode("m").alias("a_pos", "a"))
     rows = rows.select("chunk_id", "source", "page", "head", "a", "a_pos", F.posexplode(F.slice("m", F.col("a_pos") + 2, F.col("a.n") - F.col("a.at") - 1)).alias("after", "b"))
-    rows = rows.select("chunk_id", "source", "page", "head", "a.sent_idx", F.col("a_pos"), (F.col("a_pos") + F.col("after") + 1).alias("b_pos"), F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
+    rows = rows.select("chunk_id", "source", "page", "head", "a.sent_idx", F.col("a_pos"), (F.col("a_pos") + F.col("after") + 1).alias("b_pos"), F.col("a.name").alias("src"), F.col("b.name").alias("dst"), *([F.when(F.col("a.verb_start") < F.col("b.start"), F.col("a.verb")).alias("verb")] if has_verbs(mentions) else []))
     return rows.withColumn("reason", reject_reason(F.col("src"), F.col("dst")))
 
 
@@ -100,9 +109,10 @@ def build_edges(mentions: DataFrame, relation: Relation | None = None) -> DataFr
     """src, dst, relation, source, page, chunk_text, chunk_id, kind, place_a, place_b: a chunk's pairs first, then its document links.
 
     (chunk order, kind, place_a, place_b) is the order of insertion. Parallel edges stay. `relation` names a pair's relation from
-    its two names and the chunk's head; where it gives none, and by default, that is DEFAULT_RELATION.
+    its two names and the chunk's head; without it, mentions that carry verbs name it by the first one between the two. Where there is
+    none, and by default, it is DEFAULT_RELATION.
     """
-    named = F.coalesce(relation(F.col("src"), F.col("dst"), F.col("head")), F.lit(DEFAULT_RELATION)) if relation else F.lit(DEFAULT_RELATION)
+    named = F.coalesce("verb", F.lit(DEFAULT_RELATION)) if not relation and has_verbs(mentions) else F.coalesce(relation(F.col("src"), F.col("dst"), F.col("head")), F.lit(DEFAULT_RELATION)) if relation else F.lit(DEFAULT_RELATION)
     pairs = sentence_pairs(mentions).where("reason is null").select("src", "dst", named.alias("relation"), "source", "page", F.col("head").alias("chunk_text"), "chunk_id", F.lit(0).alias("kind"), F.col("a_pos").alias("place_a"), F.col("b_pos").alias("place_b"))
     links = document_links(mentions).select("src", "dst", F.lit(DOCUMENT_RELATION).alias("relation"), "source", "page", F.col("head").alias("chunk_text"), "chunk_id", F.lit(1).alias("kind"), F.col("pos").alias("place_a"), F.lit(0).alias("place_b"))
     return pairs.unionByName(links)

@@ -17,6 +17,7 @@ from scriptorium.operators import evaluation as E
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
 from scriptorium.operators.gazetteer import labelled_mentions
+from scriptorium.operators.tagging import fit, mentions_with_verbs, tagged_tokens
 from scriptorium.operators.inverted import InvertedLists
 from scriptorium.session import load, new_folder, remove_folder, stored
 from scriptorium.sources.buckets import BucketedTable
@@ -422,6 +423,14 @@ def g8_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf).select("seq", "src", "dst", "relation", "source", "page", F.md5("chunk_text").alias("text_md5"))
 
 
+@query
+def g5_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of names each relation has, by the tagger fitted on all documents; beyond SQL."""
+    chunks = documents_as_chunks(spark, sf)
+    found = mentions_with_verbs(chunks, fit(tagged_tokens(chunks)))
+    return G.build_edges(found).where("kind = 0").groupBy("relation").agg(F.count("*").alias("n"))
+
+
 @query
 def g9_append_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Even documents are taken in, then all: parallel edges double unless dedupe is asked for."""

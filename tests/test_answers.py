@@ -10,6 +10,7 @@ from scriptorium.functions import vector as V
 from scriptorium.operators import answering as A
 from scriptorium.operators import gazetteer as Z
 from scriptorium.operators import graph as G
+from scriptorium.operators import tagging as N
 
 TEXT = "chunk_id string, source string, page string, text string"
 
@@ -106,3 +107,42 @@ def test_hashed_embedding_counts_tokens(spark):
     for token in ("ab", "ab", "ab", "c", "12", "½"):
         want[V.bucket(token)] += 1
     assert rows[0] == want.tolist() and sum(rows[1]) == sum(rows[2]) == 0 and max(rows[3]) == 2.0
+
+
+def test_viterbi_finds_the_best_of_all_taggings():
+    import itertools
+
+    rng = random.Random(2)
+    tags = ("A", "B", "C")
+    rows = [("step", a, b, rng.randint(0, 9)) for a in ("", *tags) for b in tags] + [("tag", "", t, 30) for t in tags]
+    rows += [("word", w, t, rng.randint(0, 9)) for w in ("x", "y", "^z") for t in tags] + [("ending", "ing", "B", 20)]
+    model = N.Model(rows, tags)
+    batch = [[rng.choice(["x", "y", "Z", "going", "new"]) for _ in range(n)] for n in (0, 1, 2, 5, 6, 6, 1)]
+    for sentence, got in zip(batch, N.viterbi(model, batch), strict=True):
+        score = lambda path: sum(model.emission(w)[t] for w, t in zip(sentence, path, strict=True)) + (model.start[path[0]] if path else 0) + sum(model.step[a, b] for a, b in itertools.pairwise(path))  # noqa: E731,B023
+        best = max((score(p) for p in itertools.product(range(3), repeat=len(sentence))), default=0)
+        assert len(got) == len(sentence) and abs(score(tuple(got.tolist())) - best) < 1e-9
+    assert (model.emission("singing") == model.emission("bring")).all() and (model.emission("z") == model.other).all()
+
+
+def test_counts_are_those_of_the_sentences(spark):
+    words = "token string, tag string"
+    rows = spark.createDataFrame([([("Ada", "NAME"), ("met", "VERB"), ("Bob", "NAME")],), ([("met", "VERB")],)], f"words array<struct<{words.replace(' string', ':string')}>>")
+    got = {(r.kind, r.a, r.b): r.n for r in N.counts(rows).collect()}
+    assert got == {
+        ("step", "", "NAME"): 1, ("step", "NAME", "VERB"): 1, ("step", "VERB", "NAME"): 1, ("step", "", "VERB"): 1, ("word", "^ada", "NAME"): 1, ("word", "met", "VERB"): 2, ("word", "^bob", "NAME"): 1,
+        ("ending", "^ada", "NAME"): 1, ("ending", "met", "VERB"): 2, ("ending", "^bob", "NAME"): 1, ("tag", "", "NAME"): 2, ("tag", "", "VERB"): 2,
+    }
+
+
+def test_relations_are_named_by_verbs(spark):
+    told = ["Ada met Bob in the garden.", "Bosch acquired Daimler and Carl left Opel.", "The Bosch made tools for Daimler.", "Carl wrote to Ada.", "Ada and Bob with Carl."] * 40
+    unknown = ["Ada frobbed Bob.", "Carl frobbed Opel.", "Bob frobbed Ada."]
+    chunks = spark.createDataFrame([(str(i), "s", "1", t) for i, t in enumerate([*told, *unknown, "", None, "Ada"])], TEXT)
+    found = N.mentions_with_verbs(chunks, N.fit(N.tagged_tokens(chunks)))
+    got = {(r.src, r.dst, r.relation) for r in G.build_edges(found).where("kind = 0").collect()}
+    assert {("Ada", "Bob", "met"), ("Bosch", "Daimler", "acquired"), ("Carl", "Opel", "left"), ("Bosch", "Daimler", "made"), ("Carl", "Ada", "wrote"), ("Ada", "Bob", "related_to")} <= got
+    assert ("Bosch", "Opel", "acquired") in got and ("Daimler", "Carl", "related_to") in got
+    assert ("Ada", "Bob", "frobbed") in got  # by what stands around it, not by the list
+    plain = G.build_edges(G.capitalised_mentions(chunks)).where("kind = 0")
+    assert plain.count() == G.build_edges(found).where("kind = 0").count()
