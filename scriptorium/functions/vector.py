@@ -48,7 +48,7 @@ def bucket(token: str, dimensions: int = DIMENSIONS) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
 
 
-class _Places:
+class Places:
     """The places of tokens, kept from batch to batch; md5 is taken once for each distinct token."""
 
     def __init__(self, dimensions: int):
@@ -63,8 +63,8 @@ class _Places:
         return np.fromiter((self.known[t] for t in tokens), np.int64, len(tokens))
 
 
-def hashed_counts(texts: pa.Array, places: _Places) -> np.ndarray:
-    """A row for each text: how many of its tokens fall into each place. Tokens are runs of letters and digits, lower-cased."""
+def token_places(texts: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of every token. Tokens are runs of letters and digits, lower-cased."""
     lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}\p{N}]+")
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     tokens = lists.flatten().dictionary_encode()
@@ -73,7 +73,13 @@ def hashed_counts(texts: pa.Array, places: _Places) -> np.ndarray:
     place = places(words)
     which = tokens.indices.to_numpy(zero_copy_only=False)
     real = np.array([w != "" for w in words], bool)[which] if words else np.zeros(0, bool)
-    at = row[real] * places.dimensions + place[which[real]]
+    return row[real], place[which[real]]
+
+
+def hashed_counts(texts: pa.Array, places: Places) -> np.ndarray:
+    """A row for each text: how many of its tokens fall into each place."""
+    row, place = token_places(texts, places)
+    at = row * places.dimensions + place
     return np.bincount(at, minlength=len(texts) * places.dimensions).astype(np.float64).reshape(len(texts), places.dimensions)
 
 
@@ -81,6 +87,15 @@ def hashed_counts(texts: pa.Array, places: _Places) -> np.ndarray:
 AT_ONCE = 4 << 20
 
 
+def text_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in runs of rows of about AT_ONCE bytes; a longer text stands alone."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Term frequencies by hash: the default embedder, deterministic and without a model. Null texts give a zero vector.
 
@@ -89,14 +104,9 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        places = _Places(dimensions)
+        places = Places(dimensions)
         for texts in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            rows, at = [], 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-                rows.append(hashed_counts(texts.slice(at, to - at), places))
-                at = to
+            rows = [hashed_counts(part, places) for part in text_parts(texts)]
             flat = np.concatenate(rows) if rows else np.zeros((0, dimensions))
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dimensions), pa.array(flat.ravel()))
 

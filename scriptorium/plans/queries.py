@@ -16,6 +16,7 @@ from scriptorium.operators import chunking as C
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
+from scriptorium.operators.fitted import fit as fit_embedder
 from scriptorium.operators.gazetteer import labelled_mentions
 from scriptorium.operators.tagging import fit, mentions_with_verbs, tagged_tokens
 from scriptorium.operators.inverted import InvertedLists
@@ -338,6 +339,16 @@ def v14_retrieval_probe(spark: SparkSession, sf: str) -> DataFrame:
     return X.search(document_vectors(spark, sf), question_vectors(spark, sf), 3).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
+@query
+def v14_fitted_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """The same probe in a space that is fitted on all documents; singular vectors are beyond SQL."""
+    own = load(spark, sf, "documents")
+    embed = fit_embedder(own)
+    stored_vectors = own.select(key("doc_id").alias("chunk_id"), embed(F.col("text")).alias("embedding"))
+    asked = questions(spark, sf).select("query_id", embed(F.col("question")).alias("embedding"))
+    return X.search(stored_vectors, asked, 3).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
+
+
 @query
 def v15_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     hits = X.search(dense(spark, sf), dense_queries(spark, sf), 5)

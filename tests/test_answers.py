@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.errors import EmbeddingError
 from scriptorium.functions import vector as V
 from scriptorium.operators import answering as A
+from scriptorium.operators import fitted as D
 from scriptorium.operators import gazetteer as Z
 from scriptorium.operators import graph as G
 from scriptorium.operators import tagging as N
@@ -146,3 +148,51 @@ def test_relations_are_named_by_verbs(spark):
     assert ("Ada", "Bob", "frobbed") in got  # by what stands around it, not by the list
     plain = G.build_edges(G.capitalised_mentions(chunks)).where("kind = 0")
     assert plain.count() == G.build_edges(found).where("kind = 0").count()
+
+
+def plain_tfidf(texts, terms):
+    import collections
+    import re
+
+    counts = [collections.Counter(V.bucket(t, terms) for t in re.split(r"[\W_]+", (x or "").lower()) if t) for x in texts]
+    seen = collections.Counter(t for c in counts for t in c)
+    idf = {t: np.log((1 + len(texts)) / (1 + n)) + 1 for t, n in seen.items()}
+    out = np.zeros((len(texts), terms))
+    for i, c in enumerate(counts):
+        for t, n in c.items():
+            out[i, t] = n * idf[t]
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length > 0, length, 1)
+
+
+def test_fitted_space_equals_that_of_numpy(spark):
+    rng = random.Random(6)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[i % 5]) if rng.random() < 0.9 else f"noise{rng.randrange(60)}" for _ in range(rng.randint(5, 60))) for i in range(240)] + [None, "", "...", "word " * 900]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(4)
+    model = D.fit(df, dimensions=5, terms=2048, steps=30)
+    matrix = plain_tfidf(texts, 2048)
+    _, values, axes = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(model.strengths, values[:5], atol=1e-6)
+    assert np.abs(model.axes @ model.axes.T - axes[:5].T @ axes[:5]).max() < 1e-6
+    got = np.array([r.v for r in df.select("i", model(F.col("text")).alias("v")).orderBy("i").collect()])
+    assert np.allclose(got, matrix @ model.axes, atol=1e-9) and not got[-4:-1].any()
+    near = got[:240] / np.linalg.norm(got[:240], axis=1, keepdims=True)
+    assert np.mean([(near[i] @ near.T).argsort()[-2] % 5 == i % 5 for i in range(240)]) > 0.95
+    few = D.fit(df.where("i < 2"), dimensions=8, terms=512)
+    assert (np.linalg.norm(few.axes, axis=0) > 0.5).sum() == 2  # the rest of the rank is not made up
+    with pytest.raises(EmbeddingError):
+        D.fit(df.where("text = ''"))
+
+
+def test_projection_equals_principal_components_up_to_sign(spark):
+    from scriptorium.operators import vectors as X
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(130, 6)) * [5, 3, 1, 1, 0.5, 0.1]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id int, embedding array<double>")
+    got = np.array([(r.x, r.y) for r in X.projection(table).orderBy("vec_id").collect()])
+    first = rows[:100]
+    _, _, axes = np.linalg.svd(first - first.mean(0), full_matrices=False)
+    want = first @ axes[:2].T
+    assert got.shape == (100, 2) and np.allclose(got * np.sign(got[0]), want * np.sign(want[0]), atol=1e-6)
