@@ -453,7 +453,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Null and blank texts are the end token alone. A null doc_id is in no fold: it trains and is not held out. Repeated rows
     train and are scored each. Without training documents every probability is the uniform one of an empty vocabulary.
-    An empty table gives an empty result.
+    Very long texts are scored whole, chunk by chunk. An empty table gives an empty result. Further columns, whatever their names,
+    are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("fold", fold(F.col("doc_id"))).withColumn("rid", F.monotonically_increasing_id())

@@ -82,7 +82,8 @@ def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target (its source's), taken (size times copies), copies.
 
     Null text: size 0. Null source: a source of its own, the last. A source without words has target 0 and no copies.
-    Null doc_id draws as the empty id; repeated rows draw alike and each count. An empty table gives an empty result.
+    Null doc_id draws as the empty id; repeated rows draw alike and each count. Very long texts are counted whole. An empty table gives
+    an empty result. Further columns, whatever their names, are not read.
     """
     with scratch(docs.sparkSession) as kept:
         sized, sources = mix_plan(docs, seed)

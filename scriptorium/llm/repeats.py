@@ -324,6 +324,11 @@ def remove_repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def kept_texts(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """documents -> doc_id and the bytes that stay (a cut can fall inside a character, so they are binary)."""
+    """documents -> doc_id and the bytes that stay (a cut can fall inside a character, so they are binary), one row each.
+
+    Null and empty texts keep no bytes, and texts under WINDOW bytes all of theirs. Repeated rows repeat each other, so of a text of WINDOW bytes or
+    more that comes twice nothing stays. A null doc_id is kept as null. Very long texts are gone through in blocks. An empty table gives
+    an empty result. Further columns, whatever their names, are not read. The folder of texts is the caller's to delete.
+    """
     folder = folder or scratch_path(docs.sparkSession, "texts")
     return _marked(docs, folder).groupBy("file").applyInArrow(_finish(folder, True), KEPT)

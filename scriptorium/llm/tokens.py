@@ -518,7 +518,8 @@ def token_ids(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKEN
     """documents -> doc_id, start, n_tokens (with the end id), ids_crc32, from files written in ascending doc_id order and read back.
 
     Null and empty texts are the end id alone. Null doc_ids come first. Rows with equal doc_ids stand together, those
-    of one shard in the order of their ids. A very long text lies whole in one shard. An empty table gives an empty result and no file. Further columns are not read.
+    of one shard in the order of their ids. A very long text lies whole in one shard. An empty table gives an empty result and no file. Further columns, whatever
+    their names, are not read.
     """
     folder = folder or scratch_path(docs.sparkSession, "ids")
     return read_report(write_ids(docs, folder, tokenizer), folder)

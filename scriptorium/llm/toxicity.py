@@ -408,7 +408,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and blank texts get the score of a text without evidence; labels, lang, source and doc_id are no inputs.
     A null doc_id is scored and not held out. Repeated rows score alike. Without labels of both classes every text gets
-    the prior. Very long texts are scored whole.
+    the prior. Very long texts are scored whole. An empty table gives an empty result. Further columns, whatever their names, are not
+    read.
     """
     model = fit(docs, labels)
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model, False), SCORED)
