@@ -159,6 +159,21 @@ def test_repeats_at_borders(spark):
     assert want[0][2] == 260 and want[2][2] == 0 and want[4][2] == 800
 
 
+def test_kept_texts_match_brute_force(docs, rows, empty):
+    raw = [(i, (t or "").encode()) for i, t, *_ in rows]
+    seen = collections.Counter(x[a : a + 200] for _, x in raw for a in range(len(x) - 199))
+    want = []
+    for i, x in raw:
+        gone = np.zeros(len(x), bool)
+        for a in range(len(x) - 199):
+            if seen[x[a : a + 200]] > 1:
+                gone[a : a + 200] = True
+        want.append((i, bytes(np.frombuffer(x, np.uint8)[~gone])))
+    got = [(r[0], bytes(r[1])) for r in repeats.kept_texts(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert repeats.kept_texts(empty).count() == 0
+
+
 def test_repeats_of_long_texts_in_blocks(spark, monkeypatch):
     """Blocks far smaller than the texts give the same result as one block."""
     rng = random.Random(12)
