@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,11 @@ from scriptorium.errors import DocumentLoadError, ImageIngestionError, VectorSto
 from scriptorium.functions.text import base64_text, strip
 from scriptorium.operators.chunking import physical_pages
 
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".gif")
+#: The images that are read, by suffix.
 MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif"}
+IMAGE_SUFFIXES = tuple(MEDIA_TYPES)
+#: The token limit of an image's text.
+MOST_TOKENS = 4096
 
 #: A decoder turns a column of file contents into a column of arrays of page texts; OCR turns base64 and media type into text.
 PageDecoder = Callable[[Column], Column]
@@ -26,6 +30,53 @@ def text_decoder(content: Column) -> Column:
     return F.split(F.decode(content, "UTF-8"), "\f")
 
 
+def batched_decoder(read: Callable[[bytes], list[str]]) -> PageDecoder:
+    """A decoder around a function of a file's bytes, such as one of a PDF library: Arrow batches of files go to Python, one file at a time.
+
+    A file that the function can't read is a DocumentLoadError of the query, with the reason. Null contents have no pages.
+    """
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            pages = []
+            for content in contents:
+                try:
+                    pages.append(list(read(content.as_py())) if content.is_valid else [])
+                except Exception as e:
+                    raise DocumentLoadError(f"a document can't be read: {e}") from e
+            yield pa.array(pages, pa.list_(pa.string()))
+
+    return run
+
+
+def batched_ocr(model: Callable[[list[str], list[str], str, int], list[str | None]], prompt: str, most_tokens: int = MOST_TOKENS, at_once: int = 16) -> Ocr:
+    """OCR around a model that takes images (base64), media types, a prompt and a token limit for `at_once` images at a time, and gives their texts.
+
+    Where a call fails its images are asked for one by one, so one bad image does not take others with it; one that fails alone has no text,
+    which image_texts reports as the row's status.
+    """
+
+    def asked(images: list[str], kinds: list[str]) -> list[str | None]:
+        try:
+            texts = list(model(images, kinds, prompt, most_tokens))
+            if len(texts) != len(images):
+                raise ImageIngestionError(f"{len(texts)} texts for {len(images)} images")
+            return texts
+        except Exception:
+            return [None] if len(images) == 1 else [t for image, kind in zip(images, kinds, strict=True) for t in asked([image], [kind])]
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for images, kinds in batches:
+            images, kinds, texts = images.to_pylist(), kinds.to_pylist(), []
+            for a in range(0, len(images), at_once):
+                texts += asked(images[a : a + at_once], kinds[a : a + at_once])
+            yield pa.array(texts, pa.string())
+
+    return run
+
+
 def _scan(spark: SparkSession, paths: str | list[str], suffixes: tuple[str, ...], error: type[Exception]) -> DataFrame:
     wanted = [paths] if isinstance(paths, str) else list(paths)
     bad = [p for p in wanted if os.path.splitext(p)[1] and not any(p.lower().endswith(s) for s in suffixes) and "*" not in p]

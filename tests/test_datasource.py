@@ -91,3 +91,28 @@ def test_stream_ingest_reads_from_it(spark, folder, tmp_path):
     both = run()
     batch = to_chunks(spark.read.format("paged_documents").option("path", str(folder)).load().where("source like 'file%'"))
     assert first < both and both == {r.chunk_id for r in batch.collect()}
+
+
+def test_adapters_of_decoders_and_ocr(spark, tmp_path):
+    from scriptorium.sources import files
+
+    for k in range(40):
+        (tmp_path / f"i{k}.{'PNG' if k % 2 else 'gif'}").write_bytes(b"bad" if k == 7 else b"blank" if k == 8 else f"image {k}".encode())
+    (tmp_path / "d.pdf").write_bytes(b"one|two||four")
+
+    def model(images, kinds, prompt, most):
+        import base64
+
+        texts = [base64.b64decode(x).decode() for x in images]
+        if "bad" in texts:
+            raise ValueError("can't see")
+        return [" " if t == "blank" else f"{prompt}:{most}:{kind}:{t}" for t, kind in zip(texts, kinds, strict=True)]
+
+    images = files.image_texts(spark, [f"file://{tmp_path}/*.PNG", f"file://{tmp_path}/*.gif"], files.batched_ocr(model, "read", 77))
+    got = {r.source: (r.text, r.status) for r in images.collect()}
+    assert len(got) == 40 and got["i3.PNG"] == ("read:77:image/png:image 3", "success") and got["i4.gif"][0] == "read:77:image/gif:image 4"
+    assert got["i7.PNG"] == (None, "error: no text") and got["i8.gif"][1] == "error: no text" and sum(s == "success" for _, s in got.values()) == 38
+    pages = files.document_pages(spark, f"file://{tmp_path}/d.pdf", files.batched_decoder(lambda raw: raw.decode().split("|")))
+    assert [(r.page_num, r.raw_text) for r in pages.orderBy("page_num").collect()] == [(1, "one"), (2, "two"), (4, "four")]
+    with pytest.raises(Exception, match="a document can't be read: no PDF"):
+        files.document_pages(spark, f"file://{tmp_path}/d.pdf", files.batched_decoder(lambda raw: (_ for _ in ()).throw(ValueError("no PDF")))).collect()
