@@ -3,8 +3,8 @@
 A phrase of k words is named by the pair of its (k-1)-word phrases, the one that begins and the one that ends it. Texts become sequences
 of names: level 1 names the words, and level k names each place whose two neighbouring names of level k - 1 are both frequent. A
 sequence stays with its block of texts; only the block's distinct pairs with their counts travel, packed by bucket, and are joined
-there over all blocks. What comes back to a block is one bit a pair, frequent or not, so a place that is not goes before the
-next level. The pair that names a phrase also points at its parents: cuts add up counts along these pointers, and a phrase lies
+there over all blocks. What comes back to a block is one bit a pair, frequent or not, and the names of those that are, so a place that is not
+goes before the next level, and between the levels a block keeps numbers alone. The pair that names a phrase also points at its parents: cuts add up counts along these pointers, and a phrase lies
 inside a longer one exactly if it is the parent of one, or of one that is.
 """
 
@@ -36,8 +36,9 @@ _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 #: What a pass over blocks writes: sequences (kind 0) and what goes to the buckets (kind 1).
 PASSED = "kind int, block long, bucket int, lang string, seq binary, names binary, lefts binary, rights binary, counts binary, words binary"
-#: What the buckets write: bits of a block's pairs (kind 0), frequent phrases (kind 1), words of a language (kind 2).
-COUNTED = "kind int, block long, bucket int, bits binary, name long, parent_left long, parent_right long, f long, lang string, word string"
+#: What the buckets write: of a block's f names there the bits, and the names of those that are frequent (kind 0), frequent phrases (kind 1), words
+#: of a language (kind 2).
+COUNTED = "kind int, block long, bucket int, bits binary, names binary, name long, parent_left long, parent_right long, f long, lang string, word string"
 
 
 def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def _packed(block: int, lang: str, seq: np.ndarray | None, names: np.ndarray, bu
         pa.array(none + bucket[edges].tolist(), pa.int32()),
         pa.array([lang] * (kept + len(spans)), pa.string()),
         pa.array(([seq.astype("<u4").tobytes()] if kept else []) + [None] * len(spans), pa.binary()),
-        pa.array(([names.astype("<u8").tobytes()] if kept else []) + [part(names, "<u8", a, b) if lefts is None else None for a, b in spans], pa.binary()),
+        pa.array(none + [part(names, "<u8", a, b) if lefts is None else None for a, b in spans], pa.binary()),
         pa.array(none + [part(lefts, "<u8", a, b) for a, b in spans], pa.binary()),
         pa.array(none + [part(rights, "<u8", a, b) for a, b in spans], pa.binary()),
         pa.array(none + [part(counts, "<u4", a, b) for a, b in spans], pa.binary()),
@@ -158,6 +159,7 @@ def _count(least: int, bits_wanted: bool) -> Callable[[pa.Table], pa.Table]:
                 text[k] = spelled[r][int(at[k] - begin[r])].decode()
         wanted = size if bits_wanted else size[:0]
         bits = [np.packbits(often[which[a : a + n]]).tobytes() for a, n in zip(begin.tolist(), wanted.tolist(), strict=False)]
+        own = [distinct[which[a : a + n]][often[which[a : a + n]]].astype("<u8").tobytes() for a, n in zip(begin.tolist(), wanted.tolist(), strict=False)]
         uses: dict[str, int] = {}
         if not pairs:
             for lang, a, n in zip(langs, begin.tolist(), size.tolist(), strict=True):
@@ -171,10 +173,11 @@ def _count(least: int, bits_wanted: bool) -> Callable[[pa.Table], pa.Table]:
             pa.array(column("block")[:b] + [None] * (f + u), pa.int64()),
             pa.array(column("bucket")[:b] + [None] * (f + u), pa.int32()),
             pa.array(bits + [None] * (f + u), pa.binary()),
+            pa.array(own + [None] * (f + u), pa.binary()),
             whole(distinct[found]),
             whole(left[at]) if pairs else blank,
             whole(right[at]) if pairs else blank,
-            pa.array([None] * b + total[found].tolist() + list(uses.values()), pa.int64()),
+            pa.array(size[:b].tolist() + total[found].tolist() + list(uses.values()), pa.int64()),
             pa.array([None] * b + [langs[r] for r in row.tolist()] + list(uses), pa.string()),
             pa.array([None] * b + text + [None] * u, pa.string()),
         ]
@@ -190,12 +193,12 @@ def _pair(buckets: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(state: pa.Table, bits: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
         if state.num_rows:
-            seq, names = np.frombuffer(state.column("seq")[0].as_py(), "<u4"), np.frombuffer(state.column("names")[0].as_py(), "<u8")
-            _, size = np.unique(names % np.uint64(buckets), return_counts=True)
-            found = sorted(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
-            often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for (_, x), n in zip(found, size.tolist(), strict=True)]).astype(bool) if found else np.zeros(0, bool)
+            seq = np.frombuffer(state.column("seq")[0].as_py(), "<u4")
+            found = sorted(zip(bits.column("bucket").to_pylist(), bits.column("f").to_pylist(), bits.column("bits").to_pylist(), bits.column("names").to_pylist(), strict=True))
+            often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x, _ in found]).astype(bool)
+            names = np.frombuffer(b"".join(x for *_, x in found), "<u8")
             number = np.concatenate([[0], np.cumsum(often) * often]).astype(np.uint32)
-            seq, names = number[seq], names[often]
+            seq = number[seq]
             seq = seq[(seq > 0) | np.append(True, seq[:-1] > 0)]  # of places that went side by side one zero stays
             at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
             if len(at):
@@ -236,9 +239,9 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
         if k == 1:
             uses = counted(2).groupBy("lang").agg(F.sum("f").alias("n"))
         if k < most_words:
-            blocks = passed(0).select("block", "lang", "seq", "names").groupBy("block")
+            blocks = passed(0).select("block", "lang", "seq").groupBy("block")
             before = path
-            passed, path = _by_kind(blocks.cogroup(counted(0).select("block", "bucket", "bits").groupBy("block")).applyInArrow(_pair(buckets, k + 1 == most_words), PASSED), f"places-{k + 1}")
+            passed, path = _by_kind(blocks.cogroup(counted(0).select("block", "bucket", "f", "bits", "names").groupBy("block")).applyInArrow(_pair(buckets, k + 1 == most_words), PASSED), f"places-{k + 1}")
             delete_path(docs.sparkSession, before)
     return uses, levels
 
