@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.errors import DocumentLoadError, ImageIngestionError
+from scriptorium.errors import DocumentLoadError, ImageIngestionError, VectorStoreError
 from scriptorium.functions.vector import Embedder, hashed_embedding
 from scriptorium.log import logger
 from scriptorium.operators import chunking, graph, vectors
+from scriptorium.operators.inverted import InvertedLists
 from scriptorium.sources import files
+from scriptorium.sources.buckets import BucketedTable
 from scriptorium.streaming.ingest import CHUNKS, EDGES, VersionedTable
 
 
 class Index:
-    """Chunks, vectors and edges in one folder. `ingest_*` return (source, chunks_added, status) rows; a failing file is a status.
+    """Chunks, vectors and edges in one folder, chunks in `buckets` where that is given (see sources.buckets). `ingest_*` return (source, chunks_added, status) rows; a failing file is a status.
 
     An index opened over a folder goes on where the last one ended. Two that write at once don't overwrite each other: the
     second to write a version gets a VectorStoreError, and `refresh` takes it to what is there.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashed_embedding, decode: files.PageDecoder = files.text_decoder, ocr: files.Ocr | None = None, extract: graph.Extractor = graph.capitalised, relation: graph.Relation | None = None, logs: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashed_embedding, decode: files.PageDecoder = files.text_decoder, ocr: files.Ocr | None = None, extract: graph.Extractor = graph.capitalised, relation: graph.Relation | None = None, logs: str | None = None, buckets: int | None = None):
         self.spark, self.embed, self.decode, self.ocr, self.extract, self.relation = spark, embed, decode, ocr, extract, relation
-        self.chunk_table, self.edge_table = VersionedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id"), VersionedTable(spark, f"{root}/edges", EDGES)
+        self.chunk_table = BucketedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id", buckets) if buckets else VersionedTable(spark, f"{root}/chunks", CHUNKS, "chunk_id")
+        self.edge_table = VersionedTable(spark, f"{root}/edges", EDGES)
         self.log = logger(folder=logs)
         self.refresh()
 
@@ -66,6 +69,17 @@ class Index:
         self.log.info("version %d is written", version)
         return written.groupBy("source").agg(F.count("*").alias("chunks_added"))
 
+    def compact(self) -> int:
+        """Merges what was written so far, bucket by bucket, so later reads are plain scans; for an index in buckets. Returns the version."""
+        if not isinstance(self.chunk_table, BucketedTable):
+            raise VectorStoreError("this index is not in buckets")
+        self.log.info("version %d is compacted", self.version)
+        return self.chunk_table.compact(self.version)
+
+    def approximate(self, folder: str, lists: int | None = None) -> InvertedLists:
+        """Inverted lists over the chunks' vectors as they are now."""
+        return InvertedLists.build(self.vectors(), folder, lists)
+
     def ingest_documents(self, paths: str | list[str], suffixes: tuple[str, ...] = (".pdf",)) -> list[tuple[str, int, str]]:
         try:
             counted = self.add(chunking.process_pages(files.document_pages(self.spark, paths, self.decode, suffixes))).collect()

@@ -114,8 +114,14 @@ class BucketedTable:
 
     # ---- writing
 
-    def write(self, version: int, df: DataFrame) -> None:
-        """Adds a version; of rows with one key any one stays. Only what is added is shuffled."""
+    def written(self, version: int) -> DataFrame:
+        """The rows of one version of the log, as they were written."""
+        return self._read("log").where(F.col("version") == version).select(*self.columns)
+
+    def write(self, version: int, df: DataFrame, again: bool = True) -> None:
+        """Adds a version; of rows with one key any one stays. Only what is added is shuffled. Without `again` a version that is there is an error."""
+        if not again:
+            self._refuse("log", version)
         own = df.select(*self.columns).dropDuplicates([self.key])
         refused = F.raise_error(F.lit(f"{self.key} is null")).cast(own.schema[self.key].dataType)
         own = own.withColumn(self.key, F.coalesce(F.col(self.key), refused)).withColumn("version", F.lit(version))
@@ -126,8 +132,14 @@ class BucketedTable:
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
-    def delete(self, version: int, sources: str | DataFrame) -> None:
+    def _refuse(self, folder: str, version: int) -> None:
+        if version in self._versions(folder):
+            raise VectorStoreError(f"another writer has made version {version} of {self.root}/{folder}")
+
+    def delete(self, version: int, sources: str | DataFrame, again: bool = True) -> None:
         """Hides the older rows of a source, or of all sources in a frame with that column."""
+        if not again:
+            self._refuse("gone", version)
         gone = self.spark.createDataFrame([(sources,)], "source string") if isinstance(sources, str) else sources.select("source").distinct()
         gone.write.mode("overwrite").parquet(f"{self.root}/gone/version={version}")
 

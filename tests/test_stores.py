@@ -116,3 +116,30 @@ def test_buckets_agree_with_the_plain_log(spark, tmp_path, capsys):
     with pytest.raises(VectorStoreError):
         other.forget(3)
     other.drop_names()
+
+
+def test_an_index_in_buckets_is_the_index(spark, tmp_path):
+    from scriptorium.operators.index import Index
+
+    (tmp_path / "in").mkdir()
+    for k, name in enumerate(("a.pdf", "b.pdf")):
+        (tmp_path / "in" / name).write_text("\f".join(f"Ada Lovelace wrote page {p} of volume {k}, and told Charles Babbage about the looms of Lyon. " * 9 for p in range(3)))
+    both = [Index(spark, f"file://{tmp_path}/{n}", buckets=n) for n in (None, 4)]
+    for index in both:
+        assert {s for _, _, s in index.ingest_documents(f"file://{tmp_path}/in/*.pdf")} == {"success"}
+    plain, bucketed = both
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(plain.chunks()) == rows(bucketed.chunks()) and bucketed.compact() == bucketed.version
+    assert rows(plain.search(["looms of Lyon"], 3)) == rows(bucketed.search(["looms of Lyon"], 3))
+    near = bucketed.approximate(f"file://{tmp_path}/lists", 3)
+    asked = bucketed.vectors().limit(3).select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert rows(near.search(asked, 2, None).select("query_id", "rank", "chunk_id", "score")) == rows(X.search(bucketed.vectors(), asked, 2).select("query_id", "rank", "chunk_id", "score"))
+    assert plain.delete_document("a.pdf") == bucketed.delete_document("a.pdf") > 0
+    again = Index(spark, f"file://{tmp_path}/4", buckets=4)
+    assert again.list_documents() == ["b.pdf"] and again.version == bucketed.version and rows(again.chunks()) == rows(plain.chunks())
+    bucketed.version = 0
+    with pytest.raises(VectorStoreError):
+        bucketed.ingest_documents(f"file://{tmp_path}/in/b.pdf")  # a version that is there
+    with pytest.raises(VectorStoreError):
+        plain.compact()
+    again.chunk_table.drop_names()
