@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MIN_CHUNK, MAX_HEADING, MIN_SENTENCE = 50, 80, 10
-SPACE = r"(?U)^\s+|\s+$"
+#: The characters that Unicode calls white space.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, SPACE, "")
+    """Without white space of any kind at either end. Only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 @F.pandas_udf(StringType())
