@@ -286,6 +286,11 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, least: int =
     def enlist(places: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Lists these places by their pairs, if those are frequent: the numbers of the pairs."""
         nonlocal pool, used, begin, sizes, counts, codes
+        if len(code):  # a frequent pair fills its slot of a small table by itself, so pairs of other slots need no sorting
+            bits = min(20, max(10, len(code).bit_length()))
+            slot = ((code * _ODD) >> np.uint64(64 - bits)).view(np.int64)
+            full = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+            places, code = places[full], code[full]
         if packs:
             key = (code << far) | places.astype(np.uint64)
             key.sort()
@@ -482,7 +487,8 @@ def _report(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 wide = shard.expand(shard.symbols).astype("<u4")
                 end = np.cumsum(shard.tokens)
                 begin = end - shard.tokens
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(begin, end, strict=True)]
+                view = memoryview(wide)
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.null), pa.array(begin + start), pa.array(shard.tokens), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
