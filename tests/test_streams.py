@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from scriptorium.functions.splitter import fixed_split
 from scriptorium.operators import chunking as C
