@@ -228,11 +228,66 @@ def reached(edges: DataFrame, starts: DataFrame, hops: int, both: bool = False)
     return starts.select("query_id", "start_rank", "node", F.lit(0).alias("level")).unionByName(steps)
 
 
+def ways(edges: DataFrame, both: bool = False) -> DataFrame:
+    """The edges as steps: at, to, back, seq, relation, source, page, chunk_text. both: each edge in either direction."""
+    rest = ["seq", "relation", "source", "page", "chunk_text"]
+    along = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(False).alias("back"), *rest)
+    return along.unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(True).alias("back"), *rest)) if both else along
+
+
+def first_pages(steps: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """For each node (at) the first n distinct (source, page, first 50 characters) among its steps: at, to, turn, seq, relation, source, page, chunk_text.
+
+    turn is a struct that sorts a node's successors by their first edge. Steps of other nodes go in the scan; until the few are chosen rows
+    carry a hash of the page, and Spark cuts each partition to n rows a node before the shuffle. Only then are texts joined.
+    """
+    seen = [c for x in ("source", "page") for c in (F.col(x), F.col(x).isNull())] + [F.left("chunk_text", F.lit(50)), F.col("chunk_text").isNull()]
+    own = steps.join(nodes, "at", "left_semi").select("at", "to", "back", "seq", F.xxhash64(*seen).alias("place"))
+    turns = own.groupBy("at", "to", "back").agg(F.min("seq").alias("first_seq"))
+    turned = own.join(turns, ["at", "to", "back"]).withColumn("turn", F.struct("back", "first_seq"))
+    once = turned.withColumn("nth", F.row_number().over(W.partitionBy("at", "place").orderBy("turn", "seq"))).where("nth = 1")
+    few = once.withColumn("nth", F.row_number().over(W.partitionBy("at").orderBy("turn", "seq"))).where(F.col("nth") <= n).select("at", "to", "back", "seq", "turn", "place")
+    whole = steps.withColumn("place", F.xxhash64(*seen)).join(F.broadcast(few), ["at", "to", "back", "seq", "place"])
+    return whole.dropDuplicates(["at", "place"]).select("at", "to", "turn", "seq", "relation", "source", "page", "chunk_text")
+
+
 def graph_retrieve(edges: DataFrame, starts: DataFrame, hops: int = 2, n: int = 5, both: bool = False) -> DataFrame:
-    """The first n distinct (source, page, first 50 characters) of each query along the walks of its starts in turn."""
-    walked = traverse(edges, starts, hops, both).withColumn("head", F.left("chunk_text", F.lit(50)))
-    order = ["start_rank", "level", "order_key"]
-    first = F.row_number().over(W.partitionBy("query_id", "source", "page", "head").orderBy(*order))
-    once = walked.withColumn("nth", first).where("nth = 1")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return once.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "chunk_text", "source", "page", F.array_join("path", " -> ").alias("entity_path"), "relation")
+    """The first n distinct (source, page, first 50 characters) of each query along the walks of its starts in turn.
+
+    The order is that of traverse, which is not run whole: of a node's edges those of its first n pages are enough, as a walk that has passed
+    them has n; and a start that has n pages goes no further, as its later hops come behind them. What a start that goes on leads to
+    stands on fewer than n pages, so no frontier grows with the graph. Each hop's hits and frontier are written.
+    """
+    steps, who, folder = ways(edges, both), ["query_id", "start_rank"], new_folder(edges.sparkSession, "walk")
+    kept = lambda df, name: _written(df, f"{folder}/{name}")
+    try:
+        frontier = kept(starts.select(*who, F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<struct<back:boolean,first_seq:bigint>>").alias("key")), "start")
+        visited, hits = frontier.select(*who, "at"), None
+        for level in range(1, hops + 1):
+            found = first_pages(steps, frontier.select("at").distinct(), n)
+            met = frontier.join(found, "at").withColumns({"level": F.lit(level), "path": F.concat("path", F.array("to")), "key": F.concat("key", F.array("turn")), "head": F.left("chunk_text", F.lit(50))}).drop("at", "to", "turn")
+            met = kept(met, f"hits-{level}")
+            hits = met if hits is None else hits.unionByName(met)
+            if level == hops:
+                break
+            full = hits.select(*who, "source", "page", "head").distinct().groupBy(*who).count().where(F.col("count") >= n)
+            on = kept(frontier.join(full, who, "left_anti"), f"open-{level}")
+            turns = steps.join(on.select("at").distinct(), "at", "left_semi").groupBy("at", "to", "back").agg(F.min("seq").alias("first_seq"))
+            ahead = on.join(turns, "at").select(*who, F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("key", F.array(F.struct("back", "first_seq"))).alias("key")).join(visited, [*who, "at"], "left_anti")
+            first = F.row_number().over(W.partitionBy(*who, "at").orderBy("key", "path"))
+            frontier = kept(ahead.withColumn("nth", first).where("nth = 1").drop("nth"), f"frontier-{level}")
+            visited = visited.unionByName(frontier.select(*who, "at"))
+            if frontier.isEmpty():
+                break
+        order = ["start_rank", "level", "key", "seq"]
+        once = hits.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "source", "page", "head").orderBy(*order))).where("nth = 1")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+        best = once.withColumn("rank", rank).where(F.col("rank") <= n)
+        return stored(best.select("query_id", "rank", "chunk_text", "source", "page", F.array_join("path", " -> ").alias("entity_path"), "relation"), "graph-hits")
+    finally:
+        remove_folder(edges.sparkSession, folder)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

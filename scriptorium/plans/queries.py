@@ -634,9 +634,11 @@ def e5_report(spark: SparkSession, sf: str) -> DataFrame:
 def e7_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Two question types by two methods of retrieval: nearest documents, and walks along the document graph; each answers from what it finds."""
     asked = questions(spark, sf).select(F.col("query_id").alias("qa_id"), "question")
+    near = stored(text_hits(spark, sf).select("query_id", "rank", "text"), "near")  # read several times: searched and walked once
+    walked = graph_hits(spark, sf).select("query_id", "rank", F.col("chunk_text").alias("text"))
     per = None
     for method in ("vector", "graph"):
-        hits = E.retrieved_by(method, text_hits(spark, sf).select("query_id", "rank", "text"), graph_hits(spark, sf).select("query_id", "rank", F.col("chunk_text").alias("text")))
+        hits = E.retrieved_by(method, near, walked)
         answers = A.extractive_answers(hits).select(F.col("query_id").alias("qa_id"), "answer")
         qa = asked.join(answers, "qa_id", "left").withColumn("ground_truth", F.col("question"))
         contexts = hits.select(F.col("query_id").alias("qa_id"), "rank", V.hashed_embedding(F.col("text")).alias("vec"))
