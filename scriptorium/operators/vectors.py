@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,12 @@ from scriptorium.errors import RetrievalError
 from scriptorium.functions import vector as V
 from scriptorium.functions.exact import exact_mean
 
-#: Queries meet the collection in blocks; a block of this many 384-place vectors is about 0.8 MB.
-QUERY_BLOCK = 256
 #: So many queries at most are sent out as one matrix (6 MB at 384 places).
 MATRIX_QUERIES = 2048
+#: Where there are more, blocks of so many rows meet blocks of so many queries.
+VECTOR_BLOCK, GRID_QUERIES = 8192, 8192
+#: Scores that a task holds at once (8 MB), and rows of a batch that it takes at once.
+CELLS, ROWS_AT_ONCE = 1 << 20, 2048
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id", version: str | None = None) -> DataFrame:
@@ -37,25 +39,6 @@ def replace_source(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(incoming.select("source").distinct(), "source", "left_anti").unionByName(incoming)
 
 
-def query_blocks(queries: DataFrame, columns: list[str]) -> DataFrame:
-    """Queries packed into rows of QUERY_BLOCK, so that what meets each stored row is a handful of blocks, not every query as a row."""
-    block = F.pmod(F.xxhash64(columns[0]), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / QUERY_BLOCK))).alias("block")
-    return queries.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias("asked"))
-
-
-def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
-    """query_col, id_col, similarity (rounded) of every query of a stated set with every stored row.
-
-    Norms are computed once a row; the row's other columns are left behind and joined again to the few that survive.
-    """
-    stored = vectors.select(id_col, F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("vn", V.norm(F.col("v")))
-    asked = queries.select(query_col, F.transform("embedding", lambda x: x.cast("double")).alias("q")).withColumn("qn", V.norm(F.col("q")))
-    met = stored.join(query_blocks(asked, [query_col, "q", "qn"]), F.lit(True))
-    rows = met.select(id_col, "v", "vn", F.explode("asked").alias("a")).where(F.size("v") == F.size("a.q"))
-    cos = F.when((F.col("vn") == 0) | (F.col("a.qn") == 0), F.lit(0.0)).otherwise(V.dot(F.col("a.q"), F.col("v")) / (F.col("a.qn") * F.col("vn")))
-    return rows.select(F.col(f"a.{query_col}").alias(query_col), id_col, V.score(cos).alias("score"))
-
-
 def similarities_within(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
     """query_col, id_col, similarity, source of each query with the rows of the source it wants: one join by source, so a query
     meets no other source's rows. AQE splits a source that holds many of them."""
@@ -93,50 +76,115 @@ def matrix_rows(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def as_shown(cos: np.ndarray) -> np.ndarray:
+    """Cosines as they are reported, to four places."""
+    cos = np.round(cos, 9)
+    return np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)
+
+
+def of_length_one(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(1))[:, None]
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length != 0)
+
+
 def shown_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines of all rows of v with all rows of q as they are reported, to four places; 0 where one has no length."""
-    unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-    cos = np.round(unit(v, np.sqrt((v * v).sum(1))) @ unit(q, np.sqrt((q * q).sum(1))).T, 9)
-    return np.floor(np.abs(cos) * 1e4 + 0.5) / 1e4 * np.sign(cos)
+    return as_shown(of_length_one(v) @ of_length_one(q).T)
+
+
+def nearest(v: np.ndarray, v_widths: np.ndarray, q: np.ndarray, q_widths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, reported score) of the k best rows of v for each row of q, ties to the first row; pairs of unequal width are left out.
+
+    At most CELLS scores are held at once. Rounding keeps the order, so what may be among the k best is found by the k-th best cosine and only that is
+    rounded and sorted. NaN is the greatest score, as in Spark's order.
+    """
+    v, q = of_length_one(v), of_length_one(q)
+    odd, uneven = np.isnan(v).any() or np.isnan(q).any(), len(set(v_widths.tolist()) | set(q_widths.tolist())) > 1
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, CELLS // max(1, len(v)))
+    for a in range(0, len(q) if len(v) else 0, step):
+        cos = q[a : a + step] @ v.T
+        if odd:
+            cos[np.isnan(cos)] = np.inf
+        if uneven:
+            cos[q_widths[a : a + step, None] != v_widths[None]] = -np.inf
+        least = np.partition(cos, len(v) - k, axis=1)[:, len(v) - k] - 2e-4 if len(v) > k else np.full(len(cos), -np.inf)
+        rows, cols = np.nonzero((cos >= least[:, None]) & (cos > -np.inf))
+        found = cos[rows, cols]
+        score = np.where(np.isinf(found), np.inf, as_shown(np.where(np.isinf(found), 0.0, found)))
+        order = np.lexsort((cols, -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        out.append((rows[nth < k] + a, cols[nth < k], np.where(np.isinf(score[nth < k]), np.nan, score[nth < k])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _lengths(column: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def _by_id(ids: pa.Array) -> np.ndarray:
+    """The order of ids: ties go to the smaller one."""
+    return np.argsort(np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None), kind="stable")
 
 
 def _matmul_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
-    """Each Arrow batch is scored against a query matrix of bounded size at once and hands on its k best of each query."""
+    """Each Arrow batch is scored against a query matrix of bounded size, some rows at once, and hands on its k best of each query."""
     asked = queries.select(query_col, "embedding").where("embedding is not null").collect()
-    names = [r[0] for r in asked]
     widths = np.array([len(r[1]) for r in asked], np.int64)
     width = int(widths.max(initial=0))
-    q = np.array([list(r[1]) + [0.0] * (width - len(r[1])) for r in asked], np.float64).reshape(len(names), width)
-    query_arrow = to_arrow_type(queries.schema[query_col].dataType)
+    q = np.array([list(r[1]) + [0.0] * (width - len(r[1])) for r in asked], np.float64).reshape(len(asked), width)
+    names = pa.array([r[0] for r in asked], to_arrow_type(queries.schema[query_col].dataType))
     id_type, query_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            shown = shown_scores(matrix_rows(batch.column(1), width), q)
-            shown[pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)[:, None] != widths[None]] = -np.inf  # left out below
-            order = np.argsort(np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None), kind="stable")
-            best = order[np.argsort(-shown[order], axis=0, kind="stable")[:k]]  # ties to the smaller id
-            rows, cols = best.T.ravel(), np.repeat(np.arange(len(names)), best.shape[0])
-            fits = shown[rows, cols] > -np.inf
-            rows, cols = rows[fits], cols[fits]
-            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols], query_arrow), ids.take(pa.array(rows)), pa.array(shown[rows, cols])], names=[query_col, id_col, "score"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(a, ROWS_AT_ONCE)
+                order = _by_id(batch.column(0))
+                own, row, score = nearest(matrix_rows(batch.column(1), width)[order], _lengths(batch.column(1))[order], q, widths, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), batch.column(0).take(pa.array(order[row])), pa.array(score)], names=[query_col, id_col, "score"])
 
     own = vectors.select(id_col, F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col(id_col).isNotNull())
     return ranked(own.mapInArrow(run, f"{query_col} {query_type}, {id_col} {id_type}, score double"), k, query_col, id_col)
 
 
+def _grid_best(k: int, id_col: str, query_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, names, v, q = (t.column(c).combine_chunks() for t, c in ((rows, id_col), (asked, query_col), (rows, "embedding"), (asked, "embedding")))
+        order, width = _by_id(ids), int(max(_lengths(v).max(initial=0), _lengths(q).max(initial=0)))
+        own, row, score = nearest(matrix_rows(v, width)[order], _lengths(v)[order], matrix_rows(q, width), _lengths(q), k)
+        return pa.table({query_col: names.take(pa.array(own)), id_col: ids.take(pa.array(order[row])), "score": pa.array(score)})
+
+    return run
+
+
+def _grid_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
+    """Blocks of vectors meet blocks of queries, each pair of blocks in a group of its own, as a product of two matrices.
+
+    A group is of bounded size however many rows there are on either side; there are as many as the product of the blocks.
+    """
+    sides, n = [], (-(-vectors.count() // VECTOR_BLOCK), -(-queries.count() // GRID_QUERIES))
+    for side, (df, key) in enumerate(((vectors, id_col), (queries, query_col))):
+        own = df.select(key, F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+        own = own.withColumn(f"block{side}", F.pmod(F.xxhash64(key, "embedding"), F.lit(max(1, n[side]))))
+        sides.append(own.withColumn(f"block{1 - side}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n[1 - side]) - 1).cast("long")))))
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((vectors, id_col), (queries, query_col)))
+    met = sides[0].groupBy("block0", "block1").cogroup(sides[1].groupBy("block0", "block1"))
+    return ranked(met.applyInArrow(_grid_best(k, id_col, query_col), f"{query_col} {query_type}, {id_col} {id_type}, score double"), k, query_col, id_col)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
     """Exact top-k: query_col, rank, id_col, score; fewer where the collection is smaller.
 
     Vectors and queries that are null or hold a null are left out, and so are pairs of unequal length.
-    Up to MATRIX_QUERIES queries go to the executors as one matrix; beyond that, blocks of queries are joined to the rows.
+    Up to MATRIX_QUERIES queries go to the executors as one matrix; beyond that, blocks of queries meet blocks of rows.
     """
     whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
     vectors, queries = vectors.where(whole & F.col(id_col).isNotNull()), queries.where(whole)
     if queries.limit(MATRIX_QUERIES + 1).count() <= MATRIX_QUERIES:
         return _matmul_search(vectors, queries, k, id_col, query_col)
-    return ranked(similarities(vectors, queries, id_col, query_col), k, query_col, id_col)
+    return _grid_search(vectors, queries, k, id_col, query_col)
 
 
 def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.operators import graph as G
+from scriptorium.operators import vectors as X
 from tests.test_graph import EDGE, random_edges
 
 
@@ -46,3 +48,33 @@ def test_retrieval_from_a_hub_leaves_the_second_hop_alone(spark):
     got = []
     assert shuffled_rows(spark, lambda: got.extend(G.graph_retrieve(edges, starts).orderBy("rank").collect())) < 5_000
     assert [r.page for r in got] == ["0", "1", "2", "3", "4"]
+
+
+def by_brute_force(v, q, k):
+    shown = X.shown_scores(v, q)
+    return [(j, i, shown[i, j]) for j in range(len(q)) for i in sorted(range(len(v)), key=lambda i: (-shown[i, j], i))[:k]]
+
+
+@pytest.mark.parametrize("cells", [1, 1000, 1 << 20])
+def test_nearest_equals_sorting_all_scores(monkeypatch, cells):
+    monkeypatch.setattr(X, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(60, 5)), np.zeros((3, 5)), np.repeat(rng.normal(size=(1, 5)), 20, 0), rng.integers(0, 2, (40, 5)).astype(float)])
+    q = np.concatenate([v[60:85:3], rng.normal(size=(6, 5))])
+    for k in (1, 7, 200):
+        own, row, score = X.nearest(v, np.full(len(v), 5), q, np.full(len(q), 5), k)
+        assert list(zip(own.tolist(), row.tolist(), score.tolist(), strict=True)) == by_brute_force(v, q, k)
+
+
+def test_many_queries_meet_vectors_in_blocks_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(300)]
+    stored = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = stored.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    by_matrix = sorted(map(tuple, X.search(stored, asked, 4).collect()))
+    for name, value in {"MATRIX_QUERIES": 8, "VECTOR_BLOCK": 64, "GRID_QUERIES": 32}.items():
+        monkeypatch.setattr(X, name, value)
+    found = X.search(stored, asked, 4)
+    assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == sorted((r[0], r[1], r[2], r[3]) for r in by_matrix)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
