@@ -83,31 +83,36 @@ def hashed_counts(texts: pa.Array, places: Places) -> np.ndarray:
     return np.bincount(at, minlength=len(texts) * places.dimensions).astype(np.float64).reshape(len(texts), places.dimensions)
 
 
-#: Characters of text that are taken apart at once.
-AT_ONCE = 4 << 20
+#: Bytes of text that are taken apart at once, and rows at most.
+AT_ONCE, ROWS_AT_ONCE = 1 << 20, 1024
 
 
 def text_parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """A batch in runs of rows of about AT_ONCE bytes; a longer text stands alone."""
+    """A batch in runs of rows of about AT_ONCE bytes and ROWS_AT_ONCE at most; a longer text stands alone."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right"))), at + ROWS_AT_ONCE)
         yield texts.slice(at, to - at)
         at = to
 
 
+def as_lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Term frequencies by hash: the default embedder, deterministic and without a model. Null texts give a zero vector.
 
     Batches stay Arrow arrays: splitting, coding of tokens and counting are whole-array steps, and Python sees each distinct token of a batch once.
+    Vectors are handed on part by part, so a task holds those of ROWS_AT_ONCE texts at most, whatever a batch has. The function is declared as not
+    deterministic, which it is, so that a filter on vectors reads them and doesn't make them once more.
     """
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places = Places(dimensions)
         for texts in batches:
-            rows = [hashed_counts(part, places) for part in text_parts(texts)]
-            flat = np.concatenate(rows) if rows else np.zeros((0, dimensions))
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dimensions), pa.array(flat.ravel()))
+            for part in text_parts(texts):
+                yield as_lists(hashed_counts(part, places))
 
-    return run(text)
+    return run.asNondeterministic()(text)

@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.errors import EmbeddingError
-from scriptorium.functions.vector import Places, text_parts, token_places
+from scriptorium.functions.vector import Places, as_lists, text_parts, token_places
 
 #: Terms are hashed to so many places; vectors have so many dimensions, and the decomposition works with some more.
 TERMS, DIMENSIONS, SPARE = 1 << 14, 64, 10
 POWER_STEPS = 6
 #: Terms whose sums travel as one row, and entries of the matrix that are multiplied at once.
 RUN, ENTRIES = 1024, 100_000
+#: Tasks whose sums are added in one group before all are.
+ADDED = 16
 
 
 def entries(texts: pa.Array, places: Places, idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +87,9 @@ def _added(table: pa.Table) -> pa.Table:
 
 def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Transpose x matrix x block, by one pass and one aggregation."""
-    parts = texts.mapInArrow(_products(idf, block), "run int, sums binary").groupBy("run").applyInArrow(_added, "run int, sums binary")
+    parts = texts.mapInArrow(_products(idf, block), "run int, sums binary").withColumn("task", F.floor(F.spark_partition_id() / ADDED))
+    some = parts.groupBy("run", "task").applyInArrow(_added, "run int, sums binary")  # so a group has ADDED sums at most, then a row for each ADDED tasks
+    parts = some.groupBy("run").applyInArrow(_added, "run int, sums binary")
     rows = sorted((r.run, bytes(r.sums)) for r in parts.collect())  # terms / RUN rows
     return np.concatenate([np.frombuffer(x, np.float64).reshape(-1, block.shape[1]) for _, x in rows])
 
@@ -105,11 +109,10 @@ class FittedEmbedder:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             places = Places(len(idf))
             for texts in batches:
-                rows = [times(*entries(part, places, idf), axes, len(part)) for part in text_parts(texts)]
-                flat = np.concatenate(rows) if rows else np.zeros((0, axes.shape[1]))
-                yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * axes.shape[1]), pa.array(flat.ravel()))
+                for part in text_parts(texts):
+                    yield as_lists(times(*entries(part, places, idf), axes, len(part)))
 
-        return run(text)
+        return run.asNondeterministic()(text)  # it is deterministic: a filter on vectors is to read them, not to make them once more
 
 
 def fit(texts: DataFrame, dimensions: int = DIMENSIONS, terms: int = TERMS, steps: int = POWER_STEPS, column: str = "text") -> FittedEmbedder:
