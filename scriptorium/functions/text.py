@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from scriptorium.functions.vector import text_parts
+
 MIN_CHUNK, MAX_HEADING, MIN_SENTENCE = 50, 80, 10
 #: The characters that Unicode calls white space.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -19,9 +22,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for part in text_parts(texts):
+            yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string())
 
 
 def tidy_lines(text: Column) -> Column:
