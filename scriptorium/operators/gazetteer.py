@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from scriptorium.session import stored
 
 #: Names of one part: an automaton of so many takes some 100 MB.
 PART_NAMES = 200_000
+#: Bytes of a batch's sentences that are gone through at once, and rows at most; a longer text stands alone.
+BYTES_AT_ONCE, ROWS_AT_ONCE = 256 << 10, 256
 HIT = pa.list_(pa.struct([("sent", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 ROWS = "chunk_id string, source string, page string, head string, sentences array<string>, hits array<struct<sent:int,start:int,end:int,label:string>>"
 
@@ -26,6 +30,17 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose lists of strings have about BYTES_AT_ONCE bytes, and ROWS_AT_ONCE rows at most; objects of one run are held at a time."""
+    lists = batch.column(column)
+    sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)))
+    ends, at = sizes[np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))], 0
+    while at < batch.num_rows:
+        to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))), at + ROWS_AT_ONCE)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def automaton(names: list[tuple[str, str]]):
     import ahocorasick
 
@@ -56,7 +71,7 @@ def leftmost_longest(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, s
 def _find(names: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(names)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4)):
             hits = []
             for texts, before in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 own = [(h["sent"], h["start"], h["end"], h["label"]) for h in before or []]
@@ -69,7 +84,7 @@ def _find(names: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]],
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string())])))
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 4)):
         out = []
         for texts, hits in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             by_sentence: list[list[tuple[int, int, str]]] = [[] for _ in texts or []]
