@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.gazetteer import sentences
+from scriptorium.operators.gazetteer import sentences, slices
 from scriptorium.operators.graph import CAPITALISED, HEAD
 
 TAGS = ("NAME", "VERB", "FUNCTION", "NUMBER", "SIGN", "WORD")
@@ -22,6 +22,8 @@ VERB = TAGS.index("VERB")
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 #: Words whose emissions are kept by themselves, the most frequent ones; others go by their ending and, where that is new too, by the tag alone.
 MOST_WORDS = 100_000
+#: Tokens that are tagged side by side, short sentences filled up to the longest one of them; a longer sentence stands alone.
+GRID_TOKENS = 1 << 16
 ENDING = 3
 #: Closed-class words and frequent verbs of the four languages, which give the training tags.
 FUNCTION_WORDS = (
@@ -123,8 +125,12 @@ def viterbi(model: Model, batch: list[list[str]]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
     order = sorted((i for i in range(len(batch)) if batch[i]), key=lambda i: len(batch[i]))
     known: dict[str, np.ndarray] = {}
-    for a in range(0, len(order), 256):
-        some = order[a : a + 256]
+    a = 0
+    while a < len(order):
+        to = a + 1
+        while to < min(len(order), a + 256) and (to + 1 - a) * len(batch[order[to]]) <= GRID_TOKENS:
+            to += 1
+        some, a = order[a:to], to
         size = np.array([len(batch[i]) for i in some])
         grid = np.zeros((len(some), int(size.max()), len(model.tags)))
         for r, i in enumerate(some):
@@ -133,7 +139,7 @@ def viterbi(model: Model, batch: list[list[str]]) -> list[np.ndarray]:
                     known[token] = model.emission(token)
                 grid[r, t] = known[token]
         best = model.start + grid[:, 0]
-        came = np.zeros(grid.shape, np.int64)
+        came = np.zeros(grid.shape, np.int8)
         last = best.argmax(1)
         ends = np.where(size == 1, last, 0)
         for t in range(1, grid.shape[1]):
@@ -160,7 +166,7 @@ def _verbs(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     kind = pa.list_(pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("verb", pa.string()), ("verb_start", pa.int32())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4)):
             texts = batch.column(4).to_pylist()
             names = [[list(name.finditer(s)) for s in own or []] for own in texts]
             asked = [(i, k) for i, own in enumerate(names) for k, found in enumerate(own) if len(found) > 1]  # others have no pair
