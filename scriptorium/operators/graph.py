@@ -62,7 +62,7 @@ def _flat(sentences: Column, verbs: bool = False) -> Column:
 
 def mention_rows(mentions: DataFrame) -> DataFrame:
     """One row a mention: chunk_id, source, page, pos (counted along the chunk), sent_idx, surface, label."""
-    rows = mentions.select("chunk_id", "source", "page", F.posexplode(_flat(F.col("mentions"))).alias("pos", "m"))
+    rows = mentions.select("chunk_id", "source", "page", F.posexplode_outer(_flat(F.col("mentions"))).alias("pos", "m")).where("pos is not null")
     return rows.select("chunk_id", "source", "page", "pos", "m.sent_idx", "m.surface", "m.label")
 
 
@@ -85,9 +85,9 @@ def sentence_pairs(mentions: DataFrame) -> DataFrame:
     and verb (the first one between the two) where mentions carry verbs.
 
     A mention is exploded first, then the slice of the row's array that follows it in its sentence, so Spark streams the pairs
-    and a row never holds more than its mentions.
+    and a row never holds more than its mentions. The outer form keeps Spark from adding a filter that finds all mentions twice more.
     """
-    rows = relevant(mentions).select("chunk_id", "source", "page", "head", "m", F.posexplode("m").alias("a_pos", "a"))
+    rows = relevant(mentions).select("chunk_id", "source", "page", "head", "m", F.posexplode_outer("m").alias("a_pos", "a")).where("a_pos is not null")
     rows = rows.select("chunk_id", "source", "page", "head", "a", "a_pos", F.posexplode(F.slice("m", F.col("a_pos") + 2, F.col("a.n") - F.col("a.at") - 1)).alias("after", "b"))
     rows = rows.select("chunk_id", "source", "page", "head", "a.sent_idx", F.col("a_pos"), (F.col("a_pos") + F.col("after") + 1).alias("b_pos"), F.col("a.name").alias("src"), F.col("b.name").alias("dst"), *([F.when(F.col("a.verb_start") < F.col("b.start"), F.col("a.verb")).alias("verb")] if has_verbs(mentions) else []))
     return rows.withColumn("reason", reject_reason(F.col("src"), F.col("dst")))
@@ -138,7 +138,11 @@ def nodes(edges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
 
 
 def graph_stats(edges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    return nodes(edges, chunks).agg(F.count("*").alias("n_nodes")).join(edges.agg(F.count("*").alias("n_edges")), F.lit(True))
+    """n_nodes, n_edges. Edges are gone through once: each counts a half for either end."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(1).alias("n"))
+    if chunks is not None:
+        ends = ends.unionByName(chunks.select(document_node(F.col("source")).alias("node"), F.lit(0).alias("n")))
+    return ends.groupBy("node").agg(F.sum("n").alias("n")).agg(F.count("*").alias("n_nodes"), F.coalesce(F.call_function("div", F.sum("n"), F.lit(2)), F.lit(0)).alias("n_edges"))
 
 
 def node_index(edges: DataFrame) -> DataFrame:
