@@ -3,10 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import vector as V
+from scriptorium.functions.splitter import recursive_split
+from scriptorium.operators import gazetteer, tagging
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
 from tests.test_graph import EDGE, random_edges
@@ -78,3 +82,43 @@ def test_many_queries_meet_vectors_in_blocks_of_bounded_size(spark, monkeypatch)
     assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == sorted((r[0], r[1], r[2], r[3]) for r in by_matrix)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def python_steps(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_texts_are_embedded_and_split_once(spark):
+    docs = spark.createDataFrame([("a", "One two. Three four"), ("b", None)], "chunk_id string, text string").select("chunk_id", "text", V.hashed_embedding(F.col("text")).alias("embedding"))
+    asked = docs.select(F.col("chunk_id").alias("query_id"), "embedding").where("query_id = 'a'")
+    found = X.search(docs, asked, 2)
+    assert python_steps(found) == 1
+    assert sorted((r.chunk_id, r.score) for r in found.collect()) == [("a", 1.0), ("b", 0.0)]
+    assert python_steps(docs.select(F.explode(recursive_split(F.col("text"))))) == 1
+
+
+def test_a_part_of_a_batch_is_bounded_in_rows_and_bytes():
+    texts = pa.array(["x"] * 3000 + ["y" * (V.AT_ONCE // 2)] * 5 + [None, "z" * (2 * V.AT_ONCE), ""])
+    parts = list(V.text_parts(texts))
+    assert pa.concat_arrays(parts).equals(texts)
+    assert all(len(p) <= V.ROWS_AT_ONCE and (len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= V.AT_ONCE) for p in parts)
+    lists = pa.RecordBatch.from_arrays([pa.array([["a" * 100_000, "b"], None, [], ["c" * 300_000], ["d"]] + [["e"]] * 600, pa.list_(pa.string()))], names=["s"])
+    runs = list(gazetteer.slices(lists, 0))
+    assert [x for r in runs for x in r.column(0).to_pylist()] == lists.column(0).to_pylist()
+    assert max(r.num_rows for r in runs) <= gazetteer.ROWS_AT_ONCE and len(runs) >= 4
+
+
+def test_tags_do_not_hang_on_what_is_tagged_side_by_side(monkeypatch):
+    model = tagging.Model([("step", "", "NAME", 5), ("step", "NAME", "VERB", 4), ("step", "VERB", "NAME", 3), ("word", "^ann", "NAME", 3), ("word", "met", "VERB", 3), ("tag", "", "NAME", 5), ("tag", "", "VERB", 4)])
+    batch = [["Ann", "met", "Bob"] * n for n in (1, 40, 3, 7)] + [[]]
+    whole = [x.tolist() for x in tagging.viterbi(model, batch)]
+    monkeypatch.setattr(tagging, "GRID_TOKENS", 10)
+    assert [x.tolist() for x in tagging.viterbi(model, batch)] == whole
+
+
+def test_edges_are_gone_through_once_for_their_counts(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("c", "a")], "src string, dst string")
+    chunks = spark.createDataFrame([("d_1.pdf",), ("a",)], "source string")
+    stats = G.graph_stats(edges, chunks)
+    assert [tuple(r) for r in stats.collect()] == [(4, 4)] and [tuple(r) for r in G.graph_stats(edges.limit(0)).collect()] == [(0, 0)]
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + stats._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 2
