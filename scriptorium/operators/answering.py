@@ -133,35 +133,70 @@ def extractive_answers(hits: DataFrame, limit: int = 2) -> DataFrame:
     return best.select("query_id", F.array_join("s", " ").alias("answer"))
 
 
-#: Sentences of a question's hits that take part in ranking, those most like the question; and how much likeness counts against novelty.
-RANKED_SENTENCES, NOVELTY = 200, 0.7
+#: How much likeness counts against novelty.
+NOVELTY = 0.7
 DAMPING, ROUNDS = 0.85, 40
+#: Likenesses of sentences that a task holds at once (32 MB).
+CELLS = 1 << 22
 CITED = "query_id long, answer string, cites array<struct<chunk_id:string,sentence:int,text:string>>"
 
 
-def sentence_ranks(sims: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """PageRank over sentences: a walk goes on to those alike, and starts anew (by DAMPING) at those like the question."""
-    n = len(sims)
-    ways = np.where(np.eye(n, dtype=bool), 0.0, np.maximum(sims, 0.0))
-    total = ways.sum(1, keepdims=True)
-    ways = np.divide(ways, total, out=np.full_like(ways, 1 / n), where=total > 0)
+def _walked(step: Callable[[np.ndarray], np.ndarray], total: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rank after ROUNDS. step: a row of weights times the likenesses (that of a sentence with itself is 0), whose rows add up to `total`."""
+    n = len(total)
     start = np.maximum(wanted, 0.0)
     start = start / start.sum() if start.sum() > 0 else np.full(n, 1 / n)
     rank = start.copy()
     for _ in range(ROUNDS):
-        rank = (1 - DAMPING) * start + DAMPING * (rank @ ways)
+        shared = np.divide(rank, total, out=np.zeros(n), where=total > 0)
+        rank = (1 - DAMPING) * start + DAMPING * (step(shared) + rank[total <= 0].sum() / n)
     return rank
 
 
+def sentence_ranks(sims: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """PageRank over sentences: a walk goes on to those alike, and starts anew (by DAMPING) at those like the question."""
+    ways = np.where(np.eye(len(sims), dtype=bool), 0.0, np.maximum(sims, 0.0))
+    return _walked(lambda w: w @ ways, ways.sum(1), wanted)
+
+
+def vector_ranks(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """sentence_ranks of sentences by their vectors of length 1 (or 0), with CELLS likenesses at once, however many sentences there are.
+
+    Vectors without negative entries, as those of counted words, have no negative likenesses, so a step is two products with the vectors themselves.
+    """
+    n = len(x)
+    if n * n <= CELLS:
+        return sentence_ranks(x @ x.T, wanted)
+    if (x >= 0).all():
+        own = (x * x).sum(1)
+        return _walked(lambda w: np.maximum(x @ (w @ x) - w * own, 0.0), (x * (x.sum(0) - x)).sum(1), wanted)
+    size = max(1, CELLS // n)
+
+    def ways(a: int) -> np.ndarray:
+        block = np.maximum(x[a : a + size] @ x.T, 0.0)
+        block[np.arange(len(block)), np.arange(a, a + len(block))] = 0.0
+        return block
+
+    total = np.concatenate([ways(a).sum(1) for a in range(0, n, size)])
+    return _walked(lambda w: sum(w[a : a + size] @ ways(a) for a in range(0, n, size)), total, wanted)
+
+
 def most_novel(rank: np.ndarray, sims: np.ndarray, count: int, novelty: float = NOVELTY) -> list[int]:
     """Maximal marginal relevance: the best ranked first, then each time the one that is best by rank and least like those chosen; ties to the first."""
+    return _most_novel(rank, lambda i: sims[:, i], count, novelty)
+
+
+def _most_novel(rank: np.ndarray, alike: Callable[[int], np.ndarray], count: int, novelty: float = NOVELTY) -> list[int]:
+    """alike: the likenesses of all sentences with one of them."""
     scaled = np.round(rank / rank.max(), 9) if len(rank) and rank.max() > 0 else rank
     chosen: list[int] = []
+    like = np.zeros(len(rank))
     while len(chosen) < min(count, len(rank)):
-        like = np.round(sims[:, chosen].max(1), 9) if chosen else np.zeros(len(rank))
         score = novelty * scaled - (1 - novelty) * like
         score[chosen] = -np.inf
         chosen.append(int(score.argmax()))
+        own = np.round(alike(chosen[-1]), 9)
+        like = np.maximum(like, own) if len(chosen) > 1 else own
     return chosen
 
 
@@ -171,8 +206,7 @@ def _ranked_answer(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         x = np.array(rows["vec"].tolist(), np.float64)
         length = np.sqrt((x * x).sum(1))
         x = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0)
-        sims = x @ x.T
-        chosen = most_novel(sentence_ranks(sims, rows["likeness"].to_numpy(np.float64)), sims, limit)
+        chosen = _most_novel(vector_ranks(x, rows["likeness"].to_numpy(np.float64)), lambda i: x @ x[i], limit)
         own = rows.iloc[chosen]
         cites = [{"chunk_id": c, "sentence": int(a), "text": s} for c, a, s in zip(own["chunk_id"], own["at"], own["sentence"], strict=True)]
         return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "answer": [" ".join(own["sentence"])], "cites": [cites]})
@@ -180,18 +214,21 @@ def _ranked_answer(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def ranked_answers(questions: DataFrame, hits: DataFrame, limit: int = 2, embed=V.hashed_embedding, most: int = RANKED_SENTENCES) -> DataFrame:
+def ranked_answers(questions: DataFrame, hits: DataFrame, limit: int = 2, embed=V.hashed_embedding, most: int | None = None) -> DataFrame:
     """An extractive generator over all hits: (query_id, question) and hits (query_id, rank, chunk_id, text) -> query_id, answer, cites.
 
     The sentences of a question's hits are a graph by likeness; those that PageRank puts first, started at those like the question, make the
-    answer, as long as they say something new. cites names the chunk and the place of each sentence in it. `most` sentences of a question,
-    those most like it, take part, so what meets in one task is bounded. Equal sentences count once. A question without sentences has no row.
+    answer, as long as they say something new. cites names the chunk and the place of each sentence in it. All sentences take part, unless a
+    caller asks for the `most` that are most like the question; what meets in one task are the sentences of one question's hits, and likenesses are
+    held by CELLS. Equal sentences count once. A question without sentences has no row.
     """
     rows = hits.select("query_id", "rank", "chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
     asked = questions.select("query_id", embed(F.col("question")).alias("asked"))
     like = rows.withColumn("vec", embed(F.col("sentence"))).join(asked, "query_id").withColumn("likeness", F.round(V.cosine(F.col("vec"), F.col("asked")), 9)).drop("asked")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("likeness").desc(), "rank", "at"))
-    some = like.withColumn("nth", best).where(F.col("nth") <= most).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "at", "sentence", "vec", "likeness")
+    if most is not None:
+        best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("likeness").desc(), "rank", "at"))
+        like = like.withColumn("nth", best).where(F.col("nth") <= most)
+    some = like.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "at", "sentence", "vec", "likeness")
     return some.groupBy("query_id").applyInPandas(_ranked_answer(limit), CITED)
 
 

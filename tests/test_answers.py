@@ -68,6 +68,48 @@ def test_answers_cite_their_chunks_and_repeat_nothing(spark):
     assert status[1] == ("ok", got[1].answer) and status[2][0] == "no_context" and status[3][0] == "failed"
 
 
+def test_all_sentences_of_the_hits_take_part(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(f"{' '.join(rng.choice(words) for _ in range(6)).capitalize()} n{k}s{i}." for i in range(150)) for k in range(2)]
+    question = "zebra"  # like none of them, so the first 200 would be as good as any
+    hits = spark.createDataFrame([(1, k + 1, f"c{k}", t) for k, t in enumerate(texts)], "query_id long, rank int, chunk_id string, text string")
+    asked = spark.createDataFrame([(1, question)], "query_id long, question string")
+    sentences = [(f"c{k}", i, s) for k, t in enumerate(texts) for i, s in enumerate(t.replace(". ", ".\n").split("\n"))]
+
+    def vector(text):
+        out = np.zeros(V.DIMENSIONS)
+        for token in text.lower().replace(".", "").split():
+            out[V.bucket(token)] += 1
+        return out / np.linalg.norm(out)
+
+    x = np.array([vector(s) for _, _, s in sentences])
+    rank = plain_ranks((x @ x.T).tolist(), (x @ vector(question)).tolist())
+    want = [sentences[i] for i in A.most_novel(np.array(rank), x @ x.T, 6)]
+    got = [(c.chunk_id, c.sentence, c.text) for c in A.ranked_answers(asked, hits, limit=6).first().cites]
+    assert len(sentences) == 300 and got == want
+    fewer = [(c.chunk_id, c.sentence, c.text) for c in A.ranked_answers(asked, hits, limit=6, most=200).first().cites]
+    assert fewer != want
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_ranks_by_vectors_equal_those_of_the_matrix(monkeypatch, signed):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2, (70, 12)).astype(float) * rng.random((70, 12))
+    x[5], x[6], x[7, :] = 0.0, 0.0, 0.0
+    x = np.concatenate([x, np.zeros((70, 1))], 1)
+    x[7, 12] = 1.0  # like no other
+    x = x * rng.choice([-1, 1], x.shape) if signed else x
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    wanted = rng.random(70)
+    whole = A.vector_ranks(x, wanted)
+    assert np.allclose(whole, plain_ranks((x @ x.T).tolist(), wanted.tolist()), atol=1e-12)
+    monkeypatch.setattr(A, "CELLS", 300)
+    assert np.allclose(A.vector_ranks(x, wanted), whole, rtol=1e-12, atol=1e-14)
+    assert np.isclose(whole.sum(), 1)
+
+
 def plain_mentions(text, names):
     out, at = [], 0
     while at < len(text):
