@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
+#: Tokens whose places a task keeps.
+MOST_KNOWN = 500_000
 HIGH, MEDIUM = 0.75, 0.50
 
 
@@ -49,18 +51,24 @@ def bucket(token: str, dimensions: int = DIMENSIONS) -> int:
 
 
 class Places:
-    """The places of tokens, kept from batch to batch; md5 is taken once for each distinct token."""
+    """The places of tokens, kept from batch to batch: what is known is looked up as a whole array, and Python sees a token, and takes its md5, once."""
 
     def __init__(self, dimensions: int):
-        self.dimensions, self.known = dimensions, {}
-
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        for token in tokens:
-            if token not in self.known:
-                self.known[token] = bucket(token, self.dimensions)
-        return np.fromiter((self.known[t] for t in tokens), np.int64, len(tokens))
+        self.dimensions, self.known, self.at = dimensions, pa.array([], pa.string()), np.zeros(0, np.int64)
+
+    def __call__(self, tokens: pa.Array) -> np.ndarray:
+        """tokens: distinct ones."""
+        self.known = self.known.cast(tokens.type)
+        found = pc.index_in(tokens, value_set=self.known)
+        out = self.at[found.fill_null(0).to_numpy()] if len(self.at) else np.zeros(len(tokens), np.int64)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        if len(new):
+            words = tokens.take(pa.array(new))
+            out[new] = np.fromiter((bucket(t, self.dimensions) for t in words.to_pylist()), np.int64, len(new))
+            if len(self.known) > MOST_KNOWN:
+                self.known, self.at = self.known.slice(0, 0), self.at[:0]
+            self.known, self.at = pa.concat_arrays([self.known, words]), np.append(self.at, out[new])
+        return out
 
 
 def token_places(texts: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +77,10 @@ def token_places(texts: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarra
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     tokens = lists.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    words = tokens.dictionary.to_pylist()
+    words = tokens.dictionary
     place = places(words)
     which = tokens.indices.to_numpy(zero_copy_only=False)
-    real = np.array([w != "" for w in words], bool)[which] if words else np.zeros(0, bool)
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[which]
     return row[real], place[which[real]]
 
 

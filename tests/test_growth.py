@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import vector as V
 from scriptorium.functions.splitter import recursive_split
-from scriptorium.operators import gazetteer, tagging
+from scriptorium.operators import fitted, gazetteer, tagging
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
 from tests.test_graph import EDGE, random_edges
@@ -97,6 +97,39 @@ def test_texts_are_embedded_and_split_once(spark):
     assert python_steps(docs.select(F.explode(recursive_split(F.col("text"))))) == 1
 
 
+def test_a_space_is_fitted_by_taking_texts_apart_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return f"word{i % 7} word{i % 11} more"
+
+    df = spark.range(200).select(text.asNondeterministic()("id").alias("text"))
+    model = fitted.fit(df, dimensions=4, terms=256, steps=3)
+    assert seen.value == 200 and (model.strengths[:4] > 0).all()
+
+
+@pytest.mark.parametrize("long", [1, 10**9])
+def test_products_do_not_hang_on_how_rows_are_multiplied(monkeypatch, long):
+    monkeypatch.setattr(fitted, "LONG", long)
+    rng = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 90, n)) for n in (3, 0, 40, 900, 1)] + [None])
+    counted = list(fitted._counted(64)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    row, term, weight = fitted.entries(texts, V.Places(64), np.arange(1.0, 65.0))
+    matrix, block = np.zeros((6, 64)), rng.normal(size=(64, 5))
+    matrix[row, term] = weight
+    got = b"".join(x for b in fitted._products(np.arange(1.0, 65.0), block)(iter([b.slice(1) for b in counted] + [b.slice(0, 1) for b in counted])) for x in b.column(1).to_pylist())
+    assert np.allclose(np.frombuffer(got).reshape(64, 5), matrix.T @ matrix @ block)
+
+
+def test_places_are_those_of_each_token(monkeypatch):
+    monkeypatch.setattr(V, "MOST_KNOWN", 3)
+    places = V.Places(97)
+    for words in (["a", "b"], ["b", "", "c"], ["d", "a", "e"], [], ["a", "e", "ß"]):
+        assert places(pa.array(words, pa.string())).tolist() == [V.bucket(w, 97) for w in words]
+
+
 def test_a_part_of_a_batch_is_bounded_in_rows_and_bytes():
     texts = pa.array(["x"] * 3000 + ["y" * (V.AT_ONCE // 2)] * 5 + [None, "z" * (2 * V.AT_ONCE), ""])
     parts = list(V.text_parts(texts))
