@@ -1,12 +1,16 @@
 """Labelled entities from a table of names: an Aho-Corasick automaton over it finds all of them in one pass over a text.
 
-The table may be of any size: it is dealt into parts of a bounded number of names, and a part is what a task holds. With one part, the usual
-case, texts are read once; with more, what was found so far is written between the passes. Of matches that overlap the one that begins
-first counts, of those the longest, whatever part it comes from.
+The table may be of any size. Where it is small, the usual case, each task holds all of it and texts are read once. Where it is larger, texts are
+taken in blocks of some megabytes, and a block meets the names that can stand in it: a name's longest run of letters and digits is a run of any
+text that it stands in, so the block's runs are joined with those. Texts are written once and travel once, however many names there are.
+Of matches that overlap the one that begins first counts, of those the longest.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +22,19 @@ from pyspark.sql import functions as F
 from scriptorium.operators.graph import HEAD
 from scriptorium.session import stored
 
-#: Names of one part: an automaton of so many takes some 100 MB.
+#: Names that every task holds at most: an automaton of so many takes some 100 MB.
 PART_NAMES = 200_000
+#: Bytes of texts that make a block; a longer text is one of its own.
+BLOCK_BYTES = 8 << 20
+#: Bits by which runs are sorted out that are no name's (2 MB); with very many names fewer are, and the join decides in any case.
+BITS = 1 << 24
+#: Runs as the automaton's matches are bounded: what str.isalnum() holds for.
+RUN = re.compile(r"[^\W_]+")
 #: Bytes of a batch's sentences that are gone through at once, and rows at most; a longer text stands alone.
 BYTES_AT_ONCE, ROWS_AT_ONCE = 256 << 10, 256
-HIT = pa.list_(pa.struct([("sent", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
-ROWS = "chunk_id string, source string, page string, head string, sentences array<string>, hits array<struct<sent:int,start:int,end:int,label:string>>"
+MENTIONS = pa.list_(pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string())])))
+ROW = "chunk_id string, source string, page string, head string"
+FOUND = f"{ROW}, mentions array<array<struct<surface:string,label:string>>>"
 
 
 def sentences(text: Column) -> Column:
@@ -68,44 +79,92 @@ def leftmost_longest(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, s
     return out
 
 
+def _mentions(found, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch whose fifth column are sentences, with their mentions in its place."""
+    out = [[[{"surface": text[a:b], "label": label} for a, b, label in leftmost_longest(list(matches(found, text)))] for text in texts or []] for texts in batch.column(4).to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, MENTIONS)], names=[*batch.schema.names[:4], "mentions"])
+
+
 def _find(names: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(names)
         for batch in (part for whole in batches for part in slices(whole, 4)):
-            hits = []
-            for texts, before in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                own = [(h["sent"], h["start"], h["end"], h["label"]) for h in before or []]
-                own += [(i, *m) for i, text in enumerate(texts or []) for m in matches(found, text)]
-                hits.append([{"sent": s, "start": a, "end": b, "label": label} for s, a, b, label in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(hits, HIT)], names=batch.schema.names)
+            yield _mentions(found, batch)
+
+    return run
+
+
+def name_key(name: str) -> str:
+    """The longest run of letters and digits of a name, the first of equally long ones; empty where it has signs alone."""
+    return max(RUN.findall(name), key=len, default="")
+
+
+def _bit(run: str) -> int:
+    return zlib.crc32(run.encode("utf-8", "surrogatepass")) % BITS
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([name_key(x) for x in batch.column(0).to_pylist()], pa.string()), *batch.columns], names=["run", "name", "label"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITS, bool)
+    for batch in batches:
+        bits[[_bit(x) for x in batch.column(0).to_pylist()]] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+
+def _blocks(bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts as they are, each with the id of its block, and behind those of a block the runs in it that may be a name's: rows that have a run alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, runs, schema = uuid.uuid4().hex, 0, {""}, None
+
+        def ended() -> pa.RecordBatch:
+            own = pa.array([x for x in runs if bits[(at := _bit(x)) >> 3] >> (7 - (at & 7)) & 1 or not x], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.string()), own, *[pa.nulls(len(own), f.type) for f in schema]], names=["block", "run", *schema.names])
+
+        for batch in (part for whole in batches for part in slices(whole, 4)):
+            schema = batch.schema
+            more = pc.sum(pc.binary_length(batch.column(4).flatten())).as_py() or 0
+            if size and size + more > BLOCK_BYTES:
+                yield ended()
+                block, size, runs = uuid.uuid4().hex, 0, {""}
+            for text in batch.column(4).flatten().to_pylist():
+                runs.update(RUN.findall(text or ""))
+            size += more
+            yield pa.RecordBatch.from_arrays([pa.array([block] * batch.num_rows, pa.string()), pa.nulls(batch.num_rows, pa.string()), *batch.columns], names=["block", "run", *schema.names])
+        if schema is not None:
+            yield ended()
 
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string())])))
-    for batch in (part for whole in batches for part in slices(whole, 4)):
-        out = []
-        for texts, hits in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            by_sentence: list[list[tuple[int, int, str]]] = [[] for _ in texts or []]
-            for h in hits or []:
-                by_sentence[h["sent"]].append((h["start"], h["end"], h["label"]))
-            out.append([[{"surface": text[a:b], "label": label} for a, b, label in leftmost_longest(own)] for text, own in zip(texts or [], by_sentence, strict=True)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, kind)], names=[*batch.schema.names[:4], "mentions"])
+def _find_in_block(texts: pa.Table, names: pa.Table) -> pa.Table:
+    found = automaton(list(zip(names.column("name").to_pylist(), names.column("label").to_pylist(), strict=True)))
+    own = texts.select(["chunk_id", "source", "page", "head", "sentences"])
+    parts = [_mentions(found, part) for whole in own.to_batches() for part in slices(whole, 4)]
+    schema = pa.schema([*own.schema.remove(4), pa.field("mentions", MENTIONS)])
+    return pa.Table.from_batches([part.cast(schema) for part in parts], schema)
 
 
 def labelled_mentions(chunks: DataFrame, gazetteer: DataFrame, part_names: int = PART_NAMES) -> DataFrame:
     """Mentions of a gazetteer's names (name, label) in the form of graph.capitalised_mentions: one row a chunk.
 
     Null and empty names are left out; a name with several labels has the first by alphabet. Names may hold spaces and signs, and count
-    where no letter or digit stands next to them. Null texts have no mentions. An empty gazetteer finds nothing.
+    where no letter or digit stands next to them. Null texts have no mentions. An empty gazetteer finds nothing. With more than `part_names` names
+    texts are searched block by block.
     """
     names = stored(gazetteer.where("name <> '' and label is not null").groupBy("name").agg(F.min("label").alias("label")), "gazetteer")
-    parts = -(-names.count() // part_names)
-    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "source", "page", F.left("text", F.lit(HEAD)).alias("head"), sentences(F.col("text")).alias("sentences"), F.lit(None).cast("array<struct<sent:int,start:int,end:int,label:string>>").alias("hits"))
-    for part in range(parts):
-        own = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).collect()  # about part_names at most
-        rows = rows.mapInArrow(_find([(r.name, r.label) for r in own]), ROWS)
-        if part < parts - 1:
-            rows = stored(rows, "found")
-    return rows.mapInArrow(_resolve, "chunk_id string, source string, page string, head string, mentions array<array<struct<surface:string,label:string>>>")
+    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "source", "page", F.left("text", F.lit(HEAD)).alias("head"), sentences(F.col("text")).alias("sentences"))
+    if names.count() <= part_names:
+        return rows.mapInArrow(_find([(r.name, r.label) for r in names.collect()]), FOUND)
+    keyed = names.mapInArrow(_keyed, "run string, name string, label string")
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in keyed.select("run").mapInArrow(_bits, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r.bits, np.uint8)
+    blocks = stored(rows.mapInArrow(_blocks(bits.tobytes()), f"block string, run string, {ROW}, sentences array<string>"), "blocks", compression="zstd")  # ids of blocks are made once
+    own = blocks.where("run is not null").select("block", "run").join(keyed, "run").select(F.col("block").alias("at"), "name", "label")
+    texts = blocks.where("run is null").drop("run")
+    return texts.groupBy("block").cogroup(own.groupBy("at")).applyInArrow(_find_in_block, FOUND)

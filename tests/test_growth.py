@@ -13,6 +13,7 @@ from scriptorium.functions.splitter import recursive_split
 from scriptorium.operators import fitted, gazetteer, tagging
 from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
+from scriptorium.session import stored
 from tests.test_graph import EDGE, random_edges
 
 
@@ -97,6 +98,22 @@ def test_texts_are_embedded_and_split_once(spark):
     assert python_steps(docs.select(F.explode(recursive_split(F.col("text"))))) == 1
 
 
+def test_texts_are_written_once_however_many_names_there_are(spark, monkeypatch):
+    """Blocks of a few texts with three names each: what one automaton over all names finds, and one table of texts."""
+    monkeypatch.setattr(gazetteer, "BLOCK_BYTES", 200)
+    kept = []
+    monkeypatch.setattr(gazetteer, "stored", lambda df, name, **more: kept.append(name) or stored(df, name, **more))
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("Ann", "Ärger", "x_Bo", "c-D", "O'N", "½", "1") for b in range(9)] + ["+", "++", "_", "and"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", "-", "_", "'"]) for _ in range(rng.randint(0, 25))) for _ in range(90)] + ["", None]
+    names = {f"{w}{rng.choice(['', f' {rng.choice(words)}', '.', '-x'])}" for w in words} | {"+", "++", "_", "Ann1_"}
+    chunks = spark.createDataFrame([(str(i), "s", "1", t) for i, t in enumerate(texts)], "chunk_id string, source string, page string, text string").repartition(3)
+    table = spark.createDataFrame([(n, f"L{i % 4}") for i, n in enumerate(sorted(names))], "name string, label string")
+    whole, by_blocks = (sorted(map(repr, gazetteer.labelled_mentions(chunks, table, part).collect())) for part in (1000, 3))
+    assert whole == by_blocks and len(whole) == 92 and sum("surface" in r for r in whole) > 50
+    assert kept == ["gazetteer", "gazetteer", "blocks"]
+
+
 def test_a_space_is_fitted_by_taking_texts_apart_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
