@@ -41,13 +41,13 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows whose lists of strings have about BYTES_AT_ONCE bytes, and ROWS_AT_ONCE rows at most; objects of one run are held at a time."""
+def slices(batch: pa.RecordBatch, column: int, bytes_at_once: int = BYTES_AT_ONCE, rows_at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose lists of strings have about so many bytes, and so many rows at most; objects of one run are held at a time."""
     lists = batch.column(column)
     sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)))
     ends, at = sizes[np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))], 0
     while at < batch.num_rows:
-        to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))), at + ROWS_AT_ONCE)
+        to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + bytes_at_once, side="right"))), at + rows_at_once)
         yield batch.slice(at, to - at)
         at = to
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 MOST_WORDS = 100_000
 #: Tokens that are tagged side by side, short sentences filled up to the longest one of them; a longer sentence stands alone.
 GRID_TOKENS = 1 << 16
+#: Bytes of sentences whose names are found before those with pairs are tagged, and rows at most.
+TAGGED_BYTES, TAGGED_ROWS = 1 << 20, 1024
+#: Distinct tokens whose counts a task holds before it hands them on.
+COUNTED_TOKENS = 200_000
 ENDING = 3
 #: Closed-class words and frequent verbs of the four languages, which give the training tags.
 FUNCTION_WORDS = (
@@ -59,6 +64,56 @@ def tagged_tokens(chunks: DataFrame) -> DataFrame:
     return rows.select(F.transform("t", lambda t: F.struct(t.alias("token"), lexicon_tag(t).alias("tag"))).alias("words"))
 
 
+def _lexicon_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import regex
+
+    number, sign, name, capital = (regex.compile(x) for x in (r"\p{N}", r"[^\p{L}]", r"\p{Lu}\p{Ll}", r"\p{Lu}"))
+    verbs, function, at = frozenset(VERBS), frozenset(FUNCTION_WORDS), {t: i for i, t in enumerate(TAGS)}
+    n = len(TAGS)
+
+    def tag(word: str) -> int:
+        """lexicon_tag of a token."""
+        low = word.lower()
+        return at["VERB" if low in verbs else "FUNCTION" if low in function else "NUMBER" if number.match(word) else "SIGN" if sign.match(word) else "NAME" if name.match(word) else "WORD"]
+
+    known: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    steps = np.zeros((n + 1) * n, np.int64)
+
+    def sums() -> pa.RecordBatch:
+        out: dict[tuple[str, str, str], int] = {("step", TAGS[i // n] if i < n * n else "", TAGS[i % n]): int(steps[i]) for i in np.flatnonzero(steps)}
+        for word, count in seen.items():
+            front, own = "^" if capital.match(word) else "", TAGS[known[word]]
+            for entry in (("word", front + word.lower(), own), ("ending", front + word[-ENDING:].lower(), own), ("tag", "", own)):
+                out[entry] = out.get(entry, 0) + count
+        kind, a, b = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in (kind, a, b)], pa.array(out.values(), pa.int64())], names=["kind", "a", "b", "n"])
+
+    for batch in (part for whole in batches for part in slices(whole, 0, TAGGED_BYTES, whole.num_rows)):
+        sizes = pc.list_value_length(batch.column(0)).to_numpy()
+        coded = batch.column(0).flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        for word, count in zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True):
+            if word not in known:
+                known[word] = tag(word)
+            seen[word] = seen.get(word, 0) + count
+        tags = np.array([known[w] for w in words])[which]
+        before = np.append(n, tags[:-1])
+        before[np.cumsum(sizes)[:-1]] = n
+        steps += np.bincount(before * n + tags, minlength=(n + 1) * n)
+        if len(seen) > COUNTED_TOKENS:
+            yield sums()
+            known.clear(), seen.clear()
+            steps[:] = 0
+    yield sums()
+
+
+def lexicon_counts(chunks: DataFrame) -> DataFrame:
+    """What counts(tagged_tokens(chunks)) gives, by one pass: a token's tag hangs on the token alone, so a task counts tokens, tags each distinct one once, and hands on its sums."""
+    rows = chunks.select(F.explode(sentences(F.col("text"))).alias("s")).select(tokens(F.col("s")).alias("t")).where(F.size("t") > 0).mapInArrow(_lexicon_counts, "kind string, a string, b string, n long")
+    return rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
 class Model:
     """Logarithms of smoothed shares: start (of each tag), step (tag to tag), and what each word and each ending says for each tag."""
 
@@ -111,7 +166,16 @@ def counts(tagged: DataFrame) -> DataFrame:
 
 def fit(tagged: DataFrame, most_words: int = MOST_WORDS, tags: tuple[str, ...] = TAGS) -> Model:
     """The model. What comes to the driver is bounded: the steps, the tags, and for words and endings the `most_words` most frequent entries."""
-    found = counts(tagged).persist()
+    return _fitted(counts(tagged), most_words, tags)
+
+
+def fit_by_lexicon(chunks: DataFrame, most_words: int = MOST_WORDS) -> Model:
+    """The model that fit(tagged_tokens(chunks)) gives."""
+    return _fitted(lexicon_counts(chunks), most_words, TAGS)
+
+
+def _fitted(found: DataFrame, most_words: int, tags: tuple[str, ...]) -> Model:
+    found = found.persist()
     try:
         few = found.where("kind in ('step', 'tag')").collect()
         many = found.where("kind in ('word', 'ending')").orderBy(F.desc("n"), "kind", "a", "b").limit(most_words).collect()
@@ -166,7 +230,7 @@ def _verbs(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     kind = pa.list_(pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("verb", pa.string()), ("verb_start", pa.int32())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 4)):
+        for batch in (part for whole in batches for part in slices(whole, 4, TAGGED_BYTES, TAGGED_ROWS)):
             texts = batch.column(4).to_pylist()
             names = [[list(name.finditer(s)) for s in own or []] for own in texts]
             asked = [(i, k) for i, own in enumerate(names) for k, found in enumerate(own) if len(found) > 1]  # others have no pair

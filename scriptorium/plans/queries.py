@@ -18,7 +18,7 @@ from scriptorium.operators import graph as G
 from scriptorium.operators import vectors as X
 from scriptorium.operators.fitted import fit as fit_embedder
 from scriptorium.operators.gazetteer import labelled_mentions
-from scriptorium.operators.tagging import fit, mentions_with_verbs, tagged_tokens
+from scriptorium.operators.tagging import fit_by_lexicon, mentions_with_verbs
 from scriptorium.operators.inverted import InvertedLists
 from scriptorium.session import load, new_folder, remove_folder, stored
 from scriptorium.sources.buckets import BucketedTable
@@ -438,7 +438,7 @@ def g8_edges(spark: SparkSession, sf: str) -> DataFrame:
 def g5_relations(spark: SparkSession, sf: str) -> DataFrame:
     """How many pairs of names each relation has, by the tagger fitted on all documents; beyond SQL."""
     chunks = documents_as_chunks(spark, sf)
-    found = mentions_with_verbs(chunks, fit(tagged_tokens(chunks)))
+    found = mentions_with_verbs(chunks, fit_by_lexicon(chunks))
     return G.build_edges(found).where("kind = 0").groupBy("relation").agg(F.count("*").alias("n"))
 
 

@@ -98,6 +98,23 @@ def test_texts_are_embedded_and_split_once(spark):
     assert python_steps(docs.select(F.explode(recursive_split(F.col("text"))))) == 1
 
 
+def test_sentences_are_counted_without_a_row_for_each_token(spark, monkeypatch):
+    """The same counts as by a row for each token; what is exploded and aggregated are sums."""
+    monkeypatch.setattr(tagging, "COUNTED_TOKENS", 20)
+    odd = ["", None, "...", "Ada met\u00a0Bob\u2003today. Él vio 12½ Ärger! ÉCOLE Σίσυφος ΣΟΦΟΣ e\u0301te \U0001d400x _a-b İzmir ǅungla", "\n\n A.  B?\tc! d", "der Hund traf 3 Katzen (und 4 «Mäuse»)."]
+    rng = random.Random(12)
+    words = "Ada Bob met wrote the der 12 , ; Zürich hat fondé LE running Walking 3rd".split()
+    texts = odd + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) + rng.choice([".", "!", " x. Y"]) for _ in range(60)]
+    chunks = spark.createDataFrame([(str(i), "s", "1", t) for i, t in enumerate(texts)], "chunk_id string, source string, page string, text string").repartition(3)
+    found = tagging.lexicon_counts(chunks)
+    whole = {(r.kind, r.a, r.b): r.n for r in tagging.counts(tagging.tagged_tokens(chunks)).collect()}
+    assert {(r.kind, r.a, r.b): r.n for r in found.collect()} == whole and len(whole) > 60
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Aggregate") < plan.index("MapInArrow") < plan.index("Generate")  # sentences alone are rows
+    by_rows, by_sums = tagging.fit(tagging.tagged_tokens(chunks)), tagging.fit_by_lexicon(chunks)
+    assert (by_rows.step == by_sums.step).all() and by_rows.words.keys() == by_sums.words.keys()
+
+
 def test_texts_are_written_once_however_many_names_there_are(spark, monkeypatch):
     """Blocks of a few texts with three names each: what one automaton over all names finds, and one table of texts."""
     monkeypatch.setattr(gazetteer, "BLOCK_BYTES", 200)
